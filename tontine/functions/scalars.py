@@ -13,6 +13,11 @@ def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def doubles(values: Iterable[float]) -> str:
+    """SQL text of a double array; one parsed expression instead of one call per value."""
+    return "array(" + ", ".join(f"{float(value)!r}D" for value in values) + ")"
+
+
 def cap_upper(value: Column | str, cap: float | int) -> Column:
     """Clip from above; null stays null (``least`` would turn null into the cap)."""
     value = _col(value)

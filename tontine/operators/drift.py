@@ -60,25 +60,14 @@ def fit_edges(reference: DataFrame, bins: int = S.PSI_BINS) -> BinEdges:
     )
 
 
-def numeric_bin(value: Column, interior: list[float]) -> Column:
-    """Left-closed bins ``[e_i, e_i+1)``: number of interior edges at or below the value."""
-    count = F.lit(0)
-    for edge in interior:
-        count = count + F.when(value >= F.lit(edge), 1).otherwise(0)
-    return count
-
-
-def _bin_counts(name: str, value: Column, interior: list[float], keep: Column) -> list[Column]:
-    low = [None, *interior]
-    high = [*interior, None]
+def _bin_counts(name: str, value: str, interior: list[float], keep: str) -> list[Column]:
+    """One conditional count per left-closed bin ``[e_i, e_i+1)``; outer bins are open."""
     counts = []
-    for number, (a, b) in enumerate(zip(low, high)):
-        hit = keep & value.isNotNull()
-        if a is not None:
-            hit = hit & (value >= F.lit(a))
-        if b is not None:
-            hit = hit & (value < F.lit(b))
-        counts.append(F.count_if(hit).alias(f"{name}#{number}"))
+    for number, (low, high) in enumerate(zip([None, *interior], [*interior, None])):
+        tests = [keep, f"{value} IS NOT NULL"]
+        tests += [] if low is None else [f"{value} >= {low!r}D"]
+        tests += [] if high is None else [f"{value} < {high!r}D"]
+        counts.append(F.expr(f"count_if({' AND '.join(tests)})").alias(f"{name}#{number}"))
     return counts
 
 
@@ -91,11 +80,11 @@ def batch_profile(scored: DataFrame, edges: BinEdges) -> DataFrame:
     data, concept = F.col("data_drift_injected"), F.col("concept_drift_injected")
     y = F.col(S.TARGET).cast("double")
     counts: list[Column] = []
-    everything = F.lit(True)
     for name, interior in edges.numeric.items():
-        counts += _bin_counts(name, F.col(name).cast("double"), interior, everything)
+        counts += _bin_counts(name, f"CAST({name} AS DOUBLE)", interior, "true")
     if edges.segment is not None:
-        counts += _bin_counts(SEGMENT, F.col(SEGMENT_FEATURE), edges.segment, X.high_density())
+        bands = ", ".join(f"'{label}'" for label in S.HIGH_DENSITY_BANDS)
+        counts += _bin_counts(SEGMENT, SEGMENT_FEATURE, edges.segment, f"Density_band IN ({bands})")
     return scored.groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("row_count"),
         F.avg(y).alias("empirical_claim_rate"),
@@ -111,20 +100,15 @@ def batch_profile(scored: DataFrame, edges: BinEdges) -> DataFrame:
 
 def numeric_histogram(profile: DataFrame, edges: BinEdges) -> DataFrame:
     """``batch_id, feature, bin, n`` rows from the wide profile; every bin is present."""
-    cells = []
     shapes = dict(edges.numeric)
     if edges.segment is not None:
         shapes[SEGMENT] = edges.segment
-    for name, interior in shapes.items():
-        for number in range(len(interior) + 1):
-            cells.append(
-                F.struct(
-                    F.lit(name).alias("feature"),
-                    F.lit(str(number)).alias("bin"),
-                    F.col(f"`{name}#{number}`").alias("n"),
-                )
-            )
-    return profile.select("batch_id", F.inline(F.array(*cells)))
+    cells = [
+        f"named_struct('feature', '{name}', 'bin', '{number}', 'n', `{name}#{number}`)"
+        for name, interior in shapes.items()
+        for number in range(len(interior) + 1)
+    ]
+    return profile.selectExpr("batch_id", f"inline(array({', '.join(cells)}))")
 
 
 def categorical_histogram(scored: DataFrame) -> DataFrame:

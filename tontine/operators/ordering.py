@@ -14,9 +14,10 @@ from collections.abc import Callable, Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tontine.functions.scalars import doubles
 from tontine.functions.hashing import hash_bucket, seeded_md5
 
-VALUE_BUCKETS = 256
+VALUE_BUCKETS = 128
 
 
 def _bucket_sizes(keyed: DataFrame, strata: Sequence[str]) -> DataFrame:
@@ -104,15 +105,17 @@ def hash_sample(
     return flagged.filter("_sampled").drop("_sampled")
 
 
+def _sketch(value: str, buckets: int) -> Column:
+    shares = doubles(i / buckets for i in range(1, buckets))
+    return F.expr(f"percentile_approx({value}, {shares}, {buckets * 10})")
+
+
 def _value_cuts(df: DataFrame, columns: Sequence[str], buckets: int) -> dict[str, list[float]]:
     """Rough quantiles that balance the buckets; results do not depend on their precision.
 
     One map-side sketch pass; the driver gets at most ``buckets`` doubles per column.
     """
-    shares = [i / buckets for i in range(1, buckets)]
-    row = df.agg(
-        *(F.percentile_approx(F.col(c).cast("double"), shares, buckets * 10).alias(c) for c in columns)
-    ).first()
+    row = df.agg(*(_sketch(f"CAST(`{c}` AS DOUBLE)", buckets).alias(c) for c in columns)).first()
     return {c: sorted(set(row[c] or [])) for c in columns}
 
 
@@ -145,12 +148,12 @@ def exact_quantiles(
         .groupBy("feature", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    bucket = F.lit(0)
-    for name in columns:
-        if cuts[name]:
-            literal = F.array(*(F.lit(cut) for cut in cuts[name]))
-            bucket = F.when(F.col("feature") == name, _value_bucket(F.col("value"), literal)).otherwise(bucket)
-    counts = counts.withColumn("bucket", bucket)
+    cut_table = df.sparkSession.createDataFrame(
+        [(name, cuts[name]) for name in columns], "feature string, cuts array<double>"
+    )
+    counts = counts.join(F.broadcast(cut_table), "feature").select(
+        "feature", "value", "n", _value_bucket(F.col("value"), F.col("cuts")).alias("bucket")
+    )
 
     per_feature = Window.partitionBy("feature")
     earlier = per_feature.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -161,7 +164,7 @@ def exact_quantiles(
         .withColumn("total", F.sum("bucket_n").over(per_feature))
     )
     position = lambda share: (F.col("total") - 1).cast("double") * share
-    share_array = F.array(*(F.lit(float(share)) for share in shares))
+    share_array = F.expr(doubles(shares))
     ranks = F.array_distinct(
         F.concat(
             F.transform(share_array, lambda s: F.floor(position(s))),
@@ -212,15 +215,15 @@ def rank_statistic(df: DataFrame, score: str, positive: Column, buckets: int = V
     Equal scores are merged before any shuffle; distinct scores are split into balanced
     score ranges, each ordered on its own, and the ranges are chained by their totals.
     """
-    shares = [i / buckets for i in range(1, buckets)]
     usable = df.select(F.col(score).cast("double").alias("score"), positive.alias("positive"))
-    cuts = usable.agg(F.array_distinct(F.percentile_approx("score", shares, buckets * 10))).scalar()
+    cuts = usable.agg(F.array_distinct(_sketch("score", buckets))).scalar()
     per_score = usable.groupBy("score").agg(
         F.count_if(F.col("positive")).alias("pos"), F.count_if(~F.col("positive")).alias("neg")
     )
     lower = Window.partitionBy("bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     ranges = (
-        per_score.withColumn("bucket", F.coalesce(_value_bucket(F.col("score"), cuts), F.lit(0)))
+        per_score.withColumn("cuts", cuts)
+        .withColumn("bucket", F.coalesce(_value_bucket(F.col("score"), F.col("cuts")), F.lit(0)))
         .withColumn("neg_below", F.coalesce(F.sum("neg").over(lower), F.lit(0)))
         .groupBy("bucket")
         .agg(

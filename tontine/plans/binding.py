@@ -98,10 +98,19 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scorer()(modelling_data(spark, sf_dir))
 
 
+def scored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scored policies as a table, for operators that read their input several times."""
+    return spool(scored(spark, sf_dir), "scored")
+
+
+def batched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batched policies as a table: the rewrites read the whole of it and parts of it."""
+    return spool(batching.assign_batches(modelling_data(spark, sf_dir)), "batched")
+
+
 def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batched policies with both rewrites."""
-    batched = batching.assign_batches(modelling_data(spark, sf_dir))
-    return batching.rewrite_targets(batching.rewrite_features(batched))
+    return batching.rewrite_targets(batching.rewrite_features(batched(spark, sf_dir)))
 
 
 def scored_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

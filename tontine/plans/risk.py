@@ -74,7 +74,7 @@ FROM pool_scores s LEFT JOIN pool_rates r ON s.pool_id = r.pool_id""",
 
 
 def split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.stratified_split(B.scored(spark, sf_dir))
+    return sampling.stratified_split(B.scored_table(spark, sf_dir))
 
 
 def holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,7 +239,7 @@ def anomaly_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flag step of the anomaly model: rows above the exact 99 % quantile of a score."""
     from tontine.operators import anomaly
 
-    scored = B.scored(spark, sf_dir).withColumn("anomaly_score", F.col(S.PROBABILITY))
+    scored = B.scored_table(spark, sf_dir).withColumn("anomaly_score", F.col(S.PROBABILITY))
     return rounded(metrics.anomaly_summary(anomaly.flag_scores(scored)), 9)
 
 
