@@ -1,10 +1,146 @@
-"""stub"""
-from pyspark.sql import DataFrame, functions as F
+"""Isolation forest (Liu, Ting and Zhou, 2008) over the encoded contract features.
+
+Trees are grown side by side on small samples, one task per tree; the forest (a bounded
+number of nodes) is shipped to all tasks, which score Arrow batches with array lookups.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame, Window, functions as F
+
 from tontine import schemas as S
+from tontine.functions.hashing import seeded_md5
+from tontine.operators import encoding, scoring
 from tontine.operators.ordering import exact_quantiles
+from tontine.operators.sampling import fixed_sample
+from tontine.sources.shared import spool
+
+N_TREES = 100
+SAMPLE_ROWS = 256
+_NODES = "tree int, node int, feature int, split double, left int, right int, size int, depth int"
+
+
+def _mean_path(n: np.ndarray) -> np.ndarray:
+    """Average path length of an unsuccessful search among n points."""
+    n = np.asarray(n, dtype=np.float64)
+    safe = np.maximum(n, 3.0)
+    long = 2.0 * (np.log(safe - 1.0) + np.euler_gamma) - 2.0 * (safe - 1.0) / safe
+    return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, long))
+
+
+def tree_samples(encoded: DataFrame, key: str = "IDpol", trees: int = N_TREES, rows: int = SAMPLE_ROWS, seed: int = S.SEED) -> DataFrame:
+    """``tree, key, v`` with ``rows`` distinct rows per tree.
+
+    One pass draws a uniform pool of ``trees * rows`` rows; each tree then draws from the
+    pool by its own hash, so the work after the pass does not depend on the table size.
+    """
+    pool = spool(fixed_sample(encoded, key, trees * rows, seed), "forest-pool")
+    ids = pool.select(key, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    order = Window.partitionBy("tree").orderBy(F.xxhash64(F.lit(seed), "tree", key), key)
+    chosen = ids.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= rows).drop("_r")
+    return chosen.join(pool, key)
+
+
+def _grower(seed: int, key: str):
+    def grow(group: pd.DataFrame) -> pd.DataFrame:
+        tree = int(group["tree"].iloc[0])
+        group = group.sort_values(key)
+        points = np.vstack(group["v"].to_numpy())
+        rng = np.random.default_rng([seed, tree])
+        limit = int(np.ceil(np.log2(max(len(points), 2))))
+        nodes: list[list] = []
+        waiting = [(np.arange(len(points)), 0, -1, False)]
+        while waiting:
+            members, depth, parent, is_left = waiting.pop()
+            number = len(nodes)
+            if parent >= 0:
+                nodes[parent][4 if is_left else 5] = number
+            low, high = points[members].min(axis=0), points[members].max(axis=0)
+            varying = np.flatnonzero(high > low)
+            if depth >= limit or len(members) <= 1 or len(varying) == 0:
+                nodes.append([tree, number, -1, 0.0, -1, -1, len(members), depth])
+                continue
+            feature = int(rng.choice(varying))
+            split = float(rng.uniform(low[feature], high[feature]))
+            goes_left = points[members, feature] <= split
+            nodes.append([tree, number, feature, split, -1, -1, len(members), depth])
+            waiting.append((members[~goes_left], depth + 1, number, False))
+            waiting.append((members[goes_left], depth + 1, number, True))
+        return pd.DataFrame(nodes, columns=[part.split()[0] for part in _NODES.split(", ")])
+
+    return grow
+
+
+def grow_forest(encoded: DataFrame, key: str = "IDpol", seed: int = S.SEED, trees: int = N_TREES, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """Node table of the forest: at most ``trees * (2 * rows - 1)`` rows."""
+    return tree_samples(encoded, key, trees, rows, seed).groupBy("tree").applyInPandas(_grower(seed, key), _NODES)
+
+
+def score_forest(encoded: DataFrame, forest: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """``keep`` columns plus ``anomaly_score`` in (0, 1); higher is more isolated."""
+    nodes = forest.toPandas().sort_values(["tree", "node"])
+    parts = []
+    for _, tree in nodes.groupby("tree"):
+        leaf_path = tree["depth"].to_numpy() + _mean_path(tree["size"].to_numpy())
+        parts.append(
+            (
+                tree["feature"].to_numpy(),
+                tree["split"].to_numpy(),
+                tree["left"].to_numpy(),
+                tree["right"].to_numpy(),
+                leaf_path,
+                int(tree["depth"].max()),
+                int(tree["size"].max()),
+            )
+        )
+    shared = encoded.sparkSession.sparkContext.broadcast(parts)
+    fields = [f"`{name}` {kind}" for name, kind in encoded.select(*keep).dtypes]
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forest_parts = shared.value
+        normal = _mean_path(np.array([forest_parts[0][6]]))[0]
+        for batch in batches:
+            if batch.empty:
+                continue
+            points = np.vstack(batch["v"].to_numpy())
+            rows = np.arange(len(points))
+            total = np.zeros(len(points))
+            for feature, split, left, right, leaf_path, depth, _ in forest_parts:
+                at = np.zeros(len(points), dtype=np.int64)
+                for _ in range(depth):
+                    tested = feature[at]
+                    inner = tested >= 0
+                    goes_left = points[rows, np.maximum(tested, 0)] <= split[at]
+                    at = np.where(inner, np.where(goes_left, left[at], right[at]), at)
+                total += leaf_path[at]
+            result = batch.drop(columns="v")
+            result["anomaly_score"] = np.power(2.0, -total / (len(forest_parts) * max(normal, 1e-12)))
+            yield result
+
+    return encoded.select(*keep, "v").mapInPandas(score, ", ".join([*fields, "anomaly_score double"]))
 
 
 def flag_scores(scores: DataFrame, contamination: float = S.ANOMALY_CONTAMINATION, score: str = "anomaly_score") -> DataFrame:
     """Flag the top share of scores: those above the exact interpolated quantile."""
     threshold = exact_quantiles(scores, [score], [1.0 - contamination]).select(F.col("quantiles")[0]).scalar()
     return scores.withColumn("anomaly_flag", (F.col(score) > threshold).cast("bigint"))
+
+
+def anomaly_scores(
+    features: DataFrame, contamination: float = S.ANOMALY_CONTAMINATION, seed: int = S.SEED, trees: int = N_TREES
+) -> DataFrame:
+    """``IDpol, pool_id, anomaly_score, anomaly_flag`` for all contracts."""
+    inputs = scoring.model_inputs(features)
+    encoder = encoding.fit_encoder(inputs)
+    dense = encoding.encode(inputs, encoder).select(
+        "IDpol", "pool_id", vector_to_array(encoding.FEATURES).alias("v")
+    )
+    encoded = spool(dense, "anomaly-input")
+    forest = spool(grow_forest(encoded, "IDpol", seed, trees), "forest")
+    scored = spool(score_forest(encoded, forest, ("IDpol", "pool_id")), "anomaly-scores")
+    return flag_scores(scored, contamination)

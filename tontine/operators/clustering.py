@@ -1,5 +1,29 @@
-"""stub"""
-from pyspark.sql import DataFrame, functions as F
+"""Pools from policy attributes: a scan over k, scored on a fixed sample."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from typing import NamedTuple
+
+import numpy as np
+import pandas as pd
+from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tontine import schemas as S
+from tontine.functions import scalars as X
+from tontine.operators import encoding, quality
+from tontine.operators.sampling import fixed_sample
+from tontine.sources.shared import spool
+
+
+class PoolConstruction(NamedTuple):
+    frequency: DataFrame
+    scan: DataFrame
+    selected_k: int
+    model: KMeansModel
 
 
 def pool_size_stats(pooled: DataFrame) -> DataFrame:
@@ -10,3 +34,152 @@ def pool_size_stats(pooled: DataFrame) -> DataFrame:
         F.max("n").alias("pool_size_max"),
         F.avg("n").alias("pool_size_mean"),
     )
+
+
+def label_centroids(points: DataFrame, label: str, vector: str) -> DataFrame:
+    """Mean vector per label, summed map-side as whole vectors."""
+    as_vector = array_to_vector(F.transform(vector, lambda x: x.cast("double")))
+    return (
+        points.select(label, as_vector.alias("_v"))
+        .groupBy(label)
+        .agg(Summarizer.mean(F.col("_v")).alias("_m"))
+        .select(label, vector_to_array("_m").alias("centroid"))
+    )
+
+
+def assign_nearest(points: DataFrame, centroids: DataFrame, label: str, vector: str) -> DataFrame:
+    """Nearest centroid and squared distance of every point, the smaller label on a tie.
+
+    Centroids of a clustering are bounded by its k; they reach every row as one array, so
+    no pair of point and centroid is ever a row.
+    """
+    table = centroids.agg(F.sort_array(F.collect_list(F.struct(F.col(label).alias("id"), "centroid")))).scalar()
+
+    def measured(centre):
+        gaps = F.zip_with(F.col(vector), centre["centroid"], lambda a, b: (a.cast("double") - b) * (a.cast("double") - b))
+        distance = F.aggregate(gaps, F.lit(0.0), lambda total, gap: total + gap)
+        return F.struct(distance.alias("sq_distance"), centre["id"].alias("id"))
+
+    return (
+        points.withColumn("_centres", table)
+        .withColumn("_best", F.array_min(F.transform("_centres", measured)))
+        .select(
+            *points.columns,
+            F.col("_best.id").alias("nearest"),
+            F.col("_best.sq_distance").alias("sq_distance"),
+        )
+    )
+
+
+def clustering_inertia(assigned: DataFrame) -> DataFrame:
+    return assigned.agg(F.count(F.lit(1)).alias("n_points"), F.sum("sq_distance").alias("inertia"))
+
+
+def silhouette_points(
+    spark: SparkSession, vectors: np.ndarray, labels: np.ndarray, block: int = 256
+) -> DataFrame:
+    """Silhouette of each point of a bounded sample: ``position, label, silhouette``.
+
+    The sample is a parameter of the scan (10 000 rows), small enough to ship to every
+    task. A task measures a block of points against the whole sample and keeps only sums
+    per label; pairs are never rows. Labels held by one point score zero.
+    """
+    n = len(labels)
+    names, codes = np.unique(labels, return_inverse=True)
+    shared = spark.sparkContext.broadcast((np.ascontiguousarray(vectors, dtype=np.float64), codes))
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        points, own = shared.value
+        sizes = np.bincount(own)
+        member = np.zeros((len(own), len(sizes)))
+        member[np.arange(len(own)), own] = 1.0
+        for batch in batches:
+            for start in batch["id"]:
+                rows = np.arange(start, min(start + block, len(own)))
+                squared = np.zeros((len(rows), len(own)))
+                for column in range(points.shape[1]):
+                    gap = points[rows, column][:, None] - points[:, column][None, :]
+                    squared += gap * gap
+                sums = np.sqrt(squared) @ member
+                mine = own[rows]
+                pick = np.arange(len(rows))
+                alone = sizes[mine] == 1
+                inner = sums[pick, mine] / np.maximum(sizes[mine] - 1, 1)
+                means = sums / sizes
+                means[pick, mine] = np.inf
+                outer = means.min(axis=1)
+                score = np.where(alone, 0.0, (outer - inner) / np.maximum(np.maximum(inner, outer), 1e-300))
+                yield pd.DataFrame({"position": rows, "code": mine, "silhouette": score})
+
+    blocks = spark.range(0, n, block, numPartitions=max(1, min(-(-n // block), 64)))
+    scored = blocks.mapInPandas(measure, "position long, code int, silhouette double")
+    lookup = F.array(*(F.lit(name.item() if hasattr(name, "item") else name) for name in names))
+    return scored.select("position", lookup[F.col("code")].alias("label"), "silhouette")
+
+
+def silhouette(spark: SparkSession, vectors: np.ndarray, labels: np.ndarray) -> float:
+    """Mean silhouette; NaN for fewer than two labels or one point per label."""
+    distinct = len(np.unique(labels))
+    if distinct < 2 or distinct >= len(labels):
+        return float("nan")
+    return float(silhouette_points(spark, vectors, labels).agg(F.avg("silhouette")).first()[0])
+
+
+def best_k(scan: DataFrame) -> DataFrame:
+    """k with the highest silhouette, the smaller k on a tie; NaN scores do not count."""
+    valid = scan.filter(F.col("silhouette_score").isNotNull() & ~F.isnan("silhouette_score"))
+    return valid.agg(
+        F.max_by("k", F.struct("silhouette_score", -F.col("k"))).alias("selected_k"),
+        F.max("silhouette_score").alias("silhouette_score"),
+        F.count(F.lit(1)).alias("valid_k"),
+    )
+
+
+def clustering_frame(policies: DataFrame) -> DataFrame:
+    return policies.withColumn("Density_log1p", X.density_log1p()).withColumns(
+        {c: F.col(c).cast("string") for c in S.CATEGORICAL_ATTRIBUTES}
+    )
+
+
+def construct_pools(
+    policies: DataFrame,
+    k_min: int = S.K_MIN,
+    k_max: int = S.K_MAX,
+    seed: int = S.SEED,
+    sample_size: int = S.SILHOUETTE_SAMPLE,
+    max_iter: int = 100,
+) -> PoolConstruction:
+    """Give each policy the pool of the best k-means over ``k_min .. k_max``.
+
+    The encoded policies are written once and read by every k. The model of the winning k
+    is the one applied; it is not fitted a second time.
+    """
+    needed = [*(c for c in S.CLUSTERING_NUMERIC if c != "Density_log1p"), "Density", *S.CATEGORICAL_ATTRIBUTES]
+    quality.expect_columns(policies, needed, "pool construction input")
+    quality.expect_no_nulls(policies, needed, "pool construction input")
+    rows = policies.count()
+    if rows == 0:
+        raise quality.DataQualityError("pool construction input has no rows")
+    quality.guard_clustering(k_min, k_max, sample_size, rows)
+
+    spark = policies.sparkSession
+    frame = clustering_frame(policies)
+    encoder = encoding.fit_encoder(frame, S.CLUSTERING_NUMERIC, S.CATEGORICAL_ATTRIBUTES)
+    encoded = spool(encoding.encode(frame, encoder), "clustering")
+    sample = spool(fixed_sample(encoded.select("IDpol", encoding.FEATURES), "IDpol", sample_size, seed), "sample")
+
+    best, scan = None, []
+    for k in range(k_min, k_max + 1):
+        model = KMeans(featuresCol=encoding.FEATURES, predictionCol="pool_id", k=k, seed=seed, maxIter=max_iter).fit(
+            encoded
+        )
+        drawn = model.transform(sample).select("pool_id", vector_to_array(encoding.FEATURES).alias("v")).toPandas()
+        score = silhouette(spark, np.vstack(drawn["v"].to_numpy()), drawn["pool_id"].to_numpy())
+        scan.append((k, None if np.isnan(score) else score, float(model.summary.trainingCost)))
+        if not np.isnan(score) and (best is None or score > best[1]):
+            best = (k, score, model)
+    if best is None:
+        raise quality.DataQualityError("no valid silhouette score was produced for the k scan")
+    pooled = best[2].transform(encoded).select(*policies.columns, "pool_id")
+    table = spark.createDataFrame(scan, "k int, silhouette_score double, inertia double")
+    return PoolConstruction(pooled, table, best[0], best[2])
