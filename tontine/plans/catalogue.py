@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tontine.plans import monitoring, risk, tables  # noqa: F401 - register on import
+from tontine.plans import lifecycle, monitoring, operations, risk, tables  # noqa: F401 - register on import
 from tontine.plans.registry import QUERIES, SQL, Build
 
 

@@ -178,20 +178,22 @@ def event_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps("stream")
     + """SELECT IDpol, batch_id, event_index, data_drift_injected, concept_drift_injected, round(Density, 6) AS Density,
        round(Density_log1p, 6) AS Density_log1p, Density_band, target_claim_count, target_has_claim,
-       round(target_claim_frequency, 6) AS target_claim_frequency, round(target_total_claim_amount, 6) AS target_total_claim_amount,
-       round(target_avg_claim_amount, 6) AS target_avg_claim_amount FROM stream""",
+       round(target_claim_frequency, 6) AS target_claim_frequency, round(target_total_claim_amount, 8) AS target_total_claim_amount,
+       round(target_avg_claim_amount, 8) AS target_avg_claim_amount FROM stream""",
 )
 def stream_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = (
         "IDpol batch_id event_index data_drift_injected concept_drift_injected Density Density_log1p Density_band"
         " target_claim_count target_has_claim target_claim_frequency target_total_claim_amount target_avg_claim_amount"
     ).split()
-    return rounded(B.stream(spark, sf_dir).select(*columns))
+    return rounded(
+        B.stream(spark, sf_dir).select(*columns), target_total_claim_amount=8, target_avg_claim_amount=8
+    )
 
 
 @query(
     "severity_draws",
-    steps("drawn") + "SELECT IDpol, round(added_severity, 6) AS added_severity FROM drawn WHERE needs",
+    steps("drawn") + "SELECT IDpol, round(added_severity, 8) AS added_severity FROM drawn WHERE needs",
 )
 def severity_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     batched = B.batched(spark, sf_dir)
@@ -201,7 +203,7 @@ def severity_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
         & (F.col("target_claim_count") < S.CLAIM_COUNT_CAP)
     )
     drawn = batching.draw_severity(batched, needs)
-    return rounded(drawn.filter(needs).select("IDpol", "added_severity"))
+    return rounded(drawn.filter(needs).select("IDpol", "added_severity"), 8)
 
 
 step(

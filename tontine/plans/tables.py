@@ -85,10 +85,10 @@ def claims_per_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "severity_aggregates",
     steps("severity")
-    + """SELECT IDpol, round(total, 6) AS target_total_claim_amount, round(mean, 6) AS target_avg_claim_amount FROM severity""",
+    + """SELECT IDpol, round(total, 8) AS target_total_claim_amount, round(mean, 8) AS target_avg_claim_amount FROM severity""",
 )
 def severity_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(features.severity_aggregates(B.claims(spark, sf_dir)))
+    return rounded(features.severity_aggregates(B.claims(spark, sf_dir)), 8)
 
 
 @query(
@@ -135,11 +135,11 @@ def contract_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     "contract_targets",
     steps("modelling")
     + """SELECT IDpol, target_claim_count, target_has_claim, round(target_claim_frequency, 6) AS target_claim_frequency,
-       round(target_total_claim_amount, 6) AS target_total_claim_amount,
-       round(target_avg_claim_amount, 6) AS target_avg_claim_amount FROM modelling""",
+       round(target_total_claim_amount, 8) AS target_total_claim_amount,
+       round(target_avg_claim_amount, 8) AS target_avg_claim_amount FROM modelling""",
 )
 def contract_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(B.contract_targets(spark, sf_dir))
+    return rounded(B.contract_targets(spark, sf_dir), target_total_claim_amount=8, target_avg_claim_amount=8)
 
 
 @query(
