@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tontine import schemas as S
 from tontine.functions import scalars as X
 from tontine.operators.ordering import decile_shares, exact_quantiles
+from tontine.sources.shared import spool
 
 SEGMENT = "density_segment"
 MISSING = "__missing__"
@@ -286,11 +287,12 @@ def fit_reference(
     reference = scored.filter(F.col("batch_id").between(first, last))
     edges = fit_edges(reference)
     profile = batch_profile(reference, edges)
+    # Written once: every micro-batch reads these small tables again.
     return DriftReference(
         edges,
-        sum_reference(numeric_histogram(profile, edges), first, last),
-        sum_reference(categorical_histogram(reference), first, last),
-        residual_reference(profile, first, last),
+        spool(sum_reference(numeric_histogram(profile, edges), first, last), "reference-numeric"),
+        spool(sum_reference(categorical_histogram(reference), first, last), "reference-categories"),
+        spool(residual_reference(profile, first, last), "reference-residuals"),
     )
 
 

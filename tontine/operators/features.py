@@ -106,7 +106,11 @@ def pool_targets(policies: DataFrame, claims: DataFrame | None) -> DataFrame:
     Policies carry a unique key (checked at ingestion), so the contract targets roll up
     directly instead of being joined back to the policies a second time.
     """
-    per_policy = contract_targets(policies, claims, keep=("pool_id", "Exposure"))
+    return rollup_targets(contract_targets(policies, claims, keep=("pool_id", "Exposure")))
+
+
+def rollup_targets(per_policy: DataFrame) -> DataFrame:
+    """Pool targets from contract targets that carry their pool and exposure."""
     totals = per_policy.groupBy("pool_id").agg(
         F.sum("target_claim_count").alias("pool_claim_count"),
         F.sum("Exposure").alias("pool_total_exposure"),

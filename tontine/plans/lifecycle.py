@@ -11,6 +11,7 @@ from tontine.operators import batching, drift, lifecycle, lineage, metrics, scor
 from tontine.plans import binding as B
 from tontine.plans import monitoring, risk
 from tontine.plans.registry import query, rounded, step, steps
+from tontine.sources.shared import spool
 
 step(
     "events_log",
@@ -43,7 +44,8 @@ EVENT_COLUMNS = (
 def events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Scored stream and its retraining events."""
     stream = B.scored_stream(spark, sf_dir)
-    return stream, lifecycle.retraining_events(drift.drift_metrics(stream))
+    metrics_rows = spool(drift.drift_metrics(stream), "drift-metrics")
+    return stream, lifecycle.retraining_events(metrics_rows)
 
 
 @query("retraining_events", steps("events_log") + f"SELECT {', '.join(EVENT_COLUMNS)} FROM events_log")
@@ -197,7 +199,7 @@ def gate(spark: SparkSession, sf_dir: str, stream_metrics: DataFrame) -> DataFra
        round(model_auc, 9) AS candidate_auc, round(delta, 9) AS probability_rate_delta, snapshot_hash AS dvc_output_hash FROM model_gate""",
 )
 def candidate_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    result = gate(spark, sf_dir, drift.drift_metrics(B.scored_stream(spark, sf_dir)))
+    result = gate(spark, sf_dir, monitoring.metrics_table(spark, sf_dir))
     return rounded(
         result.select(
             *lifecycle.GATE_CHECKS, "validation_passed", "candidate_auc", "probability_rate_delta", "dvc_output_hash"
@@ -463,7 +465,7 @@ def lifecycle_row(spark: SparkSession, sf_dir: str, stream_metrics: DataFrame) -
 
 @query("lifecycle_report", steps("lifecycle_row") + "SELECT * FROM lifecycle_row")
 def lifecycle_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    row = lifecycle_row(spark, sf_dir, drift.drift_metrics(B.scored_stream(spark, sf_dir)))
+    row = lifecycle_row(spark, sf_dir, monitoring.metrics_table(spark, sf_dir))
     version = F.coalesce(F.col("registered_model_version").cast("string"), F.lit(""))
     return row.withColumn("registered_model_version", version)
 
@@ -479,7 +481,7 @@ FROM (SELECT count(*) AS decision_count, list(DISTINCT retraining_cycle_id ORDER
      lifecycle_row, context""",
 )
 def monitoring_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream_metrics = drift.drift_metrics(B.scored_stream(spark, sf_dir))
+    stream_metrics = monitoring.metrics_table(spark, sf_dir)
     ctx = context(spark, sf_dir, lifecycle.retraining_events(stream_metrics))
     return lineage.monitoring_report(
         decisions(spark, sf_dir, ctx),
@@ -500,7 +502,7 @@ def monitoring_report(spark: SparkSession, sf_dir: str) -> DataFrame:
        snapshot_hash AS dvc_output_hash, TRUE AS trace_logging_enabled, 'env_var' AS trace_salt_mode FROM model_gate""",
 )
 def serving_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream_metrics = drift.drift_metrics(B.scored_stream(spark, sf_dir))
+    stream_metrics = monitoring.metrics_table(spark, sf_dir)
     verdict = gate(spark, sf_dir, stream_metrics)
     last = lifecycle.retraining_events(stream_metrics).agg(F.max("trigger_batch").alias("trigger_batch"))
     base = lifecycle.one_row_join(verdict, last)

@@ -9,6 +9,7 @@ from tontine.functions import scalars as X
 from tontine.operators import batching, drift, features, quality, sampling
 from tontine.plans import binding as B
 from tontine.plans.registry import query, rounded, step, steps
+from tontine.sources.shared import spool
 
 NUMERIC = ("Exposure", "VehPower", "VehAge", "DrivAge", "BonusMalus", "Density_log1p")
 CATEGORICAL = S.MODEL_CATEGORICAL
@@ -160,6 +161,11 @@ DRIFT_SELECT = """SELECT batch_id, row_count, max_psi_feature, round(max_psi, 6)
        round(concept_drift_eligible_fraction, 6) AS concept_drift_eligible_fraction FROM drift"""
 
 
+def metrics_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored drift metrics, one row per batch; reports read them several times."""
+    return spool(drift.drift_metrics(B.scored_stream(spark, sf_dir)), "drift-metrics")
+
+
 def round_metrics(metrics: DataFrame) -> DataFrame:
     return rounded(metrics, concept_residual_z_score=4)
 
@@ -371,7 +377,7 @@ def evaluations(metrics: DataFrame) -> DataFrame:
     steps("drift") + _evaluation_sql("data", 12) + "\nUNION ALL " + _evaluation_sql("concept", 15),
 )
 def detection_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluations(drift.drift_metrics(B.scored_stream(spark, sf_dir)))
+    return evaluations(metrics_table(spark, sf_dir))
 
 
 @query(

@@ -48,9 +48,14 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_requests(B.table(spark, sf_dir, "events"))
 
 
+def plain_time(windows: DataFrame) -> DataFrame:
+    """Window starts without a zone, as the event table states its times."""
+    return windows.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 def as_requests(events: DataFrame) -> DataFrame:
     return events.select(
-        "ts",
+        F.col("ts").cast("timestamp").alias("ts"),
         F.lit("POST").alias("method"),
         F.col("event_type").alias("path"),
         F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status_code"),
@@ -80,7 +85,7 @@ _LE = ", ".join(f"le_{i}" for i in range(len(LATENCY_EDGES)))
     + f"SELECT window_start, path, request_count, error_count, round(latency_sum, 4) AS latency_sum, {_LE} FROM request_windows",
 )
 def windowed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(observability.windowed_requests(requests(spark, sf_dir), LATENCY_EDGES), 4)
+    return rounded(plain_time(observability.windowed_requests(requests(spark, sf_dir), LATENCY_EDGES)), 4)
 
 
 def _quantile_sql(share: float) -> str:
@@ -101,7 +106,7 @@ def _quantile_sql(share: float) -> str:
 )
 def request_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     windowed = observability.windowed_requests(requests(spark, sf_dir), LATENCY_EDGES)
-    return rounded(observability.rates(windowed, LATENCY_EDGES), rate=9)
+    return rounded(plain_time(observability.rates(windowed, LATENCY_EDGES)), rate=9)
 
 
 _SCORE_LE = ", ".join(f"count(*) FILTER (WHERE predicted_claim_probability <= {e}) AS le_{i}" for i, e in enumerate(S.SCORE_BUCKETS))
@@ -617,4 +622,4 @@ def streamed_request_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     arriving = as_requests(spark.readStream.schema(events.schema).parquet(source))
     windows = live_metrics.windowed_requests(arriving, LATENCY_EDGES)
     live_metrics.start(windows, sink, state, available_now=True).awaitTermination()
-    return rounded(spark.read.schema(windows.schema).parquet(sink), 4)
+    return rounded(plain_time(spark.read.schema(windows.schema).parquet(sink)), 4)

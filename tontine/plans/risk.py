@@ -8,6 +8,7 @@ from tontine import schemas as S
 from tontine.operators import features, metrics, sampling, scoring
 from tontine.plans import binding as B
 from tontine.plans.registry import query, rounded, step, steps
+from tontine.sources.shared import spool
 
 P = "predicted_claim_probability"
 
@@ -74,7 +75,8 @@ FROM pool_scores s LEFT JOIN pool_rates r ON s.pool_id = r.pool_id""",
 
 
 def split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.stratified_split(B.scored_table(spark, sf_dir))
+    """Scored policies with their stored split flag."""
+    return spool(sampling.stratified_split(B.scored_table(spark, sf_dir)), "split")
 
 
 def holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,11 +84,9 @@ def holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pool_risk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = scoring.pool_risk_scores(B.scored(spark, sf_dir))
-    policies = B.cleaned(spark, sf_dir)
-    pools = policies.select("pool_id").distinct()
-    targets = features.pool_targets(policies, B.claims(spark, sf_dir))
-    return scoring.assemble_pool_scores(pools, scores, targets)
+    scored = B.scored_table(spark, sf_dir)
+    pools = scored.select("pool_id").distinct()
+    return scoring.assemble_pool_scores(pools, scoring.pool_risk_scores(scored), features.rollup_targets(scored))
 
 
 @query(
