@@ -52,7 +52,7 @@ def fit_encoder(
             handleInvalid="keep",
             stringOrderType="alphabetAsc",
         ),
-        OneHotEncoder(inputCols=indexed, outputCols=hot, dropLast=True, handleInvalid="keep"),
+        OneHotEncoder(inputCols=indexed, outputCols=hot, dropLast=True, handleInvalid="error"),
         VectorAssembler(inputCols=[*(f"{c}_z" for c in numeric), *hot], outputCol=FEATURES),
     ]
     return Pipeline(stages=stages).fit(train)
