@@ -31,10 +31,23 @@ def claims_per_policy(claims: DataFrame) -> DataFrame:
     return claims.groupBy("IDpol").agg(F.count(F.lit(1)).alias("observed_claims"))
 
 
-def _with_observed(policies: DataFrame, claims: DataFrame) -> DataFrame:
+AMOUNTS = ("target_total_claim_amount", "target_avg_claim_amount")
+
+
+def claims_and_amounts(claims: DataFrame) -> DataFrame:
+    """Count, total and mean amount of claims per policy in one aggregate."""
+    return claims.groupBy("IDpol").agg(
+        F.count(F.lit(1)).alias("observed_claims"),
+        F.sum("ClaimAmount").alias(AMOUNTS[0]),
+        F.avg("ClaimAmount").alias(AMOUNTS[1]),
+    )
+
+
+def _with_observed(policies: DataFrame, claims: DataFrame, amounts: bool = False) -> DataFrame:
     # Claims are counted per policy before the join: orphans find no policy and drop out,
     # and a policy with very many claims meets the join as a single row.
-    return policies.join(claims_per_policy(claims), "IDpol", "left").withColumn(
+    per_policy = claims_and_amounts(claims) if amounts else claims_per_policy(claims)
+    return policies.join(per_policy, "IDpol", "left").withColumn(
         "observed_claims", F.coalesce("observed_claims", F.lit(0)).cast("bigint")
     )
 
@@ -51,9 +64,12 @@ def _clean(reconciled: DataFrame) -> DataFrame:
     return reconciled.withColumns(columns).drop("observed_claims")
 
 
-def clean_policies(policies: DataFrame, claims: DataFrame) -> DataFrame:
-    """Claim counts replaced by matched counts (capped), exposure capped, declared count kept."""
-    return _clean(_with_observed(policies, claims))
+def clean_policies(policies: DataFrame, claims: DataFrame, amounts: bool = False) -> DataFrame:
+    """Claim counts replaced by matched counts (capped), exposure capped, declared count kept.
+
+    With ``amounts`` the claim totals ride along, for targets built from the same claims.
+    """
+    return _clean(_with_observed(policies, claims, amounts))
 
 
 def cleaning_report(policies: DataFrame, claims: DataFrame) -> DataFrame:

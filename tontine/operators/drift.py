@@ -286,7 +286,7 @@ def fit_reference(
     """Freeze the reference window of a scored stream."""
     reference = scored.filter(F.col("batch_id").between(first, last))
     edges = fit_edges(reference)
-    profile = batch_profile(reference, edges)
+    profile = spool(batch_profile(reference, edges), "reference-profile")
     # Written once: every micro-batch reads these small tables again.
     return DriftReference(
         edges,
@@ -296,12 +296,15 @@ def fit_reference(
     )
 
 
-def score_batches(scored: DataFrame, reference: DriftReference) -> DataFrame:
-    """Metrics of any set of scored batches against a frozen reference."""
-    profile = batch_profile(scored, reference.edges)
+def score_profiles(profile: DataFrame, categorical: DataFrame, reference: DriftReference) -> DataFrame:
+    """Metrics of any set of measured batches against a frozen reference.
+
+    Both inputs are read by several branches of the plan; hold them (stored or cached)
+    before, or every branch scans the batches again.
+    """
     per_feature = feature_psi(
         numeric_histogram(profile, reference.edges),
-        categorical_histogram(scored),
+        categorical,
         reference.numeric,
         reference.categorical,
     )
@@ -316,12 +319,22 @@ def per_feature_psi(
 ) -> DataFrame:
     """Index of every (batch, feature) with its warning level."""
     edges = edges or fit_edges(scored.filter(F.col("batch_id").between(first, last)))
-    profile = batch_profile(scored, edges)
-    numeric, categorical = numeric_histogram(profile, edges), categorical_histogram(scored)
-    result = feature_psi(
+    _, per_feature = _measured(scored, edges, first, last)
+    return per_feature.withColumn("psi_level", X.psi_level("psi"))
+
+
+def _measured(scored: DataFrame, edges: BinEdges, first: int, last: int) -> tuple[DataFrame, DataFrame]:
+    """Stored batch profile and the index of every feature: two passes over the batches.
+
+    The profile is written (one row per batch) because its readers need different columns;
+    pruned differently, they would each scan the batches.
+    """
+    profile = spool(batch_profile(scored, edges), "profile")
+    categorical = spool(categorical_histogram(scored), "categories")
+    numeric = numeric_histogram(profile, edges)
+    return profile, feature_psi(
         numeric, categorical, sum_reference(numeric, first, last), sum_reference(categorical, first, last)
     )
-    return result.withColumn("psi_level", X.psi_level("psi"))
 
 
 def drift_metrics(
@@ -331,11 +344,7 @@ def drift_metrics(
 ) -> DataFrame:
     """Whole-stream form: the reference counts come from the same histograms as the rest."""
     edges = fit_edges(scored.filter(F.col("batch_id").between(first, last)))
-    profile = batch_profile(scored, edges)
-    numeric, categorical = numeric_histogram(profile, edges), categorical_histogram(scored)
-    per_feature = feature_psi(
-        numeric, categorical, sum_reference(numeric, first, last), sum_reference(categorical, first, last)
-    )
+    profile, per_feature = _measured(scored, edges, first, last)
     return assemble_metrics(profile, strongest_feature(per_feature), residual_reference(profile, first, last))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from tontine import schemas as S
 from tontine.functions import scalars as X
 from tontine.operators import quality
+from tontine.operators.cleaning import AMOUNTS
 
 _STD_SOURCES = {
     "veh_power": "VehPower",
@@ -53,9 +54,14 @@ def severity_aggregates(claims: DataFrame) -> DataFrame:
 
 
 def contract_targets(policies: DataFrame, claims: DataFrame | None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One outcome row per policy; ``keep`` carries policy columns along for a rollup."""
+    """One outcome row per policy; ``keep`` carries policy columns along for a rollup.
+
+    Without claims the amounts are those the policies already carry, or zero.
+    """
     count = F.col("ClaimNb").cast("bigint")
-    if claims is None:
+    if claims is None and set(AMOUNTS) <= set(policies.columns):
+        joined = policies
+    elif claims is None:
         joined = policies.withColumns(
             {
                 "target_total_claim_amount": F.lit(None).cast("double"),

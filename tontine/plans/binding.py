@@ -8,7 +8,7 @@ work to do.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tontine import schemas as S
 from tontine.operators import batching, cleaning, features, scoring
@@ -26,8 +26,15 @@ SCORECARD_WEIGHTS = {
 }
 
 
+_schemas: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """An input table; its footer is looked at once per process, not once per read."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,12 +89,12 @@ def contract_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def modelling_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features and targets side by side.
 
-    Policy keys are unique, so outcomes are attached to the cleaned policies once instead
-    of building two tables from the same policies and joining them again.
+    Policy keys are unique, so counts and amounts of claims come from one aggregate and
+    one join, instead of cleaning, features and targets joining the same tables again.
     """
     carried = tuple(c for c in S.CONTRACT_FEATURES if c != "IDpol")
-    derived = features.with_derived(cleaned(spark, sf_dir))
-    return features.contract_targets(derived, claims(spark, sf_dir), keep=carried)
+    policies_with_amounts = cleaning.clean_policies(policies(spark, sf_dir), claims(spark, sf_dir), amounts=True)
+    return features.contract_targets(features.with_derived(policies_with_amounts), None, keep=carried)
 
 
 def scorer() -> scoring.Scorer:
@@ -105,7 +112,8 @@ def scored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def batched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batched policies as a table: the rewrites read the whole of it and parts of it."""
-    return spool(batching.assign_batches(modelling_data(spark, sf_dir)), "batched")
+    stored = spool(modelling_data(spark, sf_dir), "modelling")
+    return spool(batching.assign_batches(stored), "batched")
 
 
 def stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ FROM (SELECT pool_id, sum(target_claim_count) AS n, sum(Exposure) AS exposure, s
       FROM modelling GROUP BY pool_id)""",
 )
 def pool_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    result = features.pool_targets(B.cleaned(spark, sf_dir), B.claims(spark, sf_dir))
+    result = features.rollup_targets(B.modelling_data(spark, sf_dir))
     return rounded(result, pool_total_claim_amount=4, pool_avg_claim_amount=4)
 
 

@@ -24,10 +24,11 @@ class DriftMonitor:
         self.metrics_path = metrics_path
 
     def process(self, micro_batch: DataFrame, epoch: int) -> None:
-        scored = self.scorer(micro_batch)
-        scored.persist()
+        scored = self.scorer(micro_batch).persist()
+        profile = drift.batch_profile(scored, self.reference.edges).persist()
+        categories = drift.categorical_histogram(scored).persist()
         try:
-            metrics = drift.score_batches(scored, self.reference)
+            metrics = drift.score_profiles(profile, categories, self.reference)
             (
                 metrics.write.mode("overwrite")
                 .option("partitionOverwriteMode", "dynamic")
@@ -35,7 +36,8 @@ class DriftMonitor:
                 .parquet(self.metrics_path)
             )
         finally:
-            scored.unpersist()
+            for held in (profile, categories, scored):
+                held.unpersist()
 
     def start(self, stream: DataFrame, checkpoint: str, available_now: bool = False) -> StreamingQuery:
         writer = stream.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint)
