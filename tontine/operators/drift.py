@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tontine import schemas as S
 from tontine.functions import scalars as X
 from tontine.operators.ordering import decile_shares, exact_quantiles
+from tontine.operators.reports import side_by_side
 from tontine.sources.shared import spool
 
 SEGMENT = "density_segment"
@@ -249,11 +250,8 @@ METRIC_COLUMNS = (
 def assemble_metrics(profile: DataFrame, strongest: DataFrame, residuals: DataFrame) -> DataFrame:
     """The 19-column metrics row per batch."""
     residual = F.col("empirical_claim_rate") - F.col("mean_predicted_probability")
-    stats = F.broadcast(residuals.withColumn("_one", F.lit(1)))
     return (
-        profile.join(strongest, "batch_id")
-        .withColumn("_one", F.lit(1))
-        .join(stats, "_one")
+        side_by_side(profile.join(strongest, "batch_id"), residuals)
         .withColumn("data_drift_signal_psi", F.greatest("max_psi", "density_segment_psi"))
         .withColumn("data_drift_signal_source", X.signal_source("density_segment_psi", "max_psi"))
         .withColumn("data_drift_detected", X.data_drift_triggered("data_drift_signal_psi"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tontine import schemas as S
 from tontine.functions import scalars as X
 from tontine.functions.hashing import canonical_json, keyed_fingerprint
-from tontine.operators.lifecycle import one_row_join
+from tontine.operators.reports import side_by_side
 from tontine.sources.tables import cycle_log_rows
 
 
@@ -58,7 +58,7 @@ def cycle_log(events: DataFrame, context: DataFrame) -> DataFrame:
     serving_path, serving_sha, validation_passed, model_registered,
     registered_model_version, dvc_output_hash, dataset_git_commit_sha`` as strings.
     """
-    joined = one_row_join(events.withColumn("trigger", F.col("trigger_batch").cast("string")), context)
+    joined = side_by_side(events.withColumn("trigger", F.col("trigger_batch").cast("string")), context)
     selected = F.coalesce(F.col("trigger") == F.col("selected_batch"), F.lit(False))
     served = selected & F.coalesce(F.col("serving_source") == "phase9_retrained_candidate", F.lit(False))
     if_selected = lambda c: F.when(selected, F.col(c))
@@ -157,11 +157,11 @@ def monitoring_report(decisions: DataFrame, evaluations: DataFrame, lifecycle: D
         F.col("serving_sha").alias("model_artifact_sha256"),
         "dvc_output_hash",
     )
-    return one_row_join(decision_cycle_ids(decisions), drifts, flags, serving)
+    return side_by_side(decision_cycle_ids(decisions), drifts, flags, serving)
 
 
 def serving_report(resolved: DataFrame, flags: DataFrame, policy: TracePolicy) -> DataFrame:
     """One row: served model, cycle id, acceptance flags, snapshot hash and trace mode."""
-    return one_row_join(resolved, flags).withColumns(
+    return side_by_side(resolved, flags).withColumns(
         {"trace_logging_enabled": F.lit(policy.enabled), "trace_salt_mode": F.lit(policy.salt_mode)}
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tontine import schemas as S
 from tontine.functions import scalars as X
 from tontine.operators.ordering import rank_statistic
+from tontine.operators.reports import side_by_side
 
 
 def roc_auc(df: DataFrame, label: str = S.TARGET, score: str = S.PROBABILITY) -> DataFrame:
@@ -58,7 +59,7 @@ def model_metrics(test: DataFrame, label: str = S.TARGET, score: str = S.PROBABI
     """One row with every holdout metric; the constant baseline ties all scores, so 0.5."""
     auc = roc_auc(test, label, score)
     calibration = calibration_metrics(test, label, score)
-    joined = auc.withColumn("_one", F.lit(1)).join(calibration.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    joined = side_by_side(auc, calibration)
     return joined.withColumn(
         "baseline_auc", F.when((F.col("positives") > 0) & (F.col("negatives") > 0), F.lit(0.5))
     ).select(
@@ -94,18 +95,12 @@ def anomaly_summary(scores: DataFrame) -> DataFrame:
 
 def accepted(metrics: DataFrame, coverage: DataFrame) -> DataFrame:
     """Metrics joined with coverage and the acceptance verdict."""
-    one = lambda df: df.withColumn("_one", F.lit(1))
-    return (
-        one(metrics)
-        .join(one(coverage), "_one")
-        .drop("_one")
-        .withColumn(
-            "acceptance_passed",
-            F.coalesce(
-                (F.col("model_auc") > F.col("baseline_auc"))
-                & (F.col("model_normalized_gini") > F.col("baseline_normalized_gini"))
-                & (F.col("pool_score_coverage") == 1.0),
-                F.lit(False),
-            ),
-        )
+    return side_by_side(metrics, coverage).withColumn(
+        "acceptance_passed",
+        F.coalesce(
+            (F.col("model_auc") > F.col("baseline_auc"))
+            & (F.col("model_normalized_gini") > F.col("baseline_normalized_gini"))
+            & (F.col("pool_score_coverage") == 1.0),
+            F.lit(False),
+        ),
     )

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tontine.functions.scalars import doubles
 from tontine.functions.hashing import hash_bucket, seeded_md5
 
-VALUE_BUCKETS = 128
+VALUE_BUCKETS = 64
 
 
 def _bucket_sizes(keyed: DataFrame, strata: Sequence[str]) -> DataFrame:
@@ -214,16 +214,16 @@ def rank_statistic(df: DataFrame, score: str, positive: Column, buckets: int = V
 
     Equal scores are merged before any shuffle; distinct scores are split into balanced
     score ranges, each ordered on its own, and the ranges are chained by their totals.
+    The range limits come from a sketch that is run when the plan is built.
     """
     usable = df.select(F.col(score).cast("double").alias("score"), positive.alias("positive"))
-    cuts = usable.agg(F.array_distinct(_sketch("score", buckets))).scalar()
+    cuts = F.expr(doubles(_value_cuts(usable, ["score"], buckets)["score"]) + "::array<double>")
     per_score = usable.groupBy("score").agg(
         F.count_if(F.col("positive")).alias("pos"), F.count_if(~F.col("positive")).alias("neg")
     )
     lower = Window.partitionBy("bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     ranges = (
-        per_score.withColumn("cuts", cuts)
-        .withColumn("bucket", F.coalesce(_value_bucket(F.col("score"), F.col("cuts")), F.lit(0)))
+        per_score.withColumn("bucket", F.coalesce(_value_bucket(F.col("score"), cuts), F.lit(0)))
         .withColumn("neg_below", F.coalesce(F.sum("neg").over(lower), F.lit(0)))
         .groupBy("bucket")
         .agg(

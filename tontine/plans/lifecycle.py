@@ -8,6 +8,7 @@ from tontine import schemas as S
 from tontine.functions import scalars as X
 from tontine.functions.hashing import canonical_json, keyed_fingerprint
 from tontine.operators import batching, drift, lifecycle, lineage, metrics, scoring
+from tontine.operators.reports import side_by_side
 from tontine.plans import binding as B
 from tontine.plans import monitoring, risk
 from tontine.plans.registry import query, rounded, step, steps
@@ -170,14 +171,14 @@ def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gate(spark: SparkSession, sf_dir: str, stream_metrics: DataFrame) -> DataFrame:
-    """The gate of the scorecard as candidate, on the holdout of the policies."""
+    """The stored gate report of the scorecard as candidate, on the holdout of the policies."""
     verdict = metrics.accepted(
         metrics.model_metrics(risk.holdout(spark, sf_dir)), scoring.score_coverage(risk.pool_risk_table(spark, sf_dir))
     )
     detections = monitoring.evaluations(stream_metrics).agg(
         F.bool_and("detected_within_provisional_threshold").alias("phase8_accepted")
     )
-    reports = lifecycle.one_row_join(verdict, detections, snapshot(spark, sf_dir)).select(
+    reports = side_by_side(verdict, detections, snapshot(spark, sf_dir)).select(
         F.col("acceptance_passed").alias("phase7_accepted"),
         "phase8_accepted",
         *(F.col("snapshot_hash").alias(h) for h in ("phase6_hash", "phase7_hash", "phase8_hash", "metadata_hash")),
@@ -188,7 +189,7 @@ def gate(spark: SparkSession, sf_dir: str, stream_metrics: DataFrame) -> DataFra
         "baseline_normalized_gini",
         F.col("test_probability_rate_delta").alias("probability_rate_delta"),
     )
-    return lifecycle.validation_gate(reports)
+    return spool(lifecycle.validation_gate(reports), "validation-report")
 
 
 @query(
@@ -265,7 +266,7 @@ def validation_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "promoted_versions",
     steps("pool_gate_checks")
-    + f"""SELECT CAST(1500 + row_number() OVER (ORDER BY c_custkey) AS INTEGER) AS version, c_custkey AS candidate, phase6_hash AS dvc_output_hash,
+    + f"""SELECT CAST(1500 + row_number() OVER (ORDER BY md5('42:' || c_custkey), c_custkey) AS INTEGER) AS version, c_custkey AS candidate, phase6_hash AS dvc_output_hash,
        'phase9' AS source_phase, 'passed' AS validation_status FROM pool_gate_checks WHERE len({_REASONS}) = 0""",
 )
 def promoted_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -375,7 +376,7 @@ step(
 
 def context(spark: SparkSession, sf_dir: str, log: DataFrame, served: bool = True) -> DataFrame:
     last = log.agg(F.max("trigger_batch").cast("string").alias("selected_batch"))
-    base = lifecycle.one_row_join(last, snapshot(spark, sf_dir))
+    base = side_by_side(last, snapshot(spark, sf_dir))
     source = "phase9_retrained_candidate" if served else "phase7_reference_model"
     return base.select(
         "selected_batch",
@@ -394,8 +395,8 @@ def context(spark: SparkSession, sf_dir: str, log: DataFrame, served: bool = Tru
 def decisions(spark: SparkSession, sf_dir: str, ctx: DataFrame) -> DataFrame:
     """One decision per order, spread over the serving cycle, events, a lost cycle and none."""
     key = F.col("o_orderkey")
-    orders = B.table(spark, sf_dir, "orders").select("o_orderkey", F.lit(1).alias("_one"))
-    joined = orders.join(F.broadcast(ctx.select("serving_cycle_id").withColumn("_one", F.lit(1))), "_one")
+    orders = B.table(spark, sf_dir, "orders").select("o_orderkey")
+    joined = side_by_side(orders, ctx.select("serving_cycle_id"))
     return joined.select(
         F.md5(F.concat(F.lit("d:"), key.cast("string"))).alias("decision_id"),
         F.when(key % 4 == 0, F.col("serving_cycle_id"))
@@ -460,7 +461,7 @@ def lifecycle_row(spark: SparkSession, sf_dir: str, stream_metrics: DataFrame) -
     validation = gate(spark, sf_dir, stream_metrics).withColumn("candidate", F.lit("scorecard"))
     empty = spark.createDataFrame([], "version int")
     versions = lifecycle.promote(validation, empty, "candidate")
-    return lifecycle.lifecycle_report(log, validation, versions)
+    return spool(lifecycle.lifecycle_report(log, validation, versions), "lifecycle-report")
 
 
 @query("lifecycle_report", steps("lifecycle_row") + "SELECT * FROM lifecycle_row")
@@ -505,7 +506,7 @@ def serving_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream_metrics = monitoring.metrics_table(spark, sf_dir)
     verdict = gate(spark, sf_dir, stream_metrics)
     last = lifecycle.retraining_events(stream_metrics).agg(F.max("trigger_batch").alias("trigger_batch"))
-    base = lifecycle.one_row_join(verdict, last)
+    base = side_by_side(verdict, last)
     rows = F.array(
         F.struct(
             F.lit(2).alias("priority"),

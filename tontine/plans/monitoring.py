@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tontine import schemas as S
 from tontine.functions import scalars as X
 from tontine.operators import batching, drift, features, quality, sampling
+from tontine.operators.reports import side_by_side
 from tontine.plans import binding as B
 from tontine.plans.registry import query, rounded, step, steps
 from tontine.sources.shared import spool
@@ -110,9 +111,10 @@ step("reference_shares", ("reference_counts",), shares_sql("reference_counts", "
 step(
     "feature_psi",
     ("actual_shares", "reference_shares"),
-    """SELECT a.batch_id, a.feature, sum((a.share - r.share) * ln(a.share / r.share)) AS psi,
-       CAST(sum(a.n) AS BIGINT) AS actual_rows, count(*) AS n_bins
-FROM actual_shares a JOIN reference_shares r ON a.feature = r.feature AND a.bin = r.bin GROUP BY 1, 2""",
+    # Shares are clipped once more after they were renormalised.
+    """SELECT batch_id, feature, sum((a - e) * ln(a / e)) AS psi, CAST(sum(n) AS BIGINT) AS actual_rows, count(*) AS n_bins
+FROM (SELECT a.batch_id, a.feature, a.n, greatest(a.share, 1e-6) AS a, greatest(r.share, 1e-6) AS e
+      FROM actual_shares a JOIN reference_shares r ON a.feature = r.feature AND a.bin = r.bin) GROUP BY 1, 2""",
 )
 _ORDINAL = "CASE feature " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(S.MODEL_INPUTS)) + " END"
 step(
@@ -290,7 +292,7 @@ FROM batch_profile, residual_reference""",
 def batch_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     profile = drift.batch_profile(B.scorer()(B.stream(spark, sf_dir)), drift.BinEdges())
     stats = drift.residual_reference(profile, S.REFERENCE_FIRST_BATCH, S.REFERENCE_LAST_BATCH)
-    joined = profile.withColumn("_one", F.lit(1)).join(F.broadcast(stats.withColumn("_one", F.lit(1))), "_one")
+    joined = side_by_side(profile, stats)
     residual = F.col("empirical_claim_rate") - F.col("mean_predicted_probability")
     return rounded(joined.select("batch_id", residual.alias("concept_residual"), "residual_mean", "residual_std"))
 
