@@ -250,8 +250,8 @@ def test_alerts_and_gauges(spark):
     state = spark.createDataFrame([(True, False, False, True, True, None, False, 2)], ", ".join(f"{g} boolean" for g in S.GAUGES) + ", trace_log_failures_total int")
     names = {r["alert"] for r in observability.alert_state(state).collect()}
     assert names == {
-        "AdaptiveP2PConceptDriftDetected", "AdaptiveP2PRetrainingValidationFailed", "AdaptiveP2PTraceLoggingDisabled",
-        "AdaptiveP2PTraceLoggingFailures",
+        "ConceptDriftDetected", "RetrainingValidationFailed", "TraceLoggingDisabled",
+        "TraceLoggingFailures",
     }
     assert {r["gauge"]: r["value"] for r in observability.gauges(state).collect()}["candidate_validation_passed"] == 0.0
 

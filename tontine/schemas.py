@@ -138,16 +138,16 @@ PROBABILITY = "predicted_claim_probability"
 # --- fixed values: histogram buckets and alert rules -----------------------------------------------
 SCORE_BUCKETS = (0.0, 0.05, 0.1, 0.2, 0.4, 0.6, 0.8, 1.0)
 ALERT_RULES = (
-    ("AdaptiveP2PModelUnavailable", "critical", "model_loaded = 0"),
-    ("AdaptiveP2PDataDriftDetected", "warning", "data_drift_detected = 1"),
-    ("AdaptiveP2PConceptDriftDetected", "warning", "concept_drift_detected = 1"),
+    ("ModelUnavailable", "critical", "model_loaded = 0"),
+    ("DataDriftDetected", "warning", "data_drift_detected = 1"),
+    ("ConceptDriftDetected", "warning", "concept_drift_detected = 1"),
     (
-        "AdaptiveP2PRetrainingValidationFailed",
+        "RetrainingValidationFailed",
         "warning",
         "retraining_requested = 1 AND candidate_validation_passed = 0",
     ),
-    ("AdaptiveP2PTraceLoggingDisabled", "warning", "trace_logging_enabled = 0"),
-    ("AdaptiveP2PTraceLoggingFailures", "warning", "trace_log_failures_total > 0"),
+    ("TraceLoggingDisabled", "warning", "trace_logging_enabled = 0"),
+    ("TraceLoggingFailures", "warning", "trace_log_failures_total > 0"),
 )
 GAUGES = (
     "model_loaded",
