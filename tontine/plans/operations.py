@@ -271,13 +271,6 @@ def stored_cycle_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.cycle_log_rows(stored)
 
 
-step(
-    "expected_paths",
-    (),
-    "SELECT format('orders/{}.csv', o_orderkey) AS path FROM orders",
-)
-
-
 @query(
     "manifest_check",
     """SELECT 'batch_' || o_orderkey || '.csv' AS path FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""",
