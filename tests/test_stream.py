@@ -187,3 +187,20 @@ def test_reference_window_and_coverage(monitored):
     with pytest.raises(quality.DataQualityError, match="enough batches"):
         quality.expect_batches(stream.filter("batch_id <= 9"))
     assert quality.batch_coverage(stream, 21).filter("NOT covered").first()["batch_id"] == 20
+
+
+def test_candidates_are_fitted_on_event_rows_without_the_holdout(spark, monitored):
+    from tontine.operators import encoding
+
+    stream, metrics = monitored
+    bare = stream.drop(S.PROBABILITY)
+    events = lifecycle.retraining_events(metrics).filter("trigger_batch = 16")
+    encoder = encoding.fit_encoder(scoring.model_inputs(bare.filter("batch_id <= 9")))
+    auc = lifecycle.with_candidate_auc(events, bare, encoder).first()["candidate_training_auc"]
+    assert auc > 0.8  # positives are the high bonus-malus rows
+    holdout = bare.filter("IDpol % 10 = 0").select("IDpol")
+    candidate = lifecycle.retrain_candidate(events, bare, holdout)
+    assert candidate.trigger_batch == 16
+    assert candidate.training_rows + candidate.removed_for_holdout == 600 and candidate.removed_for_holdout >= 50
+    assert candidate.model.score(bare).filter(F.col(S.PROBABILITY).isNull()).isEmpty()
+    assert lifecycle.retrain_candidate(events.limit(0), bare, holdout) is None
