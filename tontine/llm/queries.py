@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tontine.llm import sharding, warc
+from tontine.llm import quality, sharding, warc
 from tontine.llm.registry import QUERIES, SQL, Build, query, table
 
 
@@ -16,6 +16,26 @@ def oracle_sql() -> dict[str, str]:
     return dict(SQL)
 
 
+def held_out(key: str = "doc_id") -> Column:
+    """The fold that never trains: crc32 of the id as text leaves 1 when divided by 3."""
+    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 3 == 1
+
+
+@query("op2_quality")
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = quality.train(documents, table(spark, sf_dir, "labels").filter(~held_out()))
+    scored = quality.score(documents, model).withColumnRenamed("key", "doc_id")
+    return scored.select(
+        "doc_id",
+        held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "d",
+        "r",
+    )
+
+
 @query(
     "op6_warc",
     """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
