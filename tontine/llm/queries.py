@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tontine.llm import quality, sharding, warc
+from tontine.llm import jaccard, quality, sharding, warc
 from tontine.llm.registry import QUERIES, SQL, Build, query, table
 
 
@@ -36,6 +36,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op4_jaccard")
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.cluster(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op6_warc",
     """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
