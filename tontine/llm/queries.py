@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tontine.llm import jaccard, quality, sharding, warc
+from tontine.llm import jaccard, mainhtml, quality, sharding, warc
 from tontine.llm.registry import QUERIES, SQL, Build, query, table
 
 
@@ -41,6 +41,12 @@ def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.cluster(table(spark, sf_dir, "documents"))
 
 
+@query("op5_mainhtml")
+def op5_mainhtml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return mainhtml.extract(pages, mainhtml.learn(pages))
+
+
 @query(
     "op6_warc",
     """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
