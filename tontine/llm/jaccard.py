@@ -3,21 +3,26 @@
 A document's set holds 64-bit fingerprints of its distinct word shingles. Documents with the same set are one node; a
 link joins two nodes with ``100 * |x & y| >= 75 * |x | y|`` (threshold as a parameter).
 
-Candidates. Tokens are ordered rare first, then by falling rarity of the frequent ones, else by fingerprint. With
-overlap bound ``a = ceil(t |x|)`` two linked sets share ``l`` tokens at least among their first ``|x| - a + l``:
+Candidates. Tokens are ordered rare first, then by falling rarity of the frequent ones, else by fingerprint. Sizes fall
+into narrow bands. For a partner of a given band the overlap is at least ``a = ceil(t / (1 + t) * (|x| + low))``, and two
+linked sets share ``l`` tokens at least among their first ``|x| - a + l``:
 
-* a node whose 1-prefix holds only rare tokens is indexed under each of them;
-* any other node extends its prefix by ``l - 1 = m`` tokens and is indexed under its rare tokens there and under
-  combinations of two frequent ones. Frequent tokens fall into ``m`` classes by fingerprint and only tokens of one class
-  are combined: of ``m + 1`` shared tokens two lie in one class, so the pair is found, while the number of combinations
-  grows with the prefix and not with its square. ``m`` depends on the size band of the smaller set; a node is indexed
-  for its own band and the one below. In the smallest bands a combination is a single token.
+* every node is indexed under the rare tokens of its longest prefix, one token each;
+* for each partner band in which the 1-prefix does not consist of rare tokens alone, the prefix is extended by
+  ``l - 1 = m`` tokens and the node is indexed, for this pair of bands, under combinations of two frequent tokens.
+  Frequent tokens fall into ``m`` classes by fingerprint and only tokens of one class are combined: of ``m + 1`` shared
+  frequent tokens two lie in one class, so the pair is found, while the number of combinations grows with the prefix and
+  not with its square. ``m`` depends on the two bands; where the shorter prefix is tiny, single tokens take the place of
+  combinations.
+
+The bands matter in groups of near copies: a copy with too many tokens of its own is known to link with nothing through
+the group's common tokens, without a comparison with each of its members.
 
 Frequent means frequent in some task's share of the documents. This only steers the order: any split into classes gives
 the same links.
 
 Verification. Hot keys are met by stars: in each round the nodes of a key are compared with one member only, unless they
-already share its component. What is left after the rounds, nodes of one key in different components, is compared pair by
+already share its component; that member then leaves the key. What is left after the rounds, nodes of one key in different components, is compared pair by
 pair. So every candidate pair is either verified or connected already, and no group is expanded into all pairs.
 
 Defined results
@@ -30,6 +35,7 @@ Defined results
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,7 +44,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tontine.llm.arrowtools import LOWER_ASCII, arrow_schema, encoded, mix64
+from tontine.llm.arrowtools import LOWER_ASCII, arrow_schema, mix64
 from tontine.llm.components import components
 from tontine.sources.shared import spool
 
@@ -49,47 +55,88 @@ PERCENT = 75
 FREQUENT_SHARE = 1 / 500
 #: Most frequent tokens sent to the tasks (8 bytes each); the most frequent are kept, the others count as rare.
 MOST_FREQUENT = 1 << 20
-STAR_ROUNDS = 3
+#: Most bits of the map of wanted nodes (32 MB).
+MOST_BITS = 1 << 28
+STAR_ROUNDS = 4
+LOWER = np.frombuffer(LOWER_ASCII, np.uint8)
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
 
 
-def bands(percent: int = PERCENT, most: int = 1 << 40) -> list[int]:
-    """Lowest size of each band; a set and any set it links with lie in the same or in neighbouring bands."""
+def bands(most: int = 1 << 40) -> list[int]:
+    """Lowest size of each band; bands are a twentieth wide, single sizes at the start."""
     lows = [1]
     while lows[-1] < most:
-        lows.append(lows[-1] * 100 // percent + 1)
+        lows.append(lows[-1] + max(1, lows[-1] // 20))
     return lows
 
 
 class Fingerprints:
-    """Word shingles of texts as sorted distinct 64-bit fingerprints; remembers the hashes of words already seen."""
+    """Word shingles of texts as sorted distinct 64-bit fingerprints, for a whole Arrow column at once.
+
+    A word's hash is a polynomial over its bytes modulo 2^64, taken from running sums over the column's buffer; a
+    shingle mixes the hashes of its words. Nothing is computed word by word in Python.
+    """
 
-    def __init__(self, words: int = WORDS, remembered: int = 1 << 18) -> None:
-        self.words, self.remembered, self.seen = words, remembered, {}
+    def __init__(self, words: int = WORDS) -> None:
+        self.words = words
         self.factors = [np.uint64(pow(MIX[0], i, 1 << 64) ^ MIX[1 + i % 4] | 1) for i in range(words)]
+        self.powers = self.inverses = np.empty(0, np.uint64)
 
-    def of(self, text: bytes | None) -> np.ndarray:
-        tokens = (text or b"").translate(LOWER_ASCII).split()
-        if not tokens:
-            return np.empty(0, np.uint64)
-        seen = self.seen
-        if len(seen) > self.remembered:
-            seen.clear()
-        for token in set(tokens):
-            if token not in seen:
-                seen[token] = xxhash.xxh3_64_intdigest(token)
-        hashes = np.fromiter(map(seen.__getitem__, tokens), np.uint64, len(tokens))
+    def _grow(self, n: int) -> None:
+        """Powers of an odd base and of its inverse, for positions up to ``n``."""
+        if len(self.powers) < n:
+            with np.errstate(over="ignore"):
+                base = np.full(n, np.uint64(MIX[1]), np.uint64)
+                inverse = np.full(n, np.uint64(pow(MIX[1], -1, 1 << 64)), np.uint64)
+                base[0] = inverse[0] = 1
+                self.powers, self.inverses = np.multiply.accumulate(base), np.multiply.accumulate(inverse)
+
+    def words_of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of all words of the column in order, and the number of words before each row (one more entry)."""
+        body = column.cast(pa.large_binary())
+        offsets = np.frombuffer(body.buffers()[1], np.int64)[body.offset : body.offset + len(body) + 1]
+        data = body.buffers()[2]
+        first, last = int(offsets[0]), int(offsets[-1])
+        text = np.frombuffer(data, np.uint8)[first:last] if data is not None else np.empty(0, np.uint8)
+        bounds = offsets - first
+        if not len(text):
+            return np.empty(0, np.uint64), np.zeros(len(bounds), np.int64)
+        text = LOWER[text]
+        inside = ~SPACE[text]
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1]
+        rows = bounds[:-1][bounds[:-1] < len(text)]
+        begins[rows] = inside[rows]
+        ends = np.ones(len(text), bool)
+        ends[:-1] = ~inside[1:] | begins[1:]
+        starts, stops = np.flatnonzero(begins), np.flatnonzero(ends & inside)
+        self._grow(len(text))
+        with np.errstate(over="ignore"):
+            sums = np.cumsum((text.astype(np.uint64) + np.uint64(1)) * self.powers[: len(text)])
+            before = np.where(starts > 0, sums[starts - 1], np.uint64(0))
+            hashes = mix64((sums[stops] - before) * self.inverses[starts])
+        return hashes, np.searchsorted(starts, bounds)
+
+    def of(self, column: pa.Array) -> list[np.ndarray]:
+        """The set of every row; empty where there is no word."""
+        hashes, at = self.words_of(column)
         with np.errstate(over="ignore"):
-            if len(tokens) < self.words:
-                total = np.uint64(len(tokens)) * np.uint64(MIX[4])
-                for i, h in enumerate(hashes):
-                    total = total + h * self.factors[i]
-                return mix64(np.array([total], np.uint64))
-            n = len(tokens) - self.words + 1
-            total = np.zeros(n, np.uint64)
+            n = max(0, len(hashes) - self.words + 1)
+            mixed = np.zeros(n, np.uint64)
             for i, factor in enumerate(self.factors):
-                total += hashes[i : i + n] * factor
-        return np.unique(mix64(total))
+                mixed += hashes[i : i + n] * factor
+            mixed = mix64(mixed)
+            out = []
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if b - a >= self.words:
+                    out.append(np.unique(mixed[a : b - self.words + 1]))
+                else:
+                    whole = np.full(min(1, b - a), np.uint64((b - a) * MIX[4] & (1 << 64) - 1), np.uint64)
+                    for i in range(a, b):
+                        whole += hashes[i] * self.factors[i - a]
+                    out.append(mix64(whole))
+        return out
 
 
 def node_id(tokens: np.ndarray) -> int:
@@ -102,47 +149,63 @@ class Prefixes:
 
     def __init__(self, percent: int, frequent: np.ndarray, rank: np.ndarray) -> None:
         self.percent, self.frequent, self.rank = percent, frequent, rank
-        self.lows = np.array(bands(percent), np.int64)
-
-    def classes(self, band: int) -> int:
-        """Classes of frequent tokens for pairs whose smaller set lies in ``band``; 0: frequent tokens stand alone."""
-        low = int(self.lows[band])
-        first = low - -(-self.percent * low // 100) + 1
-        return first // 4 if low >= 8 else 0
-
-    def keys(self, tokens: np.ndarray) -> np.ndarray:
-        n = len(tokens)
-        if n == 0:
-            return tokens
-        first = n - -(-self.percent * n // 100) + 1
-        at = np.searchsorted(self.frequent, tokens)
-        at[at == len(self.frequent)] = 0
-        hit = self.frequent[at] == tokens if len(self.frequent) else np.zeros(n, bool)
+        self.lows = bands()
+
+    def overlap(self, n: int, m: int) -> int:
+        """Least overlap of linked sets of sizes n and m."""
+        return -(-self.percent * (n + m) // (100 + self.percent))
+
+    def classes(self, band: int, other: int) -> int:
+        """Classes of frequent tokens for a pair of bands; 0: frequent tokens stand alone."""
+        low, high = sorted((self.lows[band], self.lows[other]))
+        return max(0, (low - self.overlap(low, high) + 1) // 3) if low >= 8 else 0
+
+    def keys(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """The index keys of a set, the side of each, and how many of the set's tokens are rare.
+
+        A key made for two different bands joins the nodes of one band (side 0) with those of the other (side 1); under
+        any other key (side -1) all nodes meet.
+        """
+        n, t = len(tokens), self.percent
+        least = -(-t * n // 100)
+        if len(self.frequent):
+            at = np.searchsorted(self.frequent, tokens)
+            at[at == len(self.frequent)] = 0
+            hit = self.frequent[at] == tokens
+        else:
+            at, hit = np.zeros(n, np.int64), np.zeros(n, bool)
         rare = tokens[~hit]
-        if len(rare) >= first:
-            return rare[:first]
+        out = [rare[: n - least + 1]]
+        sides = [np.full(len(out[0]), -1, np.int32)]
+        if len(rare) > n - least:
+            return out[0], sides[0], len(rare)
         common = tokens[hit][np.argsort(self.rank[at[hit]], kind="stable")]
-        band = int(np.searchsorted(self.lows, n, side="right")) - 1
-        out = [rare]
-        for b in {band, max(0, band - 1)}:
-            m = self.classes(b)
-            part = common[: first + m - len(rare)]
-            if m == 0:
-                out.append(part)
+        band = bisect_right(self.lows, n) - 1
+        for other in range(bisect_right(self.lows, least) - 1, bisect_right(self.lows, n * 100 // t)):
+            overlap = self.overlap(n, max(least, self.lows[other]))
+            first = n - overlap + 1
+            if first <= 0 or len(rare) >= first:
                 continue
-            group = mix64(part ^ np.uint64(MIX[2])) % np.uint64(m)
-            order = np.argsort(group, kind="stable")
-            edges = np.flatnonzero(np.diff(group[order])) + 1
-            left, right = [], []
-            for members in np.split(part[order], edges):
-                members = np.sort(members)
-                i, j = np.triu_indices(len(members), 1)
-                left.append(members[i])
-                right.append(members[j])
+            m = self.classes(band, other)
+            part = common[: first + m - len(rare)]
+            tag = np.uint64(MIX[3] + (min(band, other) << 16) + max(band, other))
             with np.errstate(over="ignore"):
-                pair = np.concatenate(left) * np.uint64(MIX[0]) ^ mix64(np.concatenate(right) + np.uint64(MIX[3] + b))
-            out.append(mix64(pair))
-        return np.unique(np.concatenate(out))
+                side = -1 if band == other else int(band > other)
+                if m == 0:
+                    out.append(mix64(part + tag))
+                    sides.append(np.full(len(part), side, np.int32))
+                    continue
+                group = mix64(part ^ np.uint64(MIX[2])) % np.uint64(m)
+                order = np.argsort(group, kind="stable")
+                left, right = [], []
+                for members in np.split(part[order], np.flatnonzero(np.diff(group[order])) + 1):
+                    members = np.sort(members)
+                    i, j = np.triu_indices(len(members), 1)
+                    left.append(members[i])
+                    right.append(members[j])
+                out.append(mix64(np.concatenate(left) * np.uint64(MIX[0]) ^ mix64(np.concatenate(right) + tag)))
+                sides.append(np.full(len(out[-1]), side, np.int32))
+        return np.concatenate(out), np.concatenate(sides), len(rare)
 
 
 DOCS = "doc_id long, node long, n_shingles long, token long, local int"
@@ -166,8 +229,7 @@ def read_sets(documents: DataFrame, key: str, text: str, words: int, share: floa
         held = 0
         for batch in batches:
             ids, nodes, sizes = batch.column(0), [], []
-            for body in encoded(batch.column(1)):
-                tokens = prints.of(body)
+            for tokens in prints.of(batch.column(1)):
                 nodes.append(node_id(tokens) if len(tokens) else None)
                 sizes.append(len(tokens))
                 pending.append(tokens)
@@ -208,48 +270,87 @@ def frequent_tokens(read: DataFrame, most: int = MOST_FREQUENT) -> tuple[np.ndar
     return tokens[order], rank[order]
 
 
+POSTINGS = "key long, node long, side int, own int"
+
+
 def index_keys(
     documents: DataFrame, text: str, words: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]
 ) -> DataFrame:
-    """``key, node`` of every document's index entries."""
+    """``key, node, side, own`` of every document's index entries; ``own``: the node's rare tokens."""
     shared = documents.sparkSession.sparkContext.broadcast(frequent)
 
+    def out(rows: list[tuple[np.ndarray, np.ndarray, int, int]]) -> pa.RecordBatch:
+        keys, sides, nodes, own = zip(*rows, strict=True)
+        times = [len(part) for part in keys]
+        columns = (
+            np.concatenate(keys),
+            np.repeat(np.array(nodes, np.int64), times),
+            np.concatenate(sides),
+            np.repeat(np.array(own, np.int32), times),
+        )
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=arrow_schema(POSTINGS))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints, prefixes = Fingerprints(words), Prefixes(percent, *shared.value)
         for batch in batches:
-            keys, nodes, held = [], [], 0
-            for body in encoded(batch.column(0)):
-                tokens = prints.of(body)
+            rows, held = [], 0
+            for tokens in prints.of(batch.column(0)):
                 if not len(tokens):
                     continue
-                found = prefixes.keys(tokens).view(np.int64)
-                keys.append(found)
-                nodes.append(np.full(len(found), node_id(tokens), np.int64))
-                held += len(found)
+                keys, sides, own = prefixes.keys(tokens)
+                rows.append((keys.view(np.int64), sides, node_id(tokens), own))
+                held += len(keys)
                 if held > 1 << 18:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], names=["key", "node"])
-                    keys, nodes, held = [], [], 0
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(nodes))], names=["key", "node"])
-
-    return documents.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "key long, node long")
+                    yield out(rows)
+                    rows, held = [], 0
+            if rows:
+                yield out(rows)
+
+    return documents.select(F.col(text).cast("string").alias("text")).mapInArrow(run, POSTINGS)
+
+
+def node_bits(nodes: DataFrame) -> np.ndarray:
+    """Which nodes are wanted, as bits at ``node mod size``: 16 bits per node, at most ``MOST_BITS``.
+
+    The size of what is broadcast is bounded whatever the number of nodes; a full map only lets more rows pass, which the
+    exact semi join behind it removes.
+    """
+    count = nodes.count()
+    size = 1 << 10
+    while size < min(MOST_BITS, 16 * count):
+        size *= 2
+    bit = F.pmod("node", F.lit(size))
+    words = (
+        nodes.select(F.floor(bit / 64).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(node, {size}) % 64 as int))").alias("bits"))
+        .groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    )
+    table = np.zeros(size // 64, np.uint64)
+    table[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    return table
 
 
 def sets_of(documents: DataFrame, text: str, words: int, nodes: DataFrame) -> DataFrame:
-    """``node, tokens`` for the wanted nodes, once each."""
+    """``node, tokens`` for the wanted nodes (column ``node``, distinct), once each."""
+    shared = documents.sparkSession.sparkContext.broadcast(node_bits(nodes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prints = Fingerprints(words)
+        prints, bits, sent = Fingerprints(words), shared.value, set()
+        size = len(bits) * 64
         for batch in batches:
-            found = [prints.of(body) for body in encoded(batch.column(0))]
-            found = [tokens for tokens in found if len(tokens)]
+            found: dict[int, bytes] = {}
+            for tokens in prints.of(batch.column(0)):
+                if len(tokens):
+                    node = node_id(tokens)
+                    if node not in sent and int(bits[node % size >> 6]) >> (node % 64) & 1:
+                        found[node] = tokens.tobytes()
+            if len(sent) < 1 << 16:  # spares repeated copies of a group the way to the shuffle
+                sent.update(found)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([node_id(t) for t in found], pa.int64()), pa.array([t.tobytes() for t in found], pa.binary())],
-                names=["node", "tokens"],
+                [pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], names=["node", "tokens"]
             )
 
     rows = documents.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "node long, tokens binary")
-    return rows.join(nodes.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    return rows.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -274,41 +375,47 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def as_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Distinct ordered pairs of (node, n) and (other, m) in different components whose sizes allow a link."""
-    fits = (100 * F.least("n", "m") >= percent * F.greatest("n", "m")) & (F.col("comp") != F.col("other_comp"))
+    fits = (
+        (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+        & (F.col("comp") != F.col("other_comp"))
+        & ((F.col("side") < 0) | (F.col("side") != F.col("other_side")))
+    )
     return rows.filter(fits).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def star_pairs(active: DataFrame, turn: int) -> DataFrame:
-    """Each posting beside one member of its key: the least node first, in later turns another one by hash."""
-    order = F.xxhash64("node", F.lit(turn)) if turn else F.col("node")
-    member = F.struct(order.alias("order"), "node", "n", "comp")
+def with_chosen(active: DataFrame) -> DataFrame:
+    """Each posting beside the member of its key with the fewest tokens of its own: the centre of a group of copies."""
+    member = F.struct("own", "node", "n", "side", "comp")
     chosen = active.withColumn("chosen", F.min(member).over(Window.partitionBy("key")))
     return chosen.select(
-        "node", "n", "comp", F.col("chosen.node").alias("other"), F.col("chosen.n").alias("m"),
-        F.col("chosen.comp").alias("other_comp"),
+        "key", "node", "side", "own", "n", "comp", F.col("chosen.node").alias("other"), F.col("chosen.n").alias("m"),
+        F.col("chosen.comp").alias("other_comp"), F.col("chosen.side").alias("other_side"),
     )
 
 
 def all_pairs(active: DataFrame) -> DataFrame:
     """Pairs of postings of a key that the stars have left in different components."""
     other = active.select(
-        "key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("comp").alias("other_comp")
-    )
+        "key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("side").alias("other_side"),
+        F.col("comp").alias("other_comp"),
+    )
     return active.join(other, "key").filter("node < other")
 
 
 def still_open(postings: DataFrame, comps: DataFrame) -> DataFrame:
     """Postings with each node's component, of the keys that hold more than one component."""
-    named = postings.drop("comp").join(comps, "node", "left")
+    named = postings.join(comps, "node", "left")
     named = named.withColumn("comp", F.coalesce("component", "node")).drop("component")
     return split_keys(named, "comp")
 
 
 def split_keys(rows: DataFrame, value: str) -> DataFrame:
-    """Rows of the keys with more than one ``value``: least and greatest over a key, without gathering it."""
+    """Rows of the keys that still join different ``value``s: least and greatest over a key, without gathering it."""
     by_key = Window.partitionBy("key")
-    spread = rows.withColumn("lo", F.min(value).over(by_key)).withColumn("hi", F.max(value).over(by_key))
-    return spread.filter("lo <> hi").drop("lo", "hi")
+    spread = rows.select("*", *(end.over(by_key).alias(name) for name, end in (
+        ("lo", F.min(value)), ("hi", F.max(value)), ("least_side", F.min("side")), ("most_side", F.max("side"))
+    )))
+    return spread.filter("lo <> hi AND (most_side < 0 OR least_side <> most_side)").select(*rows.columns)
 
 
 def linked_components(
@@ -319,21 +426,23 @@ def linked_components(
     # The one large exchange: index entries by key. Equal sets share a node, so a key with one node is dropped there.
     postings = split_keys(keyed, "node").distinct()
     postings = spool(postings.join(nodes, "node").withColumn("comp", F.col("node")), "postings")
-    sets = spool(sets_of(documents, text, words, postings), "sets")
+    sets = spool(sets_of(documents, text, words, postings.select("node").distinct()), "sets")
     active, tested, links = postings, None, None
     comps = nodes.select("node", F.col("node").alias("component")).limit(0)
     for turn in range(STAR_ROUNDS + 1):
         if active.isEmpty():
             break
-        pairs = as_pairs(star_pairs(active, turn) if turn < STAR_ROUNDS else all_pairs(active), percent)
+        stars = with_chosen(active) if turn < STAR_ROUNDS else None
+        pairs = as_pairs(all_pairs(active) if stars is None else stars, percent)
         pairs = spool(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         found = spool(verified(pairs, sets, percent), "links")
         tested = pairs if tested is None else tested.union(pairs)
         links = found if links is None else links.union(found)
         if not found.isEmpty():
             comps = spool(components(links), "components")
-        if turn < STAR_ROUNDS:
-            active = spool(still_open(postings, comps), "open")
+        if stars is not None:
+            rest = stars.filter("node <> other").select("key", "node", "side", "own", "n")
+            active = spool(still_open(rest, comps), "open")
     return comps
 
 

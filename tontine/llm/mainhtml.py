@@ -216,12 +216,14 @@ COUNTS = "tag string, inside long, outside long, words_inside long"
 
 def learn(pages: DataFrame, html: str = "html", url: str = "url", most_pages: int = MOST_PAGES) -> dict[str, float]:
     """Costs from a bounded sample of pages that label themselves; one row per tag name reaches the driver."""
-    sample = (
-        pages.select(F.col(html).cast("string").alias("html"), F.xxhash64(F.col(url).cast("string"), F.length(html)).alias("draw"))
-        .filter(F.lower("html").rlike("<(article|main)[\\s>]"))
-        .orderBy("draw")
-        .limit(most_pages)
-    )
+    drawn = pages.select(
+        F.col(html).cast("string").alias("html"), F.xxhash64(F.col(url).cast("string"), F.length(html)).alias("draw")
+    ).filter(F.lower("html").rlike("<(article|main)[\\s>]"))
+    # Only the draws travel: the last one that belongs to the sample cuts the others off in the scan.
+    last = drawn.select("draw").distinct().orderBy("draw").limit(most_pages).agg(F.max("draw")).first()[0]
+    if last is None:
+        return dict(DEFAULT_COSTS)
+    sample = drawn.filter(F.col("draw") <= last)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inside, outside, words = Counter(), Counter(), 0

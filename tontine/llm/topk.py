@@ -15,7 +15,7 @@ Defined results
 * only vectors with the query's number of components are compared;
 * repeated ids: the smallest vector of an id stands for it; ties go to the smaller id;
 * fewer than k candidates: all of them; an empty table: no rows; extra columns are not read;
-* sums that leave the exact range of doubles are computed in 64-bit integers.
+* integer components saturate at 2^26; sums that leave the exact range of doubles are computed in 64-bit integers.
 """
 
 from __future__ import annotations
@@ -35,18 +35,19 @@ BLOCK = 64
 GROUP_ROWS = 8192
 BAND_QUERIES = 8192
 EXACT = float(1 << 53)
+#: Integer components saturate here, so that sums fit 64 bits.
+MOST_COMPONENT = float(1 << 26)
 
 
-def quantised(vectors: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
-    """``id, v, dim, code``: integer vectors of the rows that take part, one per id."""
+def sound_vectors(vectors: DataFrame, key: str, vector: str) -> DataFrame:
+    """``id, v, dim, code`` of the rows that take part, one per id; vectors travel as they are stored."""
     value = F.col(vector)
-    whole = F.transform(value, lambda x: F.floor(x.cast("double") * scale).cast("long"))
     sound = value.isNotNull() & (F.size(value) > 0) & F.forall(
         value, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) != float("inf"))
     )
     rows = (
         vectors.filter(F.col(key).isNotNull() & sound)
-        .select(F.col(key).cast("long").alias("id"), whole.alias("v"))
+        .select(F.col(key).cast("long").alias("id"), value.alias("v"))
         .groupBy("id")
         .agg(F.min("v").alias("v"))
     )
@@ -56,6 +57,12 @@ def quantised(vectors: DataFrame, key: str, vector: str, scale: int) -> DataFram
     return rows.select("id", "v", F.size("v").alias("dim"), (largest * sign).cast("int").alias("code"))
 
 
+def quantised(column: pd.Series, scale: int) -> np.ndarray:
+    """Integer matrix of the vectors of a column."""
+    values = np.floor(np.stack(column.to_numpy()).astype(np.float64) * scale)
+    return np.clip(values, -MOST_COMPONENT, MOST_COMPONENT)
+
+
 def block_bounds(low: np.ndarray, high: np.ndarray, queries: np.ndarray) -> np.ndarray:
     """Upper bound of every (query, block): positive components meet the highs, negative ones the lows."""
     return np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T
@@ -104,7 +111,7 @@ def top_k(
     block: int = BLOCK,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: for every row with ``is_query`` (a condition on column ``id``) the k best."""
-    rows = spool(quantised(vectors, key, vector, scale), "vectors")
+    rows = spool(sound_vectors(vectors, key, vector), "vectors")
     total, wanted = rows.agg(F.count("*"), F.count_if(is_query)).first()
     groups, bands = max(1, -(-total // group_rows)), max(1, -(-wanted // band_queries))
     # Groups are consecutive ranges of the coarse order, which makes block bounds tight.
@@ -124,8 +131,8 @@ def top_k(
                 if not len(theirs):
                     continue
                 mine = mine.sort_values(["code", "id"])
-                matrix, query = np.stack(mine["v"].to_numpy()), np.stack(theirs["v"].to_numpy())
-                most = float(np.abs(matrix.astype(float)).max()) * float(np.abs(query.astype(float)).max()) * dim
+                matrix, query = quantised(mine["v"], scale), quantised(theirs["v"], scale)
+                most = float(np.abs(matrix).max()) * float(np.abs(query).max()) * dim
                 kind = np.float64 if most < EXACT else np.int64
                 found = search_group(mine["id"].to_numpy(), matrix.astype(kind), theirs["id"].to_numpy(), query.astype(kind), k, block)
                 parts.append(pd.DataFrame({"query_id": found[0], "id": found[1], "score": found[2].astype(np.int64)}))
