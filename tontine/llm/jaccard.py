@@ -44,8 +44,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tontine.llm.arrowtools import LOWER_ASCII, arrow_schema, mix64
+from tontine.llm.arrowtools import arrow_schema, mix64
 from tontine.llm.components import components
+from tontine.llm.words import WordHashes
 from tontine.sources.shared import spool
 
 WORDS = 5
@@ -58,8 +59,6 @@ MOST_FREQUENT = 1 << 20
 #: Most bits of the map of wanted nodes (32 MB).
 MOST_BITS = 1 << 28
 STAR_ROUNDS = 4
-LOWER = np.frombuffer(LOWER_ASCII, np.uint8)
-SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
 
 
@@ -74,53 +73,16 @@ def bands(most: int = 1 << 40) -> list[int]:
 class Fingerprints:
     """Word shingles of texts as sorted distinct 64-bit fingerprints, for a whole Arrow column at once.
 
-    A word's hash is a polynomial over its bytes modulo 2^64, taken from running sums over the column's buffer; a
-    shingle mixes the hashes of its words. Nothing is computed word by word in Python.
+    A shingle mixes the hashes of its words; nothing is computed word by word in Python.
     """
 
     def __init__(self, words: int = WORDS) -> None:
-        self.words = words
+        self.words, self.hasher = words, WordHashes()
         self.factors = [np.uint64(pow(MIX[0], i, 1 << 64) ^ MIX[1 + i % 4] | 1) for i in range(words)]
-        self.powers = self.inverses = np.empty(0, np.uint64)
-
-    def _grow(self, n: int) -> None:
-        """Powers of an odd base and of its inverse, for positions up to ``n``."""
-        if len(self.powers) < n:
-            with np.errstate(over="ignore"):
-                base = np.full(n, np.uint64(MIX[1]), np.uint64)
-                inverse = np.full(n, np.uint64(pow(MIX[1], -1, 1 << 64)), np.uint64)
-                base[0] = inverse[0] = 1
-                self.powers, self.inverses = np.multiply.accumulate(base), np.multiply.accumulate(inverse)
-
-    def words_of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of all words of the column in order, and the number of words before each row (one more entry)."""
-        body = column.cast(pa.large_binary())
-        offsets = np.frombuffer(body.buffers()[1], np.int64)[body.offset : body.offset + len(body) + 1]
-        data = body.buffers()[2]
-        first, last = int(offsets[0]), int(offsets[-1])
-        text = np.frombuffer(data, np.uint8)[first:last] if data is not None else np.empty(0, np.uint8)
-        bounds = offsets - first
-        if not len(text):
-            return np.empty(0, np.uint64), np.zeros(len(bounds), np.int64)
-        text = LOWER[text]
-        inside = ~SPACE[text]
-        begins = inside.copy()
-        begins[1:] &= ~inside[:-1]
-        rows = bounds[:-1][bounds[:-1] < len(text)]
-        begins[rows] = inside[rows]
-        ends = np.ones(len(text), bool)
-        ends[:-1] = ~inside[1:] | begins[1:]
-        starts, stops = np.flatnonzero(begins), np.flatnonzero(ends & inside)
-        self._grow(len(text))
-        with np.errstate(over="ignore"):
-            sums = np.cumsum((text.astype(np.uint64) + np.uint64(1)) * self.powers[: len(text)])
-            before = np.where(starts > 0, sums[starts - 1], np.uint64(0))
-            hashes = mix64((sums[stops] - before) * self.inverses[starts])
-        return hashes, np.searchsorted(starts, bounds)
 
     def of(self, column: pa.Array) -> list[np.ndarray]:
         """The set of every row; empty where there is no word."""
-        hashes, at = self.words_of(column)
+        hashes, at = self.hasher.of(column)
         with np.errstate(over="ignore"):
             n = max(0, len(hashes) - self.words + 1)
             mixed = np.zeros(n, np.uint64)

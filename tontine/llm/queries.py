@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tontine.llm import jaccard, mainhtml, quality, sharding, topk, warc
+from tontine.llm import decontam, jaccard, linededup, mainhtml, quality, sharding, topk, warc
 from tontine.llm.registry import QUERIES, SQL, Build, query, table
 
 
@@ -81,6 +81,35 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(spark, path).drop("url")
 
 
+@query(
+    "op7_linededup",
+    """WITH pages AS (SELECT DISTINCT source, text FROM documents WHERE source IS NOT NULL AND text IS NOT NULL),
+totals AS (SELECT source, count(*) AS pages FROM pages GROUP BY source),
+lines AS (
+  SELECT DISTINCT source, text, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line
+  FROM (SELECT source, text, unnest(string_split(text, chr(10))) AS line FROM pages)),
+common AS (
+  SELECT l.source, l.line FROM lines l JOIN totals t ON l.source = t.source WHERE l.line <> ''
+  GROUP BY l.source, l.line, t.pages HAVING count(*) >= 5 AND count(*) * 100 > t.pages * 5),
+bad AS (SELECT source, list(line) AS bad FROM common GROUP BY source),
+cut AS (
+  SELECT d.doc_id, d.text, string_split(d.text, chr(10)) AS lines,
+         list_filter(string_split(d.text, chr(10)),
+           lambda x: NOT list_contains(coalesce(b.bad, []), trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12)))) AS kept
+  FROM documents d LEFT JOIN bad b ON d.source = b.source)
+SELECT doc_id, CASE WHEN kept IS NULL OR len(kept) = len(lines) THEN text ELSE array_to_string(kept, chr(10)) END AS text,
+       CAST(coalesce(len(lines) - len(kept), 0) AS INTEGER) AS dropped_lines
+FROM cut""",
+)
+def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.clean(table(spark, sf_dir, "documents")).select("doc_id", "text", "dropped_lines")
+
+
+@query("op9_decontam")
+def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op8_sharding")
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed, _, _ = sharding.shard(table(spark, sf_dir, "documents"), shards=24)
