@@ -21,9 +21,11 @@ the group's common tokens, without a comparison with each of its members.
 Frequent means frequent in some task's share of the documents. This only steers the order: any split into classes gives
 the same links.
 
-Verification. Hot keys are met by stars: in each round the nodes of a key are compared with one member only, unless they
-already share its component; that member then leaves the key. What is left after the rounds, nodes of one key in different components, is compared pair by
-pair. So every candidate pair is either verified or connected already, and no group is expanded into all pairs.
+Verification. Hot keys are met by stars: the nodes of a key are compared with its ``LEADERS`` most central members only.
+Then components are formed, and what is left, nodes of one key in different components that are no leaders, is compared
+pair by pair. So every candidate pair is either verified or connected already, and no group is expanded into all pairs.
+Pairs first meet as sketches, token counts per bucket: the sum of the smaller counts bounds the overlap, so only pairs
+that may link need their sets, and only those sets are read.
 
 Defined results
 * without words or text (null, empty, white space): no shingles, linked with nothing, component = own id;
@@ -58,7 +60,8 @@ FREQUENT_SHARE = 1 / 500
 MOST_FREQUENT = 1 << 20
 #: Most bits of the map of wanted nodes (32 MB).
 MOST_BITS = 1 << 28
-STAR_ROUNDS = 4
+#: Members of a key that all others are compared with first.
+LEADERS = 4
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
 
 
@@ -170,7 +173,25 @@ class Prefixes:
         return np.concatenate(out), np.concatenate(sides), len(rare)
 
 
-DOCS = "doc_id long, node long, n_shingles long, token long, local int"
+DOCS = "doc_id long, node long, n_shingles long, sketch binary, token long, local int"
+
+
+def sketch(tokens: np.ndarray) -> bytes:
+    """Tokens per bucket, at most 255 each counts exactly; the number of buckets is a power of two near the set's size."""
+    buckets = 1 << max(3, (len(tokens) - 1).bit_length())
+    counts = np.bincount((tokens & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+
+
+def may_link(x: bytes, y: bytes, n: int, m: int, percent: int) -> bool:
+    """Whether two sketches leave room for a link; an empty sketch always does."""
+    if not x or not y:
+        return True
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    size = min(len(a), len(b))
+    a = a.reshape(-1, size).sum(0, dtype=np.int64)  # fold the longer one: buckets are the low bits of a token
+    b = b.reshape(-1, size).sum(0, dtype=np.int64)
+    return (100 + percent) * int(np.minimum(a, b).sum()) >= percent * (n + m)
 
 
 def read_sets(documents: DataFrame, key: str, text: str, words: int, share: float) -> DataFrame:
@@ -190,10 +211,11 @@ def read_sets(documents: DataFrame, key: str, text: str, words: int, share: floa
 
         held = 0
         for batch in batches:
-            ids, nodes, sizes = batch.column(0), [], []
+            ids, nodes, sizes, sketches = batch.column(0), [], [], []
             for tokens in prints.of(batch.column(1)):
                 nodes.append(node_id(tokens) if len(tokens) else None)
                 sizes.append(len(tokens))
+                sketches.append(sketch(tokens) if len(tokens) else None)
                 pending.append(tokens)
                 held += len(tokens)
                 seen += 1
@@ -202,7 +224,7 @@ def read_sets(documents: DataFrame, key: str, text: str, words: int, share: floa
                     held = 0
             empty = pa.nulls(len(nodes))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), empty.cast(pa.int64()), empty.cast(pa.int32())],
+                [ids, pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), empty.cast(pa.int64()), empty.cast(pa.int32())],
                 schema=arrow_schema(DOCS),
             )
         count()
@@ -211,7 +233,7 @@ def read_sets(documents: DataFrame, key: str, text: str, words: int, share: floa
         if kept:
             none = pa.nulls(len(kept)).cast(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [none, none, none, pa.array(np.array(list(kept), np.uint64).view(np.int64)), pa.array(list(kept.values()), pa.int32())],
+                [none, none, none, pa.nulls(len(kept), pa.binary()), pa.array(np.array(list(kept), np.uint64).view(np.int64)), pa.array(list(kept.values()), pa.int32())],
                 schema=arrow_schema(DOCS),
             )
 
@@ -271,19 +293,19 @@ def index_keys(
     return documents.select(F.col(text).cast("string").alias("text")).mapInArrow(run, POSTINGS)
 
 
-def node_bits(nodes: DataFrame) -> np.ndarray:
-    """Which nodes are wanted, as bits at ``node mod size``: 16 bits per node, at most ``MOST_BITS``.
+def id_bits(ids: DataFrame) -> np.ndarray:
+    """Which ids are wanted (column ``at``, hashed), as bits at ``at mod size``: 16 bits per id, at most ``MOST_BITS``.
 
-    The size of what is broadcast is bounded whatever the number of nodes; a full map only lets more rows pass, which the
+    The size of what is broadcast is bounded whatever the number of ids; a full map only lets more rows pass, which the
     exact semi join behind it removes.
     """
-    count = nodes.count()
+    count = ids.count()
     size = 1 << 10
     while size < min(MOST_BITS, 16 * count):
         size *= 2
-    bit = F.pmod("node", F.lit(size))
+    bit = F.pmod("at", F.lit(size))
     words = (
-        nodes.select(F.floor(bit / 64).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(node, {size}) % 64 as int))").alias("bits"))
+        ids.select(F.floor(bit / 64).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(at, {size}) % 64 as int))").alias("bits"))
         .groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
     )
     table = np.zeros(size // 64, np.uint64)
@@ -291,28 +313,29 @@ def node_bits(nodes: DataFrame) -> np.ndarray:
     return table
 
 
-def sets_of(documents: DataFrame, text: str, words: int, nodes: DataFrame) -> DataFrame:
-    """``node, tokens`` for the wanted nodes (column ``node``, distinct), once each."""
-    shared = documents.sparkSession.sparkContext.broadcast(node_bits(nodes))
+def sets_of(documents: DataFrame, nodes: DataFrame, key: str, text: str, words: int) -> DataFrame:
+    """``node, tokens`` for the wanted nodes (columns ``node, first_id``), once each.
+
+    Only texts whose id is that of a wanted node's first document are hashed.
+    """
+    wanted = id_bits(nodes.select(F.xxhash64("first_id").alias("at")))
+    shared = documents.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prints, bits, sent = Fingerprints(words), shared.value, set()
-        size = len(bits) * 64
+        prints, bits = Fingerprints(words), shared.value
+        size = np.uint64(len(bits) * 64 - 1)
         for batch in batches:
-            found: dict[int, bytes] = {}
-            for tokens in prints.of(batch.column(0)):
-                if len(tokens):
-                    node = node_id(tokens)
-                    if node not in sent and int(bits[node % size >> 6]) >> (node % 64) & 1:
-                        found[node] = tokens.tobytes()
-            if len(sent) < 1 << 16:  # spares repeated copies of a group the way to the shuffle
-                sent.update(found)
+            at = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) & size
+            hit = (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
+            found = [tokens for tokens in prints.of(batch.column(1).filter(pa.array(hit.astype(bool)))) if len(tokens)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], names=["node", "tokens"]
+                [pa.array([node_id(t) for t in found], pa.int64()), pa.array([t.tobytes() for t in found], pa.binary())],
+                names=["node", "tokens"],
             )
 
-    rows = documents.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "node long, tokens binary")
-    return rows.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    rows = documents.select(F.xxhash64(F.col(key).cast("long")).alias("at"), F.col(text).cast("string").alias("text"))
+    found = rows.mapInArrow(run, "node long, tokens binary")
+    return found.join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -335,6 +358,21 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Of distinct ``a, b`` those whose sketches leave room for a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("x", "y", "n", "m")]
+            mask = pa.array([may_link(*row, percent) for row in zip(*columns, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
+
+    left = nodes.select(F.col("node").alias("a"), F.col("sketch").alias("x"), "n")
+    right = nodes.select(F.col("node").alias("b"), F.col("sketch").alias("y"), F.col("n").alias("m"))
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "n", "m")
+    return met.mapInArrow(run, "a long, b long")
+
+
 def as_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Distinct ordered pairs of (node, n) and (other, m) in different components whose sizes allow a link."""
     fits = (
@@ -345,14 +383,25 @@ def as_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return rows.filter(fits).select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def with_chosen(active: DataFrame) -> DataFrame:
-    """Each posting beside the member of its key with the fewest tokens of its own: the centre of a group of copies."""
-    member = F.struct("own", "node", "n", "side", "comp")
-    chosen = active.withColumn("chosen", F.min(member).over(Window.partitionBy("key")))
-    return chosen.select(
-        "key", "node", "side", "own", "n", "comp", F.col("chosen.node").alias("other"), F.col("chosen.n").alias("m"),
-        F.col("chosen.comp").alias("other_comp"), F.col("chosen.side").alias("other_side"),
-    )
+def star_pairs(postings: DataFrame) -> DataFrame:
+    """Each posting beside the leaders of its key: the members with the fewest tokens of their own, which lie at the
+    centre of a group of copies. ``place`` is the posting's own position in that order."""
+    order = Window.partitionBy("key").orderBy("own", "node")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    member = F.struct(F.col("node").alias("other"), F.col("n").alias("m"), F.col("side").alias("other_side"))
+    leaders = F.array_compact(F.array(*(F.nth_value(member, i + 1).over(whole) for i in range(LEADERS))))
+    return (
+        postings.withColumn("leaders", leaders)
+        .select("node", "n", "side", F.inline("leaders"))
+        .withColumn("comp", F.col("node"))
+        .withColumn("other_comp", F.col("other"))
+    )
+
+
+def followers(postings: DataFrame) -> DataFrame:
+    """The postings that are no leaders of their key."""
+    place = F.row_number().over(Window.partitionBy("key").orderBy("own", "node"))
+    return postings.withColumn("place", place).filter(F.col("place") > LEADERS).drop("place")
 
 
 def all_pairs(active: DataFrame) -> DataFrame:
@@ -381,31 +430,28 @@ def split_keys(rows: DataFrame, value: str) -> DataFrame:
 
 
 def linked_components(
-    documents: DataFrame, nodes: DataFrame, text: str, words: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]
-) -> DataFrame:
-    """``node, component`` of every node that has links; ``nodes`` holds ``node, n``."""
+    documents: DataFrame, nodes: DataFrame, key: str, text: str, words: int, percent: int,
+    frequent: tuple[np.ndarray, np.ndarray],
+) -> DataFrame:
+    """``node, component`` of every node that has links; ``nodes`` holds ``node, n, sketch, first_id``."""
     keyed = index_keys(documents, text, words, percent, frequent)
     # The one large exchange: index entries by key. Equal sets share a node, so a key with one node is dropped there.
     postings = split_keys(keyed, "node").distinct()
-    postings = spool(postings.join(nodes, "node").withColumn("comp", F.col("node")), "postings")
-    sets = spool(sets_of(documents, text, words, postings.select("node").distinct()), "sets")
-    active, tested, links = postings, None, None
-    comps = nodes.select("node", F.col("node").alias("component")).limit(0)
-    for turn in range(STAR_ROUNDS + 1):
-        if active.isEmpty():
-            break
-        stars = with_chosen(active) if turn < STAR_ROUNDS else None
-        pairs = as_pairs(all_pairs(active) if stars is None else stars, percent)
-        pairs = spool(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = spool(verified(pairs, sets, percent), "links")
-        tested = pairs if tested is None else tested.union(pairs)
-        links = found if links is None else links.union(found)
-        if not found.isEmpty():
-            comps = spool(components(links), "components")
-        if stars is not None:
-            rest = stars.filter("node <> other").select("key", "node", "side", "own", "n")
-            active = spool(still_open(rest, comps), "open")
-    return comps
+    postings = spool(postings.join(nodes.select("node", "n"), "node"), "postings")
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        likely = spool(plausible(pairs, nodes, percent), "pairs")
+        needed = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
+        sets = sets_of(documents, nodes.select("node", "first_id").join(needed, "node"), key, text, words)
+        return spool(verified(likely, spool(sets, "sets"), percent), "links")
+
+    links = links_of(as_pairs(star_pairs(postings), percent))
+    comps = spool(components(links), "components")
+    rest = spool(still_open(followers(postings), comps), "open")
+    if rest.isEmpty():
+        return comps
+    more = links_of(as_pairs(all_pairs(rest), percent))
+    return comps if more.isEmpty() else spool(components(links.union(more)), "components")
 
 
 def cluster(
@@ -422,8 +468,13 @@ def cluster(
     read = spool(read_sets(documents, key, text, words, share), "sets-read")
     frequent = frequent_tokens(read)
     rows = read.filter("n_shingles IS NOT NULL").select("doc_id", "node", "n_shingles")
-    nodes = rows.filter("node IS NOT NULL").groupBy("node").agg(F.first("n_shingles").alias("n"))
-    comps = linked_components(documents, nodes, text, words, percent, frequent)
+    first = F.min_by(F.struct("doc_id", "n_shingles", "sketch"), F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("first")
+    nodes = (
+        read.filter("node IS NOT NULL").groupBy("node").agg(first)
+        .select("node", F.col("first.n_shingles").alias("n"), "first.sketch", F.col("first.doc_id").alias("first_id"))
+    )
+    nodes = spool(nodes, "nodes")
+    comps = linked_components(documents, nodes, key, text, words, percent, frequent)
     named = rows.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node"))
     least = named.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"))
     return named.join(least, "comp", "left").select(
