@@ -7,9 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-
-#: Rows per batch handed back to Spark; batches of long values are also cut by bytes.
-OUT_BYTES = 8 << 20
+import pyarrow.compute as pc
 
 
 def encoded(column: pa.Array) -> list[bytes | None]:
@@ -29,19 +27,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: int, most_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: int, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose ``column`` holds about ``most_bytes`` at most (one row at least)."""
     for batch in batches:
-        lengths = batch.column(column).cast(pa.binary())
-        sizes = np.fromiter((len(x) if x is not None else 0 for x in lengths.to_pylist()), np.int64, batch.num_rows)
-        start, held = 0, 0
-        for i, size in enumerate(sizes.tolist()):
-            if held and held + size > most_bytes:
-                yield batch.slice(start, i - start)
-                start, held = i, 0
-            held += size
-        if start < batch.num_rows:
-            yield batch.slice(start)
+        if not batch.num_rows:
+            continue
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        block = np.cumsum(sizes.astype(np.int64)) // most_bytes
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
+        for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+            yield batch.slice(start, stop - start)
 
 
 @functools.lru_cache(maxsize=8)

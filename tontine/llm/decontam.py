@@ -9,8 +9,9 @@ The CGK walk turns a window into ``3 n`` symbols: it stands on a word, emits it,
 sampled at ``SAMPLES`` random sets of ``BITS`` coordinates; a window and an item of its size are compared if they agree on
 one of the samples. Candidates are verified by banded edit distance; recall of the search is measured in the tests.
 
-A window enters the walk only if at least ``n - k`` of its words occur in some item. A window within ``k`` edits of an
-item has that many, so nothing is lost, and most text is passed over by running sums.
+An edit breaks two neighbouring pairs of words at most. So a window enters the walk only if it holds ``n - 1 - 2 k`` pairs
+that occur in some item; of one word repeated over and over only as many pairs count as an item has. Nothing is lost, and
+most text is passed over by running sums.
 
 The items of one pass are bounded (``BLOCK_WORDS`` words); a larger benchmark is searched block by block.
 
@@ -30,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tontine.llm.arrowtools import arrow_schema, mix64
+from tontine.llm.arrowtools import arrow_schema, mix64, slices
 from tontine.llm.words import WordHashes
 
 EDIT_SHARE = 0.2
@@ -38,9 +39,10 @@ LEAST_WORDS = 8
 #: Tables of the search: WALKS * SAMPLES, each on BITS coordinates of the embedding.
 WALKS, SAMPLES, BITS = 10, 6, 3
 SEED = 20
+MIX = 0x9E3779B97F4A7C15
 BLOCK_WORDS = 1 << 20
 #: Windows that walk together.
-WALKING = 1 << 16
+WALKING = 1 << 14
 
 
 @dataclass(frozen=True)
@@ -52,6 +54,10 @@ class Items:
     starts: np.ndarray
     sizes: np.ndarray
     vocabulary: np.ndarray
+    #: Hashes of the items' pairs of neighbouring words.
+    pairs: np.ndarray
+    #: The most times that one item holds each of them.
+    times: np.ndarray
     keys: np.ndarray
     owners: np.ndarray
 
@@ -65,35 +71,44 @@ def coordinates(n: int) -> np.ndarray:
     return np.random.default_rng((SEED, n)).integers(0, 3 * n, (WALKS, SAMPLES, BITS))
 
 
-def walk_keys(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
-    """Search keys of windows ``words[start : start + length]`` for items of ``n`` words: windows x (walks * samples)."""
-    at = coordinates(n)
+def walk_keys(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Search keys of windows ``words[start : start + length]`` for items of ``sizes`` words: windows x tables."""
+    kinds, kind = np.unique(sizes, return_inverse=True)
+    at = np.stack([coordinates(int(n)) for n in kinds])
     out = np.empty((len(starts), WALKS * SAMPLES), np.uint64)
+    window, steps = np.arange(len(starts)), 3 * int(kinds[-1])
     for w in range(WALKS):
         place = np.zeros(len(starts), np.int64)
-        emitted = np.zeros((3 * n, len(starts)), np.uint64)
-        for step in range(3 * n):
+        emitted = np.zeros((steps, len(starts)), np.int32)
+        for step in range(steps):
             alive = place < lengths
-            symbol = np.where(alive, words[np.minimum(starts + place, len(words) - 1)], 0).astype(np.uint64)
+            symbol = np.where(alive, words[np.minimum(starts + place, len(words) - 1)], 0)
             emitted[step] = symbol
-            coin = mix64(symbol * np.uint64(0x9E3779B97F4A7C15) + np.uint64((w << 32) + (step << 8) + SEED))
-            place += (alive & ((coin >> np.uint64(33)) & np.uint64(1)).astype(bool)).astype(np.int64)
+            coin = mix64(symbol.astype(np.uint64) * np.uint64(MIX) + np.uint64((w << 32) + (step << 8) + SEED))
+            place += alive & ((coin >> np.uint64(33)) & np.uint64(1)).astype(bool)
         for s in range(SAMPLES):
-            key = np.full(len(starts), np.uint64(((n << 16) + w * SAMPLES + s) * 2 + 1), np.uint64)
-            for coordinate in at[w, s]:
-                key = mix64(key * np.uint64(0xC2B2AE3D27D4EB4F) + emitted[coordinate])
+            key = ((sizes.astype(np.uint64) << np.uint64(16)) + np.uint64(w * SAMPLES + s)) * np.uint64(2) + np.uint64(1)
+            for bit in range(BITS):
+                symbol = emitted[at[kind, w, s, bit], window].astype(np.uint64)
+                key = mix64(key * np.uint64(0xC2B2AE3D27D4EB4F) + symbol)
             out[:, w * SAMPLES + s] = key
     return out
 
 
-def edits(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, items: np.ndarray, most: int) -> np.ndarray:
-    """Word edit distance of each window to its item (rows of ``items``), exact up to ``most``, else ``most + 1``."""
-    n, far = items.shape[1], most + 1
-    width = 2 * most + 1
-    offsets = np.arange(width) - most
-    # cell[:, b]: distance of item[:i] and window[:i + offsets[b]]
+def edits(
+    words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, items: np.ndarray, at: np.ndarray, sizes: np.ndarray
+) -> np.ndarray:
+    """Word edit distance of each window to ``items[at : at + size]``, exact up to ``limit(size)``, above it anything larger."""
+    most = limit(sizes)
+    band, longest = int(most.max()), int(sizes.max())
+    far, width = band + 1, 2 * band + 1
+    offsets = np.arange(width) - band
+    # cell[:, b]: distance of item[:i] and window[: i + offsets[b]]
     cell = np.where(offsets >= 0, np.minimum(offsets, far), far)[None, :].repeat(len(starts), 0)
-    for i in range(1, n + 1):
+    out = np.full(len(starts), far, np.int64)
+    column = lengths - sizes + band
+    for i in range(1, longest + 1):
+        own = items[np.minimum(at + i - 1, len(items) - 1)]
         fresh = np.full_like(cell, far)
         for b in range(width):
             j = i + offsets[b]
@@ -102,18 +117,36 @@ def edits(words: np.ndarray, starts: np.ndarray, lengths: np.ndarray, items: np.
             if j == 0:
                 fresh[:, b] = min(i, far)
                 continue
-            inside = j <= lengths
             symbol = words[np.minimum(starts + j - 1, len(words) - 1)]
-            best = cell[:, b] + (symbol != items[:, i - 1])
+            best = cell[:, b] + (symbol != own)
             if b + 1 < width:
                 best = np.minimum(best, cell[:, b + 1] + 1)
             if b:
                 best = np.minimum(best, fresh[:, b - 1] + 1)
-            fresh[:, b] = np.where(inside, np.minimum(best, far), far)
+            fresh[:, b] = np.where(j <= lengths, np.minimum(best, far), far)
         cell = fresh
-    end = lengths - n + most
-    valid = (end >= 0) & (end < width)
-    return np.where(valid, cell[np.arange(len(starts)), np.clip(end, 0, width - 1)], far)
+        ended = np.flatnonzero((sizes == i) & (column >= 0) & (column < width))
+        out[ended] = cell[ended, column[ended]]
+    return out
+
+
+def pair_hashes(hashes: np.ndarray) -> np.ndarray:
+    """Hash of each word with the next one; one less than the words."""
+    with np.errstate(over="ignore"):
+        return mix64(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:])
+
+
+def member(values: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Whether each value occurs in the sorted array ``of``, by way of a small table that settles most of them."""
+    bits = 20
+    table = np.zeros(1 << bits, bool)
+    table[(of >> np.uint64(64 - bits)).astype(np.int64)] = True
+    out = table[(values >> np.uint64(64 - bits)).astype(np.int64)]
+    maybe = np.flatnonzero(out)
+    at = np.searchsorted(of, values[maybe])
+    at[at == len(of)] = 0
+    out[maybe] = of[at] == values[maybe]
+    return out
 
 
 def build_items(ids: list, texts: list[str | None], least_words: int = LEAST_WORDS) -> Items:
@@ -125,16 +158,23 @@ def build_items(ids: list, texts: list[str | None], least_words: int = LEAST_WOR
     words = np.concatenate([hashes[at[i] : at[i + 1]] for i in chosen]) if len(chosen) else hashes[:0]
     numbered = (np.searchsorted(vocabulary, words) + 1).astype(np.int64)
     starts = np.concatenate(([0], np.cumsum(sizes[chosen])))[:-1].astype(np.int64)
-    keys, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-    for n in np.unique(sizes[chosen]):
-        own = np.flatnonzero(sizes[chosen] == n)
-        made = walk_keys(numbered, starts[own], np.full(len(own), n), int(n))
-        keys.append(made.ravel())
-        owners.append(np.repeat(own, made.shape[1]))
-    keys, owners = np.concatenate(keys), np.concatenate(owners)
+    joined = pair_hashes(words)
+    inner = np.ones(len(words), bool)
+    inner[starts[1:] - 1] = False
+    item_of = np.repeat(np.arange(len(chosen)), sizes[chosen])
+    inner = np.flatnonzero(inner[: len(joined)])
+    pairs = np.unique(joined[inner])
+    number = np.searchsorted(pairs, joined[inner])
+    held, counts = np.unique(item_of[inner] * (len(pairs) + 1) + number, return_counts=True)
+    times = np.zeros(len(pairs), np.int64)
+    np.maximum.at(times, held % (len(pairs) + 1), counts)
+    keys, owners = np.empty(0, np.uint64), np.empty(0, np.int64)
+    if len(chosen):
+        keys = walk_keys(numbered, starts, sizes[chosen], sizes[chosen]).ravel()
+        owners = np.repeat(np.arange(len(chosen)), WALKS * SAMPLES)
     order = np.argsort(keys, kind="stable")
     names = np.array([ids[i] for i in chosen], np.int64)
-    return Items(names, numbered, starts, sizes[chosen], vocabulary, keys[order], owners[order])
+    return Items(names, numbered, starts, sizes[chosen], vocabulary, pairs, times, keys[order], owners[order])
 
 
 def find(items: Items, column: pa.Array, hasher: WordHashes) -> list[tuple[int, int, int, int]]:
@@ -142,43 +182,59 @@ def find(items: Items, column: pa.Array, hasher: WordHashes) -> list[tuple[int,
     hashes, at = hasher.of(column)
     if not len(hashes) or not len(items.ids):
         return []
-    place = np.searchsorted(items.vocabulary, hashes)
-    place[place == len(items.vocabulary)] = 0
-    words = np.where(items.vocabulary[place] == hashes, place + 1, 0).astype(np.int64)
-    known = np.concatenate(([0], np.cumsum(words > 0, dtype=np.int32)))
+    joined = pair_hashes(hashes)
+    hit = member(joined, items.pairs)
+    if not hit.any() and items.sizes.min() > 1 + 2 * int(limit(items.sizes.min())):
+        return []
+    # Of a run of one pair only the first count that an item can match; a window that starts inside of the run may
+    # hold as many again.
+    spare = np.zeros(len(hashes), np.int64)
+    fresh = np.ones(len(joined), bool)
+    fresh[1:] = joined[1:] != joined[:-1]
+    fresh[at[:-1][at[:-1] < len(joined)]] = True
+    place = np.arange(len(joined))
+    since = place - np.maximum.accumulate(np.where(fresh, place, 0))
+    again = np.flatnonzero(hit & (since > 0))
+    spare[again] = items.times[np.searchsorted(items.pairs, joined[again])]
+    hit[again] = since[again] < spare[again]
+    pairs_before = np.concatenate(([0], np.cumsum(hit, dtype=np.int32), [0]))[: len(hashes) + 1]
+    words = np.zeros(len(hashes), np.int64)
+    known = member(hashes, items.vocabulary)
+    words[known] = np.searchsorted(items.vocabulary, hashes[known]) + 1
     row = np.repeat(np.arange(len(at) - 1), np.diff(at)).astype(np.int32)
     ends = at[1:][row].astype(np.int64)
     best: dict[tuple[int, int], tuple[int, int]] = {}
     index = np.arange(len(words), dtype=np.int64)
+    starts, sizes = [], []
     for n in np.unique(items.sizes).tolist():
-        most = int(limit(np.array([n]))[0])
-        stop = np.minimum(index + n, ends)
-        starts = np.flatnonzero(known[stop] - known[index] >= n - most)
-        for first in range(0, len(starts), WALKING):
-            part = starts[first : first + WALKING]
-            lengths = stop[part] - part
-            made = walk_keys(words, part, lengths, n)
-            left = np.searchsorted(items.keys, made.ravel(), "left")
-            times = np.searchsorted(items.keys, made.ravel(), "right") - left
-            hits = np.flatnonzero(times)
-            if not len(hits):
-                continue
-            window = np.repeat(hits // made.shape[1], times[hits])
-            run = np.arange(times[hits].sum()) - np.repeat(np.cumsum(times[hits]) - times[hits], times[hits])
-            owner = items.owners[np.repeat(left[hits], times[hits]) + run]
-            pairs = np.unique(np.stack((window, owner), 1), axis=0)
-            pairs = pairs[items.sizes[pairs[:, 1]] == n]
-            for chunk in range(0, len(pairs), WALKING):
-                w, o = pairs[chunk : chunk + WALKING].T
-                text = items.words[items.starts[o][:, None] + np.arange(n)]
-                found = edits(words, part[w], lengths[w], text, most)
-                for i in np.flatnonzero(found <= most).tolist():
-                    start = int(part[w[i]])
-                    pair = int(row[start]), int(o[i])
-                    seen = best.get(pair)
-                    value = int(found[i]), start - int(at[pair[0]])
-                    if seen is None or value < seen:
-                        best[pair] = value
+        last = np.maximum(np.minimum(index + n, ends) - 1, index)  # pairs of a window start before its last word
+        least = n - 1 - 2 * int(limit(np.array([n]))[0])
+        starts.append(np.flatnonzero(pairs_before[last] - pairs_before[index] >= least - spare))
+        sizes.append(np.full(len(starts[-1]), n, np.int64))
+    starts, sizes = np.concatenate(starts), np.concatenate(sizes)
+    for first in range(0, len(starts), WALKING):
+        start, size = starts[first : first + WALKING], sizes[first : first + WALKING]
+        lengths = np.minimum(size, ends[start] - start)
+        made = walk_keys(words, start, lengths, size)
+        left = np.searchsorted(items.keys, made.ravel(), "left")
+        times = np.searchsorted(items.keys, made.ravel(), "right") - left
+        hits = np.flatnonzero(times)
+        window = np.repeat(hits // made.shape[1], times[hits])
+        run = np.arange(times[hits].sum()) - np.repeat(np.cumsum(times[hits]) - times[hits], times[hits])
+        owner = items.owners[np.repeat(left[hits], times[hits]) + run]
+        code = np.unique(window * len(items.ids) + owner)
+        window, owner = code // len(items.ids), code % len(items.ids)
+        same = items.sizes[owner] == size[window]
+        window, owner = window[same], owner[same]
+        for chunk in range(0, len(window), WALKING):
+            w, o = window[chunk : chunk + WALKING], owner[chunk : chunk + WALKING]
+            found = edits(words, start[w], lengths[w], items.words, items.starts[o], items.sizes[o])
+            for i in np.flatnonzero(found <= limit(items.sizes[o])).tolist():
+                begin = int(start[w[i]])
+                pair = int(row[begin]), int(o[i])
+                value = int(found[i]), begin - int(at[pair[0]])
+                if pair not in best or value < best[pair]:
+                    best[pair] = value
     return [(r, o, e, s) for (r, o), (e, s) in sorted(best.items())]
 
 
@@ -218,7 +274,7 @@ def leaks(
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             items, hasher = shared.value, WordHashes(punctuation=True)
-            for batch in batches:
+            for batch in slices(batches, 1):
                 found = find(items, batch.column(1), hasher)
                 ids = batch.column(0).take(pa.array([r for r, *_ in found], pa.int64()))
                 yield pa.RecordBatch.from_arrays(
@@ -245,7 +301,7 @@ def keep_clean(
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             hasher = WordHashes(punctuation=True)
-            for batch in batches:
+            for batch in slices(batches, position):
                 keep = np.ones(batch.num_rows, bool)
                 keep[[r for r, *_ in find(shared.value, batch.column(position), hasher)]] = False
                 yield batch.filter(pa.array(keep))

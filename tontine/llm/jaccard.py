@@ -46,7 +46,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tontine.llm.arrowtools import arrow_schema, mix64
+from tontine.llm.arrowtools import arrow_schema, mix64, slices
 from tontine.llm.components import components
 from tontine.llm.words import WordHashes
 from tontine.sources.shared import spool
@@ -210,7 +210,7 @@ def read_sets(documents: DataFrame, key: str, text: str, words: int, share: floa
                 counts.update(dict(zip(values[often].tolist(), times[often].tolist(), strict=True)))
 
         held = 0
-        for batch in batches:
+        for batch in slices(batches, 1):
             ids, nodes, sizes, sketches = batch.column(0), [], [], []
             for tokens in prints.of(batch.column(1)):
                 nodes.append(node_id(tokens) if len(tokens) else None)
@@ -276,7 +276,7 @@ def index_keys(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints, prefixes = Fingerprints(words), Prefixes(percent, *shared.value)
-        for batch in batches:
+        for batch in slices(batches, 0):
             rows, held = [], 0
             for tokens in prints.of(batch.column(0)):
                 if not len(tokens):
@@ -324,7 +324,7 @@ def sets_of(documents: DataFrame, nodes: DataFrame, key: str, text: str, words:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints, bits = Fingerprints(words), shared.value
         size = np.uint64(len(bits) * 64 - 1)
-        for batch in batches:
+        for batch in slices(batches, 1):
             at = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) & size
             hit = (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
             found = [tokens for tokens in prints.of(batch.column(1).filter(pa.array(hit.astype(bool)))) if len(tokens)]
