@@ -10,8 +10,8 @@ sampled at ``SAMPLES`` random sets of ``BITS`` coordinates; a window and an item
 one of the samples. Candidates are verified by banded edit distance; recall of the search is measured in the tests.
 
 An edit breaks two neighbouring pairs of words at most. So a window enters the walk only if it holds ``n - 1 - 2 k`` pairs
-that occur in some item; of one word repeated over and over only as many pairs count as an item has. Nothing is lost, and
-most text is passed over by running sums.
+that occur in items of ``n`` words; of one word repeated over and over only as many pairs count as such an item has.
+Nothing is lost, and most text is passed over.
 
 The items of one pass are bounded (``BLOCK_WORDS`` words); a larger benchmark is searched block by block.
 
@@ -37,7 +37,7 @@ from tontine.llm.words import WordHashes
 EDIT_SHARE = 0.2
 LEAST_WORDS = 8
 #: Tables of the search: WALKS * SAMPLES, each on BITS coordinates of the embedding.
-WALKS, SAMPLES, BITS = 10, 6, 3
+WALKS, SAMPLES, BITS = 14, 8, 3
 SEED = 20
 MIX = 0x9E3779B97F4A7C15
 BLOCK_WORDS = 1 << 20
@@ -56,10 +56,18 @@ class Items:
     vocabulary: np.ndarray
     #: Hashes of the items' pairs of neighbouring words.
     pairs: np.ndarray
-    #: The most times that one item holds each of them.
+    #: Sizes of the items that hold pair ``i``: ``pair_sizes[first[i] : first[i + 1]]``.
+    first: np.ndarray
+    pair_sizes: np.ndarray
+    #: The most times that one item holds each pair.
     times: np.ndarray
     keys: np.ndarray
     owners: np.ndarray
+    repeats: dict[int, int]
+
+    def spare(self, n: int) -> int:
+        """The most pairs of one repeated word that an item of ``n`` words holds."""
+        return self.repeats.get(n, 0)
 
 
 def limit(sizes: np.ndarray) -> np.ndarray:
@@ -165,53 +173,74 @@ def build_items(ids: list, texts: list[str | None], least_words: int = LEAST_WOR
     inner = np.flatnonzero(inner[: len(joined)])
     pairs = np.unique(joined[inner])
     number = np.searchsorted(pairs, joined[inner])
-    held, counts = np.unique(item_of[inner] * (len(pairs) + 1) + number, return_counts=True)
+    width = len(pairs) + 1
+    held, counts = np.unique(item_of[inner] * width + number, return_counts=True)
     times = np.zeros(len(pairs), np.int64)
-    np.maximum.at(times, held % (len(pairs) + 1), counts)
+    np.maximum.at(times, held % width, counts)
+    doubled = np.flatnonzero(words[:-1] == words[1:])
+    doubled = doubled[np.isin(doubled, inner)]
+    repeats: dict[int, int] = {}
+    for position in doubled.tolist():
+        n = int(sizes[chosen][item_of[position]])
+        repeats[n] = max(repeats.get(n, 0), int(times[np.searchsorted(pairs, joined[position])]))
+    by_pair = np.unique(np.stack((number, sizes[chosen][item_of[inner]]), 1), axis=0).reshape(-1, 2)
+    first = np.searchsorted(by_pair[:, 0], np.arange(width))
     keys, owners = np.empty(0, np.uint64), np.empty(0, np.int64)
     if len(chosen):
         keys = walk_keys(numbered, starts, sizes[chosen], sizes[chosen]).ravel()
         owners = np.repeat(np.arange(len(chosen)), WALKS * SAMPLES)
     order = np.argsort(keys, kind="stable")
     names = np.array([ids[i] for i in chosen], np.int64)
-    return Items(names, numbered, starts, sizes[chosen], vocabulary, pairs, times, keys[order], owners[order])
+    return Items(names, numbered, starts, sizes[chosen], vocabulary, pairs, first, by_pair[:, 1], times, keys[order], owners[order], repeats)
+
+
+def windows(items: Items, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words and sizes of the windows that hold enough pairs of items of that size."""
+    joined = pair_hashes(hashes)
+    place = np.flatnonzero(member(joined, items.pairs))
+    if not len(place):
+        return place, place
+    number = np.searchsorted(items.pairs, joined[place])
+    # Of a run of one pair (x x x ...) only the first that an item can match count.
+    fresh = np.ones(len(place), bool)
+    fresh[1:] = (place[1:] != place[:-1] + 1) | (number[1:] != number[:-1]) | np.isin(place[1:], at)
+    since = np.arange(len(place)) - np.maximum.accumulate(np.where(fresh, np.arange(len(place)), 0))
+    counted = since < items.times[number]
+    place, number = place[counted], number[counted]
+    many = items.first[number + 1] - items.first[number]
+    entry = np.repeat(items.first[number] - np.cumsum(many) + many, many) + np.arange(many.sum())
+    place, size = np.repeat(place, many), items.pair_sizes[entry]
+    begin = at[np.searchsorted(at, place, side="right") - 1]
+    starts, sizes = [place[:0]], [place[:0]]
+    for n in np.unique(size).tolist():
+        own = place[size == n]
+        # A window that starts inside of a run may hold as many pairs of it again.
+        least = n - 1 - 2 * int(limit(np.array([n]))[0]) - items.spare(n)
+        near = own[least - 1 :] - own[: len(own) - least + 1] <= n - 2 if len(own) >= least else np.empty(0, bool)
+        ok = np.flatnonzero(near)
+        low = np.maximum(own[ok + least - 1] - (n - 2), begin[size == n][ok])
+        span = own[ok] - low + 1
+        low, span = low[span > 0], span[span > 0]
+        found = np.unique(np.repeat(low - np.cumsum(span) + span, span) + np.arange(span.sum()))
+        starts.append(found)
+        sizes.append(np.full(len(found), n, np.int64))
+    return np.concatenate(starts), np.concatenate(sizes)
 
 
 def find(items: Items, column: pa.Array, hasher: WordHashes) -> list[tuple[int, int, int, int]]:
     """(row, item, edits, first word of the window) for the rows of a text column: the best window of each pair."""
     hashes, at = hasher.of(column)
-    if not len(hashes) or not len(items.ids):
+    if len(hashes) < 2 or not len(items.ids):
         return []
-    joined = pair_hashes(hashes)
-    hit = member(joined, items.pairs)
-    if not hit.any() and items.sizes.min() > 1 + 2 * int(limit(items.sizes.min())):
+    starts, sizes = windows(items, hashes, at)
+    if not len(starts):
         return []
-    # Of a run of one pair only the first count that an item can match; a window that starts inside of the run may
-    # hold as many again.
-    spare = np.zeros(len(hashes), np.int64)
-    fresh = np.ones(len(joined), bool)
-    fresh[1:] = joined[1:] != joined[:-1]
-    fresh[at[:-1][at[:-1] < len(joined)]] = True
-    place = np.arange(len(joined))
-    since = place - np.maximum.accumulate(np.where(fresh, place, 0))
-    again = np.flatnonzero(hit & (since > 0))
-    spare[again] = items.times[np.searchsorted(items.pairs, joined[again])]
-    hit[again] = since[again] < spare[again]
-    pairs_before = np.concatenate(([0], np.cumsum(hit, dtype=np.int32), [0]))[: len(hashes) + 1]
     words = np.zeros(len(hashes), np.int64)
     known = member(hashes, items.vocabulary)
     words[known] = np.searchsorted(items.vocabulary, hashes[known]) + 1
     row = np.repeat(np.arange(len(at) - 1), np.diff(at)).astype(np.int32)
     ends = at[1:][row].astype(np.int64)
     best: dict[tuple[int, int], tuple[int, int]] = {}
-    index = np.arange(len(words), dtype=np.int64)
-    starts, sizes = [], []
-    for n in np.unique(items.sizes).tolist():
-        last = np.maximum(np.minimum(index + n, ends) - 1, index)  # pairs of a window start before its last word
-        least = n - 1 - 2 * int(limit(np.array([n]))[0])
-        starts.append(np.flatnonzero(pairs_before[last] - pairs_before[index] >= least - spare))
-        sizes.append(np.full(len(starts[-1]), n, np.int64))
-    starts, sizes = np.concatenate(starts), np.concatenate(sizes)
     for first in range(0, len(starts), WALKING):
         start, size = starts[first : first + WALKING], sizes[first : first + WALKING]
         lengths = np.minimum(size, ends[start] - start)
