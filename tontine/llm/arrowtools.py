@@ -27,6 +27,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
+def member(values: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Whether each value occurs in the sorted array ``of``, by way of a small table that settles most of them."""
+    if not len(of):
+        return np.zeros(len(values), bool)
+    bits = 20
+    table = np.zeros(1 << bits, bool)
+    table[(of >> np.uint64(64 - bits)).astype(np.int64)] = True
+    out = table[(values >> np.uint64(64 - bits)).astype(np.int64)]
+    maybe = np.flatnonzero(out)
+    at = np.searchsorted(of, values[maybe])
+    at[at == len(of)] = 0
+    out[maybe] = of[at] == values[maybe]
+    return out
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: int, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose ``column`` holds about ``most_bytes`` at most (one row at least)."""
     for batch in batches:

@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tontine.llm.arrowtools import arrow_schema, mix64, slices
+from tontine.llm.arrowtools import arrow_schema, member, mix64, slices
 from tontine.llm.words import WordHashes
 
 EDIT_SHARE = 0.2
@@ -144,19 +144,6 @@ def pair_hashes(hashes: np.ndarray) -> np.ndarray:
         return mix64(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:])
 
 
-def member(values: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Whether each value occurs in the sorted array ``of``, by way of a small table that settles most of them."""
-    bits = 20
-    table = np.zeros(1 << bits, bool)
-    table[(of >> np.uint64(64 - bits)).astype(np.int64)] = True
-    out = table[(values >> np.uint64(64 - bits)).astype(np.int64)]
-    maybe = np.flatnonzero(out)
-    at = np.searchsorted(of, values[maybe])
-    at[at == len(of)] = 0
-    out[maybe] = of[at] == values[maybe]
-    return out
-
-
 def build_items(ids: list, texts: list[str | None], least_words: int = LEAST_WORDS) -> Items:
     """Items of one block with their search tables."""
     hashes, at = WordHashes(punctuation=True).of(pa.array(texts, pa.string()))

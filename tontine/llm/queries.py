@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tontine.llm import decontam, jaccard, linededup, mainhtml, quality, sharding, topk, warc
+from tontine.llm import decontam, jaccard, linededup, mainhtml, pieces, quality, sharding, topk, warc
 from tontine.llm.registry import QUERIES, SQL, Build, query, table
 
 
@@ -55,6 +55,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op3_pieces")
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
 @query("op4_jaccard")
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.cluster(table(spark, sf_dir, "documents"))
