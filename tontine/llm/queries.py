@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tontine.llm import decontam, jaccard, linededup, mainhtml, pieces, quality, sharding, topk, warc
+from tontine.llm import decontam, jaccard, linededup, mainhtml, pieces, quality, sharding, tokens, topk, warc
 from tontine.llm.registry import QUERIES, SQL, Build, query, table
 
 
@@ -128,3 +128,19 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"),
         F.col("vslot").alias("virtual_slot"),
     )
+
+
+@query("op10_tokens")
+def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokens.archive(table(spark, sf_dir, "documents"))
+    records = tokens.read_shards(spark, path)
+    return records.select(
+        "slot",
+        "shard",
+        (F.col("slot") % tokens.ROWS_PER_SHARD).cast("int").alias("position"),
+        "doc_id",
+        "part",
+        "n_tokens",
+        F.length("tokens").alias("stride"),
+        F.crc32("tokens").alias("tokens_crc32"),
+    )
