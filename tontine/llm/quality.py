@@ -200,3 +200,17 @@ def score(documents: DataFrame, model: CompressionModel, key: str = "doc_id", te
 
     rows = documents.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
     return rows.mapInArrow(run, SCORES)
+
+
+def keep(documents: DataFrame, model: CompressionModel, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``documents``, all columns, that score ``threshold`` or more; decided in the scan, without a join."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    position = documents.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair = compressors(shared.value)
+        for batch in batches:
+            found = (sizes(body or b"", *pair) for body in encoded(batch.column(position)))
+            yield batch.filter(pa.array([curve_value(shared.value.curve, d, r) >= threshold for d, r in found], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
