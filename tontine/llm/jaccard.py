@@ -18,8 +18,9 @@ linked sets share ``l`` tokens at least among their first ``|x| - a + l``:
 The bands matter in groups of near copies: a copy with too many tokens of its own is known to link with nothing through
 the group's common tokens, without a comparison with each of its members.
 
-Frequent means frequent in some task's share of the documents. This only steers the order: any split into classes gives
-the same links.
+A token is frequent if it is frequent in some task's share of the documents, or if all documents together hold it
+``OFTEN`` times; the latter is counted for the tokens with low fingerprints, which are those that prefixes reach. This only
+steers the order: any split into classes gives the same links.
 
 Verification. Hot keys are met by stars: the nodes of a key are compared with its ``LEADERS`` most central members only.
 Then components are formed, and what is left, nodes of one key in different components that are no leaders, is compared
@@ -40,6 +41,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +58,10 @@ PERCENT = 75
 #: A token is frequent if it occurs in this share of a task's documents (in two at least). A task may report
 #: 1 / FREQUENT_SHARE tokens for each token of its mean document, so the table is bounded whatever the corpus.
 FREQUENT_SHARE = 1 / 500
-#: Most frequent tokens sent to the tasks (8 bytes each); the most frequent are kept, the others count as rare.
+#: Counted over all documents: tokens whose fingerprint lies in the lowest share, by its top bits.
+COUNTED_SHARE, COUNTED_BITS = 0.35, 40
+OFTEN = 24
+#: Most frequent tokens of either kind sent to the tasks (16 bytes each); beyond, the less frequent ones count as rare.
 MOST_FREQUENT = 1 << 20
 #: Most bits of the map of wanted nodes (32 MB).
 MOST_BITS = 1 << 28
@@ -109,11 +114,41 @@ def node_id(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) >> 1
 
 
+@dataclass(frozen=True)
+class Frequent:
+    """Frequent tokens: whole ones, and top bits of those with low fingerprints; sorted, with their counts."""
+
+    tokens: np.ndarray
+    counts_: np.ndarray
+    tops: np.ndarray
+    top_counts: np.ndarray
+
+    def counts(self, tokens: np.ndarray) -> np.ndarray:
+        """Count of each of the sorted tokens; 0: rare."""
+        out = np.zeros(len(tokens), np.int64)
+        if len(self.tokens):
+            at = np.searchsorted(self.tokens, tokens)
+            at[at == len(self.tokens)] = 0
+            out = np.where(self.tokens[at] == tokens, self.counts_[at], 0)
+        if len(self.tops):
+            top = tops_of(tokens)
+            at = np.searchsorted(self.tops, top)
+            at[at == len(self.tops)] = 0
+            out[: len(top)] = np.maximum(out[: len(top)], np.where(self.tops[at] == top, self.top_counts[at], 0))
+        return out
+
+
+def tops_of(tokens: np.ndarray) -> np.ndarray:
+    """Top bits of the counted ones among sorted tokens; they come first."""
+    low = tokens[: np.searchsorted(tokens, np.uint64(int(COUNTED_SHARE * 2**64)))]
+    return (low >> np.uint64(64 - COUNTED_BITS)).astype(np.int64)
+
+
 class Prefixes:
     """Index keys of a set."""
 
-    def __init__(self, percent: int, frequent: np.ndarray, rank: np.ndarray) -> None:
-        self.percent, self.frequent, self.rank = percent, frequent, rank
+    def __init__(self, percent: int, frequent: Frequent) -> None:
+        self.percent, self.frequent = percent, frequent
         self.lows = bands()
 
     def overlap(self, n: int, m: int) -> int:
@@ -133,18 +168,14 @@ class Prefixes:
         """
         n, t = len(tokens), self.percent
         least = -(-t * n // 100)
-        if len(self.frequent):
-            at = np.searchsorted(self.frequent, tokens)
-            at[at == len(self.frequent)] = 0
-            hit = self.frequent[at] == tokens
-        else:
-            at, hit = np.zeros(n, np.int64), np.zeros(n, bool)
+        counts = self.frequent.counts(tokens)
+        hit = counts > 0
         rare = tokens[~hit]
         out = [rare[: n - least + 1]]
         sides = [np.full(len(out[0]), -1, np.int32)]
         if len(rare) > n - least:
             return out[0], sides[0], len(rare)
-        common = tokens[hit][np.argsort(self.rank[at[hit]], kind="stable")]
+        common = tokens[hit][np.argsort(counts[hit], kind="stable")]
         band = bisect_right(self.lows, n) - 1
         for other in range(bisect_right(self.lows, least) - 1, bisect_right(self.lows, n * 100 // t)):
             overlap = self.overlap(n, max(least, self.lows[other]))
@@ -241,24 +272,43 @@ def read_sets(documents: DataFrame, key: str, text: str, words: int, share: floa
     return rows.mapInArrow(run, DOCS)
 
 
-def frequent_tokens(read: DataFrame, most: int = MOST_FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """Frequent tokens in order of their fingerprints, and the rank of each by rising count."""
+def often_held(documents: DataFrame, text: str, words: int, often: int, most: int = MOST_FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """Top bits of the counted tokens that ``often`` documents or more hold, with their counts.
+
+    Every document is counted. Sums are folded map-side; per counted token some eight bytes are shuffled.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prints = Fingerprints(words)
+        for batch in slices(batches, 0):
+            tops = [tops_of(tokens) for tokens in prints.of(batch.column(0))]
+            if tops:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tops))], names=["top"])
+
+    counted = documents.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "top long")
+    table = (
+        counted.groupBy("top").agg(F.count("*").alias("n")).filter(F.col("n") >= often)
+        .orderBy(F.desc("n"), "top").limit(most).toPandas().sort_values("top")
+    )
+    return table["top"].to_numpy(np.int64), table["n"].to_numpy(np.int64)
+
+
+def frequent_tokens(read: DataFrame, often: tuple[np.ndarray, np.ndarray], most: int = MOST_FREQUENT) -> Frequent:
+    """The frequent tokens that tasks have reported, beside those counted over all documents."""
     table = (
         read.filter("token IS NOT NULL").groupBy("token").agg(F.sum("local").alias("n"))
         .orderBy(F.desc("n"), "token").limit(most).toPandas()
     )
     tokens = table["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
-    rank = np.empty(len(tokens), np.int64)
-    rank[np.lexsort((tokens, table["n"].to_numpy()))] = np.arange(len(tokens))
-    return tokens[order], rank[order]
+    return Frequent(tokens[order], table["n"].to_numpy(np.int64)[order], *often)
 
 
 POSTINGS = "key long, node long, side int, own int"
 
 
 def index_keys(
-    documents: DataFrame, text: str, words: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]
+    documents: DataFrame, text: str, words: int, percent: int, frequent: Frequent
 ) -> DataFrame:
     """``key, node, side, own`` of every document's index entries; ``own``: the node's rare tokens."""
     shared = documents.sparkSession.sparkContext.broadcast(frequent)
@@ -275,7 +325,7 @@ def index_keys(
         return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=arrow_schema(POSTINGS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prints, prefixes = Fingerprints(words), Prefixes(percent, *shared.value)
+        prints, prefixes = Fingerprints(words), Prefixes(percent, shared.value)
         for batch in slices(batches, 0):
             rows, held = [], 0
             for tokens in prints.of(batch.column(0)):
@@ -431,7 +481,7 @@ def split_keys(rows: DataFrame, value: str) -> DataFrame:
 
 def linked_components(
     documents: DataFrame, nodes: DataFrame, key: str, text: str, words: int, percent: int,
-    frequent: tuple[np.ndarray, np.ndarray],
+    frequent: Frequent,
 ) -> DataFrame:
     """``node, component`` of every node that has links; ``nodes`` holds ``node, n, sketch, first_id``."""
     keyed = index_keys(documents, text, words, percent, frequent)
@@ -461,12 +511,13 @@ def cluster(
     words: int = WORDS,
     percent: int = PERCENT,
     share: float = FREQUENT_SHARE,
+    often: int = OFTEN,
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row."""
     if not 0 < percent <= 100 or words < 1:
         raise ValueError(f"percent must lie in 1..100 and words be positive, not {percent} and {words}")
     read = spool(read_sets(documents, key, text, words, share), "sets-read")
-    frequent = frequent_tokens(read)
+    frequent = frequent_tokens(read, often_held(documents, text, words, often))
     rows = read.filter("n_shingles IS NOT NULL").select("doc_id", "node", "n_shingles")
     first = F.min_by(F.struct("doc_id", "n_shingles", "sketch"), F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("first")
     nodes = (
