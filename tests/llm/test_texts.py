@@ -89,17 +89,17 @@ def test_samples_follow_the_law_of_draws_without_replacement(sampler):
     chance = {ids: math.exp(w - total) for ids, w in found}
     n = 4000
     paths, alive, _ = sampler.draw(["thond"] * n, mix64(np.arange(n, dtype=np.uint64)))
-    first = collections.Counter(tuple(sampler.ids(paths[0], r)) for r in range(n))
-    second = collections.Counter(tuple(sampler.ids(paths[1], r)) for r in range(n))
+    first = collections.Counter(tuple(sampler.ids(paths[0], r).tolist()) for r in range(n))
+    second = collections.Counter(tuple(sampler.ids(paths[1], r).tolist()) for r in range(n))
     for ids, p in chance.items():
         q = sum(other * p / (1 - other) for key, other in chance.items() if key != ids)
         assert abs(first[ids] / n - p) < 4 * math.sqrt(p / n) + 2 / n
         assert abs(second[ids] / n - q) < 4 * math.sqrt(q / n) + 2 / n
     for r in range(50):
-        assert len({tuple(sampler.ids(path, r)) for path in paths}) == 3
+        assert len({tuple(sampler.ids(path, r).tolist()) for path in paths}) == 3
         assert paths[0].value[r] > paths[1].value[r] > paths[2].value[r]
         for path in paths:
-            assert math.exp(path.total[r]) == pytest.approx(chance[tuple(sampler.ids(path, r))])
+            assert math.exp(path.total[r]) == pytest.approx(chance[tuple(sampler.ids(path, r).tolist())])
 
 
 def test_encoding_decodes_and_repeats(spark):

@@ -142,24 +142,27 @@ class Lattices:
                 number.append(np.where(wide == 1, self.vocabulary.byte_ids[np.minimum(codes[bare], 127).astype(int)], -codes[bare].astype(np.int64)))
                 weight.append(wide * self.vocabulary.byte_weight)
         origin, size, number, weight = (np.concatenate(x) for x in (origin, size, number, weight))
-        # By distance from the end, then by node: the order of the backward sums.
-        order = np.lexsort((size, origin, left[origin]))
+        # Rows come as one ascending run per length, so a stable merge sorts them by node and length.
+        order = np.argsort(origin, kind="stable")
         origin, size, number, weight = origin[order], size[order], number[order], weight[order]
-        level = np.searchsorted(left[origin], np.arange(1, int(left.max(initial=0)) + 2))
+        # Backward sums go by distance from the end.
+        distance = left[origin]
+        turn = np.argsort(distance.astype(np.int16) if distance.max(initial=0) < 1 << 15 else distance, kind="stable")
+        level = np.concatenate(([0], np.cumsum(np.bincount(distance)[1:]))) if n else np.zeros(1, np.int64)
+        far_origin, far_weight, far_next = origin[turn], weight[turn], (origin + size)[turn]
+        far_ends = (distance == size)[turn]
         mass = np.zeros(n + 1)
-        ends = left[origin] == size
         for a, b in zip(level[:-1].tolist(), level[1:].tolist(), strict=True):
             if a == b:
                 continue
-            value = weight[a:b] + np.where(ends[a:b], 0.0, mass[origin[a:b] + size[a:b]])
-            starts = np.flatnonzero(np.diff(origin[a:b], prepend=-1))
+            value = far_weight[a:b] + np.where(far_ends[a:b], 0.0, mass[far_next[a:b]])
+            starts = np.flatnonzero(np.diff(far_origin[a:b], prepend=-1))
             top = np.maximum.reduceat(value, starts)
             counts = np.diff(np.append(starts, b - a))
-            mass[origin[a:b][starts]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, counts)), starts))
-        order = np.lexsort((size, origin))
-        origin, size, number, weight, ends = origin[order], size[order], number[order], weight[order], ends[order]
+            mass[far_origin[a:b][starts]] = top + np.log(np.add.reduceat(np.exp(value - np.repeat(top, counts)), starts))
+        ends = distance == size
         chance = np.minimum(0.0, weight + np.where(ends, 0.0, mass[np.minimum(origin + size, n)]) - mass[origin])
-        first = np.searchsorted(origin, np.arange(n))
+        first = np.concatenate(([0], np.cumsum(np.bincount(origin, minlength=n))))[:-1]
         total = np.cumsum(np.exp(chance))
         running = total - np.concatenate(([0.0], total))[first][origin]
         running = base + origin + np.minimum(running, 1.0)
@@ -215,12 +218,19 @@ class Sampler:
 
     def walk(self, nodes: np.ndarray, keys: np.ndarray, segment: np.ndarray, sample: int, views) -> tuple[np.ndarray, np.ndarray]:
         """Edges of a random path from each node to its lattice's end, and the walk each belongs to, in order."""
-        running, _, after, _, _ = views
+        running, _, after, _, first = views
+        last = np.append(first[1:], len(running)) - 1
         walkers, edges = [], []
         active, step = np.arange(len(nodes)), 0
         while len(active):
             u = uniform(keys[active], sample, segment[active], step)
-            edge = np.searchsorted(running, nodes[active] + u)
+            # The last, longest edge of a node is the likeliest; from there down to the one that u falls on.
+            aim = nodes[active] + u
+            edge, low = last[nodes[active]], first[nodes[active]]
+            moving = np.flatnonzero(edge > low)
+            while len(moving := moving[running[edge[moving] - 1] >= aim[moving]]):
+                edge[moving] -= 1
+                moving = moving[edge[moving] > low[moving]]
             walkers.append(active)
             edges.append(edge)
             onward = after[edge]
@@ -248,12 +258,15 @@ class Sampler:
         lattices = self.lattices
         if len(lattices.entry) > REMEMBERED:
             lattices.clear()
-        cut = [SEGMENT.findall(SPACE_MARK + text.replace(" ", SPACE_MARK)) if text else [] for text in texts]
-        counts = [len(found) for found in cut]
-        new = list(dict.fromkeys(segment for found in cut for segment in found if segment not in lattices.entry))
+        flat, counts = [], []
+        for text in texts:
+            found = SEGMENT.findall(SPACE_MARK + text.replace(" ", SPACE_MARK)) if text else []
+            counts.append(len(found))
+            flat += found
+        new = list(set(flat).difference(lattices.entry))
         if new:
             lattices.add(new)
-        nodes = np.fromiter((lattices.entry[segment] for found in cut for segment in found), np.int64, sum(counts))
+        nodes = np.fromiter(map(lattices.entry.__getitem__, flat), np.int64, len(flat))
         seg_at = np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
         views = lattices.views()
         running, log, after, _, first = views
@@ -340,15 +353,15 @@ class Sampler:
                 threshold[full] = np.maximum(threshold[full], np.maximum.reduceat(path.region, path.at[full]))
         return paths, alive, threshold
 
-    def ids(self, path: Path, r: int) -> list[int]:
+    def ids(self, path: Path, r: int) -> np.ndarray:
         """Piece ids of one text's sample."""
         piece = np.frombuffer(self.lattices.piece, np.int32)[path.edge[path.at[r] : path.at[r + 1]]]
         if not (piece < 0).any():
-            return piece.tolist()
+            return piece
         out: list[int] = []
         for value in piece.tolist():
             out.extend([value] if value >= 0 else [self.vocabulary.bytes[b] for b in chr(-value).encode("utf-8", "surrogatepass")])
-        return out
+        return np.array(out, np.int32)
 
 
 def log_inclusion(log_prob: float, threshold: float) -> float:
@@ -377,13 +390,14 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", model:
             paths, alive, threshold = sampler.draw(texts, keys)
             rows = [(r, s) for r in range(len(texts)) for s in range(len(paths)) if alive[s][r]]
             pieces = [sampler.ids(paths[s], r) for r, s in rows]
-            decoded = sampler.vocabulary.processor.decode(pieces) if pieces else []
+            decoded = sampler.vocabulary.processor.decode([p.tolist() for p in pieces]) if pieces else []
+            offsets = np.concatenate(([0], np.cumsum([len(p) for p in pieces]))).astype(np.int32)
             logs = [float(paths[s].total[r]) for r, s in rows]
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.take(pa.array([r for r, _ in rows], pa.int64())),
                     pa.array([s + 1 for _, s in rows], pa.int32()),
-                    pa.array(pieces, pa.list_(pa.int32())),
+                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*pieces, np.empty(0, np.int32)]))),
                     pa.array([len(p) for p in pieces], pa.int32()),
                     pa.array(logs, pa.float64()),
                     pa.array([float(paths[s].value[r]) for r, s in rows], pa.float64()),
