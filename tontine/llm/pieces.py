@@ -46,7 +46,7 @@ RANK_SHIFT = 50.0
 SEGMENT = re.compile(f"{SPACE_MARK}+[^{SPACE_MARK}]*|[^{SPACE_MARK}]+")
 #: Distinct segments whose lattices a worker remembers from batch to batch.
 REMEMBERED = 3 << 16
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 19
 BASE = 0xC2B2AE3D27D4EB4F
 
 
@@ -325,7 +325,8 @@ class Sampler:
                 paths[p].region[int(paths[p].at[r]) + t] = region
             pick = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.empty(0, kind)
             seg = pick(start_segment, np.int64)
-            edge, walker = self.walk(pick(starts, np.int64), pick(start_keys, np.uint64), seg, sample, views)
+            own = seg - seg_at[row_of[seg]] if len(seg) else seg  # the draws of a row must not depend on its batch
+            edge, walker = self.walk(pick(starts, np.int64), pick(start_keys, np.uint64), own, sample, views)
             fresh_segment = seg[walker] if len(walker) else walker
             fresh_at = np.searchsorted(row_of[fresh_segment], np.arange(len(texts) + 1)) if len(nodes) else np.zeros(len(texts) + 1, np.int64)
             edges, segments, lengths, fresh = [], [], [], []
