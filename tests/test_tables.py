@@ -197,7 +197,7 @@ def test_binary_domain(spark):
     with pytest.raises(quality.DataQualityError, match="binary"):
         quality.expect_binary(bad, "y")
     thin = spark.createDataFrame([(0,), (0,), (1,)], "y long")
-    with pytest.raises(quality.DataQualityError, match="two rows"):
+    with pytest.raises(quality.DataQualityError, match="fewer than two rows"):
         quality.expect_binary(thin, "y")
 
 
@@ -211,7 +211,7 @@ def test_one_to_one(spark):
 
 @pytest.mark.parametrize(
     "arguments, message",
-    [((1, 5, 10, 100), "at least 2"), ((5, 4, 10, 100), "greater"), ((2, 100, 10, 100), "smaller"), ((2, 4, 1, 100), "two rows")],
+    [((1, 5, 10, 100), "k_min=1"), ((5, 4, 10, 100), "from 5 to 4"), ((2, 100, 10, 100), "k_max=100"), ((2, 4, 1, 100), "over 1 rows")],
 )
 def test_clustering_guards(arguments, message):
     with pytest.raises(quality.DataQualityError, match=message):

@@ -81,7 +81,7 @@ def draw_severity(
         "_draw", F.col("target_avg_claim_amount").alias("_value")
     )
     n_values = F.nullif(values.agg(F.count(F.lit(1))).scalar(), F.lit(0))
-    draw = F.pmod(leading_int(seeded_md5("IDpol", seed + 1), 8), n_values)
+    draw = F.pmod(leading_int(seeded_md5("IDpol", seed + 1), 15), n_values)
     drawn = (
         df.filter(needs)
         .withColumn("_draw", draw)

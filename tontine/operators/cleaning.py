@@ -27,7 +27,10 @@ def orphan_claims(claims: DataFrame, policies: DataFrame) -> DataFrame:
     return claims.join(policies.select("IDpol"), "IDpol", "left_anti")
 
 
-def claims_per_policy(claims: DataFrame) -> DataFrame:
+def claims_per_policy(claims: DataFrame, policies: DataFrame | None = None) -> DataFrame:
+    """Claims counted per policy; with ``policies`` only those of policies that exist."""
+    if policies is not None:
+        claims = matched_claims(claims, policies)
     return claims.groupBy("IDpol").agg(F.count(F.lit(1)).alias("observed_claims"))
 
 

@@ -73,11 +73,11 @@ def _bin_counts(name: str, value: str, interior: list[float], keep: str) -> list
     return counts
 
 
-def batch_profile(scored: DataFrame, edges: BinEdges) -> DataFrame:
-    """Residual, flags and all numeric histograms per batch, in one aggregate.
+def batch_counts(scored: DataFrame, edges: BinEdges) -> DataFrame:
+    """Sums, flags and all numeric histograms per batch, in one aggregate.
 
-    The histograms are conditional counts, so a row is not multiplied by its features and
-    the shuffle carries one row per batch and task.
+    The histograms are conditional counts, so a row is not multiplied by its features and the shuffle carries one row
+    per batch and task. Everything here adds up: parts of a batch can be counted apart and merged.
     """
     data, concept = F.col("data_drift_injected"), F.col("concept_drift_injected")
     y = F.col(S.TARGET).cast("double")
@@ -87,19 +87,45 @@ def batch_profile(scored: DataFrame, edges: BinEdges) -> DataFrame:
     if edges.segment is not None:
         bands = ", ".join(f"'{label}'" for label in S.HIGH_DENSITY_BANDS)
         counts += _bin_counts(SEGMENT, SEGMENT_FEATURE, edges.segment, f"Density_band IN ({bands})")
+    means = (
+        ("empirical_claim_rate", y),
+        ("mean_predicted_probability", F.col(S.PROBABILITY)),
+        ("data_drift_eligible_fraction", X.high_density().cast("double")),
+        ("concept_drift_eligible_fraction", X.high_bonus_malus().cast("double")),
+    )
+    for name, value in means:
+        counts += [F.sum(value).alias(f"{name}+"), F.count(value).alias(f"{name}/")]
     return scored.groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("row_count"),
-        F.avg(y).alias("empirical_claim_rate"),
-        F.avg(S.PROBABILITY).alias("mean_predicted_probability"),
         F.bool_or(data).alias("data_drift_ground_truth"),
         F.bool_or(concept).alias("concept_drift_ground_truth"),
         F.bool_or(data & concept).alias("overlap_ground_truth"),
-        F.avg(X.high_density().cast("double")).alias("data_drift_eligible_fraction"),
-        F.avg(X.high_bonus_malus().cast("double")).alias("concept_drift_eligible_fraction"),
         *counts,
     )
 
 
+def merge_counts(parts: DataFrame) -> DataFrame:
+    """Counts of whole batches from those of their parts."""
+    merged = [
+        (F.bool_or if kind == "boolean" else F.sum)(f"`{name}`").alias(name)
+        for name, kind in parts.dtypes
+        if name not in ("batch_id", "epoch")
+    ]
+    return parts.groupBy("batch_id").agg(*merged)
+
+
+def profile_of(counts: DataFrame) -> DataFrame:
+    """The profile of each batch: sums turned into means."""
+    means = [c.removesuffix("+") for c in counts.columns if c.endswith("+")]
+    kept = [F.col(f"`{c}`") for c in counts.columns if c.rstrip("+/") not in means]
+    return counts.select(*kept, *(F.try_divide(F.col(f"`{m}+`"), F.col(f"`{m}/`")).alias(m) for m in means))
+
+
+def batch_profile(scored: DataFrame, edges: BinEdges) -> DataFrame:
+    """Residual, flags and all numeric histograms per batch."""
+    return profile_of(batch_counts(scored, edges))
+
+
 def numeric_histogram(profile: DataFrame, edges: BinEdges) -> DataFrame:
     """``batch_id, feature, bin, n`` rows from the wide profile; every bin is present."""
     shapes = dict(edges.numeric)

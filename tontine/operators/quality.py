@@ -90,7 +90,7 @@ def expect_binary(df: DataFrame, column: str) -> DataFrame:
     if not result["is_binary"]:
         raise DataQualityError(f"{column} must be binary 0/1")
     if not result["domain_ok"]:
-        raise DataQualityError(f"{column} must contain at least two rows from each class")
+        raise DataQualityError(f"{column} holds fewer than two rows of one class")
     return df
 
 
@@ -152,9 +152,9 @@ def expect_batches(df: DataFrame, last_reference: int = S.REFERENCE_LAST_BATCH)
     """More batches than the reference window plus one, numbered without gaps."""
     row = df.agg(F.max("batch_id").alias("last"), F.count_distinct("batch_id").alias("n")).first()
     if row["last"] is None or row["n"] <= last_reference + 1:
-        raise DataQualityError("stream must contain enough batches for reference and monitoring")
+        raise DataQualityError(f"nothing to monitor: batches end with the reference window (0..{last_reference})")
     if row["n"] != row["last"] + 1:
-        raise DataQualityError("stream batches must be numbered without gaps")
+        raise DataQualityError(f"batch numbers reach {row['last']}, but only {row['n']} batches exist")
 
 
 def classify_requests(df: DataFrame) -> DataFrame:
@@ -197,23 +197,23 @@ def pool_membership(df: DataFrame, request: str = "request_id", declared: str =
 
 def guard_clustering(k_min: int, k_max: int, sample_size: int, n_rows: int) -> None:
     if k_min < 2:
-        raise DataQualityError("k_min must be at least 2")
+        raise DataQualityError(f"the smallest number of pools is 2, got k_min={k_min}")
     if k_max < k_min:
-        raise DataQualityError("k_max must be greater than or equal to k_min")
+        raise DataQualityError(f"the scan from {k_min} to {k_max} is empty")
     if k_max >= n_rows:
-        raise DataQualityError("k_max must be smaller than the number of rows")
+        raise DataQualityError(f"{n_rows} rows cannot form k_max={k_max} pools")
     if sample_size < 2:
-        raise DataQualityError("the silhouette sample needs at least two rows")
+        raise DataQualityError(f"a silhouette over {sample_size} rows is undefined")
 
 
 def guard_batches(n_batches: int, n_rows: int, data_start: int, concept_start: int) -> None:
     if n_batches < 1:
-        raise DataQualityError("n_batches must be at least 1")
+        raise DataQualityError(f"cannot deal rows into {n_batches} batches")
     if n_batches > n_rows:
-        raise DataQualityError("n_batches must be no greater than the number of rows")
+        raise DataQualityError(f"{n_batches} batches asked of {n_rows} rows")
     for name, start in (("data", data_start), ("concept", concept_start)):
         if not 0 <= start < n_batches:
-            raise DataQualityError(f"the {name} drift start batch must be within the batch range")
+            raise DataQualityError(f"{name} drift starts at batch {start}, outside 0..{n_batches - 1}")
 
 
 def guard_leakage(columns: Sequence[str]) -> None:

@@ -509,19 +509,28 @@ def retrained_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streaming forms -----------------------------------------------------------------------------------
 
 
-@query("streamed_drift_metrics", steps("drift") + monitoring.DRIFT_SELECT)
-def streamed_drift_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The monitor fed batch files one by one; must equal the whole-table form."""
+def monitored(spark: SparkSession, sf_dir: str) -> drift_monitor.DriftMonitor:
+    """A monitor that has seen the stream file by file, with each batch in several files."""
     stream = B.stream(spark, sf_dir)
-    source, sink, state = (fresh_path(spark, n) for n in ("arriving", "metrics", "state"))
-    # One file per batch, as a batch must arrive whole.
-    stream.repartition(S.N_BATCHES, "batch_id").write.partitionBy("batch_id").parquet(source)
+    source, sink, state = (fresh_path(spark, n) for n in ("arriving", "counts", "state"))
+    stream.repartition(3, "IDpol").write.partitionBy("batch_id").parquet(source)
     stored = spark.read.schema(stream.schema).parquet(source)
-    reference = drift.fit_reference(B.scorer()(stored))
-    monitor = drift_monitor.DriftMonitor(reference, B.scorer(), sink)
-    arriving = drift_monitor.stream_batches(spark, source, stream.schema, files_per_trigger=5)
+    monitor = drift_monitor.DriftMonitor(drift.fit_reference(B.scorer()(stored)), B.scorer(), sink)
+    arriving = drift_monitor.stream_batches(spark, source, stream.schema, files_per_trigger=16)
     monitor.start(arriving, state, available_now=True).awaitTermination()
-    return monitoring.round_metrics(drift_monitor.read_metrics(spark, sink))
+    return monitor
+
+
+@query("streamed_drift_metrics", steps("drift") + monitoring.DRIFT_SELECT)
+def streamed_drift_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The monitor fed batches in parts; must equal the whole-table form."""
+    return monitoring.round_metrics(monitored(spark, sf_dir).metrics(spark))
+
+
+@query("streamed_retraining_events", steps("events_log") + f"SELECT {', '.join(lifecycle_plans.EVENT_COLUMNS)} FROM events_log")
+def streamed_retraining_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of the monitor fed batches in parts; must equal those of the whole table."""
+    return monitored(spark, sf_dir).events(spark).select(*lifecycle_plans.EVENT_COLUMNS)
 
 
 @query(

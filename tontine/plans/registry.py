@@ -165,7 +165,7 @@ step(
 FROM (SELECT *, batch_id >= 15 AND BonusMalus >= 100 AS concept_hit,
              batch_id >= 15 AND BonusMalus >= 100 AND target_claim_count < 4 AS needs FROM shifted) s
 LEFT JOIN positive_severity v
-  ON s.needs AND v.draw = ('0x' || substr(md5('43:' || s.IDpol), 1, 8))::BIGINT % (SELECT count(*) FROM positive_severity)""",
+  ON s.needs AND v.draw = ('0x' || substr(md5('43:' || s.IDpol), 1, 15))::BIGINT % (SELECT count(*) FROM positive_severity)""",
 )
 step(
     "stream",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tontine import schemas as S
+from tontine.functions import scalars as X
 from tontine.operators import features, metrics, sampling, scoring
 from tontine.plans import binding as B
 from tontine.plans.registry import query, rounded, step, steps
@@ -124,14 +125,14 @@ def pool_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("pool_size"),
         F.avg("DrivAge").alias("pool_mean_driv_age"),
         F.sum("target_claim_count").alias("pool_claim_count"),
-        F.try_divide(F.sum("target_claim_count"), F.nullif(F.sum("Exposure"), F.lit(0.0))).alias("rate"),
+        X.guarded_ratio(F.sum("target_claim_count"), F.sum("Exposure")).alias("pool_claim_rate"),
     )
     joined = rollup.join(scores, "pool_id").select(
         "pool_id",
         "pool_size",
         "pool_mean_driv_age",
         "pool_claim_count",
-        F.coalesce("rate", F.lit(0.0)).alias("pool_claim_rate"),
+        "pool_claim_rate",
         "pool_risk_score",
         "pool_score_weighting_method",
     )

@@ -76,10 +76,11 @@ def orphan_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "claims_per_policy",
-    steps("claim") + "SELECT IDpol, count(*) AS observed_claims FROM claim GROUP BY IDpol",
+    steps("policy", "claim")
+    + "SELECT IDpol, count(*) AS observed_claims FROM claim WHERE IDpol IN (SELECT IDpol FROM policy) GROUP BY IDpol",
 )
 def claims_per_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cleaning.claims_per_policy(B.claims(spark, sf_dir))
+    return cleaning.claims_per_policy(B.claims(spark, sf_dir), B.policies(spark, sf_dir))
 
 
 @query(

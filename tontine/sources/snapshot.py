@@ -8,6 +8,10 @@ from tontine import schemas as S
 from tontine.sources.tables import SourceError
 
 
+#: Absent paths that an error message spells out.
+NAMED_PATHS = 100
+
+
 def expected_artifacts(spark: SparkSession, n_batches: int = S.N_BATCHES) -> DataFrame:
     """Relative paths of a complete processed dataset."""
     # The artifact names of a processed dataset.
@@ -39,9 +43,11 @@ def manifest_check(expected: DataFrame, present: DataFrame) -> DataFrame:
 def expect_manifest(expected: DataFrame, present: DataFrame, allow_missing: bool = False) -> DataFrame:
     missing = manifest_check(expected, present)
     if not allow_missing:
-        paths = [row["path"] for row in missing.orderBy("path").limit(100).collect()]
-        if paths:
-            raise SourceError(f"processed dataset is missing expected artifacts: {', '.join(paths)}")
+        absent = missing.count()
+        if absent:
+            # The message names the first ones; the table with all of them is the return value of ``manifest_check``.
+            first = [row["path"] for row in missing.orderBy("path").limit(NAMED_PATHS).collect()]
+            raise SourceError(f"{absent} artifacts of the manifest are not in the dataset, first {', '.join(first)}")
     return missing
 
 

@@ -1,4 +1,4 @@
-"""Live drift monitoring: one metrics row per arriving batch, events on a trigger."""
+"""Live drift monitoring: mergeable counts per arriving part, metrics and retraining events on demand."""
 
 from __future__ import annotations
 
@@ -7,37 +7,51 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tontine import schemas as S
 from tontine.operators import drift, lifecycle
+from tontine.sources.shared import spool
 
 
 class DriftMonitor:
-    """Scores micro-batches against a frozen reference and appends their metrics.
+    """Counts micro-batches against a frozen reference; metrics follow from the summed counts.
 
-    A micro-batch may hold several batch numbers; all are measured in one plan. The sink
-    is partitioned by ``batch_id`` and partitions are overwritten, so a replayed
-    micro-batch rewrites its own rows instead of doubling them. A batch must arrive whole
-    (one file or folder per batch), as its distribution is what is measured.
+    Each micro-batch stores what adds up (bins, categories, rows, sums, flags) in partitions of batch number and epoch.
+    A batch may therefore arrive in any number of files, over several micro-batches and in any order, and a replayed
+    micro-batch rewrites its own partitions instead of doubling them.
     """
 
-    def __init__(self, reference: drift.DriftReference, scorer, metrics_path: str):
+    def __init__(self, reference: drift.DriftReference, scorer, path: str):
         self.reference = reference
         self.scorer = scorer
-        self.metrics_path = metrics_path
+        self.path = path
 
     def process(self, micro_batch: DataFrame, epoch: int) -> None:
         scored = self.scorer(micro_batch).persist()
-        profile = drift.batch_profile(scored, self.reference.edges).persist()
-        categories = drift.categorical_histogram(scored).persist()
         try:
-            metrics = drift.score_profiles(profile, categories, self.reference)
-            (
-                metrics.write.mode("overwrite")
-                .option("partitionOverwriteMode", "dynamic")
-                .partitionBy("batch_id")
-                .parquet(self.metrics_path)
-            )
+            self._store(drift.batch_counts(scored, self.reference.edges), epoch, "counts")
+            self._store(drift.categorical_histogram(scored), epoch, "categories")
         finally:
-            for held in (profile, categories, scored):
-                held.unpersist()
+            scored.unpersist()
+
+    def _store(self, counts: DataFrame, epoch: int, name: str) -> None:
+        (
+            counts.withColumn("epoch", F.lit(epoch).cast("long"))
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("batch_id", "epoch")
+            .parquet(f"{self.path}/{name}")
+        )
+
+    def metrics(self, spark: SparkSession) -> DataFrame:
+        """One row per batch seen so far, over all of its parts."""
+        batch = F.col("batch_id").cast("int").alias("batch_id")
+        counts = spark.read.parquet(f"{self.path}/counts")
+        counts = counts.select(batch, *(F.col(f"`{c}`") for c in counts.columns if c != "batch_id"))
+        categories = spark.read.parquet(f"{self.path}/categories").groupBy(batch, "feature", "bin").agg(F.sum("n").alias("n"))
+        profile = spool(drift.profile_of(drift.merge_counts(counts)), "monitor-profile")
+        return drift.score_profiles(profile, spool(categories, "monitor-categories"), self.reference)
+
+    def events(self, spark: SparkSession) -> DataFrame:
+        """Retraining events of all batches seen so far."""
+        return trigger_retraining(spool(self.metrics(spark), "monitor-metrics"))
 
     def start(self, stream: DataFrame, checkpoint: str, available_now: bool = False) -> StreamingQuery:
         writer = stream.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint)
@@ -55,11 +69,6 @@ def stream_batches(spark: SparkSession, path: str, schema: T.StructType, files_p
     )
 
 
-def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    table = spark.read.parquet(path)
-    return table.withColumn("batch_id", F.col("batch_id").cast("int")).select(*drift.METRIC_COLUMNS)
-
-
 def trigger_retraining(metrics: DataFrame) -> DataFrame:
     """Events of all batches measured so far."""
     return lifecycle.retraining_events(metrics, S.WINDOW_BATCHES)
