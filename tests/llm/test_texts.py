@@ -310,13 +310,15 @@ def leaks_by_hand(texts, items):
             n = len(v)
             k = int(n * decontam.EDIT_SHARE + 1e-9)
             if n >= decontam.LEAST_WORDS:
-                best = min((distance(w[s : s + n], v) for s in range(len(w))), default=n)
+                held = set(v)  # a window within k edits holds n - k words of the item
+                near = [s for s in range(len(w)) if sum(x in held for x in w[s : s + n]) >= n - k]
+                best = min((distance(w[s : s + n], v) for s in near), default=n)
                 if best <= k:
                     out[r, i] = best
     return out
 
 
-def planted(seed, n_items=12, copies=8):
+def planted(seed, n_items=6, copies=8):
     rng = random.Random(seed)
     vocabulary = [f"{a}{b}" for a in "the of and in on er".split() for b in "ing tion ly an st the".split()]
     items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(8, 40)))) for i in range(n_items)]
@@ -337,7 +339,7 @@ def test_leaks_are_found_and_measured_right():
     found = {(r, int(block.ids[o])): e for r, o, e, _ in decontam.find(block, pa.array(texts), WordHashes(punctuation=True))}
     want = leaks_by_hand(texts, items)
     assert set(found) <= set(want) and all(want[p] <= e for p, e in found.items())
-    assert len(found) >= 0.95 * len(want) and len(want) > 60
+    assert len(found) >= 0.95 * len(want) and len(want) > 30
 
 
 def test_leaks_of_odd_rows(spark):
