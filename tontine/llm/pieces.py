@@ -26,6 +26,7 @@ Defined results
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from array import array
@@ -45,7 +46,7 @@ SPACE_MARK = "▁"
 RANK_SHIFT = 50.0
 SEGMENT = re.compile(f"{SPACE_MARK}+[^{SPACE_MARK}]*|[^{SPACE_MARK}]+")
 #: Distinct segments whose lattices a worker remembers from batch to batch.
-REMEMBERED = 3 << 16
+REMEMBERED = 5 << 16
 BATCH_BYTES = 1 << 19
 BASE = 0xC2B2AE3D27D4EB4F
 
@@ -365,6 +366,12 @@ class Sampler:
         return np.array(out, np.int32)
 
 
+@functools.lru_cache(maxsize=1)
+def worker_sampler(model: bytes, samples: int) -> Sampler:
+    """One sampler per worker process, so that the tasks it runs share vocabulary and lattices."""
+    return Sampler(model, samples)
+
+
 def log_inclusion(log_prob: float, threshold: float) -> float:
     """``log(1 - exp(-exp(log_prob - threshold)))`` without under- or overflow."""
     x = log_prob - threshold
@@ -384,7 +391,7 @@ def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", model:
         shared = documents.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(shared.value, samples)
+        sampler = worker_sampler(shared.value, samples)
         for batch in slices(batches, 1, BATCH_BYTES):
             texts, ids = batch.column(1).to_pylist(), batch.column(0)
             keys = mix64(ids.fill_null(-(1 << 62) - 1).to_numpy().view(np.uint64) + np.uint64(1))
