@@ -213,8 +213,8 @@ class Path:
 class Sampler:
     """Draws samples for batches of texts."""
 
-    def __init__(self, model: bytes, samples: int = SAMPLES) -> None:
-        self.vocabulary, self.samples = Vocabulary(model), samples
+    def __init__(self, model: bytes, samples: int = SAMPLES, remembered: int = REMEMBERED) -> None:
+        self.vocabulary, self.samples, self.remembered = Vocabulary(model), samples, remembered
         self.lattices = Lattices(self.vocabulary)
 
     def walk(self, nodes: np.ndarray, keys: np.ndarray, segment: np.ndarray, sample: int, views) -> tuple[np.ndarray, np.ndarray]:
@@ -257,7 +257,7 @@ class Sampler:
 
     def draw(self, texts: list[str | None], keys: np.ndarray) -> list[tuple[list[Path], np.ndarray, list[list[int]]]]:
         lattices = self.lattices
-        if len(lattices.entry) > REMEMBERED:
+        if len(lattices.entry) > self.remembered:
             lattices.clear()
         flat, counts = [], []
         for text in texts:
@@ -367,9 +367,9 @@ class Sampler:
 
 
 @functools.lru_cache(maxsize=1)
-def worker_sampler(model: bytes, samples: int) -> Sampler:
+def worker_sampler(model: bytes, samples: int, remembered: int) -> Sampler:
     """One sampler per worker process, so that the tasks it runs share vocabulary and lattices."""
-    return Sampler(model, samples)
+    return Sampler(model, samples, remembered)
 
 
 def log_inclusion(log_prob: float, threshold: float) -> float:
@@ -383,15 +383,21 @@ def log_inclusion(log_prob: float, threshold: float) -> float:
 ENCODED = "doc_id long, sample int, pieces array<int>, n_pieces int, log_prob double, perturbed double, log_inclusion double, decodes boolean"
 
 
-def encode(documents: DataFrame, key: str = "doc_id", text: str = "text", model: str = MODEL, samples: int = SAMPLES) -> DataFrame:
-    """``samples`` distinct segmentations of every row, best perturbed value first; ``decodes``: the pieces give the text."""
+def encode(
+    documents: DataFrame, key: str = "doc_id", text: str = "text", model: str = MODEL, samples: int = SAMPLES,
+    remembered: int = REMEMBERED,
+) -> DataFrame:
+    """``samples`` distinct segmentations of every row, best perturbed value first; ``decodes``: the pieces give the text.
+
+    ``remembered`` bounds the lattices that a worker keeps (about 0.7 KB each); it trades memory for time only.
+    """
     if samples < 1:
         raise ValueError(f"at least one sample is needed, not {samples}")
     with open(model, "rb") as file:  # half a megabyte; the workers get it from here
         shared = documents.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = worker_sampler(shared.value, samples)
+        sampler = worker_sampler(shared.value, samples, remembered)
         for batch in slices(batches, 1, BATCH_BYTES):
             texts, ids = batch.column(1).to_pylist(), batch.column(0)
             keys = mix64(ids.fill_null(-(1 << 62) - 1).to_numpy().view(np.uint64) + np.uint64(1))
