@@ -42,7 +42,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def segmentation_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled segmentations of what is left."""
-    return pieces.encode(docs)
+    return pieces.encode(docs, remembered=1 << 15)  # executors still hold what earlier stages left
 
 
 STAGES = [
