@@ -342,6 +342,18 @@ def test_leaks_are_found_and_measured_right():
     assert len(found) >= 0.95 * len(want) and len(want) > 30
 
 
+@pytest.mark.parametrize("stutter", ["x x x x x x y z", "0 0 0 0 0 0 0 0", "q q q q q p p p"])
+def test_leaks_beside_items_of_a_repeated_word(stutter):
+    plain = "alpha beta gamma delta epsilon zeta eta theta"
+    items = [(0, stutter), (1, plain), (2, " ".join(f"w{i}" for i in range(8)))]
+    repeated = stutter.split()[0]
+    texts = [plain, f"{repeated} " * 60 + stutter, "near " + plain.replace("beta", "other") + " end", f"{repeated} " * 3]
+    texts += ["w0 w1 " * 20 + plain, " ".join(f"w{i}" for i in range(8)), "only filler here", stutter, plain + " tail"] * 3
+    block = decontam.build_items([i for i, _ in items], [t for _, t in items])
+    found = {(r, int(block.ids[o])): e for r, o, e, _ in decontam.find(block, pa.array(texts), WordHashes(punctuation=True))}
+    assert found == leaks_by_hand(texts, items)
+
+
 def test_leaks_of_odd_rows(spark):
     items, texts = planted(6, 4, 1)
     passage = items[0][1]

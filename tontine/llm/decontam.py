@@ -10,7 +10,8 @@ sampled at ``SAMPLES`` random sets of ``BITS`` coordinates; a window and an item
 one of the samples. Candidates are verified by banded edit distance; recall of the search is measured in the tests.
 
 An edit breaks two neighbouring pairs of words at most. So a window enters the walk only if it holds ``n - 1 - 2 k`` pairs
-that occur in items of ``n`` words; of one word repeated over and over only as many pairs count as such an item has.
+that occur in items of ``n`` words. Of one word repeated over and over only as many pairs count as an item has, and an
+item that holds such pairs needs so many fewer; where none would be left, all pairs of the text count for that item.
 Nothing is lost, and most text is passed over.
 
 The items of one pass are bounded (``BLOCK_WORDS`` words); a larger benchmark is searched block by block.
@@ -56,18 +57,15 @@ class Items:
     vocabulary: np.ndarray
     #: Hashes of the items' pairs of neighbouring words.
     pairs: np.ndarray
-    #: Sizes of the items that hold pair ``i``: ``pair_sizes[first[i] : first[i + 1]]``.
+    #: Kinds of the items that hold pair ``i``: ``pair_kinds[first[i] : first[i + 1]]``.
     first: np.ndarray
-    pair_sizes: np.ndarray
+    pair_kinds: np.ndarray
+    #: Kinds of items, in order: words, and the most pairs of one repeated word that an item of the kind holds.
+    kinds: np.ndarray
     #: The most times that one item holds each pair.
     times: np.ndarray
     keys: np.ndarray
     owners: np.ndarray
-    repeats: dict[int, int]
-
-    def spare(self, n: int) -> int:
-        """The most pairs of one repeated word that an item of ``n`` words holds."""
-        return self.repeats.get(n, 0)
 
 
 def limit(sizes: np.ndarray) -> np.ndarray:
@@ -166,11 +164,12 @@ def build_items(ids: list, texts: list[str | None], least_words: int = LEAST_WOR
     np.maximum.at(times, held % width, counts)
     doubled = np.flatnonzero(words[:-1] == words[1:])
     doubled = doubled[np.isin(doubled, inner)]
-    repeats: dict[int, int] = {}
-    for position in doubled.tolist():
-        n = int(sizes[chosen][item_of[position]])
-        repeats[n] = max(repeats.get(n, 0), int(times[np.searchsorted(pairs, joined[position])]))
-    by_pair = np.unique(np.stack((number, sizes[chosen][item_of[inner]]), 1), axis=0).reshape(-1, 2)
+    spare = np.zeros(len(chosen), np.int64)
+    code = item_of[doubled] * width + np.searchsorted(pairs, joined[doubled])
+    np.maximum.at(spare, item_of[doubled], counts[np.searchsorted(held, code)])
+    kinds, kind = np.unique(np.stack((sizes[chosen], spare), 1), axis=0, return_inverse=True)
+    kind = kind.reshape(-1)
+    by_pair = np.unique(np.stack((number, kind[item_of[inner]]), 1), axis=0).reshape(-1, 2)
     first = np.searchsorted(by_pair[:, 0], np.arange(width))
     keys, owners = np.empty(0, np.uint64), np.empty(0, np.int64)
     if len(chosen):
@@ -178,7 +177,7 @@ def build_items(ids: list, texts: list[str | None], least_words: int = LEAST_WOR
         owners = np.repeat(np.arange(len(chosen)), WALKS * SAMPLES)
     order = np.argsort(keys, kind="stable")
     names = np.array([ids[i] for i in chosen], np.int64)
-    return Items(names, numbered, starts, sizes[chosen], vocabulary, pairs, first, by_pair[:, 1], times, keys[order], owners[order], repeats)
+    return Items(names, numbered, starts, sizes[chosen], vocabulary, pairs, first, by_pair[:, 1], kinds, times, keys[order], owners[order])
 
 
 def windows(items: Items, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,25 +192,31 @@ def windows(items: Items, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarra
     fresh[1:] = (place[1:] != place[:-1] + 1) | (number[1:] != number[:-1]) | np.isin(place[1:], at)
     since = np.arange(len(place)) - np.maximum.accumulate(np.where(fresh, np.arange(len(place)), 0))
     counted = since < items.times[number]
-    place, number = place[counted], number[counted]
     many = items.first[number + 1] - items.first[number]
     entry = np.repeat(items.first[number] - np.cumsum(many) + many, many) + np.arange(many.sum())
-    place, size = np.repeat(place, many), items.pair_sizes[entry]
+    place, counted, kind = np.repeat(place, many), np.repeat(counted, many), items.pair_kinds[entry]
+    # What a window within the limit must hold. One that starts inside of a run may hold as many pairs of it again.
+    whole = items.kinds[:, 0] - 1 - 2 * limit(items.kinds[:, 0])
+    folded = whole - items.kinds[:, 1]
+    # Without folding, a kind whose items are little but one repeated word loses no window.
+    needed = np.where(folded > 0, folded, whole)
+    chosen = np.flatnonzero(counted | (folded <= 0)[kind])
+    chosen = chosen[np.argsort(kind[chosen], kind="stable")]
+    place, bounds = place[chosen], np.searchsorted(kind[chosen], np.arange(len(items.kinds) + 1))
     begin = at[np.searchsorted(at, place, side="right") - 1]
-    starts, sizes = [place[:0]], [place[:0]]
-    for n in np.unique(size).tolist():
-        own = place[size == n]
-        # A window that starts inside of a run may hold as many pairs of it again.
-        least = n - 1 - 2 * int(limit(np.array([n]))[0]) - items.spare(n)
+    starts: dict[int, list[np.ndarray]] = {}
+    for i in np.flatnonzero(np.diff(bounds)).tolist():
+        n, least = int(items.kinds[i, 0]), int(needed[i])
+        own = place[bounds[i] : bounds[i + 1]]
         near = own[least - 1 :] - own[: len(own) - least + 1] <= n - 2 if len(own) >= least else np.empty(0, bool)
         ok = np.flatnonzero(near)
-        low = np.maximum(own[ok + least - 1] - (n - 2), begin[size == n][ok])
+        low = np.maximum(own[ok + least - 1] - (n - 2), begin[bounds[i] + ok])
         span = own[ok] - low + 1
         low, span = low[span > 0], span[span > 0]
-        found = np.unique(np.repeat(low - np.cumsum(span) + span, span) + np.arange(span.sum()))
-        starts.append(found)
-        sizes.append(np.full(len(found), n, np.int64))
-    return np.concatenate(starts), np.concatenate(sizes)
+        starts.setdefault(n, []).append(np.repeat(low - np.cumsum(span) + span, span) + np.arange(span.sum()))
+    found = {n: np.unique(np.concatenate(parts)) for n, parts in starts.items()}
+    sizes = np.repeat(np.array(list(found), np.int64), [len(f) for f in found.values()])
+    return np.concatenate([*found.values(), place[:0]]), sizes
 
 
 def find(items: Items, column: pa.Array, hasher: WordHashes) -> list[tuple[int, int, int, int]]:
