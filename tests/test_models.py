@@ -165,6 +165,54 @@ def test_silhouette_by_hand(spark):
     assert np.isnan(clustering.silhouette(spark, points, np.arange(5)))
 
 
+def test_silhouette_reads_the_whole_table(spark, tmp_path):
+    from tontine.plans import operations
+
+    rng = np.random.default_rng(3)
+    labels = rng.integers(0, 3, 10_400)
+    vectors = rng.normal(size=(len(labels), 2)) + labels[:, None] * 1.5
+    vectors[:2000] = 0.25  # copies
+    rows = [(i, int(c), v) for i, (c, v) in enumerate(zip(labels, vectors.tolist()))]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["label"]: r for r in operations.silhouette(spark, str(tmp_path)).collect()}
+    totals = np.zeros((len(labels), 3))
+    for c in range(3):
+        for v in vectors[labels == c]:
+            totals[:, c] += np.hypot(vectors[:, 0] - v[0], vectors[:, 1] - v[1])
+    sizes, pick = np.bincount(labels), np.arange(len(labels))
+    inner = totals[pick, labels] / (sizes[labels] - 1)
+    means = totals / sizes
+    means[pick, labels] = np.inf
+    score = (means.min(axis=1) - inner) / np.maximum(means.min(axis=1), inner)
+    for c in range(3):
+        assert got[c]["n"] == sizes[c] and got[c]["silhouette"] == pytest.approx(score[labels == c].mean(), abs=2e-6)
+    best = operations.best_k(spark, str(tmp_path)).first()
+    assert best["silhouette_score"] == max(r["silhouette"] for r in got.values())
+
+
+def test_silhouette_table_of_few_labels(spark):
+    points = spark.createDataFrame([(i, c, [x]) for i, c, x in [(0, 0, 0.0), (1, 0, 1.0), (2, 1, 10.0), (3, 1, 11.0), (4, 2, 30.0)]], "id long, label int, v array<double>")
+    got = {r["id"]: r["silhouette"] for r in clustering.silhouette_table(points, "id", "label", "v", cell_rows=1).collect()}
+    assert len(got) == 5 and got[0] == pytest.approx((10.5 - 1) / 10.5) and got[4] == 0.0
+    one = clustering.silhouette_table(points.filter("label = 0"), "id", "label", "v").collect()
+    assert [r["silhouette"] for r in one] == [None, None]
+    assert clustering.silhouette_table(points.limit(0), "id", "label", "v").count() == 0
+
+
+def test_pools_scan_all_k(spark, sf, monkeypatch):
+    from tontine.plans import operations
+
+    seen = []
+    build = clustering.construct_pools
+
+    def short(policies, k_min=S.K_MIN, k_max=S.K_MAX, **rest):
+        seen.append((k_min, k_max))
+        return build(policies, k_min, k_min, **rest)
+
+    monkeypatch.setattr(clustering, "construct_pools", short)
+    assert operations.constructed_pools(spark, sf).count() == S.K_MIN and seen == [(10, 50)]
+
+
 def test_best_k_ties_and_nan(spark):
     scan = spark.createDataFrame([(5, 0.3), (4, 0.3), (3, float("nan")), (2, None)], "k int, silhouette_score double")
     assert clustering.best_k(scan).first()["selected_k"] == 4

@@ -1,4 +1,4 @@
-"""Pools from policy attributes: a scan over k, scored on a fixed sample."""
+"""Pools from policy attributes: a scan over k, scored on a fixed sample; the silhouette of whole tables."""
 
 from __future__ import annotations
 
@@ -117,6 +117,82 @@ def silhouette_points(
     return scored.select("position", lookup[F.col("code")].alias("label"), "silhouette")
 
 
+#: A cell of the silhouette's grid compares so many rows with as many; at least so many groups a side.
+CELL_ROWS, LEAST_GROUPS = 1 << 15, 6
+
+
+def _label_sums(key: str, label: str, vector: str, block: int = 1024):
+    def measure(cell: pd.DataFrame) -> pd.DataFrame:
+        own, others = cell[~cell["_other"]], cell[cell["_other"]]
+        if own.empty or others.empty:
+            return pd.DataFrame({key: own[key][:0], label: own[label][:0], "other": own[label][:0], "total": np.zeros(0)})
+        codes, names = pd.factorize(others[label], use_na_sentinel=False)
+        member = np.zeros((len(others), len(names)))
+        member[np.arange(len(others)), codes] = 1.0
+        left, right = (np.vstack(side[vector].to_numpy()).astype(np.float64) for side in (own, others))
+        centre = right.mean(axis=0)
+        left, right = left - centre, right - centre
+        norms = np.einsum("ij,ij->i", right, right)
+        sums = np.empty((len(own), len(names)))
+        for at in range(0, len(own), block):
+            part = left[at : at + block]
+            scale = np.einsum("ij,ij->i", part, part)[:, None] + norms
+            squared = scale - 2.0 * (part @ right.T)
+            # What is lost to rounding: equal vectors are exactly 0 apart.
+            squared[squared < 1e-13 * scale] = 0.0
+            sums[at : at + block] = np.sqrt(squared, out=squared) @ member
+        return pd.DataFrame(
+            {
+                key: np.repeat(own[key].to_numpy(), len(names)),
+                label: np.repeat(own[label].to_numpy(), len(names)),
+                "other": np.tile(np.asarray(names), len(own)),
+                "total": sums.ravel(),
+            }
+        )
+
+    return measure
+
+
+def silhouette_table(points: DataFrame, key: str, label: str, vector: str, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Euclidean silhouette of every row, measured against all rows: ``key, label, silhouette``.
+
+    Rows are dealt by key hash into groups; a task compares one group with another and keeps
+    sums per label, so pairs are never rows and nothing passes through the driver. The work
+    is that of all pairs. Keys are unique; labels held by one point score zero, the only
+    label of a table scores null.
+    """
+    groups = max(LEAST_GROUPS, -(-points.count() // cell_rows))
+    dealt = points.select(key, label, vector, F.pmod(F.xxhash64(key), F.lit(groups)).cast("int").alias("_g"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    sides = dealt.select("*", F.lit(False).alias("_other"), F.col("_g").alias("_i"), every.alias("_j")).unionByName(
+        dealt.select("*", F.lit(True).alias("_other"), F.col("_g").alias("_j"), every.alias("_i"))
+    )
+    kinds = dict(points.select(key, label).dtypes)
+    fields = f"`{key}` {kinds[key]}, `{label}` {kinds[label]}, other {kinds[label]}, total double"
+    cells = sides.drop("_g").repartition(groups * groups, "_i", "_j").groupBy("_i", "_j")
+    sums = cells.applyInPandas(_label_sums(key, label, vector), fields).groupBy(key, label, "other").agg(F.sum("total").alias("total"))
+    sizes = points.groupBy(F.col(label).alias("_name")).agg(F.count(F.lit(1)).alias("n"))
+    mine = F.col("other") == F.col(label)
+    inner, outer, n = F.col("_a"), F.col("_b"), F.col("_n")
+    return (
+        sums.join(sizes, F.col("other").eqNullSafe(F.col("_name")))
+        .groupBy(key, label)
+        .agg(
+            F.max(F.when(mine, F.col("n"))).alias("_n"),
+            F.max(F.when(mine & (F.col("n") > 1), F.col("total") / (F.col("n") - 1))).alias("_a"),
+            F.min(F.when(~mine, F.col("total") / F.col("n"))).alias("_b"),
+        )
+        .select(
+            key,
+            label,
+            F.when(n == 1, 0.0)
+            .when(F.greatest(inner, outer) == 0, 0.0)
+            .when(inner.isNotNull() & outer.isNotNull(), (outer - inner) / F.greatest(inner, outer))
+            .alias("silhouette"),
+        )
+    )
+
+
 def silhouette(spark: SparkSession, vectors: np.ndarray, labels: np.ndarray) -> float:
     """Mean silhouette; NaN for fewer than two labels or one point per label."""
     distinct = len(np.unique(labels))

@@ -405,14 +405,8 @@ def clustering_inertia(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Silhouette of a hash-drawn sample of vectors, as the scan over k measures it."""
-    import numpy as np
-
-    from tontine.operators.sampling import fixed_sample
-
-    sample = fixed_sample(B.table(spark, sf_dir, "embeddings"), "vec_id", S.SILHOUETTE_SAMPLE).toPandas()
-    vectors = np.vstack(sample["embedding"].to_numpy()).astype("float64")
-    return clustering.silhouette_points(spark, vectors, sample["label"].to_numpy())
+    """Silhouette of every vector against all vectors."""
+    return clustering.silhouette_table(B.table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding")
 
 
 @query(
@@ -467,8 +461,8 @@ def claim_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("constructed_pools")
 def constructed_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pools of the best of five k-means runs over all policies."""
-    result = clustering.construct_pools(B.policies(spark, sf_dir).drop("pool_id"), 10, 14)
+    """Pools of the best k-means run of ``K_MIN .. K_MAX`` over all policies."""
+    result = clustering.construct_pools(B.policies(spark, sf_dir).drop("pool_id"))
     return result.frequency.groupBy("pool_id").agg(F.count(F.lit(1)).alias("pool_size"))
 
 
