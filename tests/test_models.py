@@ -131,6 +131,17 @@ def test_online_candidate_learns_and_equals_itself_in_pieces(contracts):
     assert online.state_table(encoded, trained).count() == 15
 
 
+def test_trees_draw_from_the_whole_table(spark):
+    rows = spark.range(0, 60_000, 1, 6).select(F.col("id").alias("IDpol"), F.array(F.col("id").cast("double")).alias("v"))
+    drawn = anomaly.tree_samples(rows, trees=100, rows=256).groupBy("tree").agg(F.collect_set("IDpol").alias("ids")).collect()
+    assert len(drawn) == 100 and all(len(r["ids"]) == 256 for r in drawn)
+    # 25,600 draws from 60,000 rows: 20,875 different ones are expected, 16,230 of a pool of 25,600 rows only.
+    distinct = len({i for r in drawn for i in r["ids"]})
+    assert 20_400 < distinct < 21_300
+    smallest = rows.orderBy(F.xxhash64(F.lit(S.SEED), F.lit(7), "IDpol")).limit(256).collect()
+    assert {r["IDpol"] for r in smallest} == set(next(r["ids"] for r in drawn if r["tree"] == 7))
+
+
 def policies(spark, rows=60):
     i = F.col("id")
     text = lambda p, m: F.concat(F.lit(p), (i % m).cast("string"))

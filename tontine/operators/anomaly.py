@@ -17,11 +17,12 @@ from tontine import schemas as S
 from tontine.functions.hashing import seeded_md5
 from tontine.operators import encoding, scoring
 from tontine.operators.ordering import exact_quantiles
-from tontine.operators.sampling import fixed_sample
 from tontine.sources.shared import spool
 
 N_TREES = 100
 SAMPLE_ROWS = 256
+#: Candidates of a tree per row it keeps, and the fewest rows that are reckoned with.
+SPARE, LEAST_CANDIDATES = 2, 200
 _NODES = "tree int, node int, feature int, split double, left int, right int, size int, depth int"
 
 
@@ -34,16 +35,20 @@ def _mean_path(n: np.ndarray) -> np.ndarray:
 
 
 def tree_samples(encoded: DataFrame, key: str = "IDpol", trees: int = N_TREES, rows: int = SAMPLE_ROWS, seed: int = S.SEED) -> DataFrame:
-    """``tree, key, v`` with ``rows`` distinct rows per tree.
+    """``tree, key, v`` with ``rows`` distinct rows per tree, those of the whole table with the smallest hashes of the tree.
 
-    One pass draws a uniform pool of ``trees * rows`` rows; each tree then draws from the
-    pool by its own hash, so the work after the pass does not depend on the table size.
+    In one pass a row goes to the trees whose hash of it is small enough for about ``SPARE * rows``
+    candidates per tree; only these are ranked. Their number scatters by its root, so that fewer
+    than ``rows`` are met once in 10^20 draws at most; the work after the pass does not depend on the table size.
     """
-    pool = spool(fixed_sample(encoded, key, trees * rows, seed), "forest-pool")
-    ids = pool.select(key, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    order = Window.partitionBy("tree").orderBy(F.xxhash64(F.lit(seed), "tree", key), key)
-    chosen = ids.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= rows).drop("_r")
-    return chosen.join(pool, key)
+    total = encoded.count()
+    share = min(1.0, SPARE * max(rows, LEAST_CANDIDATES) / max(total, 1))
+    draw = lambda tree: F.xxhash64(F.lit(seed), tree, key)
+    most = F.lit(2**63 - 1 if share == 1.0 else int(2**64 * share) - 2**63)
+    drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda tree: draw(tree) <= most)
+    candidates = encoded.select(key, "v", F.explode(drawn).alias("tree"))
+    order = Window.partitionBy("tree").orderBy(draw(F.col("tree")), key)
+    return candidates.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= rows).select(key, "tree", "v")
 
 
 def _grower(seed: int, key: str):
