@@ -247,6 +247,33 @@ def test_main_text():
     assert mainhtml.main_text("<p>a < b <i>and</i> c &gt; d <a title=\"x>bar", costs) == "a < b and c > d"
 
 
+@pytest.mark.parametrize("mark", ["discussion", "search-algorithms", "related-work", "shareholders", "commentary", "social-policy"])
+def test_article_parts_named_by_their_subject_stay(mark):
+    costs = mainhtml.DEFAULT_COSTS
+    page = f"<body><article><p>It is begun here.</p><h2 id={mark}>Title of some words</h2><section id='{mark}'><p>Text of it.</p></section><p>More.</p></article></body>"
+    assert mainhtml.main_text(page, costs) == "It is begun here. Title of some words Text of it. More."
+    assert mainhtml.main_text(page.replace("article>", "div>"), costs) == "It is begun here. Title of some words Text of it. More."
+    assert mainhtml.main_text(f"<article><p>One.</p><div class='{mark}'><p>Two.</p></div></article>", costs) == "One. Two."
+
+
+def test_marked_and_hidden_parts_of_an_article_go():
+    costs = mainhtml.DEFAULT_COSTS
+    for part in ("class='x related-posts'", "id=comments", "class=ad", "role=complementary", "class=share-buttons", "hidden", "hidden=''",
+                 "style='color:red; display: none'", "aria-hidden=true"):
+        assert mainhtml.main_text(f"<article><p>One.</p><div {part}><p>Two.</p></div><p>Three.</p></article>", costs) == "One. Three."
+    for part in ("title='A hidden valley'", "data-note='display: none'", "alt='hidden'", "aria-label='Discussion of comments'"):
+        assert mainhtml.main_text(f"<article><p>One.</p><div {part}><p>Two.</p></div></article>", costs) == "One. Two."
+
+
+def test_form_around_the_page():
+    costs = mainhtml.DEFAULT_COSTS
+    text = " ".join(f"word{i}" for i in range(40))
+    for inner in (f"<article><p>{text}</p></article>", f"<div><p>{text}</p></div>"):
+        page = f"<body><form id=form1 action='/go'><input>{inner}</form><footer>end of page</footer></body>"
+        assert mainhtml.main_text(page, costs) == text
+    assert mainhtml.main_text(f"<body><p>{text}</p><form><p>Your name</p></form></body>", costs) == text
+
+
 def test_pages_of_the_table(spark, sf):
     """On pages with one article the text is what that element holds."""
     pages = spark.read.parquet(f"{sf}/pages.parquet")

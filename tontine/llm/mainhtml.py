@@ -3,7 +3,8 @@
 A page is read as a sequence of words and tags. A word scores +1; a tag scores a negative weight, or none, that depends
 on its name. The contiguous region with the largest sum (one linear scan) holds the article; ties go to the earlier and
 longer region. Text inside elements that never belong to an article (menus, forms, scripts, adverts by class, ...) is no
-candidate: such an element enters the scan as one tag.
+candidate: such an element enters the scan as one tag. Inside of an article only whole class, role or id tokens mark such
+elements; a form that holds an article or most words of the page is a plain container.
 
 Weights are learned. A page with exactly one ``article`` (or ``main``) element labels itself: what lies inside that
 element is content. For each tag, ``log((outside + a) / (inside + a))`` counts how much more often it stands outside,
@@ -51,11 +52,26 @@ INLINE = frozenset(
 RAW = frozenset("script style textarea title noscript iframe template".split())
 #: Words in class, id or role that mark parts which are not the article (not after has-, with-, no-).
 MARKED = re.compile(
-    r"(?<![a-z0-9])(?<!has-)(?<!with-)(?<!no-)(?<!without-)(?:ads?(?![a-z])|advert|banner|sponsor|promo|cookie|consent|gdpr|notice"
-    r"|alert|popup|modal|overlay|newsletter|subscri|signup|login|paywall|sidebar|side(?![a-z])|widget|related|recommend|share"
-    r"|sharing|social|comment|repl(?:y|ies)(?![a-z])|respond|disqus|discussion|nav(?![a-z])|navbar|navigation|menu|breadcrumb"
-    r"|pagination|pager(?![a-z])|toolbar|masthead|footer|copyright|search|complementary|contentinfo|dialog|disclaimer|toc(?![a-z])"
-    r"|form(?![a-z]))",
+    r"(?<![a-z0-9])(?<!has-)(?<!with-)(?<!no-)(?<!without-)(?:ads?|advert(?:s|isements?|ising)?|banners?|sponsor(?:s|ed)?"
+    r"|promo(?:s|tions?|ted)?|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlays?|newsletters?|subscri(?:be|bers?|ptions?)"
+    r"|signup|login|paywall|sidebars?|side|widgets?|related|recommend(?:ed|ations?)?|shar(?:e|es|ed|ing)|social|comments?"
+    r"|repl(?:y|ies)|respond|disqus|discussions?|nav|navigation|menus?|breadcrumbs?|pagination|pager|toolbars?|masthead|footer"
+    r"|copyright|search|complementary|contentinfo|dialog|disclaimer|toc|form)"
+    r"(?:area|bar|box|buttons?|container|content|form|icons?|links?|list|media|posts?|section|thread|wrap(?:per)?)?(?-i:(?![a-z]))",
+    re.IGNORECASE,
+)
+#: Whole class, id or role tokens that mark such parts inside of an article too; whole classes and roles only.
+PARTS = re.compile(
+    r"(?:ads?|advert|banner|promo|sponsor|cookies?|consent|gdpr|newsletter|subscribe|signup|login|share|sharing|social|related"
+    r"|recommended|comments?|search|widgets?)[-_]{1,2}(?:area|banner|bar|block|box|buttons?|container|form|icons?|label|links?|list|media|notice"
+    r"|articles|posts?|stories|section|slot|thread|unit|widgets?|wrap(?:per)?)"
+    r"|comments|respond|disqus[-_]thread|newsletter|paywall|sidebar|breadcrumbs?|pagination|navbar|toolbar|cookie-?banner",
+    re.IGNORECASE,
+)
+TOKENS = re.compile(
+    r"ads?|advert(?:s|isements?|ising)?|banners?|sponsor(?:s|ed)?|promo(?:s|tions?|ted)?|cookies?|gdpr|popup|modal|overlay|subscribe"
+    r"|subscription|signup|login|widgets?|related|recommended|recommendations|share|sharing|social|comment|repl(?:y|ies)|disqus"
+    r"|nav|navigation|menu|pager|masthead|footer|copyright|search|complementary|contentinfo|dialog|alert|toc|form",
     re.IGNORECASE,
 )
 MARKED_HEADER = re.compile(r"(?<![a-z0-9])(?<!has-)(?<!with-)(?<!no-)header", re.IGNORECASE)
@@ -65,26 +81,47 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+(?=>|\Z)|[^>]*)(?:>|\Z)",
     re.DOTALL,
 )
-ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|visibility\s*:\s*hidden|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
+#: Parts of a page whose words nobody reads, and other tags.
+MARKUP = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|iframe|template)\b.*?(?:</\1[^>]*(?:>|\Z)|\Z)|<[^>]*(?:>|\Z)", re.DOTALL | re.IGNORECASE
+)
+FORM_END = re.compile(r"</?form[\s>]|\Z", re.IGNORECASE)
+#: Elements whose id may name what their prose is about.
+TITLED = frozenset("section h1 h2 h3 h4 h5 h6".split())
 ARTICLE = frozenset(("article", "main"))
 #: Elements that a new one of the same name closes.
 SELF_CLOSED = frozenset("p li dt dd tr td th option".split())
 
 
-def unwanted(name: str, attributes: str, in_article: bool, by_class: bool) -> bool:
-    """Whether an element's whole content is left out."""
-    if name in SKIPPED or name == "header" and not in_article:
+def count_words(markup: str) -> int:
+    return len(MARKUP.sub(" ", markup).split())
+
+
+def unwanted(name: str, attributes: str, in_article: bool, by_class: bool, container: bool = False) -> bool:
+    """Whether an element's whole content is left out; a ``container`` is a form around the article."""
+    if not container and (name in SKIPPED or name == "header" and not in_article):
         return True
     if not attributes or not by_class or name in ("html", "body", "article", "main"):
         return False
-    if HIDDEN.search(attributes):
-        return True
-    for key, *values in ATTRIBUTE.findall(attributes):
-        if key.lower() in ("class", "id", "role", "aria-label"):
-            value = "".join(values)
-            if MARKED.search(value) or not in_article and MARKED_HEADER.search(value):
+    found = [(key.lower(), "".join(values)) for key, *values in ATTRIBUTE.findall(attributes)]
+    for key, value in found:
+        if key == "hidden" or key == "aria-hidden" and value.strip().lower() == "true" or key == "style" and HIDING.search(value):
+            return True
+    if container:
+        return False
+    for key, value in found:
+        if key not in ("class", "id", "role", "aria-label"):
+            continue
+        if in_article or key == "id" and name in TITLED:
+            # Prose may be about comments or related work: only whole tokens count here, and no id of a heading.
+            if key == "aria-label" or key == "id" and name in TITLED - {"section"}:
+                continue
+            if any(PARTS.fullmatch(t) or key != "id" and TOKENS.fullmatch(t) for t in value.split()):
                 return True
+        elif MARKED.search(value) or MARKED_HEADER.search(value):
+            return True
     return False
 
 
@@ -96,7 +133,7 @@ def sequence(page: str, by_class: bool = True) -> list[tuple[str, str, bool]]:
     article = "article" if re.search(r"<article[\s>]", page, re.IGNORECASE) else "main"
     out: list[tuple[str, str, bool]] = []
     at, inside = 0, 0
-    skipping, depth = "", 0
+    skipping, depth, words = "", 0, -1
     while match := TOKEN.search(page, at):
         if match.start() > at and not skipping:
             out.append(("", page[at : match.start()], inside > 0))
@@ -120,7 +157,12 @@ def sequence(page: str, by_class: bool = True) -> list[tuple[str, str, bool]]:
             out.append((f"/{name}", "", inside > 0))
             inside = max(0, inside - (name == article))
             continue
-        if unwanted(name, attributes, inside > 0, by_class):
+        container = False
+        if name == "form":
+            body = page[at : FORM_END.search(page, at).start()]
+            words = count_words(page) if words < 0 else words
+            container = bool(re.search(r"<(?:article|main)[\s>]", body, re.IGNORECASE)) or 2 * count_words(body) > words
+        if unwanted(name, attributes, inside > 0, by_class, container):
             out.append((f"-{name}", "", inside > 0))
             if name in VOID or attributes.endswith("/"):
                 continue
