@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tontine.llm import decontam, jaccard, linededup, mainhtml, pieces, quality, sharding, tokens, topk, warc
+from tontine.llm import bitplanes, decontam, exact, jaccard, linededup, mainhtml, pieces, quality, ranked, sharding, tokens, topk, warc
 from tontine.llm.registry import QUERIES, SQL, Build, query, table
 
 
@@ -166,3 +166,91 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("tokens").alias("stride"),
         F.crc32("tokens").alias("tokens_crc32"),
     )
+
+
+@query(
+    "op11_exactdedup",
+    """WITH t AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body
+  FROM documents),
+g AS (SELECT *, max(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size FROM t)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(body) AS text_sha256, 0 AS chain
+FROM g""",
+)
+def op11_exactdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.dedup(table(spark, sf_dir, "documents"))
+
+
+def centroid_sql(k: int, rounds: int) -> str:
+    """K-means in plain SQL: one pair of tables per round."""
+    body = f"""WITH v AS (
+  SELECT vec_id, row_number() OVER () AS i,
+         list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+h AS (SELECT w, sha256('1:' || CAST(vec_id AS VARCHAR)) AS name FROM v WHERE vec_id IS NOT NULL),
+c0 AS (SELECT CAST(row_number() OVER (ORDER BY name, w) - 1 AS INTEGER) AS cluster, w FROM h ORDER BY name, w LIMIT {k}),"""
+    for r in range(rounds + 1):
+        body += f"""
+d{r} AS (
+  SELECT v.i, v.vec_id, v.w, c.cluster,
+         CAST(list_sum(list_transform(list_zip(v.w, c.w), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS distance
+  FROM v CROSS JOIN c{r} c),
+a{r} AS (
+  SELECT i, any_value(vec_id) AS vec_id, any_value(w) AS w, min(distance) AS distance, arg_min(cluster, (distance, cluster)) AS cluster
+  FROM d{r} GROUP BY i),"""
+        if r < rounds:
+            body += f"""
+m{r} AS (
+  SELECT cluster, list(whole ORDER BY j) AS w FROM (
+    SELECT cluster, j, CAST(sum(x) // count(*) - CASE WHEN sum(x) % count(*) < 0 THEN 1 ELSE 0 END AS BIGINT) AS whole
+    FROM (SELECT cluster, unnest(w) AS x, generate_subscripts(w, 1) AS j FROM a{r}) GROUP BY cluster, j)
+  GROUP BY cluster),
+c{r + 1} AS (SELECT c.cluster, coalesce(m.w, c.w) AS w FROM c{r} c LEFT JOIN m{r} m ON c.cluster = m.cluster),"""
+    return (
+        body.rstrip(",")
+        + f"""
+SELECT a.vec_id, a.cluster, a.distance, CAST(sum(a.distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(a.distance) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c.w, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON a.cluster = c.cluster"""
+    )
+
+
+@query("op12_centroids", centroid_sql(bitplanes.K, bitplanes.ROUNDS))
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitplanes.cluster(table(spark, sf_dir, "embeddings"))
+
+
+@query(
+    "op13_ranked",
+    r"""WITH t AS (
+  SELECT i, doc_id, unnest(ws) AS w FROM (
+    SELECT row_number() OVER () AS i, doc_id,
+           regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+    FROM documents)),
+u AS (
+  SELECT item_id, unnest(ws) AS w FROM (
+    SELECT item_id, regexp_extract_all(translate(min(text), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                       '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws
+    FROM benchmark GROUP BY item_id)),
+q AS (SELECT item_id, w, count(*) AS qtf FROM u GROUP BY ALL),
+tf AS (SELECT i, doc_id, w, count(*) AS tf FROM t GROUP BY ALL),
+n AS (SELECT i, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY i),
+s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM n),
+df AS (SELECT w, count(*) AS df FROM tf GROUP BY w),
+weight AS (SELECT w, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS weight FROM df, s),
+p AS (
+  SELECT tf.i, tf.doc_id, tf.w, (1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // total)) AS impact
+  FROM tf JOIN n ON tf.i = n.i CROSS JOIN s WHERE tf.w IN (SELECT w FROM q)),
+r AS (
+  SELECT item_id, i, doc_id, CAST(sum(qtf * weight * impact) AS BIGINT) AS score
+  FROM q JOIN weight ON q.w = weight.w JOIN p ON p.w = q.w WHERE doc_id IS NOT NULL GROUP BY ALL),
+o AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+  FROM r WHERE score > 0)
+SELECT * FROM o WHERE rank <= 20""",
+)
+def op13_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
