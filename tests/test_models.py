@@ -167,6 +167,36 @@ def test_pools(spark):
         clustering.construct_pools(policies(spark).withColumn("Density", F.lit(None).cast("double")), 2, 4)
 
 
+def test_all_k_at_once_equals_one_by_one(spark):
+    """Every k moves as if it were alone, whatever the partitioning; parts are added up in rounds."""
+    from tontine.operators import pool_scan
+
+    rng = np.random.default_rng(8)
+    points = np.round(np.concatenate([rng.normal(m, 0.4, (150, 3)) for m in (-4.0, 0.0, 5.0)]) * pool_scan.UNIT) / pool_scan.UNIT
+    rows = [([int(x) for x in p * pool_scan.UNIT],) for p in points]
+    table = spark.createDataFrame(rows, f"{pool_scan.POINT} array<int>")
+    start = pool_scan.starting_centres(points, 2, 5, 1)
+    stop = pool_scan.stop_below(points)
+    final, costs = pool_scan.fit_all(table.repartition(7), start, 50, stop)
+    for k in (2, 3, 4, 5):
+        centres = start.of(k)
+        for _ in range(50):
+            near = ((points[:, None] - centres[None]) ** 2).sum(axis=2).argmin(axis=1)
+            moved = np.array([points[near == c].mean(axis=0) if (near == c).any() else centres[c] for c in range(k)])
+            shift, centres = ((moved - centres) ** 2).sum(axis=1).max(), moved
+            if shift <= stop:
+                break
+        assert final.of(k) == pytest.approx(centres, abs=1e-6)
+        assert costs[k] == pytest.approx(((points[:, None] - final.of(k)[None]) ** 2).sum(axis=2).min(axis=1).sum())
+    assert costs[3] < costs[2] / 5  # three clouds
+    again, _ = pool_scan.fit_all(table.repartition(70), start, 50, stop)
+    assert (again.matrix == final.matrix).all()
+    scores = pool_scan.sample_silhouettes(spark, points, final, block=64)
+    assert max(scores, key=scores.get) == 3
+    labels = pool_scan.nearest(points, final)[0][:, 1]
+    assert scores[3] == pytest.approx(clustering.silhouette(spark, points, labels))
+
+
 def test_silhouette_by_hand(spark):
     points = np.array([[0.0], [1.0], [10.0], [11.0], [30.0]])
     labels = np.array([0, 0, 1, 1, 2])

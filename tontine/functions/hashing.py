@@ -26,9 +26,16 @@ def hash_bucket(digest: Column | str) -> Column:
     return leading_int(digest, HEX_PER_BUCKET).cast("int")
 
 
-def canonical_json(*columns: str) -> Column:
-    """Canonical text of a row: keys sorted, nulls kept, no spaces."""
-    return F.to_json(F.struct(*(F.col(name) for name in sorted(columns))), {"ignoreNullFields": "false"})
+def canonical_json(*columns: str, fixed: tuple[str, ...] = ()) -> Column:
+    """Canonical text of a row: keys sorted, nulls kept, no spaces; columns in ``fixed`` as text of nine decimals."""
+
+    def cell(name: str) -> Column:
+        if name not in fixed:
+            return F.col(name)
+        digits = F.format_string("%.9f", F.col(name).cast("double"))
+        return F.when(F.col(name).isNotNull(), digits).alias(name)
+
+    return F.to_json(F.struct(*(cell(name) for name in sorted(columns))), {"ignoreNullFields": "false"})
 
 
 def keyed_fingerprint(payload: Column | str, salt: bytes) -> Column:

@@ -7,23 +7,28 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tontine import schemas as S
 from tontine.functions import scalars as X
-from tontine.operators import encoding, quality
+from tontine.operators import encoding, pool_scan, quality
 from tontine.operators.sampling import fixed_sample
 from tontine.sources.shared import spool
 
 
+#: Passes over the policies at most, and rows that starting centres are drawn from (three mini-batches of 4,096).
+MAX_PASSES, INIT_ROWS = 20, 12_288
+
+
 class PoolConstruction(NamedTuple):
     frequency: DataFrame
     scan: DataFrame
     selected_k: int
-    model: KMeansModel
+    encoder: PipelineModel
+    centres: np.ndarray
 
 
 def pool_size_stats(pooled: DataFrame) -> DataFrame:
@@ -223,12 +228,13 @@ def construct_pools(
     k_max: int = S.K_MAX,
     seed: int = S.SEED,
     sample_size: int = S.SILHOUETTE_SAMPLE,
-    max_iter: int = 100,
+    max_iter: int = MAX_PASSES,
+    init_size: int = INIT_ROWS,
 ) -> PoolConstruction:
     """Give each policy the pool of the best k-means over ``k_min .. k_max``.
 
-    The encoded policies are written once and read by every k. The model of the winning k
-    is the one applied; it is not fitted a second time.
+    The encoded policies are written once; a pass over them moves the centres of all k. The
+    centres of the winning k are the ones applied; they are not fitted a second time.
     """
     needed = [*(c for c in S.CLUSTERING_NUMERIC if c != "Density_log1p"), "Density", *S.CATEGORICAL_ATTRIBUTES]
     quality.expect_columns(policies, needed, "pool construction input")
@@ -241,21 +247,22 @@ def construct_pools(
     spark = policies.sparkSession
     frame = clustering_frame(policies)
     encoder = encoding.fit_encoder(frame, S.CLUSTERING_NUMERIC, S.CATEGORICAL_ATTRIBUTES)
-    encoded = spool(encoding.encode(frame, encoder), "clustering")
-    sample = spool(fixed_sample(encoded.select("IDpol", encoding.FEATURES), "IDpol", sample_size, seed), "sample")
-
-    best, scan = None, []
-    for k in range(k_min, k_max + 1):
-        model = KMeans(featuresCol=encoding.FEATURES, predictionCol="pool_id", k=k, seed=seed, maxIter=max_iter).fit(
-            encoded
-        )
-        drawn = model.transform(sample).select("pool_id", vector_to_array(encoding.FEATURES).alias("v")).toPandas()
-        score = silhouette(spark, np.vstack(drawn["v"].to_numpy()), drawn["pool_id"].to_numpy())
-        scan.append((k, None if np.isnan(score) else score, float(model.summary.trainingCost)))
-        if not np.isnan(score) and (best is None or score > best[1]):
-            best = (k, score, model)
-    if best is None:
-        raise quality.DataQualityError("no valid silhouette score was produced for the k scan")
-    pooled = best[2].transform(encoded).select(*policies.columns, "pool_id")
+    vectors = encoding.encode(frame, encoder)
+    # A pass computes some 50,000 products a row, so tasks are cut by rows, not by bytes.
+    tasks = max(spark.sparkContext.defaultParallelism, -(-rows // pool_scan.TASK_ROWS))
+    dealt = vectors.repartition(tasks, "IDpol")
+    encoded = spool(dealt.select(*policies.columns, pool_scan.fixed_point(encoding.FEATURES).alias(pool_scan.POINT)), "clustering")
+    start = pool_scan.sample_matrix(fixed_sample(encoded, "IDpol", init_size, seed))
+    first = pool_scan.starting_centres(start, k_min, k_max, seed)
+    centres, costs = pool_scan.fit_all(encoded, first, max_iter, pool_scan.stop_below(start))
+    measured = pool_scan.sample_matrix(fixed_sample(encoded, "IDpol", sample_size, seed + 1))
+    scores = pool_scan.sample_silhouettes(spark, measured, centres)
+    scan = [(k, None if np.isnan(scores[k]) else scores[k], costs[k]) for k in centres.ks]
+    valid = [(score, -k) for k, score, _ in scan if score is not None]
+    if not valid:
+        raise quality.DataQualityError(f"no k of {k_min} .. {k_max} splits the sample of {len(measured)} rows")
+    selected = -max(valid)[1]
+    chosen = centres.of(selected)
+    pooled = pool_scan.with_pools(encoded, chosen, policies.columns)
     table = spark.createDataFrame(scan, "k int, silhouette_score double, inertia double")
-    return PoolConstruction(pooled, table, best[0], best[2])
+    return PoolConstruction(pooled, table, selected, encoder, chosen)

@@ -38,7 +38,7 @@ def trace_policy(salt: str | None = None, dev_mode: bool = False) -> TracePolicy
 def request_fingerprint(policy: TracePolicy, *columns: str) -> Column:
     if policy.salt is None:
         raise ValueError("a fingerprint was requested while no salt is available")
-    return keyed_fingerprint(canonical_json(*columns), policy.salt)
+    return keyed_fingerprint(canonical_json(*columns, fixed=S.SERVING_REALS), policy.salt)
 
 
 def decision_rows(scores: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ class OnlineModel:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
 
 
-def _gradient(encoded: DataFrame, model: OnlineModel) -> tuple[np.ndarray, float, float, int]:
+def gradient(encoded: DataFrame, model: OnlineModel) -> tuple[np.ndarray, float, float, int]:
     """Mean gradient, its intercept part, mean log loss and rows.
 
     The residual p - y is positive for negatives and negative for positives, so the vector
@@ -61,30 +61,35 @@ def _gradient(encoded: DataFrame, model: OnlineModel) -> tuple[np.ndarray, float
         F.sum("loss").alias("loss"),
         F.count(F.lit(1)).alias("n"),
     )
-    gradient, bias, loss, rows = np.zeros_like(model.weights), 0.0, 0.0, 0
+    total, bias, loss, rows = np.zeros_like(model.weights), 0.0, 0.0, 0
     for part in parts.collect():
         sign = -1.0 if part["y"] == 1.0 else 1.0
         if part["weight"] > 0:
-            gradient += sign * part["weight"] * part["mean"].toArray()
+            total += sign * part["weight"] * part["mean"].toArray()
         bias += sign * part["weight"]
         loss += part["loss"]
         rows += part["n"]
-    return gradient / max(rows, 1), bias / max(rows, 1), loss / max(rows, 1), rows
+    return total / max(rows, 1), bias / max(rows, 1), loss / max(rows, 1), rows
+
+
+_gradient = gradient  # its earlier name
+
+
+def stepped(model: OnlineModel, slope: np.ndarray, bias: float) -> OnlineModel:
+    """The model after one descent step."""
+    rate = STEP / np.sqrt(1.0 + model.steps)
+    weights = model.weights - rate * (slope + L2 * model.weights)
+    return OnlineModel(weights, model.intercept - rate * bias, model.steps + 1, model.history)
 
 
 def partial_fit(encoded: DataFrame, model: OnlineModel, batch_id: int = -1, passes: int = 1) -> OnlineModel:
     """One or more descent steps on the rows of a batch; the step size decays as 1/sqrt(t)."""
     for _ in range(passes):
-        gradient, bias, loss, rows = _gradient(encoded, model)
+        slope, bias, loss, rows = gradient(encoded, model)
         if rows == 0:
             return model
-        rate = STEP / np.sqrt(1.0 + model.steps)
-        model = OnlineModel(
-            model.weights - rate * (gradient + L2 * model.weights),
-            model.intercept - rate * bias,
-            model.steps + 1,
-            [*model.history, (batch_id, loss)],
-        )
+        model = stepped(model, slope, bias)
+        model.history = [*model.history, (batch_id, loss)]
     return model
 
 

@@ -613,15 +613,30 @@ def _pad_hex(salt: bytes, value: int) -> str:
     return bytes(b ^ value for b in salt.ljust(64, b"\x00")).hex()
 
 
+def hmac_sql(salt: bytes, payload: str) -> str:
+    """HMAC-SHA256 of a text in SQL, as lower-case hex."""
+    return f"sha256(unhex('{_pad_hex(salt, 0x5C)}') || unhex(sha256(unhex('{_pad_hex(salt, 0x36)}') || encode({payload}))))"
+
+
+def payload_sql(*columns: str, text: tuple[str, ...] = ("VehBrand", "VehGas", "Area", "Region")) -> str:
+    """The canonical text of a row in SQL; ``text``: the columns that are strings."""
+
+    def cell(name: str) -> str:
+        if name in S.SERVING_REALS:
+            return f"""'"{name}":"' || printf('%.9f', CAST({name} AS DOUBLE)) || '"'"""
+        return f"""'"{name}":"' || {name} || '"'""" if name in text else f"""'"{name}":' || {name}"""
+
+    return "'{' || " + " || ',' || ".join(cell(name) for name in sorted(columns)) + " || '}'"
+
+
 _SALT = b"query-salt"
 
 
 @query(
     "keyed_fingerprints",
-    steps("policy")
-    + f"""SELECT IDpol, sha256(unhex('{_pad_hex(_SALT, 0x5C)}') || unhex(sha256(unhex('{_pad_hex(_SALT, 0x36)}') || encode(payload)))) AS input_fingerprint
-FROM (SELECT IDpol, '{{"Area":"' || Area || '","BonusMalus":' || BonusMalus || ',"IDpol":' || IDpol || '}}' AS payload FROM policy)""",
+    steps("policy") + f"""SELECT IDpol, {hmac_sql(_SALT, payload_sql("IDpol", *S.SERVING_COLUMNS))} AS input_fingerprint FROM policy""",
 )
 def keyed_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    payload = canonical_json("IDpol", "Area", "BonusMalus")
+    """Keyed fingerprints of whole serving payloads and their keys."""
+    payload = canonical_json("IDpol", *S.SERVING_COLUMNS, fixed=S.SERVING_REALS)
     return B.policies(spark, sf_dir).select("IDpol", keyed_fingerprint(payload, _SALT).alias("input_fingerprint"))

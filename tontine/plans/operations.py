@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tontine import schemas as S
@@ -16,9 +18,11 @@ from tontine.operators import (
     lineage,
     observability,
     online,
+    pool_scan,
     quality,
     scoring,
 )
+from tontine.operators.reports import side_by_side
 from tontine.plans import binding as B
 from tontine.plans import lifecycle as lifecycle_plans
 from tontine.plans import monitoring, risk
@@ -26,6 +30,7 @@ from tontine.plans.registry import query, rounded, step, steps
 from tontine.sources import snapshot, tables
 from tontine.sources.shared import fresh_path
 from tontine.streaming import drift_monitor, live_metrics, live_scoring
+from tontine.streaming import online_updates as online_stream
 
 LATENCY_EDGES = (1.0, 2.0, 5.0, 10.0, 25.0, 50.0, 100.0, 200.0, 400.0)
 _BUCKETS = ", ".join(f"count(*) FILTER (WHERE latency <= {e}) AS le_{i}" for i, e in enumerate(LATENCY_EDGES))
@@ -466,6 +471,42 @@ def constructed_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return result.frequency.groupBy("pool_id").agg(F.count(F.lit(1)).alias("pool_size"))
 
 
+@query(
+    "pool_construction",
+    steps("policy")
+    + f"""SELECT count(*) AS n_policies, {S.K_MIN} AS k_min, {S.K_MAX} AS k_max, CAST({S.K_MAX - S.K_MIN + 1} AS BIGINT) AS k_scanned, TRUE AS selected_is_best,
+       TRUE AS inertia_falls, CAST(0 AS BIGINT) AS rows_without_pool, CAST(0 AS BIGINT) AS rows_off_centre, TRUE AS pools_within_k FROM policy""",
+)
+def pool_construction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of any construction: every k scored, the best one chosen, every row in the pool of its nearest centre."""
+    built = clustering.construct_pools(B.policies(spark, sf_dir).drop("pool_id"))
+    pooled = encoding.encode(clustering.clustering_frame(built.frequency), built.encoder)
+    points = pooled.select("pool_id", pool_scan.fixed_point(encoding.FEATURES).alias("q"))
+    points = points.select("pool_id", F.transform("q", lambda x: x / pool_scan.UNIT).alias("v"))
+    rows = [(c, [float(x) for x in centre]) for c, centre in enumerate(built.centres)]
+    centres = spark.createDataFrame(rows, "label int, centroid array<double>")
+    near = clustering.assign_nearest(points, centres, "label", "v")
+    own = F.aggregate(F.zip_with("v", "centroid", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x)
+    measured = near.join(F.broadcast(centres), F.col("pool_id") == F.col("label"), "left").select(
+        "pool_id", (own - F.col("sq_distance")).alias("excess")
+    )
+    counted = measured.agg(
+        F.count(F.lit(1)).alias("n_policies"),
+        F.count_if(F.col("excess").isNull()).alias("rows_without_pool"),
+        F.count_if(F.col("excess") > 1e-9).alias("rows_off_centre"),
+        F.count_distinct("pool_id").alias("pools"),
+    )
+    scan = built.scan.agg(
+        F.min("k").alias("k_min"),
+        F.max("k").alias("k_max"),
+        F.count("inertia").alias("k_scanned"),
+        (F.max_by("k", F.struct("silhouette_score", -F.col("k"))) == built.selected_k).alias("selected_is_best"),
+        (F.max_by("inertia", "k") < F.min_by("inertia", "k")).alias("inertia_falls"),
+    )
+    both = side_by_side(counted, scan)
+    return both.withColumn("pools_within_k", F.col("pools") <= built.selected_k).drop("pools")
+
+
 @query("anomaly_scores")
 def anomaly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anomaly.anomaly_scores(B.contract_features(spark, sf_dir))
@@ -529,14 +570,13 @@ def streamed_retraining_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "streamed_scores",
-    steps("policy")
-    + """, r AS (SELECT IDpol AS request_id, * FROM policy)
-SELECT request_id, CAST(pool_id AS VARCHAR) AS pool_id, CASE WHEN BonusMalus < 60 THEN 'rejected' ELSE 'scored' END AS outcome FROM r""",
+    steps("scored")
+    + """SELECT IDpol AS request_id, CAST(pool_id AS VARCHAR) AS pool_id, CASE WHEN BonusMalus < 60 THEN 'rejected' ELSE 'scored' END AS outcome,
+       CASE WHEN BonusMalus >= 60 THEN round(predicted_claim_probability, 9) END AS probability FROM scored""",
 )
 def streamed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Policies sent as scoring requests through the live path; some break a rule."""
-    policies = B.policies(spark, sf_dir)
-    requests_table = policies.select(
+    requests_table = B.cleaned(spark, sf_dir).select(
         F.col("IDpol").alias("request_id"),
         F.col("pool_id").cast("string").alias("pool_id"),
         *(F.col(c) for c in S.SERVING_COLUMNS if c not in ("pool_id", "BonusMalus")),
@@ -548,10 +588,47 @@ def streamed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     live = live_scoring.LiveScoring(B.scorer(), {"model_source": "phase7_reference_model"}, policy, root)
     arriving = spark.readStream.schema(requests_table.schema).parquet(source)
     live.start(arriving, state, available_now=True).awaitTermination()
-    scores = spark.read.parquet(f"{root}/scores").select("request_id", "pool_id", F.lit("scored").alias("outcome"))
+    scores = spark.read.parquet(f"{root}/scores").select(
+        "request_id", "pool_id", F.lit("scored").alias("outcome"), F.round(S.PROBABILITY, 9).alias("probability")
+    )
     rejects = spark.read.parquet(f"{root}/rejects").select("request_id", F.lit("rejected").alias("outcome"))
-    lost = rejects.join(requests_table.select("request_id", "pool_id"), "request_id")
-    return scores.unionByName(lost.select("request_id", "pool_id", "outcome"))
+    lost = rejects.join(spark.read.parquet(source).select("request_id", "pool_id"), "request_id")
+    return scores.unionByName(lost.select("request_id", "pool_id", "outcome"), allowMissingColumns=True)
+
+
+@query(
+    "streamed_pool_decisions",
+    steps("scored")
+    + f"""SELECT CAST(pool_id AS VARCHAR) AS request_id, '/score/pool' AS endpoint, 'phase9_retrained_candidate' AS model_source, count(*) AS contract_count,
+       round(avg(predicted_claim_probability), 9) AS mean_probability,
+       round(CASE WHEN sum(Exposure) > 0 THEN sum(predicted_claim_probability * Exposure) / sum(Exposure) ELSE avg(predicted_claim_probability) END, 9) AS pool_risk_score,
+       round(sum(Exposure), 6) AS pool_scored_exposure,
+       CASE WHEN sum(Exposure) > 0 THEN 'exposure_weighted' ELSE 'unweighted_zero_exposure_fallback' END AS pool_score_weighting_method,
+       {lifecycle_plans.hmac_sql(b"live-salt", f"string_agg({lifecycle_plans.hmac_sql(b'live-salt', lifecycle_plans.payload_sql(*S.SERVING_COLUMNS))}, ',' ORDER BY IDpol)")} AS input_fingerprint,
+       CAST(0 AS BIGINT) AS trace_log_failures_total
+FROM scored WHERE pool_id % 5 <> 0 GROUP BY pool_id""",
+)
+def streamed_pool_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pool request per pool, its members scattered over files and micro-batches; every fifth names another pool."""
+    members = B.cleaned(spark, sf_dir)
+    sizes = members.groupBy("pool_id").agg(F.count(F.lit(1)).alias("contract_count"))
+    rows = members.join(sizes, "pool_id").select(
+        F.col("pool_id").cast("string").alias("request_id"),
+        F.when(F.col("pool_id") % 5 == 0, F.lit("other")).otherwise(F.col("pool_id").cast("string")).alias("request_pool_id"),
+        "contract_count",
+        F.col("IDpol").alias("member_index"),
+        *S.SERVING_COLUMNS,
+    )
+    source, root, state = (fresh_path(spark, n) for n in ("members", "live-pools", "state"))
+    rows.repartition(6, "member_index").write.parquet(source)
+    policy = lineage.trace_policy(salt="live-salt")
+    live = live_scoring.LivePools(B.scorer(), {"model_source": "phase9_retrained_candidate"}, policy, root)
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(source)
+    live.start(arriving, state, available_now=True).awaitTermination()
+    records = live.decisions(spark).select(
+        "request_id", "endpoint", "model_source", "prediction_summary.*", "input_fingerprint"
+    )
+    return rounded(side_by_side(records, live.trace_log_failures(spark)), 9, pool_scored_exposure=6)
 
 
 @query(
@@ -559,7 +636,7 @@ def streamed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps("scored")
     + f"""SELECT CAST(IDpol AS VARCHAR) AS request_id, sha256('decision:' || IDpol) AS decision_id, '/score/contract' AS endpoint, 'phase7_reference_model' AS model_source,
        round(predicted_claim_probability, 9) AS mean_probability, 'env_var' AS trace_salt_mode,
-       sha256(unhex('{lifecycle_plans._pad_hex(b"live-salt", 0x5C)}') || unhex(sha256(unhex('{lifecycle_plans._pad_hex(b"live-salt", 0x36)}') || encode('{{"Area":"' || Area || '","BonusMalus":' || BonusMalus || '}}')))) AS input_fingerprint
+       {lifecycle_plans.hmac_sql(b"live-salt", lifecycle_plans.payload_sql(*S.SERVING_COLUMNS))} AS input_fingerprint
 FROM scored""",
 )
 def decision_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -567,9 +644,7 @@ def decision_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     contracts = B.cleaned(spark, sf_dir).withColumn("request_id", F.col("IDpol"))
     scored, _ = live_scoring.score_contracts(contracts, B.scorer())
     policy = lineage.trace_policy(salt="live-salt")
-    rows = live_scoring.contract_decisions(
-        scored, {"model_source": "phase7_reference_model"}, policy, ("Area", "BonusMalus")
-    )
+    rows = live_scoring.contract_decisions(scored, {"model_source": "phase7_reference_model"}, policy)
     return rounded(
         rows.select(
             "request_id",
@@ -607,10 +682,26 @@ def pool_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "streamed_request_windows",
     steps("request_windows")
+    + f"SELECT window_start, path, request_count, error_count, round(latency_sum, 4) AS latency_sum, {_LE} FROM request_windows",
+)
+def streamed_request_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All windows of the event stream; files hold events of all ages and arrive over several micro-batches."""
+    events = B.table(spark, sf_dir, "events")
+    source, sink, state = (fresh_path(spark, n) for n in ("events", "windows", "state"))
+    events.repartition(6, "event_id").write.parquet(source)
+    arriving = as_requests(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(source))
+    live = live_metrics.LiveWindows(LATENCY_EDGES, sink)
+    live.start(arriving, state, available_now=True).awaitTermination()
+    return rounded(plain_time(live.windows(spark)), 4)
+
+
+@query(
+    "closed_request_windows",
+    steps("request_windows")
     + f"""SELECT window_start, path, request_count, error_count, round(latency_sum, 4) AS latency_sum, {_LE} FROM request_windows
 WHERE window_start + INTERVAL 5 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM requests)""",
 )
-def streamed_request_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def closed_request_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows the watermark has closed by the end of the event stream."""
     events = B.table(spark, sf_dir, "events")
     source, sink, state = (fresh_path(spark, n) for n in ("events", "windows", "state"))
@@ -619,3 +710,32 @@ def streamed_request_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     windows = live_metrics.windowed_requests(arriving, LATENCY_EDGES)
     live_metrics.start(windows, sink, state, available_now=True).awaitTermination()
     return rounded(plain_time(spark.read.schema(windows.schema).parquet(sink)), 4)
+
+
+@query(
+    "streamed_online_updates",
+    steps("stream")
+    + """SELECT CAST(batch_id + 2 AS INTEGER) AS step, batch_id, count(*) AS n_rows, FALSE AS late, TRUE AS finite_loss FROM stream GROUP BY batch_id
+UNION ALL SELECT 1, -1, count(*), FALSE, TRUE FROM stream WHERE batch_id <= 9""",
+)
+def streamed_online_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps of the online candidate inside the micro-batch loop, every batch in three files; step 1 is the reference fit."""
+    stream = B.stream(spark, sf_dir)
+    path, source, sink, state = (fresh_path(spark, n) for n in ("online", "arriving", "online-state", "state"))
+    tables.write_batches(stream, path)
+    stored = tables.read_batches(spark, path, stream.schema)
+    for batch_id in range(S.N_BATCHES):  # one after the other, as batches come into being
+        tables.read_batch(spark, path, batch_id, stream.schema).repartition(3, "IDpol").write.mode("append").parquet(source)
+    reference = scoring.model_inputs(stored.filter(F.col("batch_id") <= S.REFERENCE_LAST_BATCH))
+    encoder = encoding.fit_encoder(reference)
+    encoded = encoding.encode(reference, encoder)
+    width = encoded.select(encoding.FEATURES).first()[0].size
+    first = online.partial_fit(encoded, online.OnlineModel.zeros(width))
+    live = online_stream.OnlineUpdates(encoder, first, sink)
+    arriving = drift_monitor.stream_batches(spark, source, stream.schema, files_per_trigger=7)
+    live.start(arriving, state, available_now=True).awaitTermination()
+    # The first loss of zero weights is ln 2.
+    start = spark.createDataFrame([(1, -1, 0, abs(first.history[0][1] - math.log(2)) > 1e-9, True)], "step int, batch_id int, n_rows long, late boolean, finite_loss boolean")
+    rows = side_by_side(start.drop("n_rows"), reference.agg(F.count(F.lit(1)).alias("n_rows")))
+    finite = ~F.isnan("log_loss") & F.col("log_loss").between(0.0, 5.0)
+    return live.steps(spark).select("step", "batch_id", "n_rows", "late", finite.alias("finite_loss")).unionByName(rows)

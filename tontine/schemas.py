@@ -113,6 +113,7 @@ SERVING_COLUMNS = (
     "Region",
 )
 SERVING_NUMERIC = ("Exposure", "VehPower", "VehAge", "DrivAge", "BonusMalus", "Density")
+SERVING_REALS = ("Exposure", "Density")
 SERVING_STRINGS = ("pool_id", "VehBrand", "VehGas", "Area", "Region")
 
 # Outcome columns that must never reach a model as inputs.
