@@ -15,7 +15,8 @@ Defined results
 * only vectors with the query's number of components are compared;
 * repeated ids: the smallest vector of an id stands for it; ties go to the smaller id;
 * fewer than k candidates: all of them; an empty table: no rows; extra columns are not read;
-* integer components saturate at 2^26; sums that leave the exact range of doubles are computed in 64-bit integers.
+* sums that leave the exact range of doubles are computed in 64-bit integers, and where even these could overflow in
+  unbounded ones; a score that a ``long`` cannot hold raises ``ScoreOverflow``, nothing is clipped.
 """
 
 from __future__ import annotations
@@ -35,8 +36,11 @@ BLOCK = 64
 GROUP_ROWS = 8192
 BAND_QUERIES = 8192
 EXACT = float(1 << 53)
-#: Integer components saturate here, so that sums fit 64 bits.
-MOST_COMPONENT = float(1 << 26)
+LONG = float(1 << 63)
+
+
+class ScoreOverflow(OverflowError):
+    """A score does not fit 64 bits."""
 
 
 def sound_vectors(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -58,9 +62,24 @@ def sound_vectors(vectors: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 def quantised(column: pd.Series, scale: int) -> np.ndarray:
-    """Integer matrix of the vectors of a column."""
-    values = np.floor(np.stack(column.to_numpy()).astype(np.float64) * scale)
-    return np.clip(values, -MOST_COMPONENT, MOST_COMPONENT)
+    """Matrix of whole numbers, still as doubles, of the vectors of a column."""
+    return np.floor(np.stack(column.to_numpy()).astype(np.float64) * scale)
+
+
+def whole(matrix: np.ndarray, most: float) -> np.ndarray:
+    """The matrix in a kind of number that holds sums up to ``most`` exactly."""
+    if most < EXACT:
+        return matrix
+    return matrix.astype(np.int64) if most < LONG / 2 else np.frompyfunc(int, 1, 1)(matrix)
+
+
+def fitting(scores: np.ndarray) -> np.ndarray:
+    """Scores as they are, unbounded ones as 64-bit integers."""
+    if scores.dtype != object:
+        return scores
+    if len(scores) and max(abs(x) for x in scores) >= 1 << 63:
+        raise ScoreOverflow("an inner product does not fit 64 bits")
+    return scores.astype(np.int64)
 
 
 def block_bounds(low: np.ndarray, high: np.ndarray, queries: np.ndarray) -> np.ndarray:
@@ -76,15 +95,14 @@ def search_group(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queri
     turns = np.argsort(-bounds, axis=1, kind="stable")
     out_q, out_i, out_s = [], [], []
     for q, query in enumerate(queries):
-        best_i, best_s = np.empty(0, ids.dtype), np.empty(0, rows.dtype)
+        best_i, best_s = np.empty(0, ids.dtype), np.empty(0, np.int64 if rows.dtype == object else rows.dtype)
         for b in turns[q]:
             if len(best_s) == k and bounds[q, b] < best_s[-1]:
                 break
             part = slice(starts[b], starts[b] + block)
-            score, other = rows[part] @ query, ids[part]
-            keep = other != query_ids[q]
-            if len(best_s) == k:
-                keep &= score >= best_s[-1]
+            others = ids[part] != query_ids[q]
+            score, other = fitting((rows[part] @ query)[others]), ids[part][others]
+            keep = score >= best_s[-1] if len(best_s) == k else np.ones(len(score), bool)
             if not keep.any():
                 continue
             best_s, best_i = np.concatenate((best_s, score[keep])), np.concatenate((best_i, other[keep]))
@@ -133,8 +151,7 @@ def top_k(
                 mine = mine.sort_values(["code", "id"])
                 matrix, query = quantised(mine["v"], scale), quantised(theirs["v"], scale)
                 most = float(np.abs(matrix).max()) * float(np.abs(query).max()) * dim
-                kind = np.float64 if most < EXACT else np.int64
-                found = search_group(mine["id"].to_numpy(), matrix.astype(kind), theirs["id"].to_numpy(), query.astype(kind), k, block)
+                found = search_group(mine["id"].to_numpy(), whole(matrix, most), theirs["id"].to_numpy(), whole(query, most), k, block)
                 parts.append(pd.DataFrame({"query_id": found[0], "id": found[1], "score": found[2].astype(np.int64)}))
         return pd.concat(parts) if parts else pd.DataFrame({"query_id": [], "id": [], "score": []}, dtype="int64")
 
