@@ -9,7 +9,7 @@ Law: ``bytes``. The first map places slots by falling size on the lightest shard
 Defined results
 * null text: counts 8 bytes, CRC of no bytes (0); null id: hashed by its text like any other row;
 * empty table: an empty result and a map that deals out empty slots evenly;
-* repeated rows: the same id and text always fall into the same slot, each row gets its own position;
+* repeated rows (same id and text): spread over the slots one by one, each row gets its own position;
 * extra columns: not read, whatever their names.
 """
 
@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tontine.sources.shared import fresh_path
+from tontine.sources.shared import fresh_path, spool
 
 #: Thousands of slots keep the largest slot far below a shard; the map stays a few thousand rows.
 SLOTS = 6144
@@ -39,7 +39,10 @@ class SlotMap:
 
 
 def virtual_slot(key: Column, text: Column, slots: int) -> Column:
-    """The slot of a record: by key and text, so that neither a hot key nor a group of copies fills one slot."""
+    """The slot of a record: by key and text, so that neither a hot key nor a group of copies fills one slot.
+
+    ``spread_repeats`` deals out the rows that agree in both.
+    """
     return F.pmod(F.xxhash64(key, text), F.lit(slots)).cast("int")
 
 
@@ -56,6 +59,23 @@ def keyed_records(documents: DataFrame, key: str = "doc_id", text: str = "text",
     )
 
 
+def spread_repeats(records: DataFrame, slots: int) -> DataFrame:
+    """Records with the repeats of a row (equal key, size and CRC) dealt over the slots.
+
+    Counts of equal rows are folded map-side; only where some repeat are they marked and given a slot by their place in the
+    table. That place is not the same in every run, so the result is written once and read by all that follows.
+    """
+    same = ("key", "text_crc32", "size")
+    repeated = records.groupBy(*same).agg(F.count("*").alias("n")).filter("n > 1")
+    repeated = spool(repeated.select(*(F.col(c).alias(f"{c}_again") for c in same), F.lit(True).alias("again")), "repeats")
+    if repeated.isEmpty():
+        return records
+    alike = [F.col(c).eqNullSafe(F.col(f"{c}_again")) for c in same]
+    salted = F.pmod(F.xxhash64("vslot", F.monotonically_increasing_id()), F.lit(slots)).cast("int")
+    spread = F.when(F.col("again"), salted).otherwise(F.col("vslot")).alias("vslot")
+    return spool(records.join(repeated, alike, "left").select(*same, spread), "records")
+
+
 def slot_loads(records: DataFrame, slots: int) -> tuple[list[int], list[int]]:
     """Bytes and rows per slot; at most ``slots`` rows reach the driver."""
     size, count = [0] * slots, [0] * slots
@@ -154,7 +174,7 @@ def assign(records: DataFrame, slot_map: SlotMap, count: list[int]) -> DataFrame
 
 def shard(documents: DataFrame, shards: int, key: str = "doc_id", text: str = "text", slots: int = SLOTS):
     """Deal ``documents`` into ``shards`` of near equal bytes. Returns (assignment, map, path of the stored map)."""
-    records = keyed_records(documents, key, text, slots)
+    records = spread_repeats(keyed_records(documents, key, text, slots), slots)
     size, count = slot_loads(records, slots)
     slot_map = first_map(size, shards)
     path = fresh_path(documents.sparkSession, "slot-map")
