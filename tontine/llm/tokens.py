@@ -144,27 +144,27 @@ def materialise(
     spark = documents.sparkSession
     sequences(documents, key, text, ranks, length, end).write.option("compression", "zstd").parquet(f"{path}/sequences")
     written = spark.read.schema(SEQUENCES.replace(", ", ",")).parquet(f"{path}/sequences")
-    # One file per task, named by the task's number.
-    file = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int")
-    numbered = written.select("*", file.alias("file"), F.col("_metadata.row_index").alias("row"))
+    # A task may write several files; the whole name tells them apart.
+    numbered = written.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
     counts = {r["file"]: r["n"] for r in numbered.groupBy("file").agg(F.count("*").alias("n")).limit(MOST_FILES + 1).collect()}
     if len(counts) > MOST_FILES:
         raise ValueError(f"more than {MOST_FILES} sequence files; write them from fewer tasks")
-    offsets = np.zeros(max(counts, default=-1) + 2, np.int64)
-    for number, n in counts.items():
-        offsets[number + 1] = n
-    offsets = np.cumsum(offsets)
-    total = int(offsets[-1])
-    shared = spark.sparkContext.broadcast(offsets)
+    total, places = 0, []
+    for name in sorted(counts):
+        places.append((name, total))
+        total += counts[name]
+    # At most MOST_FILES rows.
+    placed = F.broadcast(spark.createDataFrame(places, "file string, first long"))
 
     @F.pandas_udf("long")
-    def slot(file: pd.Series, row: pd.Series) -> pd.Series:
-        return pd.Series(Feistel(total, order_key).slot(shared.value[file.to_numpy(np.int64)] + row.to_numpy(np.int64)))
+    def slot(place: pd.Series) -> pd.Series:
+        return pd.Series(Feistel(total, order_key).slot(place.to_numpy(np.int64)))
 
     shards = -(-total // rows_per_shard)
     if total:
         (
-            numbered.select(slot("file", "row").alias("slot"), "doc_id", "part", "n_tokens", "tokens")
+            numbered.join(placed, "file")
+            .select(slot(F.col("first") + F.col("row")).alias("slot"), "doc_id", "part", "n_tokens", "tokens")
             .withColumn("shard", F.floor(F.col("slot") / rows_per_shard).cast("int"))
             .repartitionByRange(shards, "shard")
             .sortWithinPartitions("shard", "slot")
