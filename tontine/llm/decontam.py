@@ -20,7 +20,7 @@ Defined results
 * null and empty texts are clean; items under ``least_words`` words (null and empty ones too) are not searched for;
 * a document shorter than an item is compared whole; ties: the first window with the fewest edits is reported;
 * repeated rows are answered each; repeated items each by its id; an empty benchmark leaves all documents clean;
-* null ids are carried along; extra columns are not read (``keep_clean`` hands them through).
+* null ids are carried along, those of items too; extra columns are not read (``keep_clean`` hands them through).
 """
 
 from __future__ import annotations
@@ -42,6 +42,8 @@ WALKS, SAMPLES, BITS = 14, 8, 3
 SEED = 20
 MIX = 0x9E3779B97F4A7C15
 BLOCK_WORDS = 1 << 20
+#: Stands for a null id inside a block.
+NO_ID = -(1 << 63)
 #: Windows that walk together.
 WALKING = 1 << 14
 
@@ -263,8 +265,8 @@ def item_blocks(benchmark: DataFrame, key: str, text: str, least_words: int, mos
     """The benchmark block by block; each block that reaches the driver holds about ``most_words`` words."""
     ids, texts, held = [], [], 0
     rows = benchmark.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    for row in rows.filter("id IS NOT NULL AND text IS NOT NULL").orderBy("id", "text").toLocalIterator():
-        ids.append(row["id"])
+    for row in rows.filter("text IS NOT NULL").orderBy("id", "text").toLocalIterator():
+        ids.append(NO_ID if row["id"] is None else row["id"])
         texts.append(row["text"])
         held += len(row["text"]) // 4
         if held >= most_words:
@@ -299,7 +301,7 @@ def leaks(
                 found = find(items, batch.column(1), hasher)
                 ids = batch.column(0).take(pa.array([r for r, *_ in found], pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array([int(items.ids[o]) for _, o, *_ in found], pa.int64()),
+                    [ids, pa.array([None if items.ids[o] == NO_ID else int(items.ids[o]) for _, o, *_ in found], pa.int64()),
                      pa.array([e for *_, e, _ in found], pa.int32()),
                      pa.array([int(items.sizes[o]) for _, o, *_ in found], pa.int32()),
                      pa.array([s for *_, s in found], pa.int32())],
