@@ -28,7 +28,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from tontine.llm.arrowtools import arrow_schema, encoded
+from tontine.llm.arrowtools import arrow_schema, encoded, slices
 
 CHUNK = 2048
 LEVEL = 3
@@ -102,6 +102,9 @@ def training_sample(
     texts = documents.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(
         F.broadcast(chosen), "id"
     )
+    # Repeated ids: the text with the smallest hash, so no more rows than ids reach the driver.
+    least = F.min_by(F.struct("text", "label", "draw"), F.coalesce(F.xxhash64("text"), F.lit(0)))
+    texts = texts.groupBy("id").agg(least.alias("row")).select("id", "row.text", "row.label", "row.draw")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,7 +192,7 @@ def score(documents: DataFrame, model: CompressionModel, key: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = compressors(shared.value)
-        for batch in batches:
+        for batch in slices(batches, 1):
             found = [sizes(body or b"", *pair) for body in encoded(batch.column("text"))]
             values = [curve_value(shared.value.curve, d, r) for d, r in found]
             yield pa.RecordBatch.from_arrays(
@@ -209,7 +212,7 @@ def keep(documents: DataFrame, model: CompressionModel, text: str = "text", thre
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = compressors(shared.value)
-        for batch in batches:
+        for batch in slices(batches, position):
             found = (sizes(body or b"", *pair) for body in encoded(batch.column(position)))
             yield batch.filter(pa.array([curve_value(shared.value.curve, d, r) >= threshold for d, r in found], pa.bool_()))
 
