@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tontine.sources.shared import spool
 
 #: A line is boilerplate above this percentage of the host's pages, on this many pages at least.
-PERCENT = 5
+PERCENT = 1
 LEAST_PAGES = 5
 #: Blank, tab, carriage return, vertical tab and form feed.
 BLANKS = " \t\r\x0b\x0c"
@@ -71,8 +71,9 @@ def clean(
     text: str = "text",
     percent: float = PERCENT,
     least_pages: int = LEAST_PAGES,
+    dropped_name: str = "dropped_lines",
 ) -> DataFrame:
-    """All columns of ``documents`` with ``text`` cleaned, and ``dropped_lines`` (renamed by the caller if it clashes).
+    """All columns of ``documents`` with ``text`` cleaned, and ``dropped_name``.
 
     The per-host lists are small next to the pages; Spark broadcasts them if their written size allows it, else the
     join is a shuffle by host whose hot hosts adaptive execution splits.
@@ -84,5 +85,7 @@ def clean(
     kept = F.filter(lines_of(body), lambda line: ~F.array_contains(F.col("lines"), line_key(line)))
     cleaned = F.when(F.col("lines").isNull() | body.isNull(), body).otherwise(F.array_join(kept, "\n"))
     dropped = F.when(F.col("lines").isNull() | body.isNull(), F.lit(0)).otherwise(F.size(lines_of(body)) - F.size(kept))
-    columns = [cleaned.alias(text) if c == text else F.col(f"row.`{c}`").alias(c) for c in documents.columns]
-    return joined.select(*columns, dropped.cast("int").alias("dropped_lines"))
+    # Worked out before the columns of ``documents`` are named again, which may be called ``lines`` or ``row`` too.
+    worked = joined.select("row", cleaned.alias("cleaned"), dropped.cast("int").alias("dropped"))
+    columns = [F.col("cleaned" if c == text else f"row.`{c}`").alias(c) for c in documents.columns]
+    return worked.select(*columns, F.col("dropped").alias(dropped_name))

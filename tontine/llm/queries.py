@@ -117,7 +117,7 @@ lines AS (
   FROM (SELECT source, text, unnest(string_split(text, chr(10))) AS line FROM pages)),
 common AS (
   SELECT l.source, l.line FROM lines l JOIN totals t ON l.source = t.source WHERE l.line <> ''
-  GROUP BY l.source, l.line, t.pages HAVING count(*) >= 5 AND count(*) * 100 > t.pages * 5),
+  GROUP BY l.source, l.line, t.pages HAVING count(*) >= 5 AND count(*) * 100 > t.pages),
 bad AS (SELECT source, list(line) AS bad FROM common GROUP BY source),
 cut AS (
   SELECT d.doc_id, d.text, string_split(d.text, chr(10)) AS lines,
