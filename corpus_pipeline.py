@@ -2,6 +2,12 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and works on all rows its predecessor kept; what a stage returns is written as
 Parquet to the shared folder and read again by the next. All but the last return the columns of ``documents``.
+
+Defined results
+* null and empty texts: scored like any text by the classifier; no line, no link, no leak; segmented into nothing;
+* null ids: such rows stay in every stage that does not reject their text; repeated rows (id and text): one stays;
+* ties: the smallest id of a group of near copies stays;
+* an empty table passes through all stages; extra columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tontine.llm import decontam, jaccard, linededup, pieces, quality
 from tontine.llm.queries import held_out
-from tontine.llm.registry import query, table
+from tontine.llm.registry import query, table, unused
 from tontine.sources.shared import fresh_path
 
 
@@ -22,9 +28,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the boilerplate lines of their source; ``n_chars`` follows the text."""
-    cleaned = linededup.clean(docs)
+    dropped = unused(docs, "dropped_lines")
+    cleaned = linededup.clean(docs, dropped_name=dropped)
     if "n_chars" in docs.columns:
-        changed = F.col("dropped_lines") > 0
+        changed = F.col(dropped) > 0
         kind = docs.schema["n_chars"].dataType
         cleaned = cleaned.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return cleaned.select(docs.columns)

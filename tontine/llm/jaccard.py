@@ -50,6 +50,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tontine.llm.arrowtools import arrow_schema, mix64, slices
 from tontine.llm.components import components
+from tontine.llm.registry import unused
 from tontine.llm.words import WordHashes
 from tontine.sources.shared import spool
 
@@ -535,8 +536,9 @@ def cluster(
 
 def keep_one(documents: DataFrame, clusters: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The row with the smallest id of every component; rows without an id stay, repeated rows count once."""
-    kept = clusters.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
-    with_id = documents.join(kept, documents[key] == kept["__kept"], "left_semi")
+    name, place = unused(documents, "kept_id"), unused(documents, "place")
+    kept = clusters.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(name)).distinct()
+    with_id = documents.join(kept, documents[key] == kept[name], "left_semi")
     order = F.row_number().over(Window.partitionBy(key, F.xxhash64(text)).orderBy(key))
-    with_id = with_id.withColumn("__n", order).filter("__n = 1").drop("__n")
+    with_id = with_id.withColumn(place, order).filter(F.col(place) == 1).drop(place)
     return with_id.union(documents.filter(F.col(key).isNull()))
