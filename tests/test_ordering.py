@@ -30,6 +30,40 @@ def test_exact_quantiles_equal_numpy(values):
         assert row["quantiles"] == list(np.quantile(data, shares))
 
 
+def test_ranges_follow_the_rows_and_only_wanted_ones_stay_open(values, monkeypatch):
+    frame, data, _ = values
+    assert [ordering.range_count(n) for n in (0, 1, 1 << 18, (1 << 18) + 1, 10**9)] == [1, 1, 1, 2, 3815]
+    assert ordering.range_count(10**15) == ordering.MOST_RANGES
+    rounds, final = [], []
+    narrow, locate = ordering._narrowed, ordering._located
+
+    def seen(values, open_, cut_count):
+        rounds.append(sum(len(p) for p in open_.values()))
+        return narrow(values, open_, cut_count)
+
+    def last(values, open_):
+        final.extend(p for parts in open_.values() for p in parts)
+        return locate(values, open_)
+
+    monkeypatch.setattr(ordering, "_narrowed", seen)
+    monkeypatch.setattr(ordering, "_located", last)
+    monkeypatch.setattr(ordering, "MOST_RANGES", 4)
+    shares = ordering.decile_shares(10)
+    row = ordering.exact_quantiles(frame, ["v"], shares, range_rows=20).first()
+    assert row["quantiles"] == list(np.quantile(data, shares))
+    assert len(rounds) > 2  # four ranges at a time: cut again where ranges are too large
+    assert final and all(p.rows <= 20 for p in final) and sum(p.rows for p in final) < len(data) / 4
+    assert not any(p.low is not None and p.low < 0.25 < (p.high or 1e9) for p in final)  # the hot value is a range of its own
+
+
+def test_quantiles_of_odd_values(spark):
+    frame = spark.createDataFrame([(float(x),) for x in ("-inf", "inf", "nan", "-0.0", "0.0", "0.0", "1e300")], "a double")
+    want = [float("-inf"), 0.0, 0.0, float("inf")]
+    for rows in (1 << 18, 1):
+        got = ordering.exact_quantiles(frame, ["a"], [0.0, 0.4, 0.6, 1.0], range_rows=rows).first()
+        assert got["n_values"] == 6 and got["quantiles"] == want
+
+
 def test_quantiles_of_one_value_and_of_nulls(spark):
     frame = spark.createDataFrame([(1.0, None), (1.0, None)], "a double, b double")
     rows = {r["feature"]: r["quantiles"] for r in ordering.exact_quantiles(frame, ["a", "b"], [0.0, 0.5, 1.0]).collect()}
@@ -42,6 +76,10 @@ def test_auc_counts_ties(values):
     wins = (pos[:, None] > neg[None, :]).sum() + 0.5 * (pos[:, None] == neg[None, :]).sum()
     got = metrics.roc_auc(frame, score="v").first()
     assert got["auc"] == pytest.approx(wins / (len(pos) * len(neg)), abs=1e-12)
+    positive = F.col("target_has_claim") == 1
+    for buckets in (1, 5, 200):
+        u = ordering.rank_statistic(frame, "v", positive, buckets).first()
+        assert u["u"] == pytest.approx(wins) and (u["positives"], u["negatives"]) == (len(pos), len(neg))
     assert metrics.roc_auc(frame.withColumn("c", F.lit(0.3)), score="c").first()["auc"] == 0.5
     assert metrics.roc_auc(frame.filter("target_has_claim = 1"), score="v").first()["auc"] is None
 

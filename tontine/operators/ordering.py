@@ -10,15 +10,15 @@ be ordered separately.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
 import numpy as np
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tontine.functions.scalars import doubles
 from tontine.functions.hashing import hash_bucket, seeded_md5
 
-VALUE_BUCKETS = 64
-
 
 def _bucket_sizes(keyed: DataFrame, strata: Sequence[str]) -> DataFrame:
     """Rows per hash bucket with the rows before it: at most N_BUCKETS rows per stratum."""
@@ -105,103 +105,184 @@ def hash_sample(
     return flagged.filter("_sampled").drop("_sampled")
 
 
+#: A range holds about so many rows; a table is cut into so many ranges at most at a time.
+RANGE_ROWS, MOST_RANGES = 1 << 18, 4096
+
+
+def range_count(rows: int, range_rows: int = RANGE_ROWS) -> int:
+    """Ranges that a table of ``rows`` rows is cut into."""
+    return min(MOST_RANGES, max(1, -(-rows // range_rows)))
+
+
 def _sketch(value: str, buckets: int) -> Column:
     shares = doubles(i / buckets for i in range(1, buckets))
     return F.expr(f"percentile_approx({value}, {shares}, {buckets * 10})")
 
 
-def _value_cuts(df: DataFrame, columns: Sequence[str], buckets: int) -> dict[str, list[float]]:
-    """Rough quantiles that balance the buckets; results do not depend on their precision.
+def _ranged(df: DataFrame, cuts: dict[str, list[float]]) -> tuple[DataFrame, dict[str, Column]]:
+    """``df`` with the range of each column's value, by binary search in the JVM, as one number per range.
 
-    One map-side sketch pass; the driver gets at most ``buckets`` doubles per column.
+    Cuts are values of the data and each is a range of its own, so a heavy value never shares one: values between the
+    cuts ``i - 1`` and ``i`` have the number ``2 i``, those equal to cut ``i`` the number ``2 i + 1``.
     """
-    row = df.agg(*(_sketch(f"CAST(`{c}` AS DOUBLE)", buckets).alias(c) for c in columns)).first()
-    return {c: sorted(set(row[c] or [])) for c in columns}
-
-
-def _value_bucket(value: Column, cuts: Column) -> Column:
-    return F.size(F.filter(cuts, lambda cut: cut < value))
+    searched = {c: edges for c, edges in cuts.items() if edges}
+    numbers = {c: F.lit(0) for c in cuts}
+    if searched:
+        names = {c: f"_range_{i}" for i, c in enumerate(searched)}
+        df = Bucketizer(
+            splitsArray=[[float("-inf"), *edges, float("inf")] for edges in searched.values()],
+            inputCols=list(searched),
+            outputCols=list(names.values()),
+            handleInvalid="keep",
+        ).transform(df)
+        for c, edges in searched.items():
+            place = F.col(names[c]).cast("int")  # cut i opens the range i + 1
+            at_cut = (place > 0) & (F.col(c) == F.get(F.expr(doubles(edges)), place - 1))
+            numbers[c] = F.when(at_cut, 2 * place - 1).otherwise(2 * place)
+    return df, numbers
+
+
+class _Interval(NamedTuple):
+    """Values strictly between two cuts (null: no limit) that hold wanted ranks; ``before`` rows lie below them."""
+
+    low: float | None
+    high: float | None
+    before: int
+    rows: int
+    ranks: tuple[int, ...]
+
+    def holds(self, value: Column) -> Column:
+        inside = value.isNotNull()
+        if self.low is not None:
+            inside = inside & (value > self.low)
+        return inside if self.high is None else inside & (value < self.high)
+
+
+def _narrowed(values: DataFrame, open_: dict[str, list[_Interval]], cut_count: Callable[[_Interval], int]):
+    """One round: intervals are cut by a sketch and counted; only sub-ranges that hold wanted ranks stay open.
+
+    Returns what stays open and the values found. The driver gets the cuts and one row per range.
+    """
+    tasks = [(c, i, part) for c, parts in open_.items() for i, part in enumerate(parts)]
+    sketched = values.agg(
+        *(_sketch_of(part.holds(F.col(c)), c, cut_count(part)).alias(f"{t}") for t, (c, _, part) in enumerate(tasks))
+    ).first()
+    cuts: dict[str, set[float]] = {c: set() for c in open_}
+    for t, (c, _, part) in enumerate(tasks):
+        cuts[c] |= {*(sketched[t] or []), *(x for x in (part.low, part.high) if x is not None)}
+    edges = {c: sorted(found) for c, found in cuts.items()}
+    ranged, numbers = _ranged(values, edges)
+    cells = F.array(*(F.struct(F.lit(c).alias("feature"), numbers[c].alias("range"), F.col(c).alias("value")) for c in edges))
+    counted = (
+        ranged.select(F.inline(cells))
+        .filter(F.col("value").isNotNull())
+        .groupBy("feature", "range")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most"))
+    )
+    per: dict[str, dict[int, tuple[int, float, float]]] = {c: {} for c in edges}
+    for r in counted.collect():
+        per[r["feature"]][r["range"]] = (r["n"], r["least"], r["most"])
+    still: dict[str, list[_Interval]] = {}
+    values_at: dict[tuple[str, int], float] = {}
+    for c, parts in open_.items():
+        limits = edges[c]
+        for part in parts:
+            first = 0 if part.low is None else 2 * limits.index(part.low) + 2
+            last = 2 * len(limits) if part.high is None else 2 * limits.index(part.high)
+            before = part.before
+            for number in range(first, last + 1):
+                n, least, most = per[c].get(number, (0, 0.0, 0.0))
+                ranks = tuple(r for r in part.ranks if before <= r < before + n)
+                if ranks and least == most:
+                    values_at.update({(c, r): least for r in ranks})
+                elif ranks:
+                    low = limits[number // 2 - 1] if number >= 2 else None
+                    high = limits[number // 2] if number // 2 < len(limits) else None
+                    still.setdefault(c, []).append(_Interval(low, high, before, n, ranks))
+                before += n
+    return still, values_at
+
+
+def _sketch_of(inside: Column, column: str, ranges: int) -> Column:
+    shares = F.expr(doubles(i / max(ranges, 2) for i in range(1, max(ranges, 2))))
+    return F.percentile_approx(F.when(inside, F.col(column)), shares, max(ranges, 2) * 10)
+
+
+def _located(values: DataFrame, open_: dict[str, list[_Interval]]) -> dict[tuple[str, int], float]:
+    """Values at the wanted ranks of small intervals: only their rows are shuffled, repeated values as one row per task."""
+    wanted = [(f"{c}/{i}", c, part) for c, parts in open_.items() for i, part in enumerate(parts)]
+    if not wanted:
+        return {}
+    cells = F.array(
+        *(F.struct(F.lit(name).alias("interval"), F.when(part.holds(F.col(c)), F.col(c)).alias("value")) for name, c, part in wanted)
+    )
+    counts = (
+        values.select(F.inline(cells)).filter(F.col("value").isNotNull())
+        .groupBy("interval", "value").agg(F.count(F.lit(1)).alias("n"))
+    )
+    asked = values.sparkSession.createDataFrame(
+        [(name, part.before, list(part.ranks)) for name, _, part in wanted], "interval string, before long, ranks array<long>"
+    )
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("interval").orderBy("value"))
+    located = (
+        counts.join(F.broadcast(asked), "interval")  # one row per interval
+        .withColumn("upto", upto)
+        .withColumn("hit", F.filter("ranks", lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n"))))
+        .select("interval", "value", F.explode("hit").alias("rank"))
+    )
+    column = {name: c for name, c, _ in wanted}
+    return {(column[r["interval"]], r["rank"]): r["value"] for r in located.collect()}
 
 
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
     shares: Sequence[float],
-    buckets: int = VALUE_BUCKETS,
+    buckets: int | None = None,
+    range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
-    """Linearly interpolated exact quantiles, one row per column.
+    """Linearly interpolated exact quantiles, one row per column; a column without values has none.
 
     Output: ``feature, n_values, quantiles ARRAY<DOUBLE>`` in the order of ``shares``.
-    Values are counted first (so repeated values never travel), and only value buckets
-    that hold a wanted rank are ordered.
+    The order is narrowed down: a table is cut into ranges by its row count (``buckets`` asks for a number of them), ranges
+    are counted map-side, and what holds a wanted rank is cut again until it has at most ``range_rows`` rows. Only these
+    rows are shuffled, at most two ranges per share however large the table is, and a heavy value is found by counting.
     """
-    cuts = _value_cuts(df, columns, buckets)
-    pairs = F.array(
-        *(
-            F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
-            for c in columns
-        )
-    )
-    counts = (
-        df.select(F.inline(pairs))
-        .filter(F.col("value").isNotNull() & ~F.isnan("value"))
-        .groupBy("feature", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    cut_table = df.sparkSession.createDataFrame(
-        [(name, cuts[name]) for name in columns], "feature string, cuts array<double>"
-    )
-    counts = counts.join(F.broadcast(cut_table), "feature").select(
-        "feature", "value", "n", _value_bucket(F.col("value"), F.col("cuts")).alias("bucket")
-    )
-
-    per_feature = Window.partitionBy("feature")
-    earlier = per_feature.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = (
-        counts.groupBy("feature", "bucket")
-        .agg(F.sum("n").alias("bucket_n"))
-        .withColumn("before", F.coalesce(F.sum("bucket_n").over(earlier), F.lit(0)))
-        .withColumn("total", F.sum("bucket_n").over(per_feature))
-    )
-    position = lambda share: (F.col("total") - 1).cast("double") * share
-    share_array = F.expr(doubles(shares))
-    ranks = F.array_distinct(
-        F.concat(
-            F.transform(share_array, lambda s: F.floor(position(s))),
-            F.transform(share_array, lambda s: F.least(F.floor(position(s)) + 1, F.col("total") - 1)),
-        )
-    )
-    wanted = totals.withColumn(
-        "ranks",
-        F.filter(ranks, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("bucket_n"))),
-    ).filter(F.size("ranks") > 0)
-    inside = Window.partitionBy("feature", "bucket").orderBy("value")
-    located = (
-        counts.join(F.broadcast(wanted.select("feature", "bucket", "before", "total", "ranks")), ["feature", "bucket"])
-        .withColumn("upto", F.col("before") + F.sum("n").over(inside))
-        .withColumn(
-            "hit",
-            F.filter("ranks", lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n"))),
-        )
-        .select("feature", "total", "value", F.explode("hit").alias("rank"))
-    )
-    by_rank = located.groupBy("feature", "total").agg(
-        F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at")
-    )
-
-    def interpolate(share: Column) -> Column:
-        spot = position(share)
-        low = F.floor(spot)
-        step = spot - low
-        a = F.element_at("at", low)
-        b = F.element_at("at", F.least(low + 1, F.col("total") - 1))
-        return F.when(step >= 0.5, b - (b - a) * (F.lit(1.0) - step)).otherwise(a + (b - a) * step)
-
-    return by_rank.select(
-        "feature",
-        F.col("total").cast("bigint").alias("n_values"),
-        F.transform(share_array, interpolate).alias("quantiles"),
-    )
+    endless = (float("-inf"), float("inf"))
+    values = df.select(*((F.col(c).cast("double") + F.lit(0.0)).alias(c) for c in columns))
+    values = values.select(*(F.when(~F.isnan(c), F.col(c)).alias(c) for c in columns))
+    counts = values.agg(
+        *(F.struct(F.count(c).alias("n"), *(F.count_if(F.col(c) == x).alias(f"n{x}") for x in endless)).alias(c) for c in columns)
+    ).first()
+    values = values.select(*(F.when(~F.col(c).isin(*endless), F.col(c)).alias(c) for c in columns))
+    totals, open_ = {c: counts[c][0] for c in columns}, {}
+    found: dict[tuple[str, int], float] = {}
+    for c, (total, low, high) in ((c, counts[c]) for c in columns):
+        spots = [int(np.floor((total - 1) * share)) for share in shares] if total else []
+        ranks = sorted({min(x + more, total - 1) for x in spots for more in (0, 1)})
+        found.update({(c, r): endless[r >= low] for r in ranks if r < low or r >= total - high})
+        if total > low + high:
+            open_[c] = [_Interval(None, None, low, total - low - high, tuple(r for r in ranks if (c, r) not in found))]
+    forced = buckets
+    while any(part.rows > range_rows or forced for parts in open_.values() for part in parts):
+        large = {c: [p for p in parts if p.rows > range_rows or forced] for c, parts in open_.items()}
+        small = {c: [p for p in parts if not (p.rows > range_rows or forced)] for c, parts in open_.items()}
+        still, more = _narrowed(values, {c: p for c, p in large.items() if p}, lambda p: forced or range_count(p.rows, range_rows))
+        found.update(more)
+        open_ = {c: small.get(c, []) + still.get(c, []) for c in open_}
+        forced = None
+    found.update(_located(values, {c: parts for c, parts in open_.items() if parts}))
+
+    def quantile(c: str, share: float) -> float:
+        spot = (totals[c] - 1) * share
+        low = int(np.floor(spot))
+        step, a, b = spot - low, found[c, low], found[c, min(low + 1, totals[c] - 1)]
+        if step == 0.0 or a == b:
+            return a
+        return b - (b - a) * (1.0 - step) if step >= 0.5 else a + (b - a) * step
+
+    rows = [(c, total, [quantile(c, share) for share in shares]) for c, total in totals.items() if total]
+    return df.sparkSession.createDataFrame(rows, "feature string, n_values bigint, quantiles array<double>")
 
 
 def decile_shares(bins: int) -> list[float]:
@@ -209,21 +290,25 @@ def decile_shares(bins: int) -> list[float]:
     return [float(share) for share in np.linspace(0.0, 1.0, bins + 1)]
 
 
-def rank_statistic(df: DataFrame, score: str, positive: Column, buckets: int = VALUE_BUCKETS) -> DataFrame:
+def rank_statistic(df: DataFrame, score: str, positive: Column, buckets: int | None = None) -> DataFrame:
     """Sums behind the exact, tie-aware Mann-Whitney statistic: ``u, positives, negatives``.
 
-    Equal scores are merged before any shuffle; distinct scores are split into balanced
-    score ranges, each ordered on its own, and the ranges are chained by their totals.
-    The range limits come from a sketch that is run when the plan is built.
+    Equal scores are merged before any shuffle; distinct scores are split into score ranges
+    whose number follows the row count, each ordered on its own, and the ranges are chained
+    by their totals. The range limits come from a sketch that is run when the plan is built.
     """
-    usable = df.select(F.col(score).cast("double").alias("score"), positive.alias("positive"))
-    cuts = F.expr(doubles(_value_cuts(usable, ["score"], buckets)["score"]) + "::array<double>")
+    usable = df.select((F.col(score).cast("double") + F.lit(0.0)).alias("score"), positive.alias("positive"))
+    ranges = buckets or range_count(usable.count())
+    cuts: list[float] = []
+    if ranges > 1:
+        cuts = sorted({x for x in usable.agg(_sketch("score", ranges).alias("cuts")).first()[0] or [] if np.isfinite(x)})
     per_score = usable.groupBy("score").agg(
         F.count_if(F.col("positive")).alias("pos"), F.count_if(~F.col("positive")).alias("neg")
     )
+    ranged, numbers = _ranged(per_score, {"score": cuts})
     lower = Window.partitionBy("bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = (
-        per_score.withColumn("bucket", F.coalesce(_value_bucket(F.col("score"), cuts), F.lit(0)))
+    summed = (
+        ranged.withColumn("bucket", F.coalesce(numbers["score"], F.lit(0)))
         .withColumn("neg_below", F.coalesce(F.sum("neg").over(lower), F.lit(0)))
         .groupBy("bucket")
         .agg(
@@ -232,8 +317,9 @@ def rank_statistic(df: DataFrame, score: str, positive: Column, buckets: int = V
             F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") * F.lit(0.5))).alias("u"),
         )
     )
+    # At most two rows per cut.
     earlier = Window.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return ranges.withColumn("neg_before", F.coalesce(F.sum("neg").over(earlier), F.lit(0))).agg(
+    return summed.withColumn("neg_before", F.coalesce(F.sum("neg").over(earlier), F.lit(0))).agg(
         F.sum(F.col("u") + F.col("pos") * F.col("neg_before").cast("double")).alias("u"),
         F.coalesce(F.sum("pos"), F.lit(0)).alias("positives"),
         F.coalesce(F.sum("neg"), F.lit(0)).alias("negatives"),
