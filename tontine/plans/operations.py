@@ -28,6 +28,7 @@ from tontine.plans import lifecycle as lifecycle_plans
 from tontine.plans import monitoring, risk
 from tontine.plans.registry import query, rounded, step, steps
 from tontine.sources import snapshot, tables
+from tontine.sources.lines import numbered_lines
 from tontine.sources.shared import fresh_path
 from tontine.streaming import drift_monitor, live_metrics, live_scoring
 from tontine.streaming import online_updates as online_stream
@@ -288,6 +289,74 @@ def manifest_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot.manifest_check(expected, present)
 
 
+def row_text_sql(**kinds: str) -> str:
+    """The canonical text of a row in SQL; ``kinds`` gives ``text``, ``whole`` or ``real`` by column."""
+    texts = {"text": "{}", "whole": "CAST({} AS VARCHAR)", "real": "printf('%.9f', {})"}
+    cells = [(c, texts[kinds[c]].format(c)) for c in sorted(kinds)]
+    return "concat_ws(',', " + ", ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE length({t}) || ':' || {t} END" for c, t in cells) + ")"
+
+
+_POLICY_TEXT = row_text_sql(
+    IDpol="whole", ClaimNb="whole", Exposure="real", VehPower="whole", VehAge="whole", DrivAge="whole", BonusMalus="whole",
+    VehBrand="text", VehGas="text", Area="text", Density="real", Region="text",
+)
+
+
+@query(
+    "dataset_digests",
+    steps("policy")
+    + f""", t AS (SELECT pool_id, sha256({_POLICY_TEXT}) AS d FROM policy),
+l2 AS (SELECT pool_id, substr(d, 1, 2) AS p, count(*) AS n, sha256(string_agg(d, ',' ORDER BY d)) AS d FROM t GROUP BY 1, 2),
+l1 AS (SELECT pool_id, substr(p, 1, 1) AS q, sum(n) AS n, sha256(string_agg(d, ',' ORDER BY p)) AS d FROM l2 GROUP BY 1, 2)
+SELECT pool_id, CAST(sum(n) AS BIGINT) AS n_rows, sha256(string_agg(d, ',' ORDER BY q)) AS digest FROM l1 GROUP BY 1""",
+)
+def dataset_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all policies, pool by pool, by a tree of two levels."""
+    return snapshot.content_digests(B.policies(spark, sf_dir), ["pool_id"], levels=2)
+
+
+@query(
+    "dataset_manifest",
+    steps("indexed")
+    + """SELECT 'stream/batch_id=' || batch_id AS unit, CASE batch_id WHEN 7 THEN 'missing' WHEN 3 THEN 'changed' ELSE 'same' END AS status,
+       count(*) AS n_rows FROM indexed GROUP BY batch_id
+UNION ALL SELECT 'features', 'unlisted', NULL""",
+)
+def dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dataset against its manifest after one batch folder went, one batch changed and a table came."""
+    stream = B.batched(spark, sf_dir)
+    whole, broken = fresh_path(spark, "dataset"), fresh_path(spark, "dataset")
+    tables.write_batches(stream, f"{whole}/stream")
+    stored = tables.read_batches(spark, f"{whole}/stream", stream.schema)
+    snapshot.write_manifest(snapshot.manifest_of(stored, "stream", "batch_id"), whole)
+    damaged = stored.filter("batch_id <> 7").withColumn("BonusMalus", F.col("BonusMalus") + (F.col("batch_id") == 3).cast("int"))
+    tables.write_batches(damaged, f"{broken}/stream")
+    found = tables.read_batches(spark, f"{broken}/stream", damaged.schema)
+    present = snapshot.manifest_of(found, "stream", "batch_id").unionByName(snapshot.manifest_of(found.limit(5), "features"))
+    return snapshot.manifest_status(spark.read.schema(snapshot.MANIFEST).parquet(f"{whole}/_manifest"), present)
+
+
+@query(
+    "broken_log_lines",
+    """SELECT count(*) AS n_lines, count(*) FILTER (WHERE o_orderkey % 10 = 0) AS n_broken, TRUE AS numbered FROM orders""",
+)
+def broken_log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions of broken records in a log of many files: each file is numbered from 1 without gaps, in its own order."""
+    path, key = fresh_path(spark, "log"), F.col("o_orderkey")
+    line = F.concat(F.when(key % 10 == 0, F.lit("broken ")).otherwise(F.lit('{"request_id": "')), key, F.when(key % 10 != 0, F.lit('"}')).otherwise(F.lit("")))
+    rows = B.table(spark, sf_dir, "orders").repartition(4, key).sortWithinPartitions(key)
+    rows.select(line.alias("value")).write.text(path)
+    found = F.regexp_extract("value", r"(\d+)", 1).cast("long")
+    lines = numbered_lines(spark, path).withColumn("key", found)
+    per_file = lines.groupBy("path").agg(
+        F.count(F.lit(1)).alias("n"),
+        (F.max("line") == F.count_distinct("line")).alias("gapless"),
+        (F.max_by("line", "key") == F.max("line")).alias("ordered"),
+    )
+    counted = per_file.agg(F.sum("n").alias("n_lines"), F.bool_and(F.col("gapless") & F.col("ordered")).alias("numbered"))
+    return side_by_side(counted, tables.broken_lines(spark, path).agg(F.count(F.lit(1)).alias("n_broken")))
+
+
 @query(
     "hash_consistency",
     """SELECT c_custkey, c_custkey % 7 <> 0 AND c_custkey % 11 <> 0 AS consistent FROM customer""",

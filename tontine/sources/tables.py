@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tontine import schemas as S
 from tontine.operators import quality
+from tontine.sources.lines import numbered_lines
 
 CORRUPT = "_corrupt"
 
@@ -123,7 +125,7 @@ def read_optional_report(spark: SparkSession, path: str, schema: T.StructType) -
 
 
 def split_json_lines(lines: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """Parsed objects and the lines that are no JSON object; blank lines are skipped."""
+    """Parsed objects and the lines that are no JSON object; blank lines are skipped. Bad lines keep all their columns."""
     text = F.trim("value")
     with_corrupt = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     parsed = (
@@ -145,18 +147,26 @@ def read_decision_log(spark: SparkSession, path: str, strict: bool = True) -> tu
             return spark.createDataFrame([], S.DECISIONS), spark.createDataFrame([], "value string")
         raise
     good, bad = split_json_lines(lines, S.DECISIONS)
-    if strict:
-        first = bad.first()
-        if first is not None:
-            raise SourceError("the decision log holds a line that is not a JSON object")
+    if strict and not bad.isEmpty():
+        where = broken_lines(spark, path).orderBy("path", "line").first()
+        raise SourceError(f"{where['path']}, line {where['line']}: not a JSON object")
     return good, bad
 
 
+def broken_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``path, line``: where a decision log holds what is no JSON object."""
+    return split_json_lines(numbered_lines(spark, path), S.DECISIONS)[1].select("path", "line")
+
+
+#: What a sink raises when it cannot be written: Spark's own errors, those of the JVM behind it, and of the file system.
+SINK_ERRORS = (PySparkException, Py4JError, OSError)
+
+
 def append_decisions(decisions: DataFrame, path: str) -> int:
     """Append to the log; the number of failed writes is returned, never raised."""
     try:
         decisions.write.mode("append").option("ignoreNullFields", False).json(path)
-    except Exception:  # noqa: BLE001 - a trace failure must not break scoring
+    except SINK_ERRORS:  # a trace failure must not break scoring
         return 1
     return 0
 

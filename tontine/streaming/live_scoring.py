@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from py4j.protocol import Py4JError
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
@@ -77,9 +75,6 @@ def pool_decisions(members: DataFrame, scorer: scoring.Scorer) -> tuple[DataFram
     return scoring.pool_risk_scores(scored, by="request_id"), rejected
 
 
-#: What a sink raises when it cannot be written: Spark's own errors, those of the JVM behind it, and of the file system.
-SINK_ERRORS = (PySparkException, Py4JError, OSError)
-
 REQUEST_ROW = ("request_id", *S.SERVING_COLUMNS)
 MEMBER_ROW = ("request_id", "request_pool_id", "contract_count", "member_index", *S.SERVING_COLUMNS)
 
@@ -139,7 +134,7 @@ class LiveScoring:
         failed: list[tuple[str, str]] = []
         try:
             self._partition(decisions, epoch).option("ignoreNullFields", False).json(self.decision_log)
-        except SINK_ERRORS as error:
+        except tables.SINK_ERRORS as error:
             failed.append((endpoint, type(error).__name__))
         table = decisions.sparkSession.createDataFrame(failed, "endpoint string, error_type string")
         self._put(table.coalesce(1), "failures", epoch)
