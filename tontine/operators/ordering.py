@@ -291,36 +291,54 @@ def decile_shares(bins: int) -> list[float]:
 
 
 def rank_statistic(df: DataFrame, score: str, positive: Column, buckets: int | None = None) -> DataFrame:
-    """Sums behind the exact, tie-aware Mann-Whitney statistic: ``u, positives, negatives``.
+    """Sums behind the exact, tie-aware Mann-Whitney statistic: ``u, positives, negatives``, one row.
 
     Equal scores are merged before any shuffle; distinct scores are split into score ranges
     whose number follows the row count, each ordered on its own, and the ranges are chained
     by their totals. The range limits come from a sketch that is run when the plan is built.
     """
-    usable = df.select((F.col(score).cast("double") + F.lit(0.0)).alias("score"), positive.alias("positive"))
+    sums = rank_statistics(df, (), score, positive, buckets)
+    return sums.agg(
+        F.sum("u").alias("u"),
+        F.coalesce(F.sum("positives"), F.lit(0)).alias("positives"),
+        F.coalesce(F.sum("negatives"), F.lit(0)).alias("negatives"),
+    )
+
+
+def rank_statistics(
+    df: DataFrame, by: Sequence[str], score: str, positive: Column, buckets: int | None = None, times: str | None = None
+) -> DataFrame:
+    """The sums of ``rank_statistic`` per value of ``by``; a row counts ``times`` times. All groups share the ranges."""
+    count = F.col(times).cast("bigint") if times else F.lit(1).cast("bigint")
+    usable = df.select(*by, (F.col(score).cast("double") + F.lit(0.0)).alias("score"), positive.alias("positive"), count.alias("times"))
     ranges = buckets or range_count(usable.count())
     cuts: list[float] = []
     if ranges > 1:
         cuts = sorted({x for x in usable.agg(_sketch("score", ranges).alias("cuts")).first()[0] or [] if np.isfinite(x)})
-    per_score = usable.groupBy("score").agg(
-        F.count_if(F.col("positive")).alias("pos"), F.count_if(~F.col("positive")).alias("neg")
+    per_score = usable.groupBy(*by, "score").agg(
+        F.sum(F.when(F.col("positive"), F.col("times")).otherwise(0)).alias("pos"),
+        F.sum(F.when(~F.col("positive"), F.col("times")).otherwise(0)).alias("neg"),
     )
     ranged, numbers = _ranged(per_score, {"score": cuts})
-    lower = Window.partitionBy("bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    lower = Window.partitionBy(*by, "bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     summed = (
         ranged.withColumn("bucket", F.coalesce(numbers["score"], F.lit(0)))
         .withColumn("neg_below", F.coalesce(F.sum("neg").over(lower), F.lit(0)))
-        .groupBy("bucket")
+        .groupBy(*by, "bucket")
         .agg(
             F.sum("pos").alias("pos"),
             F.sum("neg").alias("neg"),
             F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") * F.lit(0.5))).alias("u"),
         )
     )
-    # At most two rows per cut.
-    earlier = Window.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return summed.withColumn("neg_before", F.coalesce(F.sum("neg").over(earlier), F.lit(0))).agg(
-        F.sum(F.col("u") + F.col("pos") * F.col("neg_before").cast("double")).alias("u"),
-        F.coalesce(F.sum("pos"), F.lit(0)).alias("positives"),
-        F.coalesce(F.sum("neg"), F.lit(0)).alias("negatives"),
+    # At most two rows per cut and group.
+    earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        summed.withColumn("neg_before", F.coalesce(F.sum("neg").over(earlier), F.lit(0)))
+        .groupBy(*by)
+        .agg(
+            F.sum(F.col("u") + F.col("pos") * F.col("neg_before").cast("double")).alias("u"),
+            F.sum("pos").alias("positives"),
+            F.sum("neg").alias("negatives"),
+        )
     )

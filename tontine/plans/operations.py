@@ -610,6 +610,24 @@ def retrained_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "candidate_training_aucs",
+    steps("events_log")
+    + "SELECT trigger_batch, training_window_batches, training_rows, CAST(training_rows AS BIGINT) AS rows_fitted, TRUE AS auc_sound FROM events_log",
+)
+def candidate_training_aucs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training AUC of every event's candidate, stated as what must hold of it: known, and better than chance."""
+    from tontine.operators.event_fits import candidate_aucs
+
+    stream, log = lifecycle_plans.events(spark, sf_dir)
+    bare = stream.drop(S.PROBABILITY)
+    encoder = encoding.fit_encoder(scoring.model_inputs(bare.filter(F.col("batch_id") <= S.REFERENCE_LAST_BATCH)))
+    found = candidate_aucs(log, bare, encoder).withColumnRenamed("training_rows", "rows_fitted")
+    return log.join(F.broadcast(found), "trigger_batch", "left").select(
+        "trigger_batch", "training_window_batches", "training_rows", "rows_fitted", F.col("auc").between(0.5, 1.0).alias("auc_sound")
+    )
+
+
 # --- streaming forms -----------------------------------------------------------------------------------
 
 
