@@ -7,11 +7,13 @@ number of nodes) is shipped to all tasks, which score Arrow batches with array l
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tontine import schemas as S
 from tontine.functions.hashing import seeded_md5
@@ -136,6 +138,71 @@ def flag_scores(scores: DataFrame, contamination: float = S.ANOMALY_CONTAMINATIO
     return scores.withColumn("anomaly_flag", (F.col(score) > threshold).cast("bigint"))
 
 
+#: The form of a stored model; a reader refuses any other.
+MODEL_VERSION = 1
+_REPORT = "schema_version int, trees int, contamination double, threshold double, seed long"
+
+
+class ModelFormatError(ValueError):
+    """A stored model has a form that this reader does not know."""
+
+
+@dataclass(frozen=True)
+class AnomalyModel:
+    """Encoder, node table and the score above which a contract is flagged; all that scoring needs."""
+
+    encoder: PipelineModel
+    forest: DataFrame
+    trees: int
+    contamination: float
+    threshold: float | None
+    seed: int
+
+    def score(self, features: DataFrame) -> DataFrame:
+        """``IDpol, pool_id, anomaly_score, anomaly_flag`` by the stored threshold."""
+        inputs = scoring.model_inputs(features)
+        dense = encoding.encode(inputs, self.encoder).select("IDpol", "pool_id", vector_to_array(encoding.FEATURES).alias("v"))
+        scored = score_forest(dense, self.forest, ("IDpol", "pool_id"))
+        flag = F.coalesce(F.col("anomaly_score") > F.lit(self.threshold).cast("double"), F.lit(False))
+        return scored.withColumn("anomaly_flag", flag.cast("bigint"))
+
+    def save(self, path: str) -> None:
+        """Encoder, nodes and, last of all, the report that makes the model complete."""
+        spark = self.forest.sparkSession
+        self.encoder.write().overwrite().save(f"{path}/encoder")
+        self.forest.write.mode("overwrite").parquet(f"{path}/nodes")
+        report = [(MODEL_VERSION, self.trees, self.contamination, self.threshold, self.seed)]
+        spark.createDataFrame(report, _REPORT).coalesce(1).write.mode("overwrite").json(f"{path}/report")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "AnomalyModel":
+        report = spark.read.schema(_REPORT).json(f"{path}/report").first()
+        if report is None or report["schema_version"] != MODEL_VERSION:
+            found = None if report is None else report["schema_version"]
+            raise ModelFormatError(f"{path} holds an anomaly model of version {found}, not {MODEL_VERSION}")
+        forest = spark.read.schema(_NODES).parquet(f"{path}/nodes")
+        found = forest.agg(F.count_distinct("tree")).first()[0]
+        if found != report["trees"]:
+            raise ModelFormatError(f"{path} holds {found} trees of {report['trees']}")
+        encoder = PipelineModel.load(f"{path}/encoder")
+        return AnomalyModel(encoder, forest, report["trees"], report["contamination"], report["threshold"], report["seed"])
+
+
+def fit_anomaly_model(
+    features: DataFrame, contamination: float = S.ANOMALY_CONTAMINATION, seed: int = S.SEED, trees: int = N_TREES
+) -> AnomalyModel:
+    """A forest of the whole table and the threshold of its training scores."""
+    inputs = scoring.model_inputs(features)
+    encoder = encoding.fit_encoder(inputs)
+    dense = encoding.encode(inputs, encoder).select("IDpol", vector_to_array(encoding.FEATURES).alias("v"))
+    encoded = spool(dense, "anomaly-input")
+    forest = spool(grow_forest(encoded, "IDpol", seed, trees), "forest")
+    grown = forest.agg(F.count_distinct("tree")).first()[0]
+    scores = spool(score_forest(encoded, forest, ("IDpol",)), "anomaly-scores") if grown else None
+    row = exact_quantiles(scores, ["anomaly_score"], [1.0 - contamination]).first() if grown else None
+    return AnomalyModel(encoder, forest, grown, contamination, row["quantiles"][0] if row else None, seed)
+
+
 def anomaly_scores(
     features: DataFrame, contamination: float = S.ANOMALY_CONTAMINATION, seed: int = S.SEED, trees: int = N_TREES
 ) -> DataFrame:

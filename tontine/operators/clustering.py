@@ -52,12 +52,41 @@ def label_centroids(points: DataFrame, label: str, vector: str) -> DataFrame:
     )
 
 
-def assign_nearest(points: DataFrame, centroids: DataFrame, label: str, vector: str) -> DataFrame:
+#: Centroids that reach a row as one array.
+BLOCK_CENTROIDS = 1024
+
+
+def assign_nearest(
+    points: DataFrame, centroids: DataFrame, label: str, vector: str, block: int = BLOCK_CENTROIDS
+) -> DataFrame:
     """Nearest centroid and squared distance of every point, the smaller label on a tie.
 
-    Centroids of a clustering are bounded by its k; they reach every row as one array, so
-    no pair of point and centroid is ever a row.
+    Up to ``block`` centroids reach every row as one array. Any larger number is dealt into blocks of about that size: each
+    is one scan of the points, which leaves the best of the block per point, and an aggregate takes the best of all blocks.
+    No pair of point and centroid is ever a row.
     """
+    blocks = -(-centroids.count() // block)
+    if blocks <= 1:
+        best = _best_in_block(points, centroids, label, vector)
+        return best.select(*points.columns, F.col("_best.id").alias("nearest"), F.col("_best.sq_distance").alias("sq_distance"))
+    numbered = spool(points.withColumn("_row", F.monotonically_increasing_id()), "points")
+    number = F.pmod(F.xxhash64(label), F.lit(blocks)).cast("int").alias("_block")
+    dealt = spool(centroids.select(label, "centroid", number), "centroid-blocks", ["_block"])
+    narrow = numbered.select("_row", vector)
+    found = None
+    for b in range(blocks):
+        one = _best_in_block(narrow, dealt.filter(F.col("_block") == b), label, vector).select("_row", "_best")
+        found = one if found is None else found.union(one)
+        if b % 32 == 31:  # plans stay short
+            found = spool(found.groupBy("_row").agg(F.min("_best").alias("_best")), "nearest-so-far")
+    best = found.groupBy("_row").agg(F.min("_best").alias("_best"))
+    return numbered.join(best, "_row").select(
+        *points.columns, F.col("_best.id").alias("nearest"), F.col("_best.sq_distance").alias("sq_distance")
+    )
+
+
+def _best_in_block(points: DataFrame, centroids: DataFrame, label: str, vector: str) -> DataFrame:
+    """``points`` with ``_best``, the smallest (squared distance, label) of a bounded set of centroids."""
     table = centroids.agg(F.sort_array(F.collect_list(F.struct(F.col(label).alias("id"), "centroid")))).scalar()
 
     def measured(centre):
@@ -65,15 +94,7 @@ def assign_nearest(points: DataFrame, centroids: DataFrame, label: str, vector:
         distance = F.aggregate(gaps, F.lit(0.0), lambda total, gap: total + gap)
         return F.struct(distance.alias("sq_distance"), centre["id"].alias("id"))
 
-    return (
-        points.withColumn("_centres", table)
-        .withColumn("_best", F.array_min(F.transform("_centres", measured)))
-        .select(
-            *points.columns,
-            F.col("_best.id").alias("nearest"),
-            F.col("_best.sq_distance").alias("sq_distance"),
-        )
-    )
+    return points.withColumn("_centres", table).withColumn("_best", F.array_min(F.transform("_centres", measured))).drop("_centres")
 
 
 def clustering_inertia(assigned: DataFrame) -> DataFrame:

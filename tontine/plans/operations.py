@@ -581,6 +581,66 @@ def anomaly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anomaly.anomaly_scores(B.contract_features(spark, sf_dir))
 
 
+@query(
+    "stored_anomaly_model",
+    steps("policy")
+    + f"""SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS scored_otherwise, TRUE AS scores_in_range, TRUE AS flags_within_share,
+       {anomaly.N_TREES} AS trees, 'refused' AS other_version FROM policy""",
+)
+def stored_anomaly_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An anomaly model stored and loaded again: the same scores and flags for every contract."""
+    features, path = B.contract_features(spark, sf_dir), fresh_path(spark, "anomaly-model")
+    model = anomaly.fit_anomaly_model(features)
+    model.save(path)
+    loaded = anomaly.AnomalyModel.load(spark, path)
+    again = loaded.score(features).select("IDpol", F.col("anomaly_score").alias("again"), F.col("anomaly_flag").alias("flag_again"))
+    both = model.score(features).join(again, "IDpol")
+    odd = (F.col("anomaly_score") != F.col("again")) | (F.col("anomaly_flag") != F.col("flag_again"))
+    most = F.ceil(F.count(F.lit(1)) * F.lit(S.ANOMALY_CONTAMINATION))
+    other = fresh_path(spark, "anomaly-model")
+    model.save(other)
+    report = spark.read.json(f"{path}/report").withColumn("schema_version", F.lit(anomaly.MODEL_VERSION + 1))
+    report.write.mode("overwrite").json(f"{other}/report")
+    try:
+        anomaly.AnomalyModel.load(spark, other)
+        verdict = "accepted"
+    except anomaly.ModelFormatError:
+        verdict = "refused"
+    return both.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(odd).alias("scored_otherwise"),
+        F.bool_and(F.col("anomaly_score").between(0.0, 1.0)).alias("scores_in_range"),
+        (F.sum("anomaly_flag") <= most).alias("flags_within_share"),
+        F.lit(loaded.trees).alias("trees"),
+        F.lit(verdict).alias("other_version"),
+    )
+
+
+@query(
+    "stored_claim_model",
+    steps("split")
+    + """SELECT count(*) AS n_rows, sum(target_has_claim)::BIGINT AS positives, CAST(0 AS BIGINT) AS scored_otherwise, TRUE AS better_than_chance,
+       TRUE AS calibrated FROM split WHERE is_test""",
+)
+def stored_claim_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calibrated classifier stored and loaded again: the same scores, better than chance, close to the observed rate."""
+    from tontine.operators import metrics
+
+    data = risk.split(spark, sf_dir).drop(S.PROBABILITY)
+    model, path = classifier.fit_claim_model(data.filter(~F.col("is_test"))), fresh_path(spark, "claim-model")
+    model.save(path)
+    held = data.filter("is_test")
+    first = model.score(held).select("IDpol", S.TARGET, S.PROBABILITY)
+    again = classifier.load_scorer(spark, path)(held).select("IDpol", F.col(S.PROBABILITY).alias("again"))
+    counted = first.join(again, "IDpol").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum(S.TARGET).cast("bigint").alias("positives"),
+        F.count_if(F.col(S.PROBABILITY) != F.col("again")).alias("scored_otherwise"),
+        (F.abs(F.avg(S.PROBABILITY) - F.avg(S.TARGET)) < 0.05).alias("calibrated"),
+    )
+    return side_by_side(counted, metrics.roc_auc(first).select((F.col("auc") > 0.5).alias("better_than_chance")))
+
+
 @query("online_updates")
 def online_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log loss of the online candidate before each batch's update."""
