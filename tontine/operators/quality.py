@@ -157,6 +157,28 @@ def expect_batches(df: DataFrame, last_reference: int = S.REFERENCE_LAST_BATCH)
         raise DataQualityError(f"batch numbers reach {row['last']}, but only {row['n']} batches exist")
 
 
+def expect_monitorable(
+    df: DataFrame, first: int = S.REFERENCE_FIRST_BATCH, last: int = S.REFERENCE_LAST_BATCH
+) -> DataFrame:
+    """What a monitor needs of its stream, in one pass: batches without gaps beyond a clean reference window of both classes."""
+    inside = F.col("batch_id").between(first, last)
+    row = df.agg(
+        F.max("batch_id").alias("last"),
+        F.count_distinct("batch_id").alias("n"),
+        F.bool_or(inside & (F.col("data_drift_injected") | F.col("concept_drift_injected"))).alias("injected"),
+        F.count_distinct(F.when(inside, F.col(S.TARGET))).alias("classes"),
+    ).first()
+    if row["last"] is None or row["n"] <= last + 1:
+        raise DataQualityError(f"nothing to monitor: batches end with the reference window ({first}..{last})")
+    if row["n"] != row["last"] + 1:
+        raise DataQualityError(f"batch numbers reach {row['last']}, but only {row['n']} batches exist")
+    if row["injected"]:
+        raise DataQualityError(f"the reference window ({first}..{last}) holds injected drift")
+    if row["classes"] < 2:
+        raise DataQualityError(f"the reference window ({first}..{last}) holds {row['classes']} of 2 classes")
+    return df
+
+
 def classify_requests(df: DataFrame) -> DataFrame:
     """Add ``rejected_rules``: names of broken request rules, never the offending values."""
     rules = [F.when(F.col(c).isNull(), F.lit(f"missing:{c}")) for c in S.SERVING_STRINGS]

@@ -697,7 +697,7 @@ def monitored(spark: SparkSession, sf_dir: str) -> drift_monitor.DriftMonitor:
     source, sink, state = (fresh_path(spark, n) for n in ("arriving", "counts", "state"))
     stream.repartition(3, "IDpol").write.partitionBy("batch_id").parquet(source)
     stored = spark.read.schema(stream.schema).parquet(source)
-    monitor = drift_monitor.DriftMonitor(drift.fit_reference(B.scorer()(stored)), B.scorer(), sink)
+    monitor = drift_monitor.DriftMonitor.of(stored, B.scorer(), sink)
     arriving = drift_monitor.stream_batches(spark, source, stream.schema, files_per_trigger=16)
     monitor.start(arriving, state, available_now=True).awaitTermination()
     return monitor

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tontine import schemas as S
-from tontine.operators import drift, lifecycle
+from tontine.operators import drift, lifecycle, quality
 from tontine.sources.shared import spool
 
 
@@ -23,6 +23,12 @@ class DriftMonitor:
         self.scorer = scorer
         self.path = path
 
+    @classmethod
+    def of(cls, stored: DataFrame, scorer, path: str) -> "DriftMonitor":
+        """A monitor whose reference is the window of a stored stream; a stream that cannot be monitored is refused."""
+        quality.expect_monitorable(stored)
+        return cls(drift.fit_reference(scorer(stored)), scorer, path)
+
     def process(self, micro_batch: DataFrame, epoch: int) -> None:
         scored = self.scorer(micro_batch).persist()
         try:
