@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import collections
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
-from tontine.llm import decontam, linededup, quality, sharding, tokens, topk
+from tontine.llm import decontam, linededup, pieces, quality, sharding, tokens, topk
 
 
 def test_large_components_are_not_clipped(spark):
@@ -94,3 +96,30 @@ def test_stages_bear_clashing_columns_nulls_and_empty_tables(spark, sf):
         assert stage(spark, rows.limit(0), sf).count() == 0, name
     kept = pipeline.quality_stage(spark, rows, sf)
     assert kept.columns == rows.columns
+
+
+def test_segmentations_do_not_depend_on_the_batch(spark, sf):
+    """Two orders and partitionings: every value equal to the last bit."""
+    rng = random.Random(3)
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").limit(60).collect()]
+    texts += ["", None, "a  b", "▁x ▁ y", "naïve 漢字 😀 \n\t", "é" * 3000, " lead"] + texts[:9]
+    rows = list(enumerate(texts))
+    mixed = rows[:]
+    rng.shuffle(mixed)
+
+    def drawn(data, parts):
+        out = pieces.encode(spark.createDataFrame(data, "doc_id long, text string").repartition(parts)).collect()
+        return {(r.doc_id, r.sample): tuple(r) for r in out}
+
+    first, second = drawn(rows, 1), drawn(mixed, 5)
+    assert first == second and len(first) > 100
+    assert all(r[-1] for r in first.values())
+    decoded = pieces.decode(pieces.encode(spark.createDataFrame(rows, "doc_id long, text string")))
+    for r in decoded.collect():
+        assert r.text == (texts[r.doc_id] or "").replace("▁", " ")
+    sampler = pieces.worker_sampler(open(pieces.MODEL, "rb").read(), 2, pieces.REMEMBERED)
+    ids = [np.array(v[2], np.int32) for v in first.values() if texts[v[0]]]
+    own = [texts[v[0]] for v in first.values() if texts[v[0]]]
+    assert sampler.spell(ids, own).all()
+    assert not sampler.spell(ids, [t + "x" for t in own]).any() and not sampler.spell(ids, ["q" + t[1:] + "~" for t in own]).any()
+    assert not sampler.spell([x[:-1] for x in ids], own).any()

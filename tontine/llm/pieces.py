@@ -31,28 +31,36 @@ import math
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, functions as F
 
-from tontine.llm.arrowtools import member, mix64, slices
+from tontine.llm.arrowtools import mix64, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 SEED = 11
 SPACE_MARK = "▁"
 RANK_SHIFT = 50.0
-SEGMENT = re.compile(f"{SPACE_MARK}+[^{SPACE_MARK}]*|[^{SPACE_MARK}]+")
+MARK = ord(SPACE_MARK)
 #: Distinct segments whose lattices a worker remembers from batch to batch.
 REMEMBERED = 5 << 16
 BATCH_BYTES = 1 << 19
 BASE = 0xC2B2AE3D27D4EB4F
+#: Leading bits of a piece's hash that find it.
+SLOT_BITS = 20
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2^64 and of its inverse."""
+    """``n`` or more powers of an odd base modulo 2^64 and of its inverse."""
+    return some_powers(1 << max(16, (n - 1).bit_length()))
+
+
+@functools.lru_cache(maxsize=2)
+def some_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     base, inverse = np.full(n, np.uint64(BASE), np.uint64), np.full(n, np.uint64(pow(BASE, -1, 1 << 64)), np.uint64)
     base[:1] = inverse[:1] = 1
     return np.multiply.accumulate(base), np.multiply.accumulate(inverse)
@@ -80,9 +88,17 @@ class Vocabulary:
         if any(re.search(f"[^{SPACE_MARK}]{SPACE_MARK}", piece) for _, piece, _ in ranked):
             raise ValueError("a piece runs into a following space mark; texts cannot be cut there")
         total = sum(1.0 / (rank + RANK_SHIFT) for rank, _, _ in ranked)
+        texts = [self.processor.id_to_piece(i) for i in range(size)]
         self.pieces = {piece: (i, -math.log(rank + RANK_SHIFT) - math.log(total)) for rank, piece, i in ranked}
         self.byte_weight = -math.log(2.0 * len(ranked) + RANK_SHIFT) - math.log(total)
         self.byte_ids = np.array([self.bytes.get(b, 0) for b in range(128)], np.int64)
+        # A byte under 128 is a character by itself; others spell one together.
+        self.is_part = np.zeros(size, bool)
+        for value, i in self.bytes.items():
+            self.is_part[i] = value >= 128
+            texts[i] = chr(value)
+        self.lengths = np.array([len(x) for x in texts], np.int64)
+        self.spelling = np.array([sum((ord(c) + 1) * pow(BASE, i, 1 << 64) for i, c in enumerate(x)) % (1 << 64) for x in texts], np.uint64)
         self.longest = max(len(piece) for piece in self.pieces)
 
 
@@ -99,28 +115,49 @@ class Lattices:
         self.hashes = np.array([h for h, _, _ in rows], np.uint64)
         self.numbers = np.array([i for _, i, _ in rows], np.int64)
         self.weights = np.array([w for _, _, w in rows])
+        # Where the pieces with the same leading bits of their hash begin; the longest run of such pieces.
+        leading = (self.hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        self.slots = np.full(1 << SLOT_BITS, -1, np.int32)
+        self.slots[leading[::-1]] = np.arange(len(rows) - 1, -1, -1, dtype=np.int32)
+        self.run = int(np.bincount(leading).max(initial=1))
+        self.hashes = np.append(self.hashes, np.full(self.run, ~self.hashes[-1:].max(initial=0), np.uint64))
         self.clear()
 
+    def look_up(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are those of pieces, and the place of each of these pieces."""
+        place = self.slots[(found >> np.uint64(64 - SLOT_BITS)).astype(np.int64)]
+        maybe = np.flatnonzero(place >= 0)
+        at, wanted = place[maybe], found[maybe]
+        right = self.hashes[at] == wanted
+        for _ in range(1, self.run):
+            wrong = np.flatnonzero(~right)
+            if not len(wrong):
+                break
+            at[wrong] += 1
+            right[wrong] = self.hashes[at[wrong]] == wanted[wrong]
+        return maybe[right], at[right]
+
     def clear(self) -> None:
-        self.entry: dict[str, int] = {}
+        #: First node of a segment, by the segment's hash.
+        self.entry: dict[int, int] = {}
         self.nodes = 0
-        #: Per edge: node + running sum, log-probability given the node, next node (-1: the end), piece or -code point.
+        #: Per edge: running sum within its node, log-probability given the node, next node (-1: the end), piece or -code point.
         self.running, self.log, self.after, self.piece = array("d"), array("d"), array("i"), array("i")
         #: Per node: its first edge.
         self.first = array("i")
 
-    def add(self, segments: list[str]) -> None:
-        """Lattices of distinct new segments (none empty)."""
+    def add(self, names: list[int], segments: list[str]) -> None:
+        """Lattices of distinct new segments (none empty) under their hashes."""
         base = self.nodes
         lengths = np.array([len(x) for x in segments], np.int64)
-        self.entry.update(zip(segments, (base + np.cumsum(lengths) - lengths).tolist(), strict=True))
+        self.entry.update(zip(names, (base + np.cumsum(lengths) - lengths).tolist(), strict=True))
         text = "".join(segments)
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         n = len(codes)
         left = np.repeat(np.cumsum(lengths), lengths) - np.arange(n)
         power, inverse = powers(n)
         with np.errstate(over="ignore"):
-            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((codes + np.uint64(1)) * power)))
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((codes + np.uint64(1)) * power[:n])))
         origin, size, number, weight = [], [], [], []
         spelled = np.zeros(n, bool)
         at = np.arange(n)
@@ -128,8 +165,7 @@ class Lattices:
             at = at[left[at] >= length]
             with np.errstate(over="ignore"):
                 found = mix64((sums[at + length] - sums[at]) * inverse[at] + np.uint64(length))
-            hit = member(found, self.hashes)
-            place = np.searchsorted(self.hashes, found[hit])
+            hit, place = self.look_up(found)
             origin.append(at[hit])
             size.append(np.full(len(place), length))
             number.append(self.numbers[place])
@@ -164,10 +200,10 @@ class Lattices:
         ends = distance == size
         chance = np.minimum(0.0, weight + np.where(ends, 0.0, mass[np.minimum(origin + size, n)]) - mass[origin])
         first = np.concatenate(([0], np.cumsum(np.bincount(origin, minlength=n))))[:-1]
-        total = np.cumsum(np.exp(chance))
-        running = total - np.concatenate(([0.0], total))[first][origin]
-        running = base + origin + np.minimum(running, 1.0)
-        running[np.append(first[1:], len(origin)) - 1] = base + np.arange(n) + 1.0
+        # Sums of whole multiples of 2^-52 are exact, so a lattice does not depend on those that it is built with.
+        total = np.cumsum(np.rint(np.exp(chance) * 2.0**52).astype(np.int64))
+        running = (total - np.concatenate(([0], total))[first][origin]) * 2.0**-52
+        running[np.append(first[1:], len(origin)) - 1] = 1.0
         self.first.frombytes((first + len(self.running)).astype(np.int32).tobytes())
         self.running.frombytes(running.tobytes())
         self.log.frombytes(chance.tobytes())
@@ -180,6 +216,40 @@ class Lattices:
         return tuple(np.frombuffer(values, kind) if len(values) else np.empty(0, kind) for values, kind in kinds)
 
 
+def marked(text: str | None) -> str:
+    """A text as the pieces spell it: a mark in front and for every space."""
+    return SPACE_MARK + text.replace(" ", SPACE_MARK) if text else ""
+
+
+def segments_of(texts: list[str | None]):
+    """Hashes of the segments of all texts in order, their number per text, and a function from segments to strings.
+
+    A segment is a run of space marks and what follows it up to the next mark; a text begins with a mark. Segments are told
+    apart by 64-bit hashes that are computed on the code points of all texts at once.
+    """
+    whole = "".join(map(marked, texts))
+    codes = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = len(codes)
+    ends_of = np.cumsum([len(text) + 1 if text else 0 for text in texts])
+    mark = codes == MARK
+    begins = mark.copy()
+    begins[1:] &= ~mark[:-1]
+    heads = np.concatenate(([0], ends_of[:-1])).astype(np.int64)
+    begins[heads[heads < n]] = True
+    starts = np.flatnonzero(begins)
+    stops = np.append(starts[1:], n)
+    power, inverse = powers(n)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * power[:n])))
+        names = mix64((sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(np.uint64))
+    counts = np.diff(np.searchsorted(starts, np.concatenate(([0], ends_of))))
+
+    def cut(at: np.ndarray) -> list[str]:
+        return [whole[a:b] for a, b in zip(starts[at].tolist(), stops[at].tolist(), strict=True)]
+
+    return names, counts, cut
+
+
 def uniform(*parts: np.ndarray | int) -> np.ndarray:
     """Hash of the parts as a number in (0, 1)."""
     value = np.uint64(SEED)
@@ -203,10 +273,13 @@ class Path:
     def __init__(self, edge: np.ndarray, segment: np.ndarray, at: np.ndarray, value: np.ndarray, log: np.ndarray) -> None:
         self.edge, self.segment, self.at, self.value = edge, segment, at, value
         self.own = log[edge] if len(edge) else np.empty(0)
-        sums = np.concatenate(([0.0], np.cumsum(self.own)))
-        row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-        self.before = sums[:-1] - sums[at[:-1]][row] if len(edge) else np.empty(0)
-        self.total = sums[at[1:]] - sums[at[:-1]]
+        # Sums of a text start at that text, so they do not depend on its batch.
+        self.before, self.total = np.zeros(len(edge)), np.zeros(len(at) - 1)
+        for r, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+            if b > a:
+                sums = np.cumsum(self.own[a:b])
+                self.before[a + 1 : b] = sums[:-1]
+                self.total[r] = sums[-1]
         self.region = np.full(len(edge), -np.inf)
 
 
@@ -226,7 +299,7 @@ class Sampler:
         while len(active):
             u = uniform(keys[active], sample, segment[active], step)
             # The last, longest edge of a node is the likeliest; from there down to the one that u falls on.
-            aim = nodes[active] + u
+            aim = u
             edge, low = last[nodes[active]], first[nodes[active]]
             moving = np.flatnonzero(edge > low)
             while len(moving := moving[running[edge[moving] - 1] >= aim[moving]]):
@@ -259,15 +332,14 @@ class Sampler:
         lattices = self.lattices
         if len(lattices.entry) > self.remembered:
             lattices.clear()
-        flat, counts = [], []
-        for text in texts:
-            found = SEGMENT.findall(SPACE_MARK + text.replace(" ", SPACE_MARK)) if text else []
-            counts.append(len(found))
-            flat += found
-        new = list(set(flat).difference(lattices.entry))
-        if new:
-            lattices.add(new)
-        nodes = np.fromiter(map(lattices.entry.__getitem__, flat), np.int64, len(flat))
+        names, counts, cut = segments_of(texts)
+        known, seen, which = np.unique(names, return_index=True, return_inverse=True)
+        found = np.fromiter(map(lattices.entry.get, known.tolist(), repeat(-1)), np.int64, len(known))
+        unknown = np.flatnonzero(found < 0)
+        if len(unknown):
+            lattices.add(known[unknown].tolist(), cut(seen[unknown]))
+            found[unknown] = [lattices.entry[x] for x in known[unknown].tolist()]
+        nodes = found[which]
         seg_at = np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
         views = lattices.views()
         running, log, after, _, first = views
@@ -355,6 +427,39 @@ class Sampler:
                 threshold[full] = np.maximum(threshold[full], np.maximum.reduceat(path.region, path.at[full]))
         return paths, alive, threshold
 
+    def spell(self, pieces: list[np.ndarray], texts: list[str | None]) -> np.ndarray:
+        """Whether the pieces of each sample spell its text: by length and 64-bit hash of the code points.
+
+        A piece adds its own hash at its place in the text. Where characters are spelt by several byte pieces, the model's own
+        decoder is asked.
+        """
+        v = self.vocabulary
+        counts = np.array([len(p) for p in pieces], np.int64)
+        ids = np.concatenate([*pieces, np.empty(0, np.int32)]).astype(np.int64)
+        lengths = v.lengths[ids]
+        upto = np.cumsum(lengths)
+        first = np.cumsum(counts) - counts
+        spelt = np.diff(np.concatenate(([0], upto))[np.append(first, len(ids))])
+        place = upto - lengths - np.repeat(np.concatenate(([0], upto))[first], counts)
+        power, _ = powers(max(2, int(spelt.max(initial=0)), *(len(t or "") + 1 for t in texts)) if texts else 2)
+        with np.errstate(over="ignore"):
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(v.spelling[ids] * power[place])))
+            found = sums[first + counts] - sums[first]
+        parts = np.concatenate(([0], np.cumsum(v.is_part[ids])))
+        asked = parts[first + counts] > parts[first]
+        out = np.empty(len(pieces), bool)
+        last, name = None, (0, 0)
+        for i, text in enumerate(texts):
+            if asked[i]:
+                out[i] = v.processor.decode(pieces[i].tolist()) == (text or "").replace(SPACE_MARK, " ")
+                continue
+            if text is not last or last is None:
+                codes = np.frombuffer(marked(text).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+                with np.errstate(over="ignore"):
+                    last, name = text, (len(codes), int(((codes + np.uint64(1)) * power[: len(codes)]).sum()))
+            out[i] = (int(spelt[i]), int(found[i])) == name
+        return out
+
     def ids(self, path: Path, r: int) -> np.ndarray:
         """Piece ids of one text's sample."""
         piece = np.frombuffer(self.lattices.piece, np.int32)[path.edge[path.at[r] : path.at[r + 1]]]
@@ -404,7 +509,7 @@ def encode(
             paths, alive, threshold = sampler.draw(texts, keys)
             rows = [(r, s) for r in range(len(texts)) for s in range(len(paths)) if alive[s][r]]
             pieces = [sampler.ids(paths[s], r) for r, s in rows]
-            decoded = sampler.vocabulary.processor.decode([p.tolist() for p in pieces]) if pieces else []
+            decodes = sampler.spell(pieces, [texts[r] for r, _ in rows])
             offsets = np.concatenate(([0], np.cumsum([len(p) for p in pieces]))).astype(np.int32)
             logs = [float(paths[s].total[r]) for r, s in rows]
             yield pa.RecordBatch.from_arrays(
@@ -416,7 +521,7 @@ def encode(
                     pa.array(logs, pa.float64()),
                     pa.array([float(paths[s].value[r]) for r, s in rows], pa.float64()),
                     pa.array([log_inclusion(x, float(threshold[r])) for x, (r, _) in zip(logs, rows, strict=True)], pa.float64()),
-                    pa.array([d == (texts[r] or "").replace(SPACE_MARK, " ") for d, (r, _) in zip(decoded, rows, strict=True)], pa.bool_()),
+                    pa.array(decodes, pa.bool_()),
                 ],
                 names=[c.split()[0] for c in ENCODED.split(", ")],
             )
