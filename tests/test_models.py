@@ -66,7 +66,7 @@ def test_calibration_is_skipped_for_a_single_positive(contracts):
 
 
 def test_single_class_is_an_error(contracts):
-    with pytest.raises(classifier.TrainingError, match="both target classes"):
+    with pytest.raises(classifier.TrainingError, match="labels 0 and 1 are needed"):
         classifier.fit_claim_model(contracts.filter("target_has_claim = 0"))
 
 

@@ -175,3 +175,24 @@ def test_streams_that_cannot_be_monitored_are_refused(stream):
     ):
         with pytest.raises(quality.DataQualityError, match=message):
             quality.expect_monitorable(broken)
+
+
+def test_squared_silhouette(spark):
+    rng = np.random.default_rng(6)
+    labels = np.append(rng.integers(0, 7, 90), 9)  # one label of a single point
+    vectors = rng.integers(0, 6, (91, 3)).astype(float)
+    rows = [(i, int(c), [float(x) for x in v]) for i, (c, v) in enumerate(zip(labels, vectors))]
+    points = spark.createDataFrame(rows, "id int, label int, v array<double>").repartition(3)
+    gaps = ((vectors[:, None] - vectors[None]) ** 2).sum(axis=2)
+    want = {}
+    for i, c in enumerate(labels):
+        own = gaps[i][labels == c]
+        outer = min(gaps[i][labels == d].mean() for d in set(labels) - {c})
+        inner = own.sum() / (len(own) - 1) if len(own) > 1 else None
+        want[i] = 0.0 if inner is None else (outer - inner) / max(outer, inner)
+    for block in (1024, 3):
+        got = {r["id"]: r["silhouette"] for r in clustering.squared_silhouette(points, "id", "label", "v", block).collect()}
+        assert got == pytest.approx(want, abs=1e-9)
+    one = clustering.squared_silhouette(points.filter("label = 1"), "id", "label", "v").collect()
+    assert {r["silhouette"] for r in one} == {None}
+    assert clustering.squared_silhouette(points.limit(0), "id", "label", "v").collect() == []

@@ -112,7 +112,7 @@ def fit_claim_model(train: DataFrame, folds: int = S.CALIBRATION_FOLDS, seed: in
     inputs = scoring.model_inputs(train).withColumn(LABEL, F.col(S.TARGET).cast("double"))
     counts = {int(r[LABEL]): r["count"] for r in inputs.groupBy(LABEL).count().collect()}
     if set(counts) != {0, 1}:
-        raise TrainingError("training data must contain both target classes")
+        raise TrainingError(f"labels 0 and 1 are needed for a fit, found {sorted(counts)}")
     smallest = min(counts.values())
     encoder = encoding.fit_encoder(inputs)
     encoded = encoding.encode(inputs, encoder)

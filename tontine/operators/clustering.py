@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tontine import schemas as S
 from tontine.functions import scalars as X
@@ -219,6 +219,53 @@ def silhouette_table(points: DataFrame, key: str, label: str, vector: str, cell_
     )
 
 
+def squared_silhouette(points: DataFrame, key: str, label: str, vector: str, block: int = BLOCK_CENTROIDS) -> DataFrame:
+    """Silhouette of every row by squared Euclidean distance: ``key, label, silhouette``.
+
+    The mean squared distance to a label follows from its row count, mean vector and mean squared length, so one aggregate
+    and one scan measure every row against all rows. Labels reach rows as arrays of ``block``; of more labels each block is
+    a scan and an aggregate takes the nearest. Labels held by one point score zero, the only label of a table scores null.
+    """
+    x = lambda v: F.transform(v, lambda e: e.cast("double"))
+    square = lambda v: F.aggregate(v, F.lit(0.0), lambda t, e: t + e * e)
+    rows = points.select(key, label, x(F.col(vector)).alias("_x")).withColumn("_xx", square(F.col("_x")))
+    stats = spool(
+        rows.select(label, array_to_vector("_x").alias("_v"), "_xx")
+        .groupBy(label)
+        .agg(F.count(F.lit(1)).alias("n"), Summarizer.mean(F.col("_v")).alias("_m"), F.avg("_xx").alias("spread"))
+        .select(label, "n", vector_to_array("_m").alias("mean"), "spread"),
+        "label-stats",
+    )
+
+    def gap(mean: Column, spread: Column) -> Column:
+        dot = F.aggregate(F.zip_with("_x", mean, lambda a, b: a * b), F.lit(0.0), lambda t, e: t + e)
+        return F.greatest(F.col("_xx") - 2.0 * dot + spread, F.lit(0.0))
+
+    own = stats.select(F.col(label).alias("_own"), "n", "mean", "spread")
+    inner = F.when(F.col("n") > 1, gap(F.col("mean"), F.col("spread")) * F.col("n") / (F.col("n") - 1))
+    scored = rows.join(own, F.col(label).eqNullSafe(F.col("_own"))).select(key, label, "_x", "_xx", "n", inner.alias("_a"))
+    blocks = max(1, -(-stats.count() // block))
+
+    def outer(held: DataFrame, b: int) -> DataFrame:
+        part = stats.filter(F.pmod(F.xxhash64(label), F.lit(blocks)) == b)
+        table = part.agg(F.collect_list(F.struct(F.col(label).alias("name"), "mean", "spread"))).scalar()
+        others = F.filter("_labels", lambda c: ~c["name"].eqNullSafe(F.col(label)))
+        return held.withColumn("_labels", table).withColumn("_b", F.array_min(F.transform(others, lambda c: gap(c["mean"], c["spread"])))).drop("_labels")
+
+    if blocks == 1:
+        measured = outer(scored, 0)
+    else:
+        held = spool(scored.withColumn("_row", F.monotonically_increasing_id()), "scored-points")
+        found = None
+        for b in range(blocks):
+            one = outer(held, b).select("_row", "_b")
+            found = one if found is None else found.union(one)
+        measured = held.join(found.groupBy("_row").agg(F.min("_b").alias("_b")), "_row")
+    a, b = F.col("_a"), F.col("_b")
+    silhouette = F.when(F.col("n") == 1, 0.0).when(F.greatest(a, b) == 0, 0.0).when(a.isNotNull() & b.isNotNull(), (b - a) / F.greatest(a, b))
+    return measured.select(key, label, silhouette.alias("silhouette"))
+
+
 def silhouette(spark: SparkSession, vectors: np.ndarray, labels: np.ndarray) -> float:
     """Mean silhouette; NaN for fewer than two labels or one point per label."""
     distinct = len(np.unique(labels))

@@ -507,6 +507,43 @@ def best_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(clustering.best_k(scan))
 
 
+step(
+    "squared_silhouette",
+    ("vectors", "centroids"),
+    """SELECT vec_id, label, CASE WHEN n = 1 THEN 0e0 ELSE (b - a) / greatest(a, b) END AS silhouette
+FROM (SELECT p.vec_id, p.label, max(s.n) FILTER (WHERE s.label = p.label) AS n,
+             max(CASE WHEN s.label = p.label AND s.n > 1 THEN list_sum([(p.v[i] - c.c[i]) * (p.v[i] - c.c[i]) FOR i IN range(1, len(p.v) + 1)]) + s.within END * s.n / nullif(s.n - 1, 0)) AS a,
+             min(CASE WHEN s.label <> p.label THEN list_sum([(p.v[i] - c.c[i]) * (p.v[i] - c.c[i]) FOR i IN range(1, len(p.v) + 1)]) + s.within END) AS b
+      FROM vectors p, (SELECT v.label, count(*) AS n, avg(list_sum([(v.v[i] - c.c[i]) * (v.v[i] - c.c[i]) FOR i IN range(1, len(v.v) + 1)])) AS within
+                       FROM vectors v JOIN centroids c ON v.label = c.label GROUP BY 1) s
+      JOIN centroids c ON s.label = c.label GROUP BY 1, 2)""",
+)
+
+
+@query(
+    "squared_silhouette",
+    steps("squared_silhouette")
+    + "SELECT label, count(*) AS n, round(avg(silhouette), 6) AS silhouette FROM squared_silhouette GROUP BY 1",
+)
+def squared_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silhouettes by squared distance, from sums per label: the form for tables of any size."""
+    points = clustering.squared_silhouette(B.table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding")
+    return rounded(points.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("silhouette").alias("silhouette")))
+
+
+@query(
+    "best_k_squared",
+    steps("squared_silhouette")
+    + """SELECT k AS selected_k, round(s, 6) AS silhouette_score, (SELECT count(DISTINCT label) FROM vectors) AS valid_k
+FROM (SELECT CAST(label + 10 AS INTEGER) AS k, avg(silhouette) AS s FROM squared_silhouette GROUP BY 1) ORDER BY s DESC, k LIMIT 1""",
+)
+def best_k_squared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The winner rule on the silhouettes by squared distance."""
+    points = clustering.squared_silhouette(B.table(spark, sf_dir, "embeddings"), "vec_id", "label", "embedding")
+    scan = points.groupBy((F.col("label") + 10).cast("int").alias("k")).agg(F.avg("silhouette").alias("silhouette_score"))
+    return rounded(clustering.best_k(scan))
+
+
 # --- models (no SQL form: checked by tests) ---------------------------------------------------------
 
 

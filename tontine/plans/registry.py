@@ -102,6 +102,7 @@ def band_sql(value: str, edges: list[float], labels: list[str]) -> str:
     return f"CASE WHEN {value} IS NULL OR {value} < {edges[0]} THEN NULL {cases} ELSE '{labels[-1]}' END"
 
 
+# Lower edges and labels of the bands.
 VEH_AGE = ([0, 2, 5, 10], ["0-2", "3-5", "6-10", "11+"])
 DRIV_AGE = ([0, 25, 35, 50, 65], ["0-25", "26-35", "36-50", "51-65", "66+"])
 BONUS = ([0, 50, 75, 100, 150], ["0-50", "51-75", "76-100", "101-150", "151+"])

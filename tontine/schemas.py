@@ -116,7 +116,7 @@ SERVING_NUMERIC = ("Exposure", "VehPower", "VehAge", "DrivAge", "BonusMalus", "D
 SERVING_REALS = ("Exposure", "Density")
 SERVING_STRINGS = ("pool_id", "VehBrand", "VehGas", "Area", "Region")
 
-# Outcome columns that must never reach a model as inputs.
+# Outcome columns that must never reach a model as inputs.
 OUTCOME_COLUMNS = (
     "ClaimNb",
     "ClaimNb_declared",
@@ -165,6 +165,7 @@ def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(name, kind, True) for name, kind in fields])
 
 
+# The columns of the domain tables, logs and records, in their order.
 POLICIES = _struct(
     ("IDpol", T.LongType()),
     ("ClaimNb", T.IntegerType()),
