@@ -419,6 +419,92 @@ def run_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.long_tags(run, "run_id", ["dvc_output_hash", "candidate_source", "dataset_git_commit_sha"])
 
 
+def run_reports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The log of a run whose candidate is the scorecard, drift and events being those of the stream."""
+    from tontine.operators import metrics
+
+    stream_metrics = monitoring.metrics_table(spark, sf_dir)
+    coverage = scoring.score_coverage(risk.pool_risk_table(spark, sf_dir)).select("pool_score_coverage")
+    reference = side_by_side(metrics.model_metrics(risk.holdout(spark, sf_dir)), coverage).withColumns(
+        {"dvc_tracked_path": F.lit("data/processed"), "dataset_git_commit_sha": F.lit(None).cast("string")}
+    )
+    latency = F.col("detection_latency_batches")
+    log = lifecycle.retraining_events(stream_metrics)
+    detection = side_by_side(
+        monitoring.evaluations(stream_metrics).agg(
+            F.max(F.when(F.col("drift_type") == "data", latency)).alias("data_detection_latency"),
+            F.max(F.when(F.col("drift_type") == "concept", latency)).alias("concept_detection_latency"),
+        ),
+        log.agg(F.count(F.lit(1)).alias("retraining_event_count")),
+    )
+    selection = log.agg(F.max("trigger_batch").alias("selected_retraining_trigger_batch")).withColumns(
+        {
+            "retraining_requested": F.col("selected_retraining_trigger_batch").isNotNull(),
+            "candidate_source": F.lit("phase9_retrained_candidate"),
+        }
+    )
+    return lifecycle.run_log("run-2", reference, detection, lifecycle_plans.gate(spark, sf_dir, stream_metrics), selection)
+
+
+_LATENCY = "(SELECT min(batch_id) FILTER (WHERE {0}_drift_detected AND batch_id >= {1}) - {1} FROM drift)"
+_LOGGED = {
+    **{f"phase7_{m}": f"(SELECT {m} FROM model_metrics)" for m in S.REFERENCE_RUN_METRICS if m != "pool_score_coverage"},
+    "phase7_pool_score_coverage": "(SELECT avg(CAST(pool_risk_score IS NOT NULL AS DOUBLE)) FROM pool_risk)",
+    "phase8_data_detection_latency": _LATENCY.format("data", 12),
+    "phase8_concept_detection_latency": _LATENCY.format("concept", 15),
+    "phase8_retraining_event_count": "(SELECT count(*) FROM events_log)",
+    "candidate_auc": "(SELECT model_auc FROM model_metrics)",
+    "candidate_normalized_gini": "(SELECT model_normalized_gini FROM model_metrics)",
+    "candidate_probability_rate_delta": "(SELECT test_probability_rate_delta FROM model_metrics)",
+    "candidate_pool_score_coverage": "(SELECT avg(CAST(pool_risk_score IS NOT NULL AS DOUBLE)) FROM pool_risk)",
+    "retraining_requested": "(SELECT CAST(count(*) > 0 AS INTEGER) FROM events_log)",
+    "selected_retraining_trigger_batch": "(SELECT max(trigger_batch) FROM events_log)",
+}
+
+
+@query(
+    "run_log_metrics",
+    steps("model_metrics", "pool_risk", "events_log")
+    + "SELECT * FROM ("
+    + " UNION ALL ".join(f"SELECT 'run-2' AS run_id, '{m}' AS metric, round(CAST({v} AS DOUBLE), 9) AS value" for m, v in _LOGGED.items())
+    + ") WHERE value IS NOT NULL",
+)
+def run_log_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All metrics that a run logs."""
+    return rounded(run_reports(spark, sf_dir)[0], 9)
+
+
+@query(
+    "run_log_tags",
+    steps("model_gate")
+    + """SELECT 'run-2' AS run_id, t.tag, t.value FROM model_gate,
+     LATERAL (VALUES ('dvc_output_hash', snapshot_hash), ('dvc_tracked_path', 'data/processed'), ('dataset_git_commit_sha', ''),
+       ('phase7_acceptance_passed', CAST(phase7_acceptance_passed AS VARCHAR)), ('phase8_acceptance_passed', CAST(phase8_acceptance_passed AS VARCHAR)),
+       ('candidate_source', 'phase9_retrained_candidate'), ('validation_passed', CAST(validation_passed AS VARCHAR))) t(tag, value)""",
+)
+def run_log_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tags that a run sets."""
+    return run_reports(spark, sf_dir)[1]
+
+
+@query(
+    "registered_versions",
+    steps("pool_gate_checks")
+    + f""", passed AS (SELECT c_custkey, phase6_hash, c_custkey % 2 AS turn, row_number() OVER (PARTITION BY c_custkey % 2 ORDER BY md5('42:' || c_custkey), c_custkey) AS rn
+  FROM pool_gate_checks WHERE len({lifecycle_plans._REASONS}) = 0)
+SELECT CAST(rn + CASE WHEN turn = 1 THEN (SELECT count(*) FROM passed WHERE turn = 0) ELSE 0 END AS INTEGER) AS version, CAST(c_custkey AS VARCHAR) AS candidate,
+       'run-' || turn AS run_id, phase6_hash AS dvc_output_hash, '' AS dataset_git_commit_sha, 'phase9' AS source_phase, 'passed' AS validation_status,
+       'phase7/report' AS phase7_report_path, 'phase8/report' AS phase8_report_path FROM passed""",
+)
+def registered_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs that promote into one registry, which does not exist before the first."""
+    gates, path = lifecycle_plans.customer_gates(spark, sf_dir), fresh_path(spark, "registry")
+    for turn in range(2):
+        promoted = lifecycle.promote(gates.filter(F.col("c_custkey") % 2 == turn), lifecycle.read_versions(spark, path), "c_custkey")
+        lifecycle.append_versions(promoted, f"run-{turn}", ("phase7/report", "phase8/report"), path)
+    return lifecycle.read_versions(spark, path)
+
+
 @query("artifact_digests")
 def artifact_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of the stored batches of the stream."""

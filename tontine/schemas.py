@@ -165,6 +165,39 @@ def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(name, kind, True) for name, kind in fields])
 
 
+# What a pipeline run logs, as (logged name, name in the report).
+REFERENCE_RUN_METRICS = (
+    "model_auc",
+    "model_normalized_gini",
+    "baseline_auc",
+    "baseline_normalized_gini",
+    "brier_score",
+    "expected_calibration_error",
+    "test_empirical_claim_rate",
+    "test_mean_predicted_probability",
+    "pool_score_coverage",
+)
+DRIFT_RUN_METRICS = {
+    "phase8_data_detection_latency": "data_detection_latency",
+    "phase8_concept_detection_latency": "concept_detection_latency",
+    "phase8_retraining_event_count": "retraining_event_count",
+}
+CANDIDATE_RUN_METRICS = {
+    "candidate_auc": "candidate_auc",
+    "candidate_normalized_gini": "candidate_normalized_gini",
+    "candidate_probability_rate_delta": "probability_rate_delta",
+    "candidate_pool_score_coverage": "pool_score_coverage",
+}
+RUN_TAGS = (
+    "dvc_output_hash",
+    "dvc_tracked_path",
+    "dataset_git_commit_sha",
+    "phase7_acceptance_passed",
+    "phase8_acceptance_passed",
+    "candidate_source",
+    "validation_passed",
+)
+
 # The columns of the domain tables, logs and records, in their order.
 POLICIES = _struct(
     ("IDpol", T.LongType()),
