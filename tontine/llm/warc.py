@@ -112,50 +112,65 @@ def write_archive(pages: DataFrame, path: str, revisit_from: int = REVISIT_FROM,
     )
 
 
-def verified_blobs(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
+def verified_blobs(spark: SparkSession, path: str) -> DataFrame:
     """The blob table; reading a blob whose bytes no longer have its digest raises."""
     blobs = spark.read.parquet(f"{path}/blobs")
     intact = (F.sha2("payload", 256) == F.col("digest")) & (F.length("payload") == F.col("n_bytes"))
     problem = F.raise_error(F.concat(F.lit("damaged blob "), F.col("digest"))).cast("long")
     checked = blobs.withColumn("n_bytes", F.when(intact, F.col("n_bytes")).otherwise(problem))
-    return checked.select("digest", "n_bytes", *(["payload"] if with_payload else []))
+    return checked.filter("n_bytes >= 0").select("digest", "n_bytes", "payload")
+
+
+def rebuild_records(spark: SparkSession, path: str) -> DataFrame:
+    """``page_id, record, payload, digest``: the record's bytes as an archive file holds them, and the original payload."""
+    joined = spark.read.parquet(f"{path}/headers").join(verified_blobs(spark, path), "digest")
+    body = F.when(F.col("header").contains("WARC-Type: revisit\r\n"), F.lit(b"")).otherwise(F.col("payload"))
+    end = F.lit(b"\r\n\r\n")
+    return joined.select(
+        "page_id", F.concat(F.encode("header", "UTF-8"), body, end).alias("record"), "payload", "digest"
+    )
 
 
 def _field(name: str) -> Column:
-    value = F.regexp_extract("header", f"(?m)^{name}: ([^\\r\\n]*)", 1)
+    value = F.regexp_extract("head", f"(?m)^{name}: ([^\\r\\n]*)", 1)
     return F.when(value != "", value)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Every record as parsed from its header block, with the length that its verified blob really has."""
-    headers = spark.read.parquet(f"{path}/headers")
-    parsed = headers.select(
-        F.regexp_extract("header", "WARC-Record-ID: <urn:page:(-?\\d+)>", 1).alias("identity"),
+    """What the rebuilt records say: each is cut at its header's end and its content is measured and hashed.
+
+    A response whose content has another length or digest than its header states raises. A revisit has no content; its payload
+    is that of the record it refers to, which is verified where it is read.
+    """
+    rebuilt = rebuild_records(spark, path)
+    head = F.substring_index(F.col("record").cast("string"), "\r\n\r\n", 1)
+    cut = rebuilt.select("record", "payload", "digest", head.alias("head")).withColumn("start", F.octet_length("head") + 5)
+    content = F.substring("record", F.col("start"), F.octet_length("record") - F.col("start") - 3)
+    parsed = cut.select(
+        F.regexp_extract("head", "WARC-Record-ID: <urn:page:(-?\\d+)>", 1).alias("identity"),
         _field("WARC-Target-URI").alias("url"),
-        F.replace(_field("WARC-Payload-Digest"), F.lit("sha256:"), F.lit("")).alias("digest"),
+        F.replace(_field("WARC-Payload-Digest"), F.lit("sha256:"), F.lit("")).alias("stated"),
         _field("WARC-Type").alias("record_type"),
-        F.regexp_extract("header", "WARC-Refers-To: <urn:page:(-?\\d+)>", 1).alias("original"),
+        F.regexp_extract("head", "WARC-Refers-To: <urn:page:(-?\\d+)>", 1).alias("original"),
+        _field("Content-Length").cast("long").alias("content_length"),
+        content.alias("content"),
+        F.octet_length("payload").cast("long").alias("n_bytes"),
+        "digest",
     )
-    return parsed.join(verified_blobs(spark, path, with_payload=False), "digest").select(
+    revisit = F.col("record_type") == "revisit"
+    found = F.when(revisit, F.col("digest")).otherwise(F.sha2("content", 256))
+    sound = (found == F.col("stated")) & (F.octet_length("content") == F.col("content_length"))
+    problem = F.raise_error(F.concat(F.lit("damaged record of page "), F.col("identity"))).cast("string")
+    return parsed.select(
         F.when(F.col("identity") != "", F.col("identity")).cast("long").alias("page_id"),
         "url",
-        F.col("n_bytes").alias("payload_bytes"),
-        F.col("digest").alias("payload_digest"),
+        F.when(revisit, F.col("n_bytes")).otherwise(F.octet_length("content").cast("long")).alias("payload_bytes"),
+        F.when(sound, found).otherwise(problem).alias("payload_digest"),
         "record_type",
         F.when(F.col("original") != "", F.col("original")).cast("long").alias("refers_to"),
     )
 
 
-def rebuild_records(spark: SparkSession, path: str) -> DataFrame:
-    """``page_id, record, payload``: the record's bytes as an archive file holds them, and the original payload."""
-    joined = spark.read.parquet(f"{path}/headers").join(verified_blobs(spark, path), "digest")
-    body = F.when(F.col("header").contains("WARC-Type: revisit\r\n"), F.lit(b"")).otherwise(F.col("payload"))
-    end = F.lit(b"\r\n\r\n")
-    return joined.select(
-        "page_id", F.concat(F.encode("header", "UTF-8"), body, end).alias("record"), "payload", "digest"
-    )
-
-
 def archive(pages: DataFrame, **columns: str) -> str:
     """Write an archive into the shared folder and return its path."""
     path = fresh_path(pages.sparkSession, "archive")
