@@ -505,6 +505,27 @@ def registered_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.read_versions(spark, path)
 
 
+@query(
+    "checked_lifecycle_report",
+    steps("lifecycle_row")
+    + """SELECT *, TRUE AS snapshot_status_checked, FALSE AS snapshot_status_clean,
+       'changed stream/batch_id=3' || chr(10) || 'missing stream/batch_id=7' || chr(10) || 'unlisted features' AS snapshot_status_output FROM lifecycle_row""",
+)
+def checked_lifecycle_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run's report beside the state of a dataset that differs from its manifest in three units."""
+    row = lifecycle_plans.lifecycle_row(spark, sf_dir, monitoring.metrics_table(spark, sf_dir))
+    row = row.withColumn("registered_model_version", F.coalesce(F.col("registered_model_version").cast("string"), F.lit("")))
+    units = F.when(F.col("batch_id") == 7, F.lit("missing")).when(F.col("batch_id") == 3, F.lit("changed")).otherwise(F.lit("same"))
+    status = (
+        B.batched(spark, sf_dir).select("batch_id").distinct()
+        .select(F.concat(F.lit("stream/batch_id="), F.col("batch_id").cast("string")).alias("unit"), units.alias("status"))
+        .union(spark.createDataFrame([("features", "unlisted")], "unit string, status string"))
+    )
+    checked = lifecycle.with_snapshot_status(row, status)
+    lines = F.array_join(F.array_sort(F.split("snapshot_status_output", "\n")), "\n")
+    return checked.withColumn("snapshot_status_output", lines)
+
+
 @query("artifact_digests")
 def artifact_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of the stored batches of the stream."""
