@@ -9,6 +9,7 @@ from tontine import schemas as S
 from tontine.functions import scalars as X
 from tontine.operators.ordering import rank_statistic
 from tontine.operators.reports import side_by_side
+from tontine.sources.shared import spool
 
 
 def roc_auc(df: DataFrame, label: str = S.TARGET, score: str = S.PROBABILITY) -> DataFrame:
@@ -56,9 +57,13 @@ def calibration_metrics(df: DataFrame, label: str = S.TARGET, score: str = S.PRO
 
 
 def model_metrics(test: DataFrame, label: str = S.TARGET, score: str = S.PROBABILITY) -> DataFrame:
-    """One row with every holdout metric; the constant baseline ties all scores, so 0.5."""
-    auc = roc_auc(test, label, score)
-    calibration = calibration_metrics(test, label, score)
+    """One row with every holdout metric; the constant baseline ties all scores, so 0.5.
+
+    Labels and scores are written once: counting, ranking and calibrating each read these two columns only.
+    """
+    held = spool(test.select(label, score), "held-out")
+    auc = roc_auc(held, label, score)
+    calibration = calibration_metrics(held, label, score)
     joined = side_by_side(auc, calibration)
     return joined.withColumn(
         "baseline_auc", F.when((F.col("positives") > 0) & (F.col("negatives") > 0), F.lit(0.5))
