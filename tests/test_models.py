@@ -240,6 +240,25 @@ def test_silhouette_table_of_few_labels(spark):
     assert clustering.silhouette_table(points.limit(0), "id", "label", "v").count() == 0
 
 
+def test_silhouette_cell_holds_one_tile_of_distances():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    left, right = rng.normal(size=(5000, 4)), rng.normal(size=(clustering.CELL_ROWS, 4))
+    codes = rng.integers(0, 3, len(left)), rng.integers(0, 2, len(right))
+    tracemalloc.start()
+    forth, back = clustering._gap_sums(left, right, codes, (3, 2), True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64e6  # a block of 1,024 rows against the whole group took 400 MB
+    for i in (0, 4999):
+        gaps = np.sqrt(((right - left[i]) ** 2).sum(axis=1))
+        assert forth[i] == pytest.approx(np.bincount(codes[1], gaps))
+    for j in (0, clustering.CELL_ROWS - 1):
+        gaps = np.sqrt(((left - right[j]) ** 2).sum(axis=1))
+        assert back[j] == pytest.approx(np.bincount(codes[0], gaps))
+
+
 def test_pools_scan_all_k(spark, sf, monkeypatch):
     from tontine.plans import operations
 

@@ -144,29 +144,36 @@ def silhouette_points(
 
 
 #: A cell of the silhouette's grid compares so many rows with as many; at least so many groups a side.
-CELL_ROWS, LEAST_GROUPS = 1 << 15, 6
-
-
-def _label_sums(key: str, label: str, vector: str, block: int = 1024):
-    def measure(cell: pd.DataFrame) -> pd.DataFrame:
-        own, others = cell[~cell["_other"]], cell[cell["_other"]]
-        if own.empty or others.empty:
-            return pd.DataFrame({key: own[key][:0], label: own[label][:0], "other": own[label][:0], "total": np.zeros(0)})
-        codes, names = pd.factorize(others[label], use_na_sentinel=False)
-        member = np.zeros((len(others), len(names)))
-        member[np.arange(len(others)), codes] = 1.0
-        left, right = (np.vstack(side[vector].to_numpy()).astype(np.float64) for side in (own, others))
-        centre = right.mean(axis=0)
-        left, right = left - centre, right - centre
-        norms = np.einsum("ij,ij->i", right, right)
-        sums = np.empty((len(own), len(names)))
-        for at in range(0, len(own), block):
-            part = left[at : at + block]
-            scale = np.einsum("ij,ij->i", part, part)[:, None] + norms
-            squared = scale - 2.0 * (part @ right.T)
+CELL_ROWS, LEAST_GROUPS = 1 << 14, 6
+#: Distances that a task holds at a time: rows of one group by rows of the other.
+TILE_ROWS, TILE_COLUMNS = 512, 2048
+
+
+def _gap_sums(left: np.ndarray, right: np.ndarray, codes: tuple[np.ndarray, np.ndarray], names: tuple[int, int], both: bool):
+    """Distances of every ``left`` row summed per label of ``right``; with ``both`` also the other way round. One tile of them at a time."""
+    centre = right.mean(axis=0)
+    left, right = left - centre, right - centre
+    lengths, norms = np.einsum("ij,ij->i", left, left), np.einsum("ij,ij->i", right, right)
+    forth = np.zeros((len(left), names[1]))
+    back = np.zeros((len(right), names[0])) if both else None
+    for at in range(0, len(left), TILE_ROWS):
+        rows = slice(at, at + TILE_ROWS)
+        own = codes[0][rows, None] == np.arange(names[0]) if both else None
+        for start in range(0, len(right), TILE_COLUMNS):
+            columns = slice(start, start + TILE_COLUMNS)
+            scale = lengths[rows, None] + norms[columns]
+            squared = scale - 2.0 * (left[rows] @ right[columns].T)
             # What is lost to rounding: equal vectors are exactly 0 apart.
             squared[squared < 1e-13 * scale] = 0.0
-            sums[at : at + block] = np.sqrt(squared, out=squared) @ member
+            gaps = np.sqrt(squared, out=squared)
+            forth[rows] += gaps @ (codes[1][columns, None] == np.arange(names[1])).astype(np.float64)
+            if both:
+                back[columns] += gaps.T @ own.astype(np.float64)
+    return forth, back
+
+
+def _label_sums(key: str, label: str, vector: str):
+    def table(own: pd.DataFrame, names: pd.Index, sums: np.ndarray) -> pd.DataFrame:
         return pd.DataFrame(
             {
                 key: np.repeat(own[key].to_numpy(), len(names)),
@@ -176,26 +183,36 @@ def _label_sums(key: str, label: str, vector: str, block: int = 1024):
             }
         )
 
+    def measure(cell: pd.DataFrame) -> pd.DataFrame:
+        first, second = cell["_i"].iloc[0], cell["_j"].iloc[0]
+        sides = [cell[cell["_g"] == g].drop(columns=["_g", "_i", "_j"]) for g in (first, second)]
+        if any(side.empty for side in sides):
+            return table(cell[:0], cell[label][:0], np.zeros(0))
+        coded = [pd.factorize(side[label], use_na_sentinel=False) for side in sides]
+        left, right = (np.vstack(side[vector].to_numpy()).astype(np.float64) for side in sides)
+        counts = (len(coded[0][1]), len(coded[1][1]))
+        forth, back = _gap_sums(left, right, (coded[0][0], coded[1][0]), counts, first != second)
+        found = table(sides[0], coded[1][1], forth)
+        return found if back is None else pd.concat([found, table(sides[1], coded[0][1], back)], ignore_index=True)
+
     return measure
 
 
 def silhouette_table(points: DataFrame, key: str, label: str, vector: str, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Euclidean silhouette of every row, measured against all rows: ``key, label, silhouette``.
 
-    Rows are dealt by key hash into groups; a task compares one group with another and keeps
-    sums per label, so pairs are never rows and nothing passes through the driver. The work
-    is that of all pairs. Keys are unique; labels held by one point score zero, the only
+    Rows are dealt by key hash into groups; a task compares two groups, both ways at once, and
+    keeps sums per label, so pairs are never rows and nothing passes through the driver. A task
+    holds its two groups and one tile of distances. The work is that of all pairs. Keys are unique; labels held by one point score zero, the only
     label of a table scores null.
     """
     groups = max(LEAST_GROUPS, -(-points.count() // cell_rows))
     dealt = points.select(key, label, vector, F.pmod(F.xxhash64(key), F.lit(groups)).cast("int").alias("_g"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
-    sides = dealt.select("*", F.lit(False).alias("_other"), F.col("_g").alias("_i"), every.alias("_j")).unionByName(
-        dealt.select("*", F.lit(True).alias("_other"), F.col("_g").alias("_j"), every.alias("_i"))
-    )
+    met = dealt.withColumn("_h", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    sides = met.select(key, label, vector, "_g", F.least("_g", "_h").alias("_i"), F.greatest("_g", "_h").alias("_j"))
     kinds = dict(points.select(key, label).dtypes)
     fields = f"`{key}` {kinds[key]}, `{label}` {kinds[label]}, other {kinds[label]}, total double"
-    cells = sides.drop("_g").repartition(groups * groups, "_i", "_j").groupBy("_i", "_j")
+    cells = sides.repartition(groups * (groups + 1) // 2, "_i", "_j").groupBy("_i", "_j")
     sums = cells.applyInPandas(_label_sums(key, label, vector), fields).groupBy(key, label, "other").agg(F.sum("total").alias("total"))
     sizes = points.groupBy(F.col(label).alias("_name")).agg(F.count(F.lit(1)).alias("n"))
     mine = F.col("other") == F.col(label)
