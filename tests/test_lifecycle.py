@@ -268,3 +268,23 @@ def test_constant_and_scorecard_scorers(spark):
     assert scoring.scorecard_scorer({"x": 0.5}, -1.0)(frame).first()[S.PROBABILITY] == 0.5
     with pytest.raises(ValueError):
         scoring.scorecard_scorer({"ClaimNb": 1.0}, 0.0)
+
+
+def test_joins_behind_the_policies_run_once_a_query(spark, sf, monkeypatch):
+    from tontine.plans import binding, operations, risk
+
+    written = []
+    keep = binding.spool
+
+    def spool(df, name, partition_by=()):
+        written.append((name, len(df.columns)))
+        return keep(df, name, partition_by)
+
+    monkeypatch.setattr(binding, "spool", spool)
+    monkeypatch.setattr(risk, "spool", spool)
+    tags = {r["tag"] for r in operations.run_log_tags(spark, sf).collect()}
+    assert "validation_passed" in tags
+    names = [name for name, _ in written]
+    # Four times "scored", "modelling" once and two whole splits before.
+    assert names.count("scored") == 1 and "modelling" not in names and "split" not in names
+    assert dict(written)["holdout"] == 4

@@ -213,11 +213,13 @@ def _located(values: DataFrame, open_: dict[str, list[_Interval]]) -> dict[tuple
     wanted = [(f"{c}/{i}", c, part) for c, parts in open_.items() for i, part in enumerate(parts)]
     if not wanted:
         return {}
-    cells = F.array(
-        *(F.struct(F.lit(name).alias("interval"), F.when(part.holds(F.col(c)), F.col(c)).alias("value")) for name, c, part in wanted)
-    )
+    # The intervals of a column do not overlap: a value lies in one of them at most, so a row is one cell per column.
+    cells = []
+    for c, parts in open_.items():
+        inside = F.coalesce(*(F.when(part.holds(F.col(c)), F.lit(f"{c}/{i}")) for i, part in enumerate(parts)))
+        cells.append(F.struct(inside.alias("interval"), F.col(c).alias("value")))
     counts = (
-        values.select(F.inline(cells)).filter(F.col("value").isNotNull())
+        values.select(F.inline(F.array(*cells))).filter(F.col("interval").isNotNull())
         .groupBy("interval", "value").agg(F.count(F.lit(1)).alias("n"))
     )
     asked = values.sparkSession.createDataFrame(
@@ -244,8 +246,8 @@ def exact_quantiles(
     """Linearly interpolated exact quantiles, one row per column; a column without values has none.
 
     Output: ``feature, n_values, quantiles ARRAY<DOUBLE>`` in the order of ``shares``.
-    The order is narrowed down: a table is cut into ranges by its row count (``buckets`` asks for a number of them), ranges
-    are counted map-side, and what holds a wanted rank is cut again until it has at most ``range_rows`` rows. Only these
+    The order is narrowed down: a table is cut into ranges of about half of ``range_rows`` (``buckets`` asks for a number of
+    them), so that what the sketch errs by does not call for another round; ranges are counted map-side, and what holds a wanted rank is cut again until it has at most ``range_rows`` rows. Only these
     rows are shuffled, at most two ranges per share however large the table is, and a heavy value is found by counting.
     """
     endless = (float("-inf"), float("inf"))
@@ -267,7 +269,7 @@ def exact_quantiles(
     while any(part.rows > range_rows or forced for parts in open_.values() for part in parts):
         large = {c: [p for p in parts if p.rows > range_rows or forced] for c, parts in open_.items()}
         small = {c: [p for p in parts if not (p.rows > range_rows or forced)] for c, parts in open_.items()}
-        still, more = _narrowed(values, {c: p for c, p in large.items() if p}, lambda p: forced or range_count(p.rows, range_rows))
+        still, more = _narrowed(values, {c: p for c, p in large.items() if p}, lambda p: forced or range_count(p.rows, -(-range_rows // 2)))
         found.update(more)
         open_ = {c: small.get(c, []) + still.get(c, []) for c in open_}
         forced = None

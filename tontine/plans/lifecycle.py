@@ -42,9 +42,9 @@ EVENT_COLUMNS = (
 ).split()
 
 
-def events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def events(spark: SparkSession, sf_dir: str, policies: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Scored stream and its retraining events."""
-    stream = B.scored_stream(spark, sf_dir)
+    stream = B.scored_stream(spark, sf_dir, policies)
     metrics_rows = spool(drift.drift_metrics(stream), "drift-metrics")
     return stream, lifecycle.retraining_events(metrics_rows)
 
@@ -118,8 +118,9 @@ def reference_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM candidate_rows c JOIN (SELECT IDpol, is_test FROM split) s ON c.IDpol = s.IDpol GROUP BY 1""",
 )
 def holdout_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream, log = events(spark, sf_dir)
-    holdout = risk.holdout(spark, sf_dir).select("IDpol")
+    scored = B.scored_table(spark, sf_dir)
+    stream, log = events(spark, sf_dir, scored)
+    holdout = risk.holdout(spark, sf_dir, scored).select("IDpol")
     return lifecycle.holdout_report(lifecycle.candidate_rows(log, stream), holdout)
 
 
@@ -170,15 +171,13 @@ def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.agg(F.md5(text).alias("snapshot_hash"))
 
 
-def gate(spark: SparkSession, sf_dir: str, stream_metrics: DataFrame) -> DataFrame:
-    """The stored gate report of the scorecard as candidate, on the holdout of the policies."""
-    verdict = metrics.accepted(
-        metrics.model_metrics(risk.holdout(spark, sf_dir)), scoring.score_coverage(risk.pool_risk_table(spark, sf_dir))
-    )
+def gate(spark: SparkSession, sf_dir: str, stream_metrics: DataFrame, reports: tuple[DataFrame, DataFrame]) -> DataFrame:
+    """The stored gate report of the scorecard as candidate; ``reports`` are those of ``risk.acceptance_reports``."""
+    verdict = metrics.accepted(*reports)
     detections = monitoring.evaluations(stream_metrics).agg(
         F.bool_and("detected_within_provisional_threshold").alias("phase8_accepted")
     )
-    reports = side_by_side(verdict, detections, snapshot(spark, sf_dir)).select(
+    row = side_by_side(verdict, detections, snapshot(spark, sf_dir)).select(
         F.col("acceptance_passed").alias("phase7_accepted"),
         "phase8_accepted",
         *(F.col("snapshot_hash").alias(h) for h in ("phase6_hash", "phase7_hash", "phase8_hash", "metadata_hash")),
@@ -189,7 +188,14 @@ def gate(spark: SparkSession, sf_dir: str, stream_metrics: DataFrame) -> DataFra
         "baseline_normalized_gini",
         F.col("test_probability_rate_delta").alias("probability_rate_delta"),
     )
-    return spool(lifecycle.validation_gate(reports), "validation-report")
+    return spool(lifecycle.validation_gate(row), "validation-report")
+
+
+def measured_stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Drift metrics of the stream and the gate's report, both from one table of scored policies."""
+    scored = B.scored_table(spark, sf_dir)
+    stream_metrics = monitoring.metrics_table(spark, sf_dir, scored)
+    return stream_metrics, gate(spark, sf_dir, stream_metrics, risk.acceptance_reports(spark, sf_dir, scored))
 
 
 @query(
@@ -200,7 +206,7 @@ def gate(spark: SparkSession, sf_dir: str, stream_metrics: DataFrame) -> DataFra
        round(model_auc, 9) AS candidate_auc, round(delta, 9) AS probability_rate_delta, snapshot_hash AS dvc_output_hash FROM model_gate""",
 )
 def candidate_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    result = gate(spark, sf_dir, monitoring.metrics_table(spark, sf_dir))
+    result = measured_stream(spark, sf_dir)[1]
     return rounded(
         result.select(
             *lifecycle.GATE_CHECKS, "validation_passed", "candidate_auc", "probability_rate_delta", "dvc_output_hash"
@@ -456,9 +462,9 @@ FROM (SELECT max(trigger_batch) AS b, arg_max(triggering_detector, trigger_batch
 )
 
 
-def lifecycle_row(spark: SparkSession, sf_dir: str, stream_metrics: DataFrame) -> DataFrame:
+def lifecycle_row(spark: SparkSession, stream_metrics: DataFrame, verdict: DataFrame) -> DataFrame:
     log = lifecycle.retraining_events(stream_metrics)
-    validation = gate(spark, sf_dir, stream_metrics).withColumn("candidate", F.lit("scorecard"))
+    validation = verdict.withColumn("candidate", F.lit("scorecard"))
     empty = spark.createDataFrame([], "version int")
     versions = lifecycle.promote(validation, empty, "candidate")
     return spool(lifecycle.lifecycle_report(log, validation, versions), "lifecycle-report")
@@ -466,7 +472,7 @@ def lifecycle_row(spark: SparkSession, sf_dir: str, stream_metrics: DataFrame) -
 
 @query("lifecycle_report", steps("lifecycle_row") + "SELECT * FROM lifecycle_row")
 def lifecycle_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    row = lifecycle_row(spark, sf_dir, monitoring.metrics_table(spark, sf_dir))
+    row = lifecycle_row(spark, *measured_stream(spark, sf_dir))
     version = F.coalesce(F.col("registered_model_version").cast("string"), F.lit(""))
     return row.withColumn("registered_model_version", version)
 
@@ -482,12 +488,12 @@ FROM (SELECT count(*) AS decision_count, list(DISTINCT retraining_cycle_id ORDER
      lifecycle_row, context""",
 )
 def monitoring_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream_metrics = monitoring.metrics_table(spark, sf_dir)
+    stream_metrics, verdict = measured_stream(spark, sf_dir)
     ctx = context(spark, sf_dir, lifecycle.retraining_events(stream_metrics))
     return lineage.monitoring_report(
         decisions(spark, sf_dir, ctx),
         monitoring.evaluations(stream_metrics),
-        lifecycle_row(spark, sf_dir, stream_metrics),
+        lifecycle_row(spark, stream_metrics, verdict),
         ctx,
     )
 
@@ -503,8 +509,7 @@ def monitoring_report(spark: SparkSession, sf_dir: str) -> DataFrame:
        snapshot_hash AS dvc_output_hash, TRUE AS trace_logging_enabled, 'env_var' AS trace_salt_mode FROM model_gate""",
 )
 def serving_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream_metrics = monitoring.metrics_table(spark, sf_dir)
-    verdict = gate(spark, sf_dir, stream_metrics)
+    stream_metrics, verdict = measured_stream(spark, sf_dir)
     last = lifecycle.retraining_events(stream_metrics).agg(F.max("trigger_batch").alias("trigger_batch"))
     base = side_by_side(verdict, last)
     rows = F.array(

@@ -163,9 +163,9 @@ DRIFT_SELECT = """SELECT batch_id, row_count, max_psi_feature, round(max_psi, 6)
        round(concept_drift_eligible_fraction, 6) AS concept_drift_eligible_fraction FROM drift"""
 
 
-def metrics_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def metrics_table(spark: SparkSession, sf_dir: str, policies: DataFrame | None = None) -> DataFrame:
     """The stored drift metrics, one row per batch; reports read them several times."""
-    return spool(drift.drift_metrics(B.scored_stream(spark, sf_dir)), "drift-metrics")
+    return spool(drift.drift_metrics(B.scored_stream(spark, sf_dir, policies)), "drift-metrics")
 
 
 def round_metrics(metrics: DataFrame) -> DataFrame:

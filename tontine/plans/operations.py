@@ -421,11 +421,10 @@ def run_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_reports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The log of a run whose candidate is the scorecard, drift and events being those of the stream."""
-    from tontine.operators import metrics
-
-    stream_metrics = monitoring.metrics_table(spark, sf_dir)
-    coverage = scoring.score_coverage(risk.pool_risk_table(spark, sf_dir)).select("pool_score_coverage")
-    reference = side_by_side(metrics.model_metrics(risk.holdout(spark, sf_dir)), coverage).withColumns(
+    scored = B.scored_table(spark, sf_dir)
+    stream_metrics = monitoring.metrics_table(spark, sf_dir, scored)
+    reports = risk.acceptance_reports(spark, sf_dir, scored)
+    reference = side_by_side(reports[0], reports[1].select("pool_score_coverage")).withColumns(
         {"dvc_tracked_path": F.lit("data/processed"), "dataset_git_commit_sha": F.lit(None).cast("string")}
     )
     latency = F.col("detection_latency_batches")
@@ -443,7 +442,7 @@ def run_reports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
             "candidate_source": F.lit("phase9_retrained_candidate"),
         }
     )
-    return lifecycle.run_log("run-2", reference, detection, lifecycle_plans.gate(spark, sf_dir, stream_metrics), selection)
+    return lifecycle.run_log("run-2", reference, detection, lifecycle_plans.gate(spark, sf_dir, stream_metrics, reports), selection)
 
 
 _LATENCY = "(SELECT min(batch_id) FILTER (WHERE {0}_drift_detected AND batch_id >= {1}) - {1} FROM drift)"
@@ -513,11 +512,12 @@ def registered_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def checked_lifecycle_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The run's report beside the state of a dataset that differs from its manifest in three units."""
-    row = lifecycle_plans.lifecycle_row(spark, sf_dir, monitoring.metrics_table(spark, sf_dir))
+    stream_metrics, verdict = lifecycle_plans.measured_stream(spark, sf_dir)
+    row = lifecycle_plans.lifecycle_row(spark, stream_metrics, verdict)
     row = row.withColumn("registered_model_version", F.coalesce(F.col("registered_model_version").cast("string"), F.lit("")))
     units = F.when(F.col("batch_id") == 7, F.lit("missing")).when(F.col("batch_id") == 3, F.lit("changed")).otherwise(F.lit("same"))
     status = (
-        B.batched(spark, sf_dir).select("batch_id").distinct()
+        stream_metrics  # a row per batch of the stream
         .select(F.concat(F.lit("stream/batch_id="), F.col("batch_id").cast("string")).alias("unit"), units.alias("status"))
         .union(spark.createDataFrame([("features", "unlisted")], "unit string, status string"))
     )
@@ -803,8 +803,9 @@ def retrained_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Holdout metrics of the candidate refitted on the latest event's rows."""
     from tontine.operators import metrics
 
-    stream, log = lifecycle_plans.events(spark, sf_dir)
-    data = risk.split(spark, sf_dir).drop(S.PROBABILITY)
+    scored = B.scored_table(spark, sf_dir)
+    stream, log = lifecycle_plans.events(spark, sf_dir, scored)
+    data = risk.split(spark, sf_dir, scored).drop(S.PROBABILITY)
     candidate = lifecycle.retrain_candidate(log, stream.drop(S.PROBABILITY), data.filter("is_test").select("IDpol"))
     return metrics.model_metrics(candidate.model.score(data.filter("is_test"))).withColumns(
         {

@@ -75,17 +75,28 @@ FROM pool_scores s LEFT JOIN pool_rates r ON s.pool_id = r.pool_id""",
 )
 
 
-def split(spark: SparkSession, sf_dir: str) -> DataFrame:
+def split(spark: SparkSession, sf_dir: str, scored: DataFrame | None = None) -> DataFrame:
     """Scored policies with their stored split flag."""
-    return spool(sampling.stratified_split(B.scored_table(spark, sf_dir)), "split")
+    return spool(sampling.stratified_split(B.scored_table(spark, sf_dir) if scored is None else scored), "split")
 
 
-def holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split(spark, sf_dir).filter("is_test")
+def holdout(spark: SparkSession, sf_dir: str, scored: DataFrame | None = None) -> DataFrame:
+    """Keys, labels and scores of the policies held out; other columns take no part in the split."""
+    scored = B.scored_table(spark, sf_dir) if scored is None else scored
+    flagged = sampling.stratified_split(scored.select("IDpol", S.TARGET, S.PROBABILITY))
+    return spool(flagged.filter("is_test"), "holdout")
 
 
-def pool_risk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = B.scored_table(spark, sf_dir)
+def acceptance_reports(spark: SparkSession, sf_dir: str, scored: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Holdout metrics and score coverage, each stored as its one row."""
+    scored = B.scored_table(spark, sf_dir) if scored is None else scored
+    held = metrics.model_metrics(holdout(spark, sf_dir, scored))
+    coverage = scoring.score_coverage(pool_risk_table(spark, sf_dir, scored))
+    return spool(held, "holdout-metrics"), spool(coverage, "score-coverage")
+
+
+def pool_risk_table(spark: SparkSession, sf_dir: str, scored: DataFrame | None = None) -> DataFrame:
+    scored = B.scored_table(spark, sf_dir) if scored is None else scored
     pools = scored.select("pool_id").distinct()
     return scoring.assemble_pool_scores(pools, scoring.pool_risk_scores(scored), features.rollup_targets(scored))
 
@@ -224,9 +235,7 @@ def model_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM model_metrics, (SELECT count(pool_risk_score) / CAST(count(*) AS DOUBLE) AS c FROM pool_risk)""",
 )
 def risk_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    verdict = metrics.accepted(
-        metrics.model_metrics(holdout(spark, sf_dir)), scoring.score_coverage(pool_risk_table(spark, sf_dir))
-    )
+    verdict = metrics.accepted(*acceptance_reports(spark, sf_dir))
     return rounded(verdict.select("model_auc", "pool_score_coverage", "acceptance_passed"), 9)
 
 
