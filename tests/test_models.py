@@ -283,3 +283,33 @@ def test_nearest_centroid_tie_takes_the_smaller_label(spark):
     centres = spark.createDataFrame([(2, [1.0, 0.0]), (1, [0.0, 1.0])], "label int, centroid array<double>")
     row = clustering.assign_nearest(points, centres, "label", "v").first()
     assert (row["nearest"], row["sq_distance"]) == (1, 1.0)
+
+
+def test_forest_scores_follow_the_trees_row_by_row(spark):
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(300, 3))
+    vectors[7, 1] = np.nan  # goes right at every split
+    points = spool(spark.createDataFrame([(i, v) for i, v in enumerate(vectors.tolist())], "IDpol long, v array<double>"), "points")
+    forest = spool(anomaly.grow_forest(points.filter("IDpol <> 7"), trees=5, rows=64), "forest")
+    got = {r["IDpol"]: r["anomaly_score"] for r in anomaly.score_forest(points, forest, ("IDpol",)).collect()}
+    nodes = {(r["tree"], r["node"]): r for r in forest.collect()}
+    size = max(r["size"] for r in nodes.values() if r["tree"] == 0)
+    for i, v in enumerate(vectors):
+        total = 0.0
+        for tree in range(5):
+            node = nodes[tree, 0]
+            while node["feature"] >= 0:
+                node = nodes[tree, node["left"] if v[node["feature"]] <= node["split"] else node["right"]]
+            total += node["depth"] + float(anomaly._mean_path(np.array([node["size"]]))[0])
+        assert got[i] == pytest.approx(2.0 ** (-total / (5 * float(anomaly._mean_path(np.array([size]))[0]))))
+
+
+def test_pool_sums_hold_no_matrix_of_memberships(spark):
+    from tontine.operators import pool_scan
+
+    points = spark.createDataFrame([([i << 20, (i % 7) << 20],) for i in range(50)], f"{pool_scan.POINT} array<int>").repartition(3)
+    found = pool_scan.centre_sums(points, pool_scan.Centres((2, 3), np.array([[0.0, 3], [40, 3], [0, 3], [25, 3], [49, 3]])), 3)
+    assert found.counts.tolist()[:2] == [21, 29] or found.counts.tolist()[:2] == [20, 30]
+    for start, k in ((0, 2), (2, 3)):
+        assert found.sums[start : start + k].sum(axis=0).tolist() == [1225 * 2**20, sum(i % 7 for i in range(50)) * 2**20]
+        assert found.counts[start : start + k].sum() == 50

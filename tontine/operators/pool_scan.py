@@ -1,7 +1,7 @@
 """K-means for every k of a scan at once.
 
 Each pass over the encoded policies finds every row's nearest centre for all k that still move: one matrix product with the
-centres of all k side by side, and one with the memberships, whose sums are folded inside the task. What leaves a task is
+centres of all k side by side; the rows of every centre are then counted and added up inside the task, without a matrix of memberships. What leaves a task is
 one row with the sums of all centres (for k = 10 .. 50 at most 1,230); rows are added up in rounds, and at most 64 reach the
 driver. Features are fixed-point integers, so sums do not depend on how rows are dealt to tasks.
 
@@ -65,7 +65,9 @@ def sample_matrix(sample: DataFrame) -> np.ndarray:
 
 def nearest(points: np.ndarray, centres: Centres) -> tuple[np.ndarray, np.ndarray]:
     """Number of the nearest centre within each k and the squared distance (both: rows x number of k)."""
-    gaps = (centres.matrix * centres.matrix).sum(axis=1) - 2.0 * (points @ centres.matrix.T)
+    # One product gives squared distances but for the point's own length; no other pass over rows x centres.
+    lined = np.vstack((-2.0 * centres.matrix.T, (centres.matrix * centres.matrix).sum(axis=1)))
+    gaps = np.hstack((points, np.ones((len(points), 1)))) @ lined
     best = np.empty((len(points), len(centres.ks)), np.int64)
     cost = np.empty(best.shape)
     lengths = (points * points).sum(axis=1)
@@ -139,12 +141,11 @@ def centre_sums(points: DataFrame, centres: Centres, tasks: int) -> Sums:
             for first in range(0, len(whole), TILE):
                 rows = whole[first : first + TILE]
                 best, cost = nearest(rows, held)
-                place = best + starts
-                member = np.zeros((len(rows), size))
-                np.put_along_axis(member, place, 1.0, axis=1)
-                np.add(total.sums, member.T @ (rows * UNIT), out=total.sums)
-                np.add(total.counts, np.bincount(place.ravel(), minlength=size), out=total.counts)
-                np.add(total.costs, np.bincount(place.ravel(), weights=cost.ravel(), minlength=size), out=total.costs)
+                place = (best + starts).ravel()
+                for at, column in enumerate((rows * UNIT).T):  # whole numbers, exact in any order
+                    total.sums[:, at] += np.bincount(place, weights=np.repeat(column, best.shape[1]), minlength=size)
+                np.add(total.counts, np.bincount(place, minlength=size), out=total.counts)
+                np.add(total.costs, np.bincount(place, weights=cost.ravel(), minlength=size), out=total.costs)
         yield _packed(total)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
