@@ -94,12 +94,15 @@ def score_forest(encoded: DataFrame, forest: DataFrame, keep: tuple[str, ...]) -
     parts = []
     for _, tree in nodes.groupby("tree"):
         leaf_path = tree["depth"].to_numpy() + _mean_path(tree["size"].to_numpy())
+        feature, number = tree["feature"].to_numpy().astype(np.int64), np.arange(len(tree))
+        inner = feature >= 0
+        # Right and left child of every node; a leaf is its own child, so all rows take as many steps as the tree is deep.
+        children = np.stack([np.where(inner, tree[side].to_numpy(), number) for side in ("right", "left")], axis=1)
         parts.append(
             (
-                tree["feature"].to_numpy(),
+                np.maximum(feature, 0),
                 tree["split"].to_numpy(),
-                tree["left"].to_numpy(),
-                tree["right"].to_numpy(),
+                children.astype(np.int64).ravel(),
                 leaf_path,
                 int(tree["depth"].max()),
                 int(tree["size"].max()),
@@ -110,21 +113,20 @@ def score_forest(encoded: DataFrame, forest: DataFrame, keep: tuple[str, ...]) -
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         forest_parts = shared.value
-        normal = _mean_path(np.array([forest_parts[0][6]]))[0]
+        normal = _mean_path(np.array([forest_parts[0][5]]))[0]
         for batch in batches:
             if batch.empty:
                 continue
             points = np.vstack(batch["v"].to_numpy())
-            rows = np.arange(len(points))
+            first = np.arange(len(points)) * points.shape[1]
+            values = points.ravel()
             total = np.zeros(len(points))
-            for feature, split, left, right, leaf_path, depth, _ in forest_parts:
+            for feature, split, children, leaf_path, depth, _ in forest_parts:
                 at = np.zeros(len(points), dtype=np.int64)
                 for _ in range(depth):
-                    tested = feature[at]
-                    inner = tested >= 0
-                    goes_left = points[rows, np.maximum(tested, 0)] <= split[at]
-                    at = np.where(inner, np.where(goes_left, left[at], right[at]), at)
-                total += leaf_path[at]
+                    goes_left = values.take(first + feature.take(at)) <= split.take(at)
+                    at = children.take(2 * at + goes_left)
+                total += leaf_path.take(at)
             result = batch.drop(columns="v")
             result["anomaly_score"] = np.power(2.0, -total / (len(forest_parts) * max(normal, 1e-12)))
             yield result
