@@ -211,3 +211,15 @@ def test_candidates_are_fitted_on_event_rows_without_the_holdout(spark, monitore
     assert candidate.training_rows + candidate.removed_for_holdout == 600 and candidate.removed_for_holdout >= 50
     assert candidate.model.score(bare).filter(F.col(S.PROBABILITY).isNull()).isEmpty()
     assert lifecycle.retrain_candidate(events.limit(0), bare, holdout) is None
+
+
+def test_arriving_files_follow_the_rows_of_the_stream(spark, sf, monkeypatch, tmp_path):
+    from tontine.plans import operations
+
+    assert operations.files_per_batch(1000) == 3 and operations.files_per_batch(20 * 9 * operations.FILE_ROWS) == 9
+    monkeypatch.setattr(operations, "FILE_ROWS", 10)
+    monkeypatch.setattr(operations, "fresh_path", lambda _, name: str(tmp_path / name))
+    operations.monitored(spark, sf)
+    files = list((tmp_path / "arriving").rglob("*.parquet"))
+    wanted = operations.files_per_batch(spark.read.parquet(str(tmp_path / "arriving")).count())
+    assert wanted > 3 and 3 * 20 < len(files) <= 20 * wanted  # three tasks wrote everything before

@@ -29,7 +29,7 @@ from tontine.plans import monitoring, risk
 from tontine.plans.registry import query, rounded, step, steps
 from tontine.sources import snapshot, tables
 from tontine.sources.lines import numbered_lines
-from tontine.sources.shared import fresh_path
+from tontine.sources.shared import fresh_path, spool
 from tontine.streaming import drift_monitor, live_metrics, live_scoring
 from tontine.streaming import online_updates as online_stream
 
@@ -733,7 +733,7 @@ def anomaly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stored_anomaly_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An anomaly model stored and loaded again: the same scores and flags for every contract."""
-    features, path = B.contract_features(spark, sf_dir), fresh_path(spark, "anomaly-model")
+    features, path = spool(B.contract_features(spark, sf_dir), "contract-features"), fresh_path(spark, "anomaly-model")
     model = anomaly.fit_anomaly_model(features)
     model.save(path)
     loaded = anomaly.AnomalyModel.load(spark, path)
@@ -788,8 +788,6 @@ def stored_claim_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("online_updates")
 def online_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log loss of the online candidate before each batch's update."""
-    from tontine.sources.shared import spool
-
     stream = scoring.model_inputs(B.stream(spark, sf_dir))
     encoder = encoding.fit_encoder(stream.filter(F.col("batch_id") <= S.REFERENCE_LAST_BATCH))
     encoded = spool(
@@ -836,14 +834,25 @@ def candidate_training_aucs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streaming forms -----------------------------------------------------------------------------------
 
 
+#: Rows of an arriving file, about, and files of a batch at least.
+FILE_ROWS, LEAST_FILES = 1 << 17, 3
+
+
+def files_per_batch(rows: int) -> int:
+    """Files that each batch of a stream of ``rows`` rows arrives in."""
+    return max(LEAST_FILES, -(-rows // (S.N_BATCHES * FILE_ROWS)))
+
+
 def monitored(spark: SparkSession, sf_dir: str) -> drift_monitor.DriftMonitor:
     """A monitor that has seen the stream file by file, with each batch in several files."""
-    stream = B.stream(spark, sf_dir)
+    batches = B.batched(spark, sf_dir)
+    stream, files = B.rewritten(batches), files_per_batch(batches.count())
     source, sink, state = (fresh_path(spark, n) for n in ("arriving", "counts", "state"))
-    stream.repartition(3, "IDpol").write.partitionBy("batch_id").parquet(source)
+    place = F.col("batch_id") * files + F.pmod(F.xxhash64("IDpol"), F.lit(files)).cast("int")  # a task writes one file
+    stream.repartitionById(S.N_BATCHES * files, place).write.partitionBy("batch_id").parquet(source)
     stored = spark.read.schema(stream.schema).parquet(source)
     monitor = drift_monitor.DriftMonitor.of(stored, B.scorer(), sink)
-    arriving = drift_monitor.stream_batches(spark, source, stream.schema, files_per_trigger=16)
+    arriving = drift_monitor.stream_batches(spark, source, stream.schema, files_per_trigger=16 * files // LEAST_FILES)
     monitor.start(arriving, state, available_now=True).awaitTermination()
     return monitor
 
@@ -1011,20 +1020,21 @@ def closed_request_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 UNION ALL SELECT 1, -1, count(*), FALSE, TRUE FROM stream WHERE batch_id <= 9""",
 )
 def streamed_online_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Steps of the online candidate inside the micro-batch loop, every batch in three files; step 1 is the reference fit."""
+    """Steps of the online candidate inside the micro-batch loop, every batch in several files; step 1 is the reference fit."""
     stream = B.stream(spark, sf_dir)
     path, source, sink, state = (fresh_path(spark, n) for n in ("online", "arriving", "online-state", "state"))
     tables.write_batches(stream, path)
     stored = tables.read_batches(spark, path, stream.schema)
+    files = files_per_batch(stored.count())
     for batch_id in range(S.N_BATCHES):  # one after the other, as batches come into being
-        tables.read_batch(spark, path, batch_id, stream.schema).repartition(3, "IDpol").write.mode("append").parquet(source)
+        tables.read_batch(spark, path, batch_id, stream.schema).repartition(files, "IDpol").write.mode("append").parquet(source)
     reference = scoring.model_inputs(stored.filter(F.col("batch_id") <= S.REFERENCE_LAST_BATCH))
     encoder = encoding.fit_encoder(reference)
     encoded = encoding.encode(reference, encoder)
     width = encoded.select(encoding.FEATURES).first()[0].size
     first = online.partial_fit(encoded, online.OnlineModel.zeros(width))
     live = online_stream.OnlineUpdates(encoder, first, sink)
-    arriving = drift_monitor.stream_batches(spark, source, stream.schema, files_per_trigger=7)
+    arriving = drift_monitor.stream_batches(spark, source, stream.schema, files_per_trigger=7 * files // LEAST_FILES)
     live.start(arriving, state, available_now=True).awaitTermination()
     # The first loss of zero weights is ln 2.
     start = spark.createDataFrame([(1, -1, 0, abs(first.history[0][1] - math.log(2)) > 1e-9, True)], "step int, batch_id int, n_rows long, late boolean, finite_loss boolean")
