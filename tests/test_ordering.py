@@ -145,3 +145,26 @@ def test_ece_uses_right_closed_bins(spark):
     row = metrics.calibration_metrics(frame).first()
     assert row["expected_calibration_error"] == pytest.approx(expected)
     assert row["brier_score"] == pytest.approx(((p - y) ** 2).mean())
+
+
+@pytest.mark.parametrize("rows", [1, 19, 20, 47])
+def test_batch_numbers_need_no_shuffle_of_rows(spark, rows):
+    frame = spark.range(3_000_000_000, 3_000_000_000 + rows).withColumnRenamed("id", "IDpol").withColumn("wide", F.lit("x"))
+    want = {r["IDpol"]: r["batch_id"] for r in batching.assign_batches(frame).collect()}
+    found = batching.with_batch_id(frame)
+    assert {r["IDpol"]: r["batch_id"] for r in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "CASE WHEN" not in plan
+
+
+def test_sample_reads_the_table_once(spark):
+    frame = spark.range(500).selectExpr("id AS IDpol", "id % 3 AS c", "'x' AS wide")
+    size = lambda rows: F.floor(rows / 4)
+    flagged = ordering.hash_sample_flag(frame, "IDpol", 42, size, "s", ("c",))
+    plan = flagged._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan
+    index = {r["IDpol"]: r["n"] for r in ordering.hash_index(frame, "IDpol", 42, out="n", strata=("c",)).collect()}
+    rows = flagged.collect()
+    assert len(rows) == 500 and all(r["s"] == (index[r["IDpol"]] < (167 if r["c"] < 2 else 166) // 4) for r in rows)
+    for n, want in ((0, 0), (500, 500), (900, 500), (-3, 0)):
+        assert ordering.hash_sample_flag(frame, "IDpol", 42, lambda rows: F.lit(n), "s").filter("s").count() == want

@@ -223,3 +223,12 @@ def test_arriving_files_follow_the_rows_of_the_stream(spark, sf, monkeypatch, tm
     files = list((tmp_path / "arriving").rglob("*.parquet"))
     wanted = operations.files_per_batch(spark.read.parquet(str(tmp_path / "arriving")).count())
     assert wanted > 3 and 3 * 20 < len(files) <= 20 * wanted  # three tasks wrote everything before
+
+
+def test_monitored_stream_equals_the_whole_stream(spark, sf):
+    from tontine.plans import binding as B
+
+    held = B.scored_stream(spark, sf)
+    whole = B.scorer()(B.stream(spark, sf)).select(*B.MONITORED)
+    assert held.columns == list(B.MONITORED) and "event_index" not in held.columns
+    assert held.exceptAll(whole).isEmpty() and whole.exceptAll(held).isEmpty()

@@ -8,7 +8,7 @@ from tontine import schemas as S
 from tontine.functions import scalars as X
 from tontine.functions.hashing import leading_int, seeded_md5
 from tontine.operators import quality
-from tontine.operators.ordering import hash_index
+from tontine.operators.ordering import hash_index, hash_limits
 
 STREAM_METADATA = (
     "batch_id",
@@ -49,6 +49,26 @@ def assign_batches(df: DataFrame, n_batches: int = S.N_BATCHES, seed: int = S.SE
     ).drop("_n")
 
 
+def with_batch_id(df: DataFrame, n_batches: int = S.N_BATCHES, seed: int = S.SEED) -> DataFrame:
+    """The batch number of ``assign_batches`` without the index: no row is shuffled.
+
+    The first row of each batch in hash order is looked up once; a row's batch follows from its own hash.
+    """
+
+    def starts(rows: Column) -> Column:
+        size, larger = F.floor(rows / n_batches), rows % n_batches
+        return F.transform(F.sequence(F.lit(1), F.lit(n_batches)), lambda b: b * size + F.least(b, larger))
+
+    limits = hash_limits(df, "IDpol", seed, starts)
+    if not limits:
+        return df.withColumn("batch_id", F.lit(0))
+    # An array of limits: written out as conditions, the row's code would be too long to be compiled.
+    known = F.array(*(F.struct(F.lit(digest).alias("digest"), F.lit(key).cast(df.schema["IDpol"].dataType).alias("key")) for _, digest, key in limits))
+    hashed = df.withColumn("_hash", seeded_md5("IDpol", seed))
+    reached = lambda x: (x["digest"] < F.col("_hash")) | ((x["digest"] == F.col("_hash")) & (x["key"] <= F.col("IDpol")))
+    return hashed.withColumn("batch_id", F.size(F.filter(known, reached))).drop("_hash")
+
+
 def rewrite_features(df: DataFrame, start_batch: int = S.DATA_DRIFT_START) -> DataFrame:
     """High-density rows from ``start_batch`` on get a higher density; band test is pre-change."""
     hit = (F.col("batch_id") >= start_batch) & X.high_density()
@@ -67,6 +87,20 @@ def _concept_hit(start_batch: int) -> Column:
     return (F.col("batch_id") >= start_batch) & X.high_bonus_malus()
 
 
+def rewrite_counts(df: DataFrame, start_batch: int = S.CONCEPT_DRIFT_START) -> DataFrame:
+    """High bonus-malus rows from ``start_batch`` on get one more claim (up to the cap), and their indicator anew."""
+    hit = _concept_hit(start_batch)
+    grows = hit & (F.col("target_claim_count") < S.CLAIM_COUNT_CAP)
+    count = F.col("target_claim_count") + F.when(grows, 1).otherwise(0).cast("bigint")
+    return df.withColumns(
+        {
+            "concept_drift_injected": hit,
+            "target_claim_count": count,
+            "target_has_claim": F.when(hit, X.indicator(count)).otherwise(F.col("target_has_claim")),
+        }
+    )
+
+
 def draw_severity(
     df: DataFrame, needs: Column, seed: int = S.SEED, fallback: float = S.FALLBACK_SEVERITY
 ) -> DataFrame:
@@ -103,12 +137,8 @@ def rewrite_targets(
     hit = _concept_hit(start_batch)
     grows = hit & (F.col("target_claim_count") < S.CLAIM_COUNT_CAP)
     drawn = draw_severity(df, grows, seed)
-    counted = drawn.withColumns(
-        {
-            "concept_drift_injected": hit,
-            "target_claim_count": F.col("target_claim_count") + F.when(grows, 1).otherwise(0).cast("bigint"),
-            "target_total_claim_amount": F.col("target_total_claim_amount") + F.col("added_severity"),
-        }
+    counted = rewrite_counts(drawn, start_batch).withColumn(
+        "target_total_claim_amount", F.col("target_total_claim_amount") + F.col("added_severity")
     )
     flag = F.col("concept_drift_injected")
 
@@ -117,7 +147,6 @@ def rewrite_targets(
 
     return counted.withColumns(
         {
-            "target_has_claim": recomputed("target_has_claim", X.indicator("target_claim_count")),
             "target_claim_frequency": recomputed(
                 "target_claim_frequency", X.guarded_ratio("target_claim_count", "Exposure")
             ),

@@ -63,6 +63,22 @@ def hash_index(
     return placed.select(*columns)
 
 
+def hash_limits(df: DataFrame, key: str, seed: int, starts: Callable[[Column], Column]) -> list[tuple[int, str, object]]:
+    """``position, hash, key`` of the rows at the positions ``starts(rows)`` (a short array) of the seeded hash order.
+
+    Only buckets that hold such a position are ranked. Positions behind the last row have no limit.
+    """
+    keyed = _with_bucket(df.select(key), key, seed)
+    sizes = _bucket_sizes(keyed, ())
+    inside = lambda p: (p >= F.col("_before")) & (p < F.col("_before") + F.col("_rows"))
+    asked = sizes.select("_bucket", "_before", F.explode(F.filter(starts(F.col("_total")), inside)).alias("_at"))
+    order = Window.partitionBy("_bucket").orderBy("_hash", key)
+    # One row per position wanted.
+    ranked = keyed.join(F.broadcast(asked.select("_bucket").distinct()), "_bucket").withColumn("_rank", F.row_number().over(order) - 1)
+    found = ranked.join(F.broadcast(asked), "_bucket").filter(F.col("_rank") + F.col("_before") == F.col("_at"))
+    return sorted((r["_at"], r["_hash"], r[key]) for r in found.select("_at", "_hash", key).collect())
+
+
 def hash_sample_flag(
     df: DataFrame,
     key: str,
@@ -73,24 +89,31 @@ def hash_sample_flag(
 ) -> DataFrame:
     """Mark exactly ``size(rows)`` rows per stratum: the first ones in hash order.
 
-    Only the one bucket per stratum that holds the cut is ranked; every other bucket is
-    wholly in or out, so no row outside it is shuffled. ``size`` gets the stratum's row
+    Only the one bucket per stratum that holds the cut is ranked, for the hash and key of the last row inside; every row
+    compares itself with that, so the table is read once and no row of it is shuffled. ``size`` gets the stratum's row
     count and may look at other strata through a window.
     """
-    keyed = _with_bucket(df, key, seed)
-    sizes = _bucket_sizes(keyed, strata).withColumn("_want", size(F.col("_total")))
-    take = F.greatest(F.least(F.col("_want") - F.col("_before"), F.col("_rows")), F.lit(0))
-    plan = sizes.select(*strata, "_bucket", take.alias("_take"), "_rows")
-    planned = keyed.join(F.broadcast(plan), [*strata, "_bucket"])
-    split = (F.col("_take") > 0) & (F.col("_take") < F.col("_rows"))
-    inside = Window.partitionBy(*strata, "_bucket").orderBy("_hash", key)
-    whole = planned.filter(~split).select(*df.columns, (F.col("_take") > 0).alias(out))
-    cut = (
-        planned.filter(split)
+    keyed = df.withColumn("_hash", seeded_md5(key, seed))
+    by = [*strata] or ["_all"]
+    if strata:
+        keyed = keyed.dropna(subset=by)
+    else:
+        keyed = keyed.withColumn("_all", F.lit(0))
+    bucketed = keyed.select(*by, key, "_hash").withColumn("_bucket", hash_bucket("_hash"))
+    sizes = _bucket_sizes(bucketed, by).withColumn("_want", size(F.col("_total")))
+    at = F.least(F.col("_want"), F.col("_total")) - F.col("_before")
+    cuts = sizes.select(*by, "_bucket", at.alias("_at"), "_rows").filter((F.col("_at") > 0) & (F.col("_at") <= F.col("_rows")))
+    inside = Window.partitionBy(*by, "_bucket").orderBy("_hash", key)
+    # One row per stratum.
+    last = (
+        bucketed.join(F.broadcast(cuts), [*by, "_bucket"])
         .withColumn("_rank", F.row_number().over(inside))
-        .select(*df.columns, (F.col("_rank") <= F.col("_take")).alias(out))
+        .filter(F.col("_rank") == F.col("_at"))
+        .select(*by, F.col("_hash").alias("_last_hash"), F.col(key).alias("_last_key"))
     )
-    return whole.unionByName(cut)
+    within = (F.col("_hash") < F.col("_last_hash")) | ((F.col("_hash") == F.col("_last_hash")) & (F.col(key) <= F.col("_last_key")))
+    flagged = keyed.join(F.broadcast(last), by, "left")
+    return flagged.select(*df.columns, F.coalesce(within, F.lit(False)).alias(out))
 
 
 def hash_sample(
