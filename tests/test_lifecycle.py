@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
+import numpy as np
+import pyarrow as pa
 import hashlib
 import hmac
 import json
@@ -11,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tontine import schemas as S
 from tontine.functions import hashing, scalars as X
-from tontine.operators import lifecycle, lineage, observability, scoring
+from tontine.operators import event_fits, lifecycle, lineage, observability, scoring
 from tontine.sources import snapshot, tables
 from tontine.streaming import live_scoring
 
@@ -288,3 +292,40 @@ def test_joins_behind_the_policies_run_once_a_query(spark, sf, monkeypatch):
     # Four times "scored", "modelling" once and two whole splits before.
     assert names.count("scored") == 1 and "modelling" not in names and "split" not in names
     assert dict(written)["holdout"] == 4
+
+
+class _LocalPoints:
+    """Stands for a table of points in one batch, so that passes over it can be counted."""
+
+    def __init__(self, events, y, x):
+        columns = [pa.array(events, pa.list_(pa.int32())), pa.array(y, pa.float64()), pa.array(list(x), pa.list_(pa.float64()))]
+        self.batch, self.width, self.passes = pa.RecordBatch.from_arrays(columns, names=["events", "y", "x"]), x.shape[1], 0
+        self.sparkSession = self.sparkContext = self
+
+    def select(self, *_):
+        return self
+
+    def first(self):
+        return [[0.0] * self.width]
+
+    def broadcast(self, value):
+        return SimpleNamespace(value=value, unpersist=lambda: None)
+
+    def array_sum(self, _, fold, __):
+        self.passes += 1
+        return fold([self.batch])
+
+
+def test_event_fits_stop_where_only_rounding_moves_them(monkeypatch):
+    rng = np.random.default_rng(5)
+    kind = rng.integers(0, 4, 4000)
+    x = np.hstack((rng.normal(size=(4000, 2)), np.eye(4)[kind], 1e5 * np.eye(4)[kind]))  # the last four say what four say
+    y = (rng.random(4000) < 1 / (1 + np.exp(-x[:, 0] - 0.5 * kind))).astype(float)
+    points = _LocalPoints([[0, 1] if i % 2 else [0] for i in range(4000)], y, x)
+    monkeypatch.setattr(event_fits, "array_sum", points.array_sum)
+    weights, rows, positives = event_fits.fit_events(points, 2)
+    assert points.passes <= 12 and rows.tolist() == [4000, 2000] and positives[0] == y.sum()
+    for event, keep in ((0, slice(None)), (1, slice(1, None, 2))):
+        ones = np.hstack((np.ones((len(y[keep]), 1)), x[keep]))
+        slope = ones.T @ (1 / (1 + np.exp(-ones @ weights[event])) - y[keep]) + np.r_[0.0, weights[event][1:]]
+        assert np.abs(slope[:7]).max() < 1e-4

@@ -24,6 +24,8 @@ from tontine.sources.shared import spool
 
 #: Newton steps at most, and the largest change of a weight at which an event is done.
 STEPS, SETTLED = 40, 1e-9
+#: A step's gain a row that is rounding.
+ROUNDING = 1e-16
 POINT = "events array<int>, y double, x array<double>"
 
 
@@ -53,7 +55,7 @@ def event_points(events: DataFrame, stream: DataFrame, encoder: PipelineModel, l
     return spool(points, "event-points"), triggers
 
 
-def _by_event(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def _by_event(batch: pa.RecordBatch, wanted: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Per event of a batch: its number, labels, features with a one in front, and how often each row counts."""
     if not batch.num_rows:
         return
@@ -64,42 +66,58 @@ def _by_event(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarr
     x = batch.column(2).flatten().to_numpy().reshape(batch.num_rows, -1)
     x = np.hstack((np.ones((len(x), 1)), x))
     for event in np.unique(number).tolist():
+        if wanted is not None and not wanted[event]:
+            continue
         rows, times = np.unique(row[number == event], return_counts=True)
         yield event, y[rows], x[rows], times.astype(np.float64)
 
 
 def fit_events(points: DataFrame, n_events: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weights (intercept first) of every event, its rows and its positives; an event of one class has weights of NaN."""
+    """Weights (intercept first) of every event, its rows and its positives; an event of one class has weights of NaN.
+
+    An event is done once a step would lower its loss by less than rounding shows, relative to its rows: in directions that
+    only the penalty bounds, the rounding of a long sum moves weights for ever. A curvature serves later steps while each
+    of them gains a hundredth of the one before; done events are not measured again.
+    """
     width = len(points.select("x").first()[0]) + 1
     block = width * width + width + 2
-    weights = np.zeros((n_events, width))
+    weights, curvature = np.zeros((n_events, width)), np.zeros((n_events, width, width))
     spark = points.sparkSession
     penalty = np.diag([0.0, *np.ones(width - 1)])
-    rows = positives = np.zeros(n_events)
+    rows, positives = np.zeros(n_events), np.zeros(n_events)
+    gained = np.full(n_events, np.inf)
+    active, curved = np.ones(n_events, bool), np.ones(n_events, bool)
     for _ in range(STEPS):
-        shared = spark.sparkContext.broadcast(weights)
+        shared = spark.sparkContext.broadcast((weights, active, curved))
 
         def fold(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+            at, wanted, bent = shared.value
             total = np.zeros((n_events, block))
             for batch in batches:
-                for event, y, x, times in _by_event(batch):
-                    p = 1.0 / (1.0 + np.exp(-np.clip(x @ shared.value[event], -700, 700)))
-                    total[event, : width * width] += ((x * (times * p * (1.0 - p))[:, None]).T @ x).ravel()
+                for event, y, x, times in _by_event(batch, wanted):
+                    p = 1.0 / (1.0 + np.exp(-np.clip(x @ at[event], -700, 700)))
+                    if bent[event]:
+                        total[event, : width * width] += ((x * (times * p * (1.0 - p))[:, None]).T @ x).ravel()
                     total[event, width * width : -2] += x.T @ (times * (p - y))
                     total[event, -2:] += times.sum(), (times * y).sum()
             return total.ravel()
 
         sums = array_sum(points, fold, n_events * block).reshape(n_events, block)
         shared.unpersist()
-        rows, positives = sums[:, -2], sums[:, -1]
-        moved = 0.0
-        for event in np.flatnonzero((positives > 0) & (positives < rows)).tolist():
-            curvature = sums[event, : width * width].reshape(width, width) + penalty + 1e-12 * np.eye(width)
-            step = np.linalg.solve(curvature, sums[event, width * width : -2] + penalty @ weights[event])
+        rows[active], positives[active] = sums[active, -2], sums[active, -1]
+        active &= (positives > 0) & (positives < rows)
+        for event in np.flatnonzero(active).tolist():
+            if curved[event]:
+                curvature[event] = sums[event, : width * width].reshape(width, width) + penalty + 1e-12 * np.eye(width)
+            slope = sums[event, width * width : -2] + penalty @ weights[event]
+            step = np.linalg.solve(curvature[event], slope)
+            gain = float(slope @ step)
             step *= min(1.0, 10.0 / max(float(np.abs(step).max()), 1e-300))
             weights[event] -= step
-            moved = max(moved, float(np.abs(step).max()))
-        if moved < SETTLED:
+            active[event] = gain > ROUNDING * rows[event] and float(np.abs(step).max()) >= SETTLED
+            curved[event] = gain > 0.01 * gained[event] or not np.isfinite(gained[event])
+            gained[event] = gain
+        if not active.any():
             break
     weights[(positives == 0) | (positives == rows)] = np.nan
     return weights, rows, positives
